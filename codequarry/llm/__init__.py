@@ -1,0 +1,11 @@
+"""Training-data operators. Nothing else in the library imports this package.
+
+Functions that run on executors are pickled by value, so a cluster needs no
+installed copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
