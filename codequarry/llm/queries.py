@@ -1,10 +1,19 @@
 """The queries of this package by name, and their SQL."""
 
-from . import substring_dedup
+from . import license_scan, line_dedup, source_mixing, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_license_scan": license_scan.op3_license_scan,
+    "op4_topk_search": topk_search.op4_topk_search,
+    "op6_source_mixing": source_mixing.op6_source_mixing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op3_license_scan": license_scan.ORACLE,
+    "op4_topk_search": topk_search.ORACLE,
+    "op6_source_mixing": source_mixing.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
