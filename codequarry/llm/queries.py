@@ -1,13 +1,16 @@
 """The queries of this package by name, and their SQL."""
 
-from . import license_scan, line_dedup, source_mixing, substring_dedup, topk_search, url_filter
+from . import chat_format, decontaminate, license_scan, line_dedup, source_mixing, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_topk_search": topk_search.op4_topk_search,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op6_source_mixing": source_mixing.op6_source_mixing,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL = {
