@@ -1,9 +1,10 @@
 """The queries of this package by name, and their SQL."""
 
-from . import chat_format, decontaminate, license_scan, line_dedup, source_mixing, substring_dedup, topk_search, toxicity, url_filter
+from . import chat_format, decontaminate, license_scan, line_dedup, ngram_join, source_mixing, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_topk_search": topk_search.op4_topk_search,
     "op5_chat_format": chat_format.op5_chat_format,
