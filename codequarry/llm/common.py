@@ -38,6 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(docs: DataFrame, keep):
+    """The columns of keep as one struct, out of the way of an operator's own names."""
+    return F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
+
+
+def kept_type(docs: DataFrame, keep) -> str:
+    return docs.select(kept(docs, keep).alias("k")).schema["k"].dataType.simpleString()
+
+
 def bucket_count(docs: DataFrame, text_col: str, target_bytes: int) -> int:
     """Buckets of about target_bytes of text each, and a few for every shuffle partition."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHash, isin_sorted, rolling, table
+from .common import U, WordHash, isin_sorted, kept, kept_type, rolling, table
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -146,7 +146,7 @@ def _scan(block: Block, at: int):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, keep: tuple = ()) -> DataFrame:
     """Which benchmark items each document gives away.
 
     Returns a row per input row: doc_id, text, contaminated, best_coverage
@@ -155,19 +155,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     coverage is at least the threshold. Null or empty texts have no words and no
     hits, on either side; items of fewer than min_match words are never found.
     Repeated rows each get their result; repeated items each count. Null ids
-    are carried; items with null ids count too. Other columns are ignored. Empty
-    tables give no rows, or no hits.
+    are carried; items with null ids count too. Columns named in keep come back as
+    the struct kept; others are ignored. Empty tables give no rows, or no hits.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("x")).where("x <> ''")
     total = items.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     n = max(1, -(-total * 5 // 4 // block_bytes))
-    found = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), F.array().cast(HITS).alias("hits"))
+    found = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), kept(docs, keep).alias("k"), F.array().cast(HITS).alias("hits"))
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "x"), F.lit(n)) == b)
         block = Block([tuple(r) for r in part.orderBy("i", "x").collect()], min_match)
-        found = found.mapInArrow(_scan(block, 2), f"d long, t string, hits {HITS}")
+        found = found.mapInArrow(_scan(block, 3), f"d long, t string, k {kept_type(docs, keep)}, hits {HITS}")
     best = F.coalesce(F.array_max(F.transform("hits", lambda x: x["coverage"])), F.lit(0.0))
-    return found.select(F.col("d").alias("doc_id"), F.col("t").alias("text"), (best >= coverage).alias("contaminated"), best.alias("best_coverage"), "hits")
+    return found.select(F.col("d").alias("doc_id"), F.col("t").alias("text"), (best >= coverage).alias("contaminated"), best.alias("best_coverage"), "hits", *([F.col("k").alias("kept")] if keep else []))
 
 
 def op7_decontaminate(spark, sf_dir):

@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import kept, materialize, table
 
 MIN_LINES = 3
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """Delete every run of MIN_LINES or more lines that stands earlier in the table.
 
     Returns a row per input row: doc_id, text (what is left), n_lines and
@@ -31,10 +31,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     runs and stay. Earlier means by doc_id (null first), then the text's hash,
     then position; so also earlier in the same document. Rows that repeat an id
     and its text count as one document and get the same result. A null text has
-    no lines and stays null; an empty one is one blank line. Other columns are
-    ignored, whatever their names. An empty table gives an empty result.
+    no lines and stays null; an empty one is one blank line. Columns named in keep
+    come back as the struct kept; others are ignored, whatever their names. An
+    empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), kept(docs, keep).alias("kept"))
     lines = base.select("d", F.xxhash64("t").alias("h"), F.split("t", "\n", -1).alias("ls"))
     seq = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.length(F.trim(F.regexp_replace(s["x"], r"\s+", " "))) > 0)
     ready = lines.select("d", "h", seq.alias("s")).where(F.size("s") >= MIN_LINES)
@@ -61,9 +62,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = later.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_set(F.array("i", "j", "k")))).alias("gone"))
     whole = base.withColumn("h", F.xxhash64("t")).alias("l").join(gone.alias("r"), F.col("l.d").eqNullSafe(F.col("r.d")) & (F.col("l.h") == F.col("r.h")), "left")
     parts = F.split(F.col("l.t"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("l.t")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    return whole.select(F.col("l.d").alias("doc_id"), text.alias("text"), F.when(F.col("l.t").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("l.t")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    return whole.select(F.col("l.d").alias("doc_id"), text.alias("text"), F.when(F.col("l.t").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), *([F.col("l.kept")] if keep else []))
 
 
 def op8_line_dedup(spark, sf_dir):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCEN
     return free.select("s", "source_size", F.when(F.col("level").isNull() | (F.col("cap") <= F.col("level") * F.col("w")), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: str = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: str = SEED, keep: tuple = ()) -> DataFrame:
     """How many words of each row the mix takes.
 
     Returns a row per input row: doc_id, size, source, source_size, target,
@@ -54,10 +54,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing; null sources are one source, the last. Rows that repeat an id and
     text are rows of their own; which of two equal rows the cut falls on does
     not show in the result. Reruns agree: keys depend on seed, id and text only.
-    An empty table gives an empty result. Other columns are ignored.
+    An empty table gives an empty result. Columns named in keep come back as the
+    struct kept; others are ignored.
     """
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.col(source_col).alias("s"), key.alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.col(source_col).alias("s"), key.alias("key"), kept(docs, keep).alias("kept"))
     rows = rows.withColumn("z", F.col("s").isNull()).withColumn("k", F.coalesce("s", F.lit(""))).withColumn("a", F.substring("key", 1, 2)).withColumn("b", F.substring("key", 3, 2))
     fine = rows.groupBy("z", "k", "a", "b").agg(F.sum("size").alias("sum"))
     coarse = fine.groupBy("z", "k", "a").agg(F.sum("sum").alias("sum"))
@@ -72,7 +73,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     times = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - times * F.col("source_size") - F.col("from_a") - F.col("from_b") - F.col("from_c")
     part = F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return full.select("doc_id", "size", F.col("s").alias("source"), "source_size", "target", (times * F.col("size") + part).cast("long").alias("taken"), F.when(F.col("size") > 0, times + (part > 0).cast("long")).otherwise(F.lit(0)).cast("long").alias("epochs"))
+    return full.select("doc_id", "size", F.col("s").alias("source"), "source_size", "target", (times * F.col("size") + part).cast("long").alias("taken"), F.when(F.col("size") > 0, times + (part > 0).cast("long")).otherwise(F.lit(0)).cast("long").alias("epochs"), *(["kept"] if keep else []))
 
 
 def op6_source_mixing(spark, sf_dir):

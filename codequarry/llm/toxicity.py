@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, kept_type, table
 
 SAMPLE = 20_000
 MOST_FEATURES = 4_000
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc
     return {names[i]: int(new[i]) for i in best}, w, float(b)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD, keep: tuple = ()) -> DataFrame:
     """Score every text.
 
     Returns a row per input row: doc_id, text, held_out, score (0 to 1, from the
@@ -225,8 +225,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     the score of a text without features. Labels may be null (ignored) or
     repeated (toxic if one says so); with none, or of one kind only, every text
     gets the same score. Repeated rows get equal scores. Null ids are carried,
-    are not held out, and have no label. Extra columns are ignored. An empty
-    table gives an empty result.
+    are not held out, and have no label. Columns named in keep come back as the
+    struct kept; others are ignored. An empty table gives an empty result.
     """
     channel = Channel(char_costs(char_counts(docs, text_col)))
     ids, w, b = fit(docs, labels, channel, id_col, text_col, label_col, sample)
@@ -236,11 +236,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             x = np.array([b + sum(w[i] for i in sorted(reader.read(t))) for t in batch.column("t").to_pylist()], float)
             score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(score)], names=["d", "t", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), batch.column("k"), pa.array(score)], names=["d", "t", "k", "s"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    found = base.mapInArrow(run, "d long, t string, s double")
-    return found.select(F.col("d").alias("doc_id"), F.col("t").alias("text"), held_out("d").alias("held_out"), F.col("s").alias("score"), (F.col("s") >= threshold).cast("int").alias("predicted"))
+    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), kept(docs, keep).alias("k"))
+    found = base.mapInArrow(run, f"d long, t string, k {kept_type(docs, keep)}, s double")
+    return found.select(F.col("d").alias("doc_id"), F.col("t").alias("text"), held_out("d").alias("held_out"), F.col("s").alias("score"), (F.col("s") >= threshold).cast("int").alias("predicted"), *([F.col("k").alias("kept")] if keep else []))
 
 
 def op9_toxicity(spark, sf_dir):
