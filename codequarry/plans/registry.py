@@ -1,4 +1,9 @@
 """Queries by name and the SQL that gives the same rows."""
 
+from codequarry.plans import catalogue_queries, finding_queries, scan_queries, text_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _part in (finding_queries, scan_queries, text_queries, catalogue_queries):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
