@@ -167,11 +167,11 @@ def repair_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """
     base = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).distinct()
     base = base.withColumn("o", F.xxhash64("role", "text")).withColumn("c", F.coalesce(F.col("conv_id").cast("string"), F.concat_ws("|", F.lit("none"), "turn", "o"))).withColumn("code", _code(F.lower(F.trim("role"))))
-    slot = F.coalesce(F.floor(F.col("turn") / run), F.lit(-(2**62)))
+    slot = F.coalesce(F.col("turn") - F.pmod("turn", F.lit(run)), F.lit(-(2**62)))
     base = base.withColumn("slot", slot)
     heavy = base.groupBy("c", "slot").agg(F.count("*").alias("n")).where(F.col("n") > 4 * run).select("c", "slot", F.lit(True).alias("heavy"))
     dealt = base.join(heavy, ["c", "slot"], "left")
-    part = F.when(F.col("heavy"), F.coalesce(F.col("turn"), F.lit(-(2**62)))).otherwise(F.col("slot") * run)
+    part = F.when(F.col("heavy"), F.coalesce(F.col("turn"), F.lit(-(2**62)))).otherwise(F.col("slot"))
     sub = F.when(F.col("heavy"), F.call_function("shiftright", F.col("o"), F.lit(56))).otherwise(F.lit(0)).cast("long")
     dealt = dealt.withColumn("part", part.cast("long")).withColumn("sub", sub)
     # One row a run, then the states between them, then each run by itself; tasks take runs in buckets.
