@@ -25,6 +25,7 @@ from .common import kept, kept_type, table
 SAMPLE = 20_000
 MOST_FEATURES = 4_000
 LEAST_DOCS = 5
+LEAST_ODDS = 3.0
 THRESHOLD = 0.3
 KNOWN_WORDS = 400_000
 
@@ -169,43 +170,49 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc
     chosen = marks.orderBy(F.xxhash64("l"), "l").limit(sample)
     rows = docs.select(F.col(id_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "l").select("t", "y")
 
-    def toxic_features(batches):
-        reader = Reader(channel, None)
-        for batch in batches:
-            counts: dict = {}
-            for text in batch.column("t").to_pylist():
-                for f in reader.read(text):
-                    counts[f] = counts.get(f, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["f", "n"])
-
-    common = rows.where("y = 1").mapInArrow(toxic_features, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    names = [r["f"] for r in common.orderBy(F.desc("n"), "f").limit(5 * MOST_FEATURES).collect()]
+    def counted(kind, ids):
+        def run(batches):
+            reader, counts = Reader(channel, ids), {}
+            for batch in batches:
+                for text in batch.column("t").to_pylist():
+                    for f in reader.read(text):
+                        counts[f] = counts.get(f, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), kind), pa.array(list(counts.values()), pa.int64())], names=["f", "n"])
+
+        return run
+
+    total = {r["y"]: r["n"] for r in chosen.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
+    n_pos, n_neg = total.get(True, 0), total.get(False, 0)
+    rate = (n_pos + 0.5) / (n_pos + n_neg + 1.0) if n_pos + n_neg else 0.0
+    alike = {}, np.zeros(0), math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
+    if not n_pos or not n_neg:
+        return alike
+    common = rows.where("y > 0").mapInArrow(counted(pa.string(), None), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    found = common.orderBy(F.desc("n"), "f").limit(5 * MOST_FEATURES).collect()
+    names, pos = [r["f"] for r in found], np.array([r["n"] for r in found], float)
+    neg = np.zeros(len(names))
+    for r in rows.where("y = 0").mapInArrow(counted(pa.int64(), {f: i for i, f in enumerate(names)}), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+        neg[r["f"]] = r["n"]
+    # What says toxic: at least LEAST_ODDS times as usual in toxic texts; the most telling of them.
+    odds = np.log((pos + 0.1) / (n_pos + 0.2)) - np.log((neg + 0.1) / (n_neg + 0.2))
+    best = np.argsort(-pos * odds, kind="stable")[:MOST_FEATURES]
+    best = np.sort(best[odds[best] >= math.log(LEAST_ODDS)])
+    names = [names[i] for i in best]
     ids = {f: i for i, f in enumerate(names)}
 
-    def found_features(batches):
+    def present(batches):
         reader = Reader(channel, ids)
         for batch in batches:
-            got = [sorted(reader.read(t)) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(got, pa.list_(pa.int32()))], names=["y", "ids"])
+            got = [np.array(sorted(reader.read(t)), np.int32).tobytes() for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(got, pa.binary())], names=["y", "ids"])
 
-    got = rows.mapInArrow(found_features, "y int, ids array<int>").collect()
+    got = rows.mapInArrow(present, "y int, ids binary").collect()
+    got.sort(key=lambda r: (r["y"], bytes(r["ids"])))  # sums don't depend on the order of arrival
     y = np.array([r["y"] > 0 for r in got], float)
-    if not len(y) or not y.any() or y.all():
-        rate = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.0
-        return {}, np.zeros(0), math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
-    row = np.repeat(np.arange(len(got)), [len(r["ids"]) for r in got])
-    col = np.array([i for r in got for i in r["ids"]], int)
-    order = np.lexsort((col, row))
-    row, col = row[order], col[order]
-    pos = np.bincount(col, y[row], len(names))
-    neg = np.bincount(col, 1 - y[row], len(names))
-    odds = np.log((pos + 0.1) / (y.sum() + 0.2)) - np.log((neg + 0.1) / ((1 - y).sum() + 0.2))
-    gain = pos * np.abs(odds)
-    best = np.sort(np.argsort(-gain, kind="stable")[:MOST_FEATURES])
-    new = np.full(len(names), -1)
-    new[best] = np.arange(len(best))
-    keep = new[col] >= 0
-    row, col = row[keep], new[col[keep]]
+    if not y.any() or y.all():
+        return alike
+    row = np.repeat(np.arange(len(got)), [len(r["ids"]) // 4 for r in got])
+    col = np.frombuffer(b"".join(bytes(r["ids"]) for r in got), np.int32)
     w, b = np.zeros(len(best)), math.log(y.mean() / (1 - y.mean()))
     m1, m2 = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
     for step in range(1, 401):  # Adam on the whole sample
@@ -214,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return {names[i]: int(new[i]) for i in best}, w, float(b)
+    return ids, w, float(b)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD, keep: tuple = ()) -> DataFrame:
