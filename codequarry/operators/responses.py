@@ -88,9 +88,12 @@ def decode(text: str | None) -> tuple[str | None, str]:
     return None, "truncated" if re.search(r'"vulnerabilities"\s*:\s*\[\s*(\{|$)', text) else "failed"
 
 
-@F.pandas_udf("struct<json:string,state:string>")
-def decode_udf(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode(t) for t in text], columns=["json", "state"])
+def decode_udf(col):
+    @F.pandas_udf("struct<json:string,state:string>")
+    def run(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decode(t) for t in text], columns=["json", "state"])
+
+    return run(col)
 
 
 def parse(responses: DataFrame, text: str = "response") -> DataFrame:
