@@ -233,4 +233,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_ngram_join(spark, sf_dir):
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("set_id")
+
+
+#: Every pair of shingle sets, by shared shingles.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS s FROM w WHERE len(ws) > 0),
+k AS (SELECT doc_id, s, md5(array_to_string(s, '|')) AS c FROM g),
+r AS (SELECT c, min(doc_id) AS rep, count(*) AS copies, any_value(s) AS s FROM k GROUP BY c),
+x AS (SELECT c, len(s) AS n, unnest(s) AS t FROM r),
+p AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.t = b.t AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+o(c, root) AS (SELECT c, c FROM r UNION SELECT o.c, e.b FROM o JOIN e ON o.root = e.a),
+m AS (SELECT o.c, min(r.rep) AS class_id FROM o JOIN r ON o.root = r.c GROUP BY o.c),
+l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT w.doc_id, coalesce(m.class_id, w.doc_id) AS class_id, coalesce(l.n, 0) AS n_links, coalesce(r.copies, 1) AS n_copies
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id LEFT JOIN r ON k.c = r.c LEFT JOIN m ON k.c = m.c LEFT JOIN l ON k.c = l.a
+"""

@@ -16,8 +16,10 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op2_ngram_join": ngram_join.ORACLE,
     "op3_license_scan": license_scan.ORACLE,
     "op4_topk_search": topk_search.ORACLE,
     "op6_source_mixing": source_mixing.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
 }

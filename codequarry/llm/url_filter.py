@@ -107,3 +107,29 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def op10_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+def _oracle() -> str:
+    rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r))
+    fits = [f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
+    case = lambda values: "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v in zip(fits, values)) + " END"
+    return rf"""
+WITH RECURSIVE u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS (SELECT *, {case([h + p for _, h, p in rules])} AS rule, {case([v for v, _, _ in rules])} AS said FROM u),
+h AS (SELECT host, count(*) AS pages, CAST(count(*) FILTER (said = 'allow') AS DOUBLE) AS trust, CAST(count(*) FILTER (said = 'block') AS DOUBLE) AS distrust FROM j WHERE host <> '' GROUP BY host),
+a AS (SELECT DISTINCT page_id, host AS src, translate(regexp_extract(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*[\x22'']?[a-z][a-z0-9+.-]*://[^\x22''\s<>]+')), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS dst FROM u WHERE host <> ''),
+e AS (SELECT src, dst, count(*) AS n FROM a WHERE dst <> '' AND dst <> src GROUP BY src, dst),
+w AS (SELECT 0 AS way, src, dst, n FROM e UNION ALL SELECT 1, dst, src, n FROM e),
+s AS (SELECT way, src, dst, n / sum(n) OVER (PARTITION BY way, src) AS p FROM w),
+t AS (SELECT greatest(sum(trust), 1e-300) AS trust, greatest(sum(distrust), 1e-300) AS distrust FROM h),
+z AS (SELECT way, host, max(seed) AS seed FROM (SELECT 0 AS way, host, h.trust / t.trust AS seed FROM h, t UNION ALL SELECT 1, host, h.distrust / t.distrust FROM h, t UNION ALL SELECT way, src, 0 FROM s UNION ALL SELECT way, dst, 0 FROM s) GROUP BY way, host),
+b AS (SELECT z.way, z.host, z.seed, NOT EXISTS (SELECT 1 FROM s WHERE s.way = z.way AND s.src = z.host) AS dead FROM z),
+f AS (SELECT way, host, dst, p FROM (SELECT b.way, b.host, s.dst, s.p FROM b JOIN s ON s.way = b.way AND s.src = b.host UNION ALL SELECT x.way, x.host, y.host, y.seed FROM b x JOIN b y ON x.way = y.way AND x.dead)),
+r(i, way, host, rank) AS (SELECT 0, way, host, seed FROM b UNION ALL
+  SELECT i, way, host, sum(x) FROM (SELECT r.i + 1 AS i, r.way, f.dst AS host, {DAMPING} * r.rank * f.p AS x FROM r JOIN f ON f.way = r.way AND f.host = r.host UNION ALL SELECT r.i + 1, r.way, b.host, {1 - DAMPING} * b.seed FROM r JOIN b ON b.way = r.way AND b.host = r.host) WHERE i <= {ROUNDS} GROUP BY i, way, host),
+d AS (SELECT h.host, max(r.rank) FILTER (r.way = 1) >= {FACTOR} * max(r.rank) FILTER (r.way = 0) AND max(r.rank) FILTER (r.way = 1) >= {LEAST} * any_value(h.pages) / (SELECT sum(pages) FROM h) AS bad FROM h JOIN r ON r.host = h.host AND r.i = {ROUNDS} GROUP BY h.host)
+SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN d ON j.host = d.host
+"""
+
+
+ORACLE = _oracle()
