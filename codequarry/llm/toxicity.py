@@ -6,8 +6,10 @@ word is a lattice of what may have been meant (leetspeak characters stand for
 letters, separators inside a word and repeats of a character may be left out,
 letters set apart by spaces belong together); Viterbi decoding takes the
 cheapest path under the model. Plain words have one path and are not decoded.
-A classifier: logistic regression on restored words and their beginnings, fitted
-on a bounded sample of labelled rows (SAMPLE rows, taken by hash).
+A classifier on restored words and their beginnings, fitted on a bounded sample
+of labelled rows (SAMPLE rows, taken by hash): logistic regression, and beside
+it each feature's precision, as a lower bound, so that one word that is only
+ever seen in toxic texts is enough in a short text. The larger of both counts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ MOST_FEATURES = 4_000
 LEAST_DOCS = 5
 LEAST_ODDS = 3.0
 THRESHOLD = 0.3
+BOUND, SURE = 3.0, 0.9  # standard deviations of the lower bound, and the least one that counts
 KNOWN_WORDS = 400_000
 
 CLASSES = 29  # 0: outside a word, 1-26: a-z, 27: letters beyond ASCII, 28: digits and signs
@@ -164,8 +167,8 @@ def held_out(id_col):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict, np.ndarray, float]:
-    """(feature -> id, weights, bias) from at most sample labelled rows outside the held-out quarter."""
+def fit(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict, np.ndarray, float, np.ndarray]:
+    """(feature -> id, weights, bias, lower bounds of precision) from at most sample labelled rows outside the held-out quarter."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("l")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = marks.orderBy(F.xxhash64("l"), "l").limit(sample)
     rows = docs.select(F.col(id_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "l").select("t", "y")
@@ -184,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc
     total = {r["y"]: r["n"] for r in chosen.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = total.get(True, 0), total.get(False, 0)
     rate = (n_pos + 0.5) / (n_pos + n_neg + 1.0) if n_pos + n_neg else 0.0
-    alike = {}, np.zeros(0), math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
+    alike = {}, np.zeros(0), math.log(max(rate, 1e-6) / max(1 - rate, 1e-6)), np.zeros(0)
     if not n_pos or not n_neg:
         return alike
     common = rows.where("y > 0").mapInArrow(counted(pa.string(), None), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
@@ -197,6 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc
     odds = np.log((pos + 0.1) / (n_pos + 0.2)) - np.log((neg + 0.1) / (n_neg + 0.2))
     best = np.argsort(-pos * odds, kind="stable")[:MOST_FEATURES]
     best = np.sort(best[odds[best] >= math.log(LEAST_ODDS)])
+    n, z = pos[best] + neg[best], BOUND**2
+    share = pos[best] / np.maximum(n, 1)
+    low = (share + z / (2 * np.maximum(n, 1)) - BOUND * np.sqrt(share * (1 - share) / np.maximum(n, 1) + z / (4 * np.maximum(n, 1) ** 2))) / (1 + z / np.maximum(n, 1))
+    low[low < SURE] = 0  # words that chance made look toxic don't reach it
     names = [names[i] for i in best]
     ids = {f: i for i, f in enumerate(names)}
 
@@ -221,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return ids, w, float(b)
+    return ids, w, float(b), low
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD, keep: tuple = ()) -> DataFrame:
@@ -236,13 +243,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     struct kept; others are ignored. An empty table gives an empty result.
     """
     channel = Channel(char_costs(char_counts(docs, text_col)))
-    ids, w, b = fit(docs, labels, channel, id_col, text_col, label_col, sample)
+    ids, w, b, low = fit(docs, labels, channel, id_col, text_col, label_col, sample)
 
     def run(batches):
         reader = Reader(channel, ids)
         for batch in batches:
-            x = np.array([b + sum(w[i] for i in sorted(reader.read(t))) for t in batch.column("t").to_pylist()], float)
-            score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            found = [sorted(reader.read(t)) for t in batch.column("t").to_pylist()]
+            x = np.array([b + sum(w[i] for i in f) for f in found], float)
+            score = np.maximum(1 / (1 + np.exp(-np.clip(x, -30, 30))), [max((low[i] for i in f), default=0.0) for f in found])
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), batch.column("k"), pa.array(score)], names=["d", "t", "k", "s"])
 
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), kept(docs, keep).alias("k"))
