@@ -108,36 +108,29 @@ def _cut(size: int, gram: int):
         v2, w2 = _unsigned(marks["v"]), _unsigned(marks["w"])
         order = np.argsort(w2)
         v2, w2 = v2[order], w2[order]
-        # Windows that stand twice in this bucket: found among anchors that do.
-        seen = []
-        for _, group, h in chunks(texts, known):
+        # Each chunk's windows once: first document, its words, window starts, anchors' places and hashes.
+        parts = []
+        for first, group, h in chunks(texts, known):
             starts, at, runs = windows(group, h, size, gram)
-            seen.append(runs[at[np.r_[True, np.diff(at) != 0]]] if len(at) else runs[:0])
-        seen = np.sort(np.concatenate(seen)) if seen else np.empty(0, U)
+            parts.append((first, group, len(h), starts, at, runs[at], rolling(h, size, True)[starts] if len(starts) else runs[:0]))
+        # Windows that stand twice in this bucket: found among anchors that do.
+        seen = np.sort(np.concatenate([v[np.r_[True, np.diff(at) != 0]] if len(at) else v for *_, at, v, _ in parts])) if parts else np.empty(0, U)
         twice = np.unique(seen[1:][seen[1:] == seen[:-1]])
-        local = []
+        local = np.empty(0, U)
         if len(twice):
-            for _, group, h in chunks(texts, known):
-                starts, at, runs = windows(group, h, size, gram)
-                v = runs[at]
-                keep, _ = isin_sorted(v, twice)
-                w = rolling(h, size, True)[starts[keep]] if len(starts) else v
-                local.append(w ^ mix(v[keep]))
-        local = np.sort(np.concatenate(local)) if local else np.empty(0, U)
-        local = np.unique(local[1:][local[1:] == local[:-1]])
+            local = np.sort(np.concatenate([w[keep] ^ mix(v[keep]) for *_, v, w in parts for keep in [isin_sorted(v, twice)[0]]]))
+            local = np.unique(local[1:][local[1:] == local[:-1]])
         rows = []
-        for first, group, h in chunks(texts, known):
-            starts, at, runs = windows(group, h, size, gram)
-            v = runs[at]
-            w = rolling(h, size, True)[starts] if len(starts) else v
+        for first, group, n_words, starts, _, v, w in parts:
             hit, where = isin_sorted(w, w2)
             if len(v2):
                 hit &= v2[where] == v
-            hit |= isin_sorted(w ^ mix(v), local)[0]
-            edge = np.zeros(len(h) + size + 1, np.int32)
+            if len(local):
+                hit |= isin_sorted(w ^ mix(v), local)[0]
+            edge = np.zeros(n_words + size + 1, np.int32)
             np.add.at(edge, starts[hit], 1)
             np.add.at(edge, starts[hit] + size, -1)
-            gone = np.cumsum(edge)[: len(h)] > 0
+            gone = np.cumsum(edge)[:n_words] > 0
             lo = 0
             for i, words in enumerate(group):
                 n = len(words)
