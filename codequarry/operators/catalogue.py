@@ -141,3 +141,107 @@ def combine_taint(judgements: DataFrame, by: tuple) -> DataFrame:
     worst = F.coalesce(F.max(rank), F.lit(1))
     names = F.when(worst == 3, "tainted").when(worst == 2, "tainted_path").when(worst == 1, "unknown").otherwise("trusted")
     return judgements.groupBy(*by).agg(names.alias("judgement"))
+
+
+# --- names, policies, kinds -----------------------------------------------------
+
+
+def resolve_location(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """findings (id, location) with the file they mean: the path itself, else the one path that ends with it, else the one file of that name or stem.
+
+    Each step is an equi join on path, file name or stem; a step counts only
+    where it finds exactly one file.
+    """
+    name = lambda c: F.substring_index(c, "/", -1)
+    stem = lambda c: F.regexp_replace(name(c), r"\.[^.]*$", "")
+    c = files.select("path").distinct()
+    loc = F.col("location")
+    exact = findings.join(c, loc == F.col("path")).select("id", F.lit(1).alias("step"), "path")
+    named = findings.join(c, name(loc) == name(F.col("path")))
+    suffix = named.where(F.col("path").endswith(F.concat(F.lit("/"), loc)) | loc.endswith(F.concat(F.lit("/"), F.col("path")))).select("id", F.lit(2).alias("step"), "path")
+    base = findings.join(c, stem(loc) == stem(F.col("path"))).select("id", F.lit(3).alias("step"), "path")
+    only = exact.union(suffix).union(base).groupBy("id", "step").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1")
+    best = only.groupBy("id").agg(F.min_by("path", "step").alias("path"))
+    return findings.join(best, "id", "left")
+
+
+def policy_models(policies: DataFrame, explicit: DataFrame, models: DataFrame, imports: DataFrame) -> DataFrame:
+    """(policy, model): the explicit map, else the model named like the policy, else the one model it imports."""
+    named = F.regexp_replace(F.substring_index("policy", "\\", -1), "Policy$", "")
+    m = models.select("model", F.substring_index("model", "\\", -1).alias("_short")).groupBy("_short").agg(F.min("model").alias("_named"))
+    i = imports.join(models, "model").groupBy("policy").agg(F.count_distinct("model").alias("_n"), F.min("model").alias("_imported")).where("_n = 1")
+    e = explicit.groupBy("policy").agg(F.min("model").alias("_explicit"))
+    out = policies.join(e, "policy", "left").withColumn("_short", named).join(m, "_short", "left").join(i, "policy", "left")
+    return out.select("policy", F.coalesce("_explicit", "_named", "_imported").alias("model"))
+
+
+#: Public methods of policies that are no abilities.
+HELPERS = ["__construct", "before", "after", "allow", "deny", "denywithstatus", "denyasnotfound"]
+
+
+def abilities(methods: DataFrame) -> DataFrame:
+    """(class, abilities) of policy classes: their public methods less the helpers, sorted."""
+    ok = methods.where((F.col("visibility") == "public") & ~F.lower("method").isin(HELPERS))
+    return ok.groupBy("class").agg(F.array_sort(F.collect_set("method")).alias("abilities"))
+
+
+def has_ability(asked: DataFrame, declared: DataFrame) -> DataFrame:
+    """asked (model, ability) with declared true or false; names meet by short name and without case."""
+    d = declared.select(F.lower(F.substring_index("model", "\\", -1)).alias("_m"), F.explode("abilities").alias("_a")).select("_m", F.lower("_a").alias("_a")).distinct().withColumn("_yes", F.lit(True))
+    a = asked.withColumn("_m", F.lower(F.substring_index("model", "\\", -1))).withColumn("_a", F.lower("ability"))
+    return a.join(d, ["_m", "_a"], "left").select("model", "ability", F.coalesce("_yes", F.lit(False)).alias("declared"))
+
+
+def descends(closure: DataFrame, bases) -> DataFrame:
+    """Children with one of the bases, or its short name, above them."""
+    return closure.where(F.col("ancestor").isin(list(bases)) | F.substring_index("ancestor", "\\", -1).isin(list(bases))).select("child").distinct()
+
+
+def authorize_available(classes: DataFrame, closure: DataFrame, having: DataFrame) -> DataFrame:
+    """(class, availability): callable when it or something above has authorize(), absent when all above is known, else unknown.
+
+    classes (class); having (class) that declare it or use the trait that does.
+    """
+    family = classes.select(F.col("class").alias("child"), F.col("class").alias("ancestor")).union(closure.select("child", "ancestor"))
+    known = classes.select(F.col("class").alias("ancestor"), F.lit(True).alias("_known"))
+    has = having.select(F.col("class").alias("ancestor"), F.lit(True).alias("_has")).distinct()
+    seen = family.join(known, "ancestor", "left").join(has, "ancestor", "left").groupBy(F.col("child").alias("class")).agg(F.bool_or(F.coalesce("_has", F.lit(False))).alias("has"), F.bool_and(F.coalesce("_known", F.lit(False))).alias("readable"))
+    return seen.select("class", F.when(F.col("has"), "callable").when(F.col("readable"), "absent").otherwise("unknown").alias("availability"))
+
+
+#: Classes and methods that tell what a receiver is, in order.
+RECEIVERS = [
+    ("http_client", ["Http", "Client", "PendingRequest"], ["withtoken", "withheaders", "timeout", "baseurl"]),
+    ("storage", ["Storage", "File", "Filesystem"], ["disk"]),
+    ("request", ["Request", "FormRequest"], ["input", "validated"]),
+    ("eloquent", ["Model", "Builder", "DB"], ["where", "wherein", "orderby", "with", "find", "findorfail", "query", "newquery"]),
+    ("collection", ["Collection", "LazyCollection"], ["map", "pluck", "filter", "collect"]),
+]
+
+
+def receiver_kind(class_, method):
+    """Kind of a call's receiver by its class, else by a method only that kind has."""
+    short, m = F.substring_index(class_, "\\", -1), F.lower(method)
+    out = None
+    for kind, names, _ in RECEIVERS:
+        out = F.when(short.isin(names), kind) if out is None else out.when(short.isin(names), kind)
+    out = out.when(short.endswith("Service"), "local_service")
+    for kind, _, methods in RECEIVERS:
+        out = out.when(class_.isNull() & m.isin(methods), kind)
+    return out.otherwise("unknown")
+
+
+def preferred_model(prices: DataFrame, tier: str) -> DataFrame:
+    """(provider, model): each provider's first model of a tier that is no alias, else its first."""
+    rank = F.when((F.col("tier") == tier) & F.col("alias_of").isNull(), 0).when(F.col("alias_of").isNull(), 1).otherwise(2)
+    return prices.withColumn("_n", F.row_number().over(Window.partitionBy("provider").orderBy(rank, "ordinal"))).where("_n = 1").select("provider", "model")
+
+
+def sections(parts: DataFrame, budget: int, by=("scan",)) -> DataFrame:
+    """Context sections (name, priority, tokens, text) joined in order of priority while they fit the budget; one that does not is skipped."""
+    from codequarry.operators.scans import admit
+
+    took = admit(parts.select(*by, "priority", "tokens"), by, "priority", budget, 0)
+    kept = parts.join(took.where("admitted").select(*by, "priority"), [*by, "priority"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("priority", "name", "text"))), lambda x: F.concat(F.lit("## "), x["name"], F.lit("\n"), x["text"]))
+    return kept.groupBy(*by).agg(F.array_join(ordered, "\n\n").alias("context"), F.sum("tokens").alias("tokens"))

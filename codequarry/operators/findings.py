@@ -193,3 +193,29 @@ def fails_gate(findings: DataFrame, threshold: str, by=("scan_id",)) -> DataFram
     least = {s: w for s, w, *_ in SEVERITIES}.get(threshold)
     fails = F.lit(False) if least is None else F.coalesce(F.bool_or(confirmed() & (T.weight_of(F.col("severity")) >= least)), F.lit(False))
     return findings.groupBy(*by).agg(fails.alias("fails"))
+
+
+def verifiable(findings: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Confirmed critical and high findings, in files that this scan has read."""
+    out = findings.where(confirmed() & F.col("severity").isin("critical", "high"))
+    return out if files is None else out.join(files.select(T.normal_path(F.col("path")).alias("_p")).distinct(), T.normal_path(F.col("location")) == F.col("_p"), "left_semi")
+
+
+def reclassify(findings: DataFrame, class_, confidence) -> DataFrame:
+    """Another class and confidence, with the invariants applied again."""
+    return normalise(findings.withColumn("class", class_).withColumn("confidence", confidence))
+
+
+def may_fix():
+    """Only a proven vulnerability may carry a fix, and not a blank one."""
+    return confirmed() & (F.col("confidence") == "proven") & (F.trim("fix") != "")
+
+
+def at_least(confidence, least: str):
+    return T.confidence_rank(confidence) >= {c: r for c, r, _ in CONFIDENCES}[least]
+
+
+def question(findings: DataFrame) -> DataFrame:
+    """Review items phrased as a question, others as they are; 140 characters at most."""
+    text = F.when(confirmed(), F.col("description")).otherwise(F.concat(F.lit("Is this intended: "), F.regexp_replace("description", r"\.+\s*$", ""), F.lit("?")))
+    return findings.withColumn("phrase", T.shorten(text, 140))
