@@ -168,7 +168,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = by.applyInArrow(_anchors(min_words, gram), "v long, b long")
     shared = anchors.withColumn("n", F.count("*").over(Window.partitionBy("v"))).where("n > 1").select("v", "b")
     index = by.cogroup(shared.groupBy("b")).applyInArrow(_indexed(min_words, gram), "v long, w long, b long")
-    found = index.repartition("v").withColumn("n", F.count("*").over(Window.partitionBy("v", "w"))).where("n > 1").select("v", "w", "b")
+    found = index.withColumn("n", F.count("*").over(Window.partitionBy("v", "w"))).where("n > 1").select("v", "w", "b")
     return by.cogroup(found.groupBy("b")).applyInArrow(_cut(min_words, gram), "doc_id long, n_words long, n_removed long, kept_text string, spans array<array<long>>")
 
 
