@@ -27,8 +27,8 @@ class Catalogue:
 
     def __init__(self, facts: Facts, routes: DataFrame | None = None):
         self.facts = facts
-        self.classes = facts.classes.dropDuplicates(["fqcn"])
-        self.methods, self.uses = facts.methods, facts.uses
+        self.classes = facts.classes.dropDuplicates(["fqcn"]).persist()
+        self.methods, self.uses = facts.methods.persist(), facts.uses.persist()
         self.routes = routes if routes is not None else facts.routes.select("verb", "uri", "class", "method", "middleware")
         links = self.classes.select(F.col("fqcn").alias("child"), F.explode(F.array_compact(F.concat(F.array("parent"), "traits"))).alias("parent"))
         self.up = catalogue.ancestors(links).select("child", "ancestor").persist()
@@ -37,7 +37,7 @@ class Catalogue:
         short = F.substring_index("ancestor", "\\", -1)
         kinds = self.up.groupBy(F.col("child").alias("fqcn")).agg(F.bool_or(short.isin(*MODEL_BASES)).alias("_m"), F.bool_or(short.endswith("Controller")).alias("_c"), F.bool_or(short.endswith("JsonResource") | short.endswith("ResourceCollection")).alias("_r"))
         yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-        self.kinds = self.classes.join(kinds, "fqcn", "left").select("*", yes("_m").alias("is_model"), (yes("_c") | F.col("short").endswith("Controller")).alias("is_controller"), yes("_r").alias("is_resource")).drop("_m", "_c", "_r")
+        self.kinds = self.classes.join(kinds, "fqcn", "left").select("*", yes("_m").alias("is_model"), (yes("_c") | F.col("short").endswith("Controller")).alias("is_controller"), yes("_r").alias("is_resource")).drop("_m", "_c", "_r").persist()
 
     def inherited(self, flag: str) -> DataFrame:
         """(class, flag) true where the class or one above it has the flag."""
@@ -46,18 +46,24 @@ class Catalogue:
     def class_guards(self) -> DataFrame:
         """Classes that a constructor, here or above, or a class-wide rule guards."""
         built = self.methods.where("method = '__construct' and guarded").select(F.col("class").alias("ancestor")).union(self.classes.where("authorizes").select(F.col("fqcn").alias("ancestor")))
-        return self.family.join(built.distinct(), "ancestor", "left_semi").select(F.col("child").alias("class")).distinct()
+        return self._once("guards", lambda: self.family.join(built.distinct(), "ancestor", "left_semi").select(F.col("child").alias("class")).distinct())
+
+    def _once(self, name: str, make) -> DataFrame:
+        """A table that several detectors read, kept after the first."""
+        if name not in self.__dict__:
+            self.__dict__[name] = make().persist()
+        return self.__dict__[name]
 
     def guarded_requests(self) -> DataFrame:
         """Methods with a form request whose authorize() decides something."""
         requests = self.methods.where("method = 'authorize' and not always_true").select(F.col("class").alias("type")).distinct()
         typed = self.methods.select("class", "method", F.explode("params.type").alias("type"))
-        return typed.join(requests, "type", "left_semi").select("class", "method").distinct()
+        return self._once("requests", lambda: typed.join(requests, "type", "left_semi").select("class", "method").distinct())
 
     def entries(self) -> DataFrame:
         """(class, method, entry) of routed actions: routed when nothing on any of its routes may authorize."""
         inert = F.coalesce(rules.inert(F.col("middleware")), F.lit(True))
-        return self.routes.where("verb <> 'HEAD'").groupBy("class", "method").agg(F.bool_and(inert).alias("open"), F.max(F.size("middleware")).alias("n_middleware"))
+        return self._once("entry_rows", lambda: self.routes.where("verb <> 'HEAD'").groupBy("class", "method").agg(F.bool_and(inert).alias("open"), F.max(F.size("middleware")).alias("n_middleware")))
 
     def with_entry(self, rows: DataFrame) -> DataFrame:
         """Rows with entry: routed, unreachable, or unrouted when there is no route table at all."""

@@ -37,9 +37,9 @@ def policy_vote(spark, sf):
     return C.vote(table(spark, sf, "part").select(F.col("p_brand").alias("policy"), F.col("p_type").alias("model"), F.col("p_partkey").alias("o")), "policy", "model", "o")
 
 
-@query("SELECT short, fqcn FROM (SELECT p_name AS short, min('App\\' || p_brand || '\\' || p_name) AS fqcn, count(DISTINCT p_brand) AS n FROM part WHERE p_partkey % 37 = 0 GROUP BY p_name) WHERE n = 1")
+@query("SELECT short, fqcn FROM (SELECT p_name || p_size AS short, min('App\\' || p_brand || '\\' || p_name || p_size) AS fqcn, count(DISTINCT p_brand) AS n FROM part GROUP BY p_name || p_size) WHERE n = 1")
 def unique_short_names(spark, sf):
-    c = table(spark, sf, "part").where("p_partkey % 37 = 0").select(F.concat_ws("\\", F.lit("App"), "p_brand", "p_name").alias("fqcn"))
+    c = table(spark, sf, "part").select(F.concat_ws("\\", F.lit("App"), "p_brand", F.concat("p_name", F.col("p_size").cast("string"))).alias("fqcn"))
     return C.unique_names(c)
 
 
@@ -106,11 +106,11 @@ def suffix_longest(spark, sf):
     return C.locate(f, c)
 
 
-@query("SELECT doc_id FROM documents a WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id = a.doc_id AND md5(b.text) = md5(CASE WHEN a.doc_id % 6 = 0 THEN a.text || 'x' ELSE a.text END) AND b.doc_id % 10 <> 4)")
+@query("SELECT doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id = a.doc_id AND md5(b.text) = md5(CASE WHEN a.n_chars % 6 = 0 THEN a.text || 'x' ELSE a.text END) AND b.lang <> 'fr')")
 def changed_files(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    head = d.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"))
-    base = d.where("doc_id % 10 <> 4").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    head = d.select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("n_chars") % 6 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"))
+    base = d.where("lang <> 'fr'").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return C.changed(head, base).select(F.col("path").cast("long").alias("doc_id"))
 
 

@@ -66,13 +66,13 @@ def fingerprint(spark, sf):
     return printed(spark, sf).select("scan_id", "part", "supp", "line", "occurrence", "fingerprint")
 
 
-@query(W + ", " + PRINTS + """ SELECT type, count(*) AS n FROM p WHERE status = 'O' AND fingerprint NOT IN (SELECT fingerprint FROM p WHERE status = 'F' AND part % 3 = 0)
-  AND (location, type, md5(description)) NOT IN (SELECT (location, type, md5(description)) FROM p WHERE status = 'F' AND part % 3 = 1 AND part % 7 = 0) GROUP BY type""")
+@query(W + ", " + PRINTS + """ SELECT type, count(*) AS n FROM p WHERE status = 'O' AND fingerprint NOT IN (SELECT fingerprint FROM p WHERE status = 'F' AND shipped < TIMESTAMP '1998-06-01')
+  AND (location, type, md5(description)) NOT IN (SELECT (location, type, md5(description)) FROM p WHERE status = 'F' AND shipped >= TIMESTAMP '2002-01-01') GROUP BY type""")
 def baseline_filter(spark, sf):
     p = printed(spark, sf)
     old = p.where("status = 'F'")
-    coded = old.where("part % 3 = 0").select("fingerprint", F.col("location").alias("file"), "type", F.lit(None).cast("string").alias("hash"))
-    legacy = old.where("part % 3 = 1 and part % 7 = 0").select(F.lit(None).cast("string").alias("fingerprint"), F.col("location").alias("file"), "type", F.md5(F.col("description").cast("binary")).alias("hash"))
+    coded = old.where("shipped < timestamp_ntz'1998-06-01 00:00:00'").select("fingerprint", F.col("location").alias("file"), "type", F.lit(None).cast("string").alias("hash"))
+    legacy = old.where("shipped >= timestamp_ntz'2002-01-01 00:00:00'").select(F.lit(None).cast("string").alias("fingerprint"), F.col("location").alias("file"), "type", F.md5(F.col("description").cast("binary")).alias("hash"))
     return O.without_baseline(p.where("status = 'O'"), coded.unionByName(legacy)).groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -145,12 +145,11 @@ def worst_first(spark, sf):
 
 
 @query(W + """SELECT type, CASE WHEN class = 'vulnerability' AND severity IN ('critical', 'high') AND part % 4 = 0 THEN CASE severity WHEN 'critical' THEN 'high' ELSE 'medium' END ELSE severity END AS severity,
-  CASE WHEN class = 'vulnerability' AND severity IN ('critical', 'high') AND part % 4 = 0 THEN severity END AS original_severity, count(*) AS n FROM f WHERE part % 2 = 0 GROUP BY ALL""")
+  CASE WHEN class = 'vulnerability' AND severity IN ('critical', 'high') AND part % 4 = 0 THEN severity END AS original_severity, count(*) AS n FROM f GROUP BY ALL""")
 def verify_downgrade(spark, sf):
-    f = findings(spark, sf).where("part % 2 = 0").withColumn("ordinal", F.monotonically_increasing_id())
-    f = f.withColumns({"original_severity": F.lit(None).cast("string"), "exploit_verified": F.lit(None).cast("boolean"), "exploit_proof": F.lit(None).cast("string")})
-    verified = F.when(F.col("part") % 4 == 0, False).otherwise(True)
-    out = O.verify(f.withColumn("ordinal", F.col("part")), f.select(F.col("part").alias("ordinal"), verified.alias("verified"), F.lit("x").alias("exploit")).distinct())
+    f = findings(spark, sf).withColumns({"ordinal": F.col("part"), "original_severity": F.lit(None).cast("string"), "exploit_verified": F.lit(None).cast("boolean"), "exploit_proof": F.lit(None).cast("string")})
+    verified = F.when(F.col("part") % 4 == 0, False).when(F.col("part") % 4 == 2, True)
+    out = O.verify(f, f.select(F.col("part").alias("ordinal"), verified.alias("verified"), F.lit("x").alias("exploit")).distinct())
     return out.groupBy("type", "severity", "original_severity").agg(F.count("*").alias("n"))
 
 

@@ -37,26 +37,26 @@ def location_priority(spark, sf):
     return C.resolve_location(p.select(F.col("p_partkey").alias("id"), loc.alias("location")), files)
 
 
-@query("""WITH p AS (SELECT DISTINCT 'App\\' || p_type || 'Policy' AS policy FROM part UNION SELECT DISTINCT 'App\\' || replace(p_brand, '#', '') || 'Policy' FROM part), e AS (SELECT 'App\\SMALLPolicy' AS policy, 'App\\Models\\Explicit' AS model),
-m AS (SELECT DISTINCT 'App\\Models\\' || p_type AS model FROM part WHERE p_type <> 'LARGE'), i AS (SELECT DISTINCT 'App\\' || replace(p_brand, '#', '') || 'Policy' AS policy, 'App\\Models\\' || p_type AS model FROM part WHERE p_partkey % 97 = 0),
+@query("""WITH p AS (SELECT DISTINCT 'App\\' || p_type || 'Policy' AS policy FROM part UNION SELECT DISTINCT 'App\\' || replace(p_name, ' ', '') || p_size || 'Policy' FROM part), e AS (SELECT 'App\\SMALLPolicy' AS policy, 'App\\Models\\Explicit' AS model),
+m AS (SELECT DISTINCT 'App\\Models\\' || p_type AS model FROM part WHERE p_type <> 'LARGE'), i AS (SELECT DISTINCT 'App\\' || replace(p_name, ' ', '') || p_size || 'Policy' AS policy, 'App\\Models\\' || p_type AS model FROM part),
 u AS (SELECT policy, min(i.model) AS model FROM i JOIN m ON i.model = m.model GROUP BY policy HAVING count(DISTINCT i.model) = 1)
 SELECT p.policy, coalesce(e.model, m.model, u.model) AS model FROM p LEFT JOIN e ON p.policy = e.policy LEFT JOIN m ON m.model = 'App\\Models\\' || regexp_replace(regexp_replace(p.policy, '^.*\\\\', ''), 'Policy$', '') LEFT JOIN u ON u.policy = p.policy""")
 def policy_chain(spark, sf):
     p = table(spark, sf, "part")
-    by_brand = F.concat(F.lit("App\\"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("Policy"))
+    by_brand = F.concat(F.lit("App\\"), F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_size").cast("string"), F.lit("Policy"))
     policies = p.select(F.concat(F.lit("App\\"), "p_type", F.lit("Policy")).alias("policy")).union(p.select(by_brand)).distinct()
     model = F.concat(F.lit("App\\Models\\"), "p_type").alias("model")
     explicit = spark.createDataFrame([("App\\SMALLPolicy", "App\\Models\\Explicit")], "policy string, model string")
-    return C.policy_models(policies, explicit, p.where("p_type <> 'LARGE'").select(model).distinct(), p.where("p_partkey % 97 = 0").select(by_brand.alias("policy"), model).distinct())
+    return C.policy_models(policies, explicit, p.where("p_type <> 'LARGE'").select(model).distinct(), p.select(by_brand.alias("policy"), model).distinct())
 
 
 METHODS = ["view", "Update", "before", "__construct", "delete", "helper", "deny"]
-MT = f"m AS (SELECT p_brand AS class, {sql_pick(METHODS, 'p_partkey % 7')} AS method, CASE WHEN p_size % 5 = 0 THEN 'protected' ELSE 'public' END AS visibility FROM part WHERE p_partkey % 11 = 0)"
+MT = f"m AS (SELECT p_brand || (p_size % 9) AS class, {sql_pick(METHODS, 'p_partkey % 7')} AS method, CASE WHEN p_size % 5 = 0 THEN 'protected' ELSE 'public' END AS visibility FROM part)"
 
 
 def methods(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 11 = 0")
-    return p.select(F.col("p_brand").alias("class"), pick(METHODS, F.col("p_partkey") % 7).alias("method"), F.when(F.col("p_size") % 5 == 0, "protected").otherwise("public").alias("visibility"))
+    p = table(spark, sf, "part")
+    return p.select(F.concat("p_brand", (F.col("p_size") % 9).cast("string")).alias("class"), pick(METHODS, F.col("p_partkey") % 7).alias("method"), F.when(F.col("p_size") % 5 == 0, "protected").otherwise("public").alias("visibility"))
 
 
 @query(f"WITH {MT} SELECT class, string_agg(DISTINCT method, ',' ORDER BY method) AS abilities FROM m WHERE visibility = 'public' AND lower(method) NOT IN ('__construct', 'before', 'after', 'allow', 'deny', 'denywithstatus', 'denyasnotfound') GROUP BY class")
@@ -64,9 +64,9 @@ def policy_abilities(spark, sf):
     return C.abilities(methods(spark, sf)).withColumn("abilities", F.array_join("abilities", ","))
 
 
-@query(f"WITH {MT}, d AS (SELECT DISTINCT lower(class) AS c, lower(method) AS a FROM m WHERE visibility = 'public' AND lower(method) NOT IN ('__construct', 'before', 'after', 'allow', 'deny', 'denywithstatus', 'denyasnotfound')), q AS (SELECT DISTINCT 'App\\' || upper(p_brand) AS model, CASE WHEN p_size % 2 = 0 THEN 'UPDATE' ELSE 'view' END AS ability FROM part) SELECT model, ability, EXISTS (SELECT 1 FROM d WHERE d.c = lower(regexp_replace(model, '^.*\\\\', '')) AND d.a = lower(ability)) AS declared FROM q")
+@query(f"WITH {MT}, d AS (SELECT DISTINCT lower(class) AS c, lower(method) AS a FROM m WHERE visibility = 'public' AND lower(method) NOT IN ('__construct', 'before', 'after', 'allow', 'deny', 'denywithstatus', 'denyasnotfound')), q AS (SELECT DISTINCT 'App\\' || upper(p_brand) || (p_size % 9) AS model, CASE WHEN p_size % 2 = 0 THEN 'UPDATE' ELSE 'view' END AS ability FROM part) SELECT model, ability, EXISTS (SELECT 1 FROM d WHERE d.c = lower(regexp_replace(model, '^.*\\\\', '')) AND d.a = lower(ability)) AS declared FROM q")
 def ability_lookup(spark, sf):
-    asked = table(spark, sf, "part").select(F.concat(F.lit("App\\"), F.upper("p_brand")).alias("model"), F.when(F.col("p_size") % 2 == 0, "UPDATE").otherwise("view").alias("ability")).distinct()
+    asked = table(spark, sf, "part").select(F.concat(F.lit("App\\"), F.upper("p_brand"), (F.col("p_size") % 9).cast("string")).alias("model"), F.when(F.col("p_size") % 2 == 0, "UPDATE").otherwise("view").alias("ability")).distinct()
     return C.has_ability(asked, C.abilities(methods(spark, sf)).withColumnRenamed("class", "model"))
 
 

@@ -180,9 +180,9 @@ def truth_counts(spark, sf):
     return benchmark.truth_counts(table(spark, sf, "labels").select(F.col("doc_id").alias("file"), F.when(F.col("toxic") == 1, "toxic").alias("type")))
 
 
-@query("SELECT a.l_orderkey % 500 AS file, a.l_linenumber AS line, count(*) AS candidates FROM lineitem a JOIN (SELECT DISTINCT l_orderkey % 500 AS f, l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 25 = 3) b ON a.l_orderkey % 500 = b.f AND abs(a.l_linenumber - b.n) <= 3 WHERE a.l_suppkey % 25 = 3 AND a.l_returnflag = 'A' GROUP BY ALL")
+@query("SELECT a.l_orderkey % 500 AS file, a.l_suppkey % 25 AS type, a.l_linenumber AS line, count(*) AS candidates FROM lineitem a JOIN (SELECT DISTINCT l_orderkey % 500 AS f, l_suppkey % 25 AS t, l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R') b ON a.l_orderkey % 500 = b.f AND a.l_suppkey % 25 = b.t AND abs(a.l_linenumber - b.n) <= 3 WHERE a.l_returnflag = 'A' GROUP BY ALL")
 def label_candidates(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_suppkey % 25 = 3").select((F.col("l_orderkey") % 500).alias("file"), F.col("l_linenumber").alias("line"), "l_returnflag")
-    labels = li.where("l_returnflag = 'R'").select("file", F.col("line").alias("n")).distinct()
-    f = li.where("l_returnflag = 'A'")
-    return f.join(labels, (f.file == labels.file) & (F.abs(f.line - labels.n) <= 3)).groupBy(f.file, "line").agg(F.count("*").alias("candidates"))
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("file"), (F.col("l_suppkey") % 25).alias("type"), F.col("l_linenumber").alias("line"), "l_returnflag")
+    labels = li.where("l_returnflag = 'R'").select(F.col("file").alias("f"), F.col("type").alias("t"), F.col("line").alias("n")).distinct()
+    found = li.where("l_returnflag = 'A'")
+    return found.join(labels, (F.col("file") == F.col("f")) & (F.col("type") == F.col("t")) & (F.abs(F.col("line") - F.col("n")) <= 3)).groupBy("file", "type", "line").agg(F.count("*").alias("candidates"))
