@@ -171,6 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op7_decontaminate(spark, sf_dir):
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The documents that give items away, with the items."""
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")
     leaked = F.transform(F.filter("hits", lambda x: x["coverage"] >= COVERAGE), lambda x: x["item_id"])
     return found.select("doc_id", "contaminated", F.round("best_coverage", 6).alias("best_coverage"), F.array_sort(F.array_distinct(leaked)).alias("items"))
