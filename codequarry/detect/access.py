@@ -60,6 +60,12 @@ class Catalogue:
         typed = self.methods.select("class", "method", F.explode("params.type").alias("type"))
         return self._once("requests", lambda: typed.join(requests, "type", "left_semi").select("class", "method").distinct())
 
+    def of_models(self, rows: DataFrame) -> DataFrame:
+        """Rows whose model is a model: a class that descends from one, or one not among the files that lies in a Models namespace (read is false then)."""
+        known = self.kinds.select(F.col("fqcn").alias("model"), "is_model", "owner", "scoped", "bound", "hidden")
+        out = rows.join(known, "model", "left").withColumn("read", F.col("is_model").isNotNull())
+        return out.where(F.coalesce("is_model", F.col("model").contains("\\Models\\")))
+
     def entries(self) -> DataFrame:
         """(class, method, entry) of routed actions: routed when nothing on any of its routes may authorize."""
         inert = F.coalesce(rules.inert(F.col("middleware")), F.lit(True))
@@ -87,15 +93,15 @@ def model_fetch(c: Catalogue) -> DataFrame:
     controllers = c.kinds.where("is_controller and not abstract").select(F.col("fqcn").alias("class"))
     methods = c.methods.where("visibility = 'public' and not static and method <> '__construct' and not guarded").select("class", "method", "params")
     rows = rows.join(controllers, "class", "left_semi").join(methods, ["class", "method"]).join(c.class_guards(), "class", "left_anti").join(c.guarded_requests(), ["class", "method"], "left_anti")
-    rows = rows.where(~F.exists("columns", lambda x: F.substring_index(x, ".", -1).isin(R.OWNERSHIP_FIELDS)))
+    rows = rows.where(~F.exists("columns", lambda x: F.substring_index(x, ".", -1).isin(R.OWNERSHIP_COLUMNS)))
     rows = rows.where((F.col("kind") == "binding") | rules.identifier_like(F.col("label")))
     rows = rows.where((F.col("kind") != "fetch") | F.col("responds"))
-    models = c.kinds.where("is_model").select(F.col("fqcn").alias("model"), "owner", "scoped", "bound")
-    rows = c.with_entry(rows.join(models, "model").where("owner and not scoped and not (kind = 'binding' and bound)"))
+    # A model that is not among the files may be scoped or owned in ways nobody has read.
+    rows = c.with_entry(c.of_models(rows).where("(not read and kind <> 'binding') or (owner and not scoped and not (kind = 'binding' and bound))"))
     middle = c.inherited("has_middleware")
     rows = rows.join(middle, "class", "left").where("entry <> 'unreachable' and not (kind = 'binding' and (entry <> 'routed' or coalesce(has_middleware, false)))")
     rows = rows.where((F.col("entry") == "routed") | F.col("source").startswith("request"))
-    sure = (F.col("entry") == "routed") & ~((F.col("kind") == "binding") & (F.col("detail") == "returned"))
+    sure = (F.col("entry") == "routed") & (F.col("kind") != "binding") & F.col("read")
     what = F.concat(F.lit("A record of "), F.substring_index("model", "\\", -1), F.when(F.col("kind") == "mutation", " is changed").when(F.col("kind") == "binding", " is bound").otherwise(" is read"), F.lit(" by the client's "), F.col("label"), F.lit(" without an ownership check."))
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("path", "class", "method", "line").orderBy("kind", "label"))).where("_n = 1")
     return _finding(first, "idor", "high", F.when(sure, "vulnerability").otherwise("review"), F.when(sure, "proven").otherwise("possible"), what, F.concat(F.col("source"), F.lit(" -> "), F.col("detail")))
@@ -162,8 +168,10 @@ def data_exposure(c: Catalogue) -> DataFrame:
     rows = c.uses.where("kind = 'expose'").where(rules.secret_name(F.col("label"))).join(holders, "class", "left_semi")
     public = c.methods.where("visibility = 'public' and not static and not abstract").select("class", "method", "guarded")
     rows = rows.join(public, ["class", "method"])
-    models = c.kinds.where("is_model").select(F.col("fqcn").alias("model"), F.coalesce("hidden", F.array().cast("array<string>")).alias("hidden"), F.lit(True).alias("known"))
-    rows = rows.join(models, "model", "left").join(c.kinds.select(F.col("fqcn").alias("class"), "is_resource"), "class").where("known or is_resource")
+    kinds = c.kinds.select(F.col("fqcn").alias("class"), "is_resource")
+    rows = rows.join(kinds, "class")
+    own = rows.where("is_resource and model = ''").withColumn("read", F.lit(True))
+    rows = c.of_models(rows.where("model <> ''")).select(*own.columns).unionByName(own)
     sure = (F.size("columns") == 0) & ~F.col("guarded") | (F.col("is_resource") & ~F.array_contains("columns", "when") & ~F.col("guarded"))
     rows = rows.withColumn("sure", sure).withColumn("_n", F.row_number().over(Window.partitionBy("path", "class", "method").orderBy(F.desc("sure"), "line", "label"))).where("_n = 1")
     return _finding(rows, "sensitive_data_exposure", "high", F.when(F.col("sure"), "vulnerability").otherwise("review"), F.when(F.col("sure"), "proven").otherwise("possible"), F.concat(F.lit("The response carries "), F.col("label"), F.lit(".")))

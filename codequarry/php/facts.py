@@ -346,7 +346,7 @@ class Method:
                 r["responds"] = id(r["expr"]) in inside or bool(names & shown)
                 written = [x for s in self.m.body or [] for x in s.walk() if x.kind == "method_call" and (x.name or "").lower() in WRITES and (root := chain(x)[0]).kind == "var" and root.name in names]
                 if written:
-                    r["kind"], r["detail"] = "mutation", written[0].name
+                    r["kind"], r["detail"], r["line"] = "mutation", written[0].name, written[0].line
         for p in self.m.params:
             if p.name in self.models and p.name not in self.reassigned and p.default is None:
                 written = [x for s in self.m.body or [] for x in s.walk() if x.kind == "method_call" and (x.name or "").lower() in WRITES and chain(x)[0].kind == "var" and chain(x)[0].name == p.name]

@@ -136,6 +136,12 @@ def test_routes(found):
     assert {k for k in rows if "photos" in k[1]} == {("GET", "/photos", "index"), ("GET", "/photos/{photo}", "show")}
 
 
+def test_a_model_nobody_has_read_raises_a_question(spark):
+    facts = Facts(spark.createDataFrame([f for f in FILES if "Models" not in f[0]], "path string, content string"))
+    rows = {(r.method, r.type, r["class"]) for r in analyse(facts).collect()}
+    assert ("show", "idor", "review") in rows and ("profile", "sensitive_data_exposure", "vulnerability") in rows and ("preview", "ssrf", "vulnerability") in rows
+
+
 def test_without_routes_a_route_parameter_says_nothing(spark):
     facts = Facts(spark.createDataFrame(FILES[:3], "path string, content string"))
     assert not [r for r in analyse(facts).collect() if r.type == "idor" and r["class"] == "vulnerability"]
