@@ -73,3 +73,20 @@ def test_sliding_argmin():
     g = np.random.default_rng(1).integers(0, 9, 200).astype(np.uint64)
     for w in (1, 2, 3, 7, 24):
         assert sliding_argmin(g, w).tolist() == [i + int(np.argmin(g[i : i + w])) for i in range(len(g) - w + 1)]
+
+
+def test_written_tables_can_be_dropped(spark, docs):
+    from codequarry.llm import common
+
+    t = common.materialize(docs.select("doc_id"), "t")
+    assert t.count() == docs.count() and common.shared_dir(spark) in t.inputFiles()[0]
+    assert common.drop_tables(spark) >= 1 and common.drop_tables(spark) == 0
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    from codequarry.llm.common import components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(5, 5), (7, 6)]
+    got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
