@@ -28,7 +28,7 @@ class Catalogue:
     def __init__(self, facts: Facts, routes: DataFrame | None = None):
         self.facts = facts
         self.classes = facts.classes.dropDuplicates(["fqcn"]).persist()
-        self.methods, self.uses = facts.methods.persist(), facts.uses.persist()
+        self.methods, self.uses = self.with_helpers(facts.methods).persist(), facts.uses.persist()
         self.routes = routes if routes is not None else facts.routes.select("verb", "uri", "class", "method", "middleware")
         links = self.classes.select(F.col("fqcn").alias("child"), F.explode(F.array_compact(F.concat(F.array("parent"), "traits"))).alias("parent"))
         self.up = catalogue.ancestors(links).select("child", "ancestor").persist()
@@ -39,6 +39,13 @@ class Catalogue:
         yes = lambda c: F.coalesce(F.col(c), F.lit(False))
         self.kinds = self.classes.join(kinds, "fqcn", "left").select("*", yes("_m").alias("is_model"), (yes("_c") | F.col("short").endswith("Controller")).alias("is_controller"), yes("_r").alias("is_resource")).drop("_m", "_c", "_r").persist()
 
+    @staticmethod
+    def with_helpers(methods: DataFrame) -> DataFrame:
+        """Methods, guarded also when a helper of the same class that they call is; one level deep."""
+        guards = methods.where("guarded").select("class", F.lower("method").alias("helper"))
+        by = methods.select("class", "method", F.explode("helpers").alias("helper")).join(guards, ["class", "helper"], "left_semi").select("class", "method").distinct().withColumn("_by", F.lit(True))
+        return methods.join(by, ["class", "method"], "left").withColumn("guarded", F.col("guarded") | F.coalesce("_by", F.lit(False))).drop("_by")
+
     def inherited(self, flag: str) -> DataFrame:
         """(class, flag) true where the class or one above it has the flag."""
         return self.family.join(self.classes.select(F.col("fqcn").alias("ancestor"), flag), "ancestor").groupBy(F.col("child").alias("class")).agg(F.coalesce(F.bool_or(flag), F.lit(False)).alias(flag))

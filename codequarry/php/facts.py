@@ -462,7 +462,7 @@ def extract(path: str, code: str) -> list[tuple[str, dict]]:
             for m in c.methods:
                 seen = Method(c, m, controller and m.visibility == "public" and m.name != "__construct")
                 literal = len(m.body or []) == 1 and m.body[0].kind == "return" and m.body[0].e is not None and m.body[0].e.kind == "constant" and m.body[0].e.name.lower() == "true"
-                out.append(("methods", {"path": path, "class": c.fqcn, "method": m.name, "visibility": m.visibility, "static": m.static, "abstract": m.abstract, "line": m.line, "end_line": m.end, "guarded": seen.guarded, "always_true": literal, "params": [{"name": p.name, "type": p.type, "optional": p.default is not None} for p in m.params]}))
+                out.append(("methods", {"path": path, "class": c.fqcn, "method": m.name, "visibility": m.visibility, "static": m.static, "abstract": m.abstract, "line": m.line, "end_line": m.end, "guarded": seen.guarded, "helpers": sorted({x.name.lower() for x in m.walk() if x.kind == "method_call" and x.name and x.on.kind == "var" and x.on.name == "this"}), "always_true": literal, "params": [{"name": p.name, "type": p.type, "optional": p.default is not None} for p in m.params]}))
                 for r in seen.rows:
                     out.append(("uses", {"path": path, "class": c.fqcn, "method": m.name, **{k: v for k, v in r.items() if k != "expr"}}))
                 touched = [p.type for p in m.params if p.type] + [n.cls.name for n in m.walk() if n.kind in ("static_call", "new") and n.get("cls") is not None and n.cls.kind == "class_name"]
@@ -479,7 +479,7 @@ def extract(path: str, code: str) -> list[tuple[str, dict]]:
 TABLES = {
     "errors": "path string, reason string",
     "classes": "path string, fqcn string, short string, type string, parent string, interfaces array<string>, traits array<string>, abstract boolean, line int, end_line int, fillable array<string>, fillable_lines array<int>, guarded array<string>, hidden array<string>, casts map<string,string>, owner boolean, scoped boolean, authorizes boolean, bound boolean, has_middleware boolean",
-    "methods": "path string, class string, method string, visibility string, static boolean, abstract boolean, line int, end_line int, guarded boolean, always_true boolean, params array<struct<name:string,type:string,optional:boolean>>",
+    "methods": "path string, class string, method string, visibility string, static boolean, abstract boolean, line int, end_line int, guarded boolean, helpers array<string>, always_true boolean, params array<struct<name:string,type:string,optional:boolean>>",
     "uses": "path string, class string, method string, kind string, line int, model string, label string, trust string, reach string, source string, columns array<string>, responds boolean, detail string",
     "touches": "path string, class string, method string, model string",
     "routes": "path string, line int, verb string, uri string, class string, method string, middleware array<string>",
