@@ -97,17 +97,28 @@ def vote(votes: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return counts.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), "_first"))).where("_n = 1").select(key, value, "votes")
 
 
-def locate(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """findings (id, location) with the corpus path they mean: equal or a suffix of each other, longest first.
+def path_suffixes(col):
+    """The path and all that is left of it when leading segments go."""
+    parts = F.split(col, "/", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def same_file(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, path) of every file that is a finding's location, ends with it, or is its end.
 
-    The file name is the equi key, so no pair of unlike names is tried.
+    Two equi joins on exploded suffixes: a file name that thousands of folders
+    have makes no pairs but the right ones.
     """
-    name = lambda c: F.substring_index(c, "/", -1)
-    f = findings.select("id", "location", name(F.col("location")).alias("_b"))
-    c = files.select("path", name(F.col("path")).alias("_b")).distinct()
-    fits = (F.col("location") == F.col("path")) | F.col("location").endswith(F.concat(F.lit("/"), F.col("path"))) | F.col("path").endswith(F.concat(F.lit("/"), F.col("location")))
-    best = f.join(c, "_b").where(fits).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("path")), "path"))).where("_n = 1")
-    return findings.join(best.select("id", "path"), "id", "left")
+    c = files.select("path").distinct()
+    longer = findings.select("id", F.explode(path_suffixes(F.col("location"))).alias("path")).join(c, "path").select("id", "path")
+    shorter = findings.select("id", "location").join(c.select("path", F.explode(path_suffixes(F.col("path"))).alias("location")), "location").select("id", "path")
+    return longer.union(shorter).distinct()
+
+
+def locate(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """findings (id, location) with the corpus path they mean: equal or a suffix of each other, longest first."""
+    best = same_file(findings, files).groupBy("id").agg(F.min_by("path", F.struct(-F.length("path"), "path")).alias("path"))
+    return findings.join(best, "id", "left")
 
 
 def changed(head: DataFrame, base: DataFrame) -> DataFrame:
@@ -157,8 +168,8 @@ def resolve_location(findings: DataFrame, files: DataFrame) -> DataFrame:
     c = files.select("path").distinct()
     loc = F.col("location")
     exact = findings.join(c, loc == F.col("path")).select("id", F.lit(1).alias("step"), "path")
-    named = findings.join(c, name(loc) == name(F.col("path")))
-    suffix = named.where(F.col("path").endswith(F.concat(F.lit("/"), loc)) | loc.endswith(F.concat(F.lit("/"), F.col("path")))).select("id", F.lit(2).alias("step"), "path")
+    pairs = same_file(findings, files).join(findings.select("id", "location"), "id")
+    suffix = pairs.where("path <> location").select("id", F.lit(2).alias("step"), "path")
     base = findings.join(c, stem(loc) == stem(F.col("path"))).select("id", F.lit(3).alias("step"), "path")
     only = exact.union(suffix).union(base).groupBy("id", "step").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1")
     best = only.groupBy("id").agg(F.min_by("path", "step").alias("path"))
