@@ -34,6 +34,7 @@ def lines(spark, docs, sf_dir):
 def near_copies(spark, docs, sf_dir):
     """Of each class of near copies the document with the smallest id stays; of rows that repeat an id, one."""
     first = materialize(ngram_join(docs).where("class_id <=> doc_id").groupBy("doc_id").agg(F.count("*").alias("n")), "first")
+    docs = docs.select("doc_id", "text", *REST)
     kept = docs.join(first.select(F.col("doc_id").alias("first")), docs.doc_id.eqNullSafe(F.col("first")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if first.where("n > 1").limit(1).count() else kept
 

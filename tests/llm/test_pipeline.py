@@ -33,3 +33,12 @@ def test_run_is_the_chain(spark):
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r.doc_id) for r in P.near_copies(spark, docs, SF).collect()) == ["1", "None"]
+
+
+def test_stages_take_nulls_extra_columns_and_nothing(spark, docs, crowd):
+    odd = crowd(docs).withColumn("first", docs.text)
+    for name, stage in P.STAGES:
+        got = stage(spark, odd, SF)
+        assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(got.columns) and got.count() <= docs.count(), name
+        assert stage(spark, odd.where("false"), SF).count() == 0, name
+    assert P.lines(spark, odd, SF).where("doc_id = 7").count() == 1 and P.toxicity(spark, odd, SF).where("text is null").count() == 1
