@@ -4,9 +4,10 @@ A document is its sequence of lines that are not blank. Hashes of line pairs
 are winnowed: of each two neighbouring pairs the smaller is a fingerprint, so
 two equal runs of MIN_LINES lines share one wherever they stand. Fingerprints
 that stand at least twice are extended to both sides to the runs of MIN_LINES
-lines that chose them; of equal runs the first by (doc_id, text hash, position)
-stays, and the lines of later ones are deleted. Runs that overlap join, so any
-longer repeated run goes as a whole.
+lines that chose them. One or two lines are a run too when they hold MIN_WORDS
+words, and are their own fingerprint. Of equal runs the first by (doc_id, text
+hash, position) stays, and the lines of later ones are deleted. Runs that
+overlap join, so any longer repeated run goes as a whole.
 
 Exchanges carry hashes and positions, plus the texts once. A passage that
 stands everywhere is reduced by partial aggregation, and the joins back to its
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import kept, materialize, table
 
-MIN_LINES = 3
+MIN_LINES, MIN_WORDS = 3, 50
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """Delete every run of MIN_LINES or more lines that stands earlier in the table.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), min_words: int | None = MIN_WORDS) -> DataFrame:
+    """Delete every run of MIN_LINES or more lines, or of min_words or more words, that stands earlier in the table.
+
+    With min_words None, runs count by their lines only.
 
     Returns a row per input row: doc_id, text (what is left), n_lines and
     n_removed. Lines end at \\n; blank lines (white space only) are no part of
@@ -37,14 +40,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), kept(docs, keep).alias("kept"))
     lines = base.select("d", F.xxhash64("t").alias("h"), F.split("t", "\n", -1).alias("ls"))
-    seq = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.length(F.trim(F.regexp_replace(s["x"], r"\s+", " "))) > 0)
-    ready = lines.select("d", "h", seq.alias("s")).where(F.size("s") >= MIN_LINES)
-    n = F.size("s")
+    plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    words = lambda x: F.size(F.split(plain(x), " "))
+    seq = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.length(plain(s["x"])) > 0)
+    if min_words is not None:
+        seq = F.transform(seq, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"), words(s["x"]).alias("n")))
+    ready = lines.select("d", "h", seq.alias("s"))
+    ready = ready.where(F.size("s") >= MIN_LINES) if min_words is None else ready.where((F.size("s") >= MIN_LINES) | (F.aggregate("s", F.lit(0), lambda n, s: n + s["n"]) >= min_words))
+    n, none = F.size("s"), F.array().cast("array<bigint>")
     pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get("s", i)["x"], F.get("s", i + 1)["x"]))
-    ready = ready.withColumn("g", pairs)
+    ready = ready.withColumn("g", F.when(n >= MIN_LINES, pairs).otherwise(none))
     # Each run of three lines has two pairs; the run goes under the smaller, the left one of equals.
     runs = F.transform(
-        F.sequence(F.lit(0), F.size("g") - 2),
+        F.when(n >= MIN_LINES, F.sequence(F.lit(0), n - MIN_LINES)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
             F.least(F.get("g", i), F.get("g", i + 1)).alias("f"),
             F.xxhash64(F.get("s", i)["x"], F.get("s", i + 1)["x"], F.get("s", i + 2)["x"]).alias("w1"),
@@ -52,6 +60,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.get("s", i)["i"].alias("i"), F.get("s", i + 1)["i"].alias("j"), F.get("s", i + 2)["i"].alias("k"),
         ),
     )
+    if min_words is not None:
+
+        def short(i, j, size):
+            a, b = F.get("s", i), F.get("s", j)
+            one, two = F.xxhash64(F.lit(size), a["x"], b["x"]), F.xxhash64(F.lit(-size), b["x"], a["x"])
+            return F.struct(one.alias("f"), one.alias("w1"), two.alias("w2"), a["i"].alias("i"), b["i"].alias("j"), b["i"].alias("k"))
+
+        at = F.sequence(F.lit(0), n - 1)  # n > 0: no words without a line
+        ones = F.transform(F.filter(at, lambda i: F.get("s", i)["n"] >= min_words), lambda i: short(i, i, 1))
+        twos = F.transform(F.filter(at, lambda i: F.get("s", i)["n"] + F.get("s", i + 1)["n"] >= min_words), lambda i: short(i, i + 1, 2))
+        runs = F.concat(runs, ones, twos)
     spread = ready.select("d", "h", F.explode(runs).alias("r")).select("d", "h", "r.*")
     # A fingerprint is one place: runs that chose the same pair hash in one document go together.
     prints = materialize(spread.groupBy("d", "h", "f").agg(F.collect_set(F.struct("w1", "w2", "i", "j", "k")).alias("runs")), "prints")
@@ -68,7 +87,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_line_dedup(spark, sf_dir):
-    found = line_dedup(table(spark, sf_dir, "documents"))
+    """The rows of the SQL below, whose runs count by lines only; the pipeline's stage counts words too."""
+    found = line_dedup(table(spark, sf_dir, "documents"), min_words=None)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

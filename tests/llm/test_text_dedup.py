@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -55,6 +56,29 @@ def test_lines_match_brute_force(docs, texts, crowd):
     assert got == brute_lines(texts)
 
 
+def test_one_or_two_long_lines_are_a_run(spark):
+    rng = random.Random(8)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, a, b, short = make(50), make(30), make(20), make(49)
+    rows = [(1, one), (2, one), (3, f"{make(5)}\n{one}\n{short}"), (4, f"{short}\n{make(60)}"), (5, f"{a}\n \n{b}"), (6, f"{a}\n{b}"), (7, f"{a}\n{make(40)}\n{b}\n{a}\n{b}\n{make(3)}"), (8, f"{make(9)}\n{one}\n{one}"), (9, one), (9, one)]
+    seen, want = set(), []
+    for i, t in sorted(set(rows)):
+        ls = t.split("\n")
+        at = [n for n, x in enumerate(ls) if x.strip()]
+        gone = set()
+        for k in range(len(at)):
+            for size in (1, 2, 3):
+                run = tuple(ls[n] for n in at[k : k + size])
+                if len(run) == size and (size == 3 or len(" ".join(run).split()) >= 50):
+                    if run in seen:
+                        gone.update(at[k : k + size])
+                    seen.add(run)
+        want += [(i, "\n".join(x for n, x in enumerate(ls) if n not in gone), len(gone))] * rows.count((i, t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup(df).collect()) == sorted(want)
+    assert sum(r.n_removed for r in line_dedup(df, min_words=None).collect()) < sum(n for _, _, n in want)
+
+
 def test_lines_keep_columns_and_nothing(docs, none):
     kept = line_dedup(docs, keep=("lang", "source"))
     assert kept.select("kept.source").count() == docs.count()
