@@ -140,22 +140,32 @@ def isin_sorted(x: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndar
 # --- connected components ----------------------------------------------------
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, label): label is the smallest id of id's component; edges: (a, b), longs.
 
-    Each round gives every node the smallest label among its neighbours' and
-    its own, then jumps to its label's label; rounds end when nothing changes.
-    Labels are written to the shared folder each round. Groups of any size are
-    reduced by partial aggregation, and joins start from plain scans.
+    Randomised contraction: each round every node that has edges goes to the
+    smallest of its neighbours and itself by a hash that is new each round, and
+    edges are drawn between what the nodes went to, until none is left. At most
+    three quarters of the nodes are expected to stay each round on any graph, so
+    rounds grow with the logarithm of the nodes, whatever the diameter; as a
+    node of the largest hash never stays, they always end. Then the rounds are
+    read backwards. Edges and steps are written to the shared folder. Nodes of
+    any degree are reduced by partial aggregation, and joins start from plain
+    scans.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = materialize(labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), "step")
-        up = step.select(F.col("id").alias("label"), F.col("label").alias("higher"))
-        new = materialize(step.join(up, "label", "left").select("id", "old", F.least("label", F.coalesce("higher", "label")).alias("label")), "labels")
-        labels = new.select("id", "label")
-        if new.where("label <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    steps = []
+    while not both.isEmpty():
+        drawn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        step = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min(drawn("b")).alias("near")).select("id", F.least("near", drawn("id")).getField("to").alias("to")), "step")
+        steps.append(step)
+        moved = both.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+        both = materialize(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+    if not steps:
+        return both.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    roots = steps.pop()
+    while steps:
+        higher = roots.select(F.col("id").alias("to"), F.col("to").alias("root"))
+        roots = materialize(steps.pop().join(higher, "to", "left").select("id", F.coalesce("root", "to").alias("to")), "roots")
+    least = materialize(roots.groupBy("to").agg(F.min("id").alias("label")), "least")
+    return materialize(roots.join(least, "to").select("id", "label"), "labels")

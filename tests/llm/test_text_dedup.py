@@ -114,3 +114,15 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_long_shuffled_chains(spark):
+    from codequarry.llm.common import components
+
+    rng = random.Random(2)
+    ids = rng.sample(range(-(10**15), 10**15), 1300)
+    chains = ids[:400], ids[400:1200], ids[1200:]
+    edges = [e for c in chains for e in zip(c, c[1:])]
+    rng.shuffle(edges)
+    got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: min(c) for c in chains for i in c}
