@@ -86,7 +86,7 @@ def _signatures(size, bands, rows):
                 c2.append(b)
                 n.append(len(s))
                 out.append(hashes.bands(s).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["d", "c1", "c2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["d", "h", "c1", "c2", "n", "bands"])
 
     return run
 
@@ -179,7 +179,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns a row per input row: doc_id, class_id (the smallest doc_id in its
     component of links), n_links (other distinct shingle sets of Jaccard
     similarity threshold or more), n_copies (rows with the same set, itself
-    counted) and set_id. Texts of fewer words than a shingle are one shingle.
+    counted), set_id, class_set (the class's own name, null for texts without a
+    set) and text_hash (xxhash64). Texts of fewer words than a shingle are one shingle.
     Null texts, empty ones and those without words have no set: each is a class
     of its own, with no links and one copy. Rows that repeat an id and text are
     copies. Null ids never name a class that has other ids; a class of null ids
@@ -190,7 +191,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     n_bands, n_rows = banding(threshold, recall)
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    signed = materialize(base.mapInArrow(_signatures(size, n_bands, n_rows), "d long, c1 long, c2 long, n int, bands array<long>"), "signatures")
+    signed = materialize(base.withColumn("h", F.xxhash64("t")).mapInArrow(_signatures(size, n_bands, n_rows), "d long, h long, c1 long, c2 long, n int, bands array<long>"), "signatures")
     sets = materialize(signed.where("n > 0").groupBy("c1", "c2").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "sets").withColumnRenamed("c1", "node")
     dealt = materialize(sets.select("node", F.explode("bands").alias("key")), "dealt")
     leaders = materialize(dealt.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
@@ -227,13 +228,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = sets.select("node", "rep", "copies").join(real.withColumnRenamed("id", "node"), "node", "left").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialize(named, "named")
     classes = materialize(named.groupBy("label").agg(F.min("rep").alias("class_id")), "classes")
-    about = materialize(named.join(classes, "label").select("node", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "copies"), "about")
+    about = materialize(named.join(classes, "label").select("node", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "copies"), "about")
     out = signed.join(about, (signed.c1 == about.node) & (signed.n > 0), "left")
-    return out.select(F.col("d").alias("doc_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("d")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.when(F.col("n") > 0, F.col("c1")).alias("set_id"))
+    return out.select(F.col("d").alias("doc_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("d")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.when(F.col("n") > 0, F.col("c1")).alias("set_id"), F.when(F.col("n") > 0, F.col("label")).alias("class_set"), F.col("h").alias("text_hash"))
 
 
 def op2_ngram_join(spark, sf_dir):
-    return ngram_join(table(spark, sf_dir, "documents")).drop("set_id")
+    return ngram_join(table(spark, sf_dir, "documents")).drop("set_id", "class_set", "text_hash")
 
 
 #: Every pair of shingle sets, by shared shingles.

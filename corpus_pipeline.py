@@ -32,10 +32,16 @@ def lines(spark, docs, sf_dir):
 
 
 def near_copies(spark, docs, sf_dir):
-    """Of each class of near copies the document with the smallest id stays; of rows that repeat an id, one."""
-    first = materialize(ngram_join(docs).where("class_id <=> doc_id").groupBy("doc_id").agg(F.count("*").alias("n")), "first")
+    """Of each class of near copies one row stays: the smallest id (null last), then the smallest text hash.
+
+    Rows without a set (no words) are classes of their own; of rows that repeat an id and text, one stays.
+    """
+    found = ngram_join(docs).groupBy("class_set", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    found = materialize(found.select("class_set", F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "text_hash", "n").alias("row")), "rows")
+    ones = found.where("class_set is not null").groupBy("class_set").agg(F.min("row").alias("row")).select("row")
+    first = materialize(ones.union(found.where("class_set is null").select("row")).select(F.col("row.doc_id").alias("first"), F.col("row.text_hash").alias("hash"), F.col("row.n").alias("n")), "first")
     docs = docs.select("doc_id", "text", *REST)
-    kept = docs.join(first.select(F.col("doc_id").alias("first")), docs.doc_id.eqNullSafe(F.col("first")), "left_semi")
+    kept = docs.join(first, docs.doc_id.eqNullSafe(first["first"]) & (F.xxhash64(docs.text) == first["hash"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if first.where("n > 1").limit(1).count() else kept
 
 

@@ -35,6 +35,16 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(str(r.doc_id) for r in P.near_copies(spark, docs, SF).collect()) == ["1", "None"]
 
 
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    words = lambda k, n=60: [f"{k}{i}" for i in range(n)]
+    near = lambda k, i: " ".join([*words(k)[:-1], f"end{i}"])
+    rows = [(None, near("p", 1)), (None, near("p", 2)), (None, near("q", 1)), (2, near("q", 2)), (None, near("q", 3)), (5, near("a", 1)), (5, near("b", 1)), (3, near("b", 2)), (8, near("c", 1)), (8, near("c", 2)), (8, ""), (9, near("a", 2))]
+    rows += [(None, near("r", 1)), (None, near("r", 1)), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, (r.text or "-")[:1]) for r in P.near_copies(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(None, "p"), (2, "q"), (5, "a"), (3, "b"), (8, "c"), (8, "-"), (None, "r"), (6, "-")], key=str)
+
+
 def test_stages_take_nulls_extra_columns_and_nothing(spark, docs, crowd):
     odd = crowd(docs).withColumn("first", docs.text)
     for name, stage in P.STAGES:
