@@ -3,9 +3,12 @@
 Three parts. A character model: trigram counts over the words of all documents,
 summed by partial aggregation into a table of fixed size. A channel: a written
 word is a lattice of what may have been meant (leetspeak characters stand for
-letters, separators inside a word and repeats of a character may be left out,
-letters set apart by spaces belong together); Viterbi decoding takes the
-cheapest path under the model. Plain words have one path and are not decoded.
+letters, separators inside a word and repeats of a character may be left out);
+Viterbi decoding takes the cheapest path under the model. Plain words have one
+path and are not decoded; letter-only words with a doubled letter count as
+written and as decoded. Runs of single characters are one lattice, in which a
+word may end at each gap: the words of all paths within SLACK of the cheapest
+count.
 A classifier on restored words and their beginnings, fitted on a bounded sample
 of labelled rows (SAMPLE rows, taken by hash): logistic regression, and beside
 it each feature's precision, as a lower bound, so that one word that is only
@@ -42,7 +45,12 @@ SEPARATORS = ".-_*~'`^,/\\:#"
 EDGE_LEFT, EDGE_RIGHT = "\"'([{<«¿¡.,;:-_*~`", "\"')]}>».,;:!?-_*~`…"
 SUBSTITUTE, LEAVE_OUT, REPEAT = 0.7, 0.5, 0.4
 _TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t.\-_*]{1,2}[^\W_]){2,}(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+_GAP = r"[ \t.\-_*,/:;~]{1,4}"
+_SINGLE = rf"(?:[^\W_]|[{re.escape(''.join(c for c in LEET if not c.isalnum()))}])"
+_SPACED = re.compile(rf"(?<![^\W_]){_SINGLE}(?:{_GAP}{_SINGLE}){{2,}}(?![^\W_])")
+_PIECE = re.compile(rf"({_SINGLE})({_GAP})?")
+SLACK, LONGEST = 4.0, 40  # a run's word of more than LONGEST characters is none
 
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -87,37 +95,68 @@ class Channel:
     def suspicious(self, word: str) -> bool:
         return not word.isalpha() and any(c.isalpha() or c in LEET for c in word) or bool(_TRIPLE.search(word))
 
-    def decode(self, word: str) -> str:
-        """The cheapest reading of a lower-case word."""
-        best = {(0, 0): (0.0, None)}  # last two classes -> cost, reading as a linked list
-        for k, c in enumerate(word):
-            repeat = k > 0 and word[k - 1] == c
-            options = []
-            if c.isalpha():
-                options.append((c, _code(c), 0.0))
-            else:
-                options += [(x, _code(x), SUBSTITUTE) for x in LEET.get(c, "")]
-                if c in SEPARATORS:
-                    options.append(("", None, LEAVE_OUT))
-                options.append((c, 28, 1.0))
-            if repeat:
-                options.append(("", None, REPEAT))
-            new: dict = {}
-            for (a, b), (cost, path) in best.items():
-                row = self.costs[a][b]
-                for text, code, extra in options:
-                    state = (a, b) if code is None else (b, code)
-                    total = cost + extra + (0.0 if code is None else row[code])
-                    old = new.get(state)
-                    if old is None or total < old[0]:
-                        new[state] = (total, path if code is None else (path, text))
-            best = new
+    def steps(self, best: dict, c: str, repeat: bool) -> dict:
+        """The states after one more character: last two classes -> cost, reading as a linked list."""
+        options = []
+        if c.isalpha():
+            options.append((c, _code(c), 0.0))
+        else:
+            options += [(x, _code(x), SUBSTITUTE) for x in LEET.get(c, "")]
+            if c in SEPARATORS:
+                options.append(("", None, LEAVE_OUT))
+            options.append((c, 28, 1.0))
+        if repeat:
+            options.append(("", None, REPEAT))
+        new: dict = {}
+        for (a, b), (cost, path) in best.items():
+            row = self.costs[a][b]
+            for text, code, extra in options:
+                state = (a, b) if code is None else (b, code)
+                total = cost + extra + (0.0 if code is None else row[code])
+                old = new.get(state)
+                if old is None or total < old[0]:
+                    new[state] = (total, path if code is None else (path, text))
+        return new
+
+    def ended(self, best: dict) -> tuple[float, str]:
+        """Cost and reading of the cheapest state when the word ends."""
         cost, path = min(((cost + self.costs[a][b][0], path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])
         out = []
         while path:
             path, text = path
             out.append(text)
-        return "".join(reversed(out))
+        return cost, "".join(reversed(out))
+
+    def decode(self, word: str) -> str:
+        """The cheapest reading of a lower-case word."""
+        best = {(0, 0): (0.0, None)}
+        for k, c in enumerate(word):
+            best = self.steps(best, c, k > 0 and word[k - 1] == c)
+        return self.ended(best)[1]
+
+    def words(self, run: str) -> set:
+        """Words of the paths through a run of single characters that cost at most SLACK more than the cheapest."""
+        pieces = _PIECE.findall(run)
+        n = len(pieces)
+        arcs, come = [], [0.0] + [math.inf] * n
+        for i in range(n):
+            best, extra = {(0, 0): (0.0, None)}, 0.0
+            for j in range(i, min(n, i + LONGEST)):
+                c = pieces[j][0]
+                if j > i and len(pieces[j - 1][1]) > 1:
+                    extra += LEAVE_OUT  # a wide gap rather ends a word
+                best = self.steps(best, c, j > i and pieces[j - 1][0] == c)
+                cost, text = self.ended(best)
+                arcs.append((i, j + 1, cost + extra, text))
+                come[j + 1] = min(come[j + 1], come[i] + cost + extra)
+        go = [math.inf] * n + [0.0]
+        for i, j, cost, _ in reversed(arcs):
+            go[i] = min(go[i], cost + go[j])
+        found = set()
+        for i, j, cost, text in arcs:
+            if j - i > 2 and come[i] + cost + go[j] <= come[n] + SLACK:
+                found |= {text, "".join(c for c, _ in pieces[i:j])}
+        return found
 
     def restore(self, word: str) -> str:
         core = word.lstrip(EDGE_LEFT).rstrip(EDGE_RIGHT)
@@ -143,7 +182,11 @@ class Reader(dict):
     def __missing__(self, word: str):
         if len(self) > KNOWN_WORDS:
             self.clear()
-        value = self[word] = self.of(self.channel.restore(word))
+        restored = self.channel.restore(word)
+        value = self.of(restored)
+        if restored.isalpha() and _DOUBLE.search(restored):
+            value += self.of(self.channel.decode(restored))
+        self[word] = value
         return value
 
     def read(self, text: str | None) -> set:
@@ -154,9 +197,11 @@ class Reader(dict):
         for ids in filter(None, map(self.__getitem__, set(text.split()))):
             found.update(ids)
         for m in _SPACED.finditer(text):
+            for word in self.channel.words(m[0]):
+                found.update(self.of(word))
             letters = re.sub(r"[\W_]", "", m[0])
             joined = self.channel.decode(letters) if _TRIPLE.search(letters) or not letters.isalpha() else letters
-            # A one-letter word may stand before or after the letters that belong together.
+            # However unlikely to the model, the whole run may be a word, with one-letter words before or after.
             for start in range(min(3, len(joined) - 2)):
                 for end in range(len(joined), max(len(joined) - 3, start + 2), -1):
                     found.update(self.of(joined[start:end]))

@@ -139,6 +139,16 @@ def test_toxicity_held_out_accuracy_and_obfuscation(spark, labelled, crowd):
     assert by[10_003].score == by[10_004].score < 0.3 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_toxicity_of_spaced_and_doubled_words(spark, labelled):
+    docs, labels, _ = labelled
+    bad = ["(b l o r g f a c e)", "z u g d u m m y!", "z u g d u m m y.", "k a r a m e l o s n a r k w i t", "n i p a t i b l o r g f a c e m i r a s u n a", "$ n a r k w i t", "sn4rkwit", "snarrkwit", "bloorgfface"]
+    good = ["k a r a m e l o", "(n i p a t i)", "1 2 3 4 5 6 7 8", "karra mello nippa"]
+    extra = [(10_000 + i, f"kara {t} lona") for i, t in enumerate(bad + good)]
+    by = {r.doc_id: r.score for r in T.score_toxicity(docs.union(spark.createDataFrame(extra, docs.schema)), labels).where("doc_id >= 10000").collect()}
+    said = {t: by[10_000 + i] >= T.THRESHOLD for i, t in enumerate(bad + good)}
+    assert said == {t: t in bad for t in bad + good}
+
+
 def test_toxicity_without_labels_or_rows(docs, labelled, none):
     _, labels, _ = labelled
     assert len({r.score for r in T.score_toxicity(docs, labels.where("false")).collect()}) == 1
