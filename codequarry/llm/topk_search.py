@@ -130,18 +130,22 @@ class SlicedBlock:
         sums = add_up(columns)
         best = kth_largest(sums, self.valid, k)
         # A dropped part of 0 to 2**dropped - 1 times each weight moves a score by less than this.
-        error = ((1 << self.dropped) - 1) * int(np.abs(q).sum())
+        error = ((1 << self.dropped) - 1) * sum(map(abs, q.tolist()))
         bound = best - -(-error >> self.dropped) - 1
         rows = np.flatnonzero(np.unpackbits(at_least(sums, self.valid, bound).view(np.uint8), bitorder="little")[: len(self.ids)])
         if own is not None:
             rows = rows[self.ids[rows] != own]
             k -= int((self.ids == own).sum())
-        scores = self.x[rows] @ q
+        # By Python's integers where a sum, or a part of one, could leave 63 bits.
+        wide = sum(max(abs(int(a)), abs(int(b))) * abs(int(w)) for a, b, w in zip(self.x.min(0), self.x.max(0), q)) >> 63
+        scores = self.x[rows].astype(object) @ q.astype(object) if wide else self.x[rows] @ q
         if len(rows) > k:
             cut = np.partition(scores, len(scores) - k)[len(scores) - k]
             rows, scores = rows[scores >= cut], scores[scores >= cut]
-        order = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[order]], scores[order]
+        order = np.lexsort((self.ids[rows], -scores))[:k] if not wide else np.array(sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k], int)
+        if wide and any(not -(1 << 63) <= s < 1 << 63 for s in scores[order]):
+            raise OverflowError("a score among the best does not fit 64 bits")
+        return self.ids[rows[order]], scores[order].astype(np.int64)
 
 
 def _search(k: int, dropped: int):
@@ -171,28 +175,27 @@ def topk_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
 
     Components become floor(scale * x). Returns query_id, rank (from 1), vec_id,
     score; ties go to the smaller vec_id; fewer than k rows where there are
-    fewer. A query never finds rows of its own id. Rows with a null id, a null
-    vector, an empty one, or one with a null or non-finite component take no
-    part, and neither do rows of another length than most; rows that repeat an
-    id are candidates of their own, and one of the repeated queries is asked. Vectors may have
-    any components that fit 31 bits after scaling. Empty tables give an empty result.
+    fewer. A query never finds rows of its own id. Vectors of each length are
+    searched among themselves. Rows with a null id, a null vector, an empty one,
+    or one with a null or non-finite component take no part. Rows that repeat an
+    id are candidates of their own; of repeated queries the smallest vector is
+    asked. A scaled component beyond 62 bits, and a score beyond 64 among a
+    block's best, raise an error. Empty tables give an empty result.
     """
-    ok = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2e6))
+    ok = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fits = lambda x: F.when(F.abs(x * scale) < float(1 << 62), F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("a scaled component does not fit 62 bits")).cast("long"))
 
     def whole(df):
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(ok)
-        return df.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("x"))
-
-    rows, asked = whole(vectors), whole(queries).dropDuplicates(["id"])
-    lengths = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not lengths:
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    rows, asked = rows.where(F.size("x") == lengths[0]["n"]), asked.where(F.size("x") == lengths[0]["n"])
-    n_rows, n_asked = max(LEAST_BLOCKS, -(-lengths[0]["count"] // row_block)), max(1, -(-asked.count() // query_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = rows.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")).withColumn("a", every(n_asked))
-    sent = asked.withColumn("a", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_asked)).cast("int")).withColumn("r", every(n_rows))
-    near = sent.groupBy("a", "r").cogroup(dealt.groupBy("a", "r")).applyInArrow(_search(k, dropped), "query_id long, vec_id long, score long")
+        return df.select("id", F.size("v").alias("n"), F.transform("v", fits).alias("x"))
+
+    rows, asked = whole(vectors), whole(queries).groupBy("id").agg(F.min(F.struct("x", "n")).alias("q")).select("id", "q.n", "q.x")
+    blocks = lambda df, size, least, name: df.groupBy("n").agg(F.greatest(F.lit(least), F.ceil(F.count("*") / size)).cast("int").alias(name))
+    dealing = F.broadcast(blocks(rows, row_block, LEAST_BLOCKS, "n_rows").join(blocks(asked, query_block, 1, "n_asked"), "n"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = rows.join(dealing, "n").select("n", "id", "x", F.pmod(F.xxhash64("id"), F.col("n_rows")).cast("int").alias("r"), every("n_asked").alias("a"))
+    sent = asked.join(dealing, "n").select("n", "id", "x", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_asked")).cast("int").alias("a"), every("n_rows").alias("r"))
+    near = sent.groupBy("n", "a", "r").cogroup(dealt.groupBy("n", "a", "r")).applyInArrow(_search(k, dropped), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

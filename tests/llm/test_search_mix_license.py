@@ -44,6 +44,25 @@ def test_search_edges(spark, crowd):
     assert topk_search(df.where("vec_id < 4"), df.where("vec_id = 0")).count() == 3
 
 
+def test_search_takes_all_lengths_and_large_components(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) * 10 ** rng.choice([0, 3, 5]) for _ in range(2 + i % 3)]) for i in range(60)] + [(60 + i, [rng.uniform(-1, 1) * 1e5, -2.5e6 - i]) for i in range(5)]
+    rows += [(70, [1e7, 2.0, 3.0, 4.0]), (0, [0.5, 0.25, 1.0]), (0, [-0.5, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search(df, df.where("vec_id % 5 = 0"), row_block=7, query_block=2)
+    ints = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 5 == 0}):
+        v = min(v for i, v in ints if i == q)
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q and len(w) == len(v))[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == sorted(want)
+    huge = spark.createDataFrame([(1, [1e8]), (2, [1e15])], "vec_id long, embedding array<double>")
+    for late in (huge, spark.createDataFrame([(1, [1.0]), (2, [1e300])], huge.schema)):
+        with pytest.raises(Exception, match="does not fit"):
+            topk_search(late, late.where("vec_id = 1")).collect()
+
+
 def test_mix_takes_exact_budgets(docs, texts, crowd, none):
     rows = mix_sources(crowd(docs)).collect()
     assert len(rows) == docs.count()
