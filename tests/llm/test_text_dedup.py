@@ -1,10 +1,12 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from codequarry.llm.line_dedup import line_dedup
-from codequarry.llm.substring_dedup import substring_dedup
+from codequarry.llm.substring_dedup import Texts, deal, parse, run_lengths, substring_dedup
 
 
 def brute_windows(rows, size):
@@ -31,6 +33,84 @@ def test_substring_spans_cover_what_went(docs):
         assert sum(b - a for a, b in r.spans) == r.n_removed
 
 
+def words_of_blocks(df, bucket_bytes):
+    """The words of each block in the order of its index."""
+    out = defaultdict(list)
+    for r in deal(df, "doc_id", "text", bucket_bytes).collect():
+        out[r.b].append({"d": r.d, "t": bytes(r.t) if r.t is not None else None, "h": r.h})
+    schema = pa.schema([("d", pa.int64()), ("t", pa.binary()), ("h", pa.int64())])
+    return {b: [w for t in Texts(pa.Table.from_pylist(rows, schema)).texts for w in t.split()] for b, rows in out.items()}
+
+
+@pytest.mark.parametrize("size,gram,block", [(35, 12, 2000), (6, 3, 700), (6, 3, 1 << 20)])
+def test_factors_are_greedy_and_stand_where_they_say(docs, texts, size, gram, block):
+    blocks = words_of_blocks(docs, block)
+    by_text = defaultdict(list)
+    for i, t in texts:
+        by_text[i].append((t or "").encode().split())
+    rows = substring_dedup(docs, min_words=size, gram=gram, bucket_bytes=block).collect()
+    seen = Counter(tuple(w[i : i + size]) for ws in by_text.values() for w in ws for i in range(len(w) - size + 1))
+    assert any(r.factors for r in rows)
+    for r in rows:
+        (w,) = {tuple(x) for x in by_text[r.doc_id] if len(x) == r.n_words}
+        at = 0
+        for f in r.factors:
+            # No window starts between factors that stands elsewhere; the factor is its reference's words and can't go on.
+            assert all(seen[w[i : i + size]] == 1 for i in range(at, f.first) if i + size <= len(w))
+            there = blocks[f.block][f.word : f.word + f.words + 1]
+            assert f.words >= size and tuple(there[: f.words]) == w[f.first : f.first + f.words]
+            at = f.first + f.words
+        gone = {j for f in r.factors for j in range(f.first, f.first + f.words)}
+        inside = {j for a, b in r.spans for j in range(a, b)}
+        assert gone <= inside and all(any(j in gone for j in range(a, b)) for a, b in r.spans)
+
+
+def test_parse_takes_the_longest_reference_at_each_word():
+    rng = random.Random(4)
+    for _ in range(300):
+        n, size = 40, 3
+        refs = []
+        for _ in range(2):
+            places = np.full(n, -1, np.int64)
+            for i in range(n - size + 1):
+                if rng.random() < 0.6:
+                    places[i] = places[i - 1] + 1 if i and places[i - 1] >= 0 and rng.random() < 0.8 else rng.randrange(1000)
+            refs.append(places)
+        want, i = [], 0
+        while i < n:
+            best = 0
+            for places in refs:
+                k = 0
+                while i + k < n and places[i + k] >= 0 and places[i + k] == places[i] + k:
+                    k += 1
+                if k > best:
+                    best, place = k, int(places[i])
+            if best:
+                want.append((i, best + size - 1, place))
+                i += best + size - 1
+            else:
+                i += 1
+        assert parse([(p, run_lengths(p)) for p in refs], size, 0, n) == want
+
+
+def test_one_text_and_id_in_most_rows_is_spread_over_blocks(spark):
+    rng = random.Random(12)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    hot, rows = make(60), [(i, make(50)) for i in range(30)]
+    rows += [(None, hot)] * 90 + [(None, None)] * 40 + [(7, rows[3][1]), (8, "x " + hot)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(r["count"] for r in deal(df, "doc_id", "text", 4000).groupBy("b").count().collect()) < 60
+    got = sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, bucket_bytes=4000).collect()], key=str)
+    assert got == brute_windows(rows, 35)
+
+
+def test_substrings_of_bytes_that_are_no_text(spark):
+    text = b"\xff\xfe " + b" ".join(b"a%d" % i for i in range(40))
+    df = spark.createDataFrame([(1, bytearray(text)), (2, bytearray(text[3:])), (3, bytearray(b"\xc3( b"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    got = {r.doc_id: (r.n_removed, bytes(r.k)) for r in substring_dedup(df).selectExpr("doc_id", "n_removed", "cast(kept_text as binary) as k").collect()}
+    assert got == {1: (40, b"\xff\xfe"), 2: (40, b""), 3: (0, b"\xc3( b")}
+
+
 def test_substrings_of_nothing(none):
     assert substring_dedup(none).count() == 0
 
