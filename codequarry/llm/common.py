@@ -18,9 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a temporary folder serves a local session, whose
+    executors live in the driver; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codequarry-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -67,6 +73,17 @@ def bucket_count(docs: DataFrame, text_col: str, target_bytes: int) -> int:
     return max(3 * parts, -(-total // target_bytes))
 
 
+# Words are runs of ASCII letters and digits and of all bytes beyond ASCII; A-Z are lower-cased.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def words_of(text: bytes | str | None) -> list:
+    """The words of a text; bytes need not be valid UTF-8."""
+    if isinstance(text, str):
+        text = text.encode()
+    return text.translate(_FOLD).split() if text else []
+
+
 # --- hashes of words and of runs of words, in numpy -------------------------
 
 _B1, _B2 = 0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F  # both 3 mod 4

@@ -21,21 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHash, isin_sorted, kept, kept_type, rolling, table
+from .common import U, WordHash, isin_sorted, kept, kept_type, rolling, table, words_of
 
 MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_BYTES = 4 << 20
 CHUNK_WORDS = 1 << 17
 
-# Words are runs of ASCII letters and digits and of all other characters beyond ASCII; A-Z are lower-cased.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
-
-def words_of(text: str | None) -> list:
-    return text.encode().translate(_FOLD).split() if text else []
-
-
 def tiles(seeds: list, k: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (document position, item position, words) from seeds (document position, item position) of k words."""
     heap, open_ = [], {}

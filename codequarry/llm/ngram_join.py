@@ -4,12 +4,11 @@ A text is its set of five-word shingles (words lower-cased in A-Z, split at
 ASCII punctuation). Rows with equal sets are one class from the start and are
 never expanded. Classes are dealt by band hashes; rows and bands follow from
 the threshold and the target recall. Classes that share a band hash are tied to
-the smallest of them, and the ties' components hold every candidate pair. Each
-component is verified on the full sets: in one task when small, else as pairs
-of blocks of bounded size; a component beyond MOST_IN_UNIT is verified bucket
-by bucket instead, where a pair counts in the first band it shares. Tasks count
-links and return one row a class, so pairs of a large group are never emitted
-or stored, and none is lost.
+the smallest of them, and the ties' components hold every candidate pair. All
+pairs of a component are verified on the full sets, whatever its size: in one
+task when small, else as pairs of blocks of bounded size. Tasks count links and
+return one row a class, so pairs of a large group are never emitted or stored.
+The work of a component grows with the square of its distinct sets.
 """
 
 from __future__ import annotations
@@ -22,11 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHash, components, materialize, mix, rolling, table
-from .decontaminate import words_of
+from .common import U, WordHash, components, materialize, mix, rolling, table, words_of
 
 SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
-BLOCK, MOST_BLOCK, MOST_IN_UNIT = 128, 1024, 8192
+BLOCK, MOST_BLOCK = 128, 1024
 NODES_A_TASK = 2048
 
 
@@ -86,20 +84,18 @@ def _signatures(size, bands, rows):
                 c2.append(b)
                 n.append(len(s))
                 out.append(hashes.bands(s).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["d", "h", "c1", "c2", "n", "bands"])
+            made = [pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), *made], names=["d", "h", "c1", "c2", "n", "bands"])
 
     return run
 
 
-def _sets(size, columns):
+def _sets(size):
     def run(batches):
         known = WordHash()
         for batch in batches:
-            sets = [shingles(words_of(t), known, size) for t in batch.column("t").to_pylist()]
-            own = [class_of(s) for s in sets]
-            right = pa.array([a == (x, y) for a, x, y in zip(own, batch.column("c1").to_pylist(), batch.column("c2").to_pylist())], pa.bool_())
-            kept = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([s.tobytes() for s in sets], pa.binary())], names=[*columns, "s"]).filter(right)
+            sets = pa.array([shingles(words_of(t), known, size).tobytes() for t in batch.column("t").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("size"), sets], names=["node", "label", "size", "s"])
 
     return run
 
@@ -151,20 +147,13 @@ def _verify(threshold):
         out = ([], [], [])
         order = np.lexsort((node, unit))
         edge = np.flatnonzero(np.r_[True, np.diff(unit[order]) != 0, True])
-        sets, bands = rows["s"], rows["bands"]
+        sets = rows["s"]
         for lo, hi in zip(edge[:-1], edge[1:]):
             at = order[lo:hi]
-            at = at[np.r_[True, np.diff(node[at]) != 0]]
             names = node[at]
             linked = links([np.frombuffer(sets[int(x)].as_py(), U) for x in at], threshold)
             if i != j:
                 linked &= blk[at][:, None] != blk[at][None, :]
-            first = bands[int(at[0])].as_py()
-            if first is not None:  # a bucket of bands: a pair counts where it first meets
-                b = np.array([bands[int(x)].as_py() for x in at])
-                mine = int(np.flatnonzero((b == unit[at[0]]).all(0))[0])
-                for k in range(mine):
-                    linked &= b[:, k][:, None] != b[:, k][None, :]
             out[0].append(names)
             out[1].append(linked.sum(1))
             out[2].append(roots(linked, names))
@@ -173,64 +162,72 @@ def _verify(threshold):
     return run
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, most_in_unit: int = MOST_IN_UNIT, block: int = BLOCK) -> DataFrame:
+def ngram_join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK
+) -> DataFrame:
     """Classes of near-duplicate texts.
 
     Returns a row per input row: doc_id, class_id (the smallest doc_id in its
     component of links), n_links (other distinct shingle sets of Jaccard
-    similarity threshold or more), n_copies (rows with the same set, itself
-    counted), set_id, class_set (the class's own name, null for texts without a
-    set) and text_hash (xxhash64). Texts of fewer words than a shingle are one shingle.
-    Null texts, empty ones and those without words have no set: each is a class
-    of its own, with no links and one copy. Rows that repeat an id and text are
-    copies. Null ids never name a class that has other ids; a class of null ids
-    only has a null class_id. Extra columns are ignored. An empty table gives an
-    empty result. Sets are told apart by 128 bits, and named by 64.
+    similarity threshold or more among the candidates), n_copies (rows with the
+    same set, itself counted), set_id, class_set (the class's own name, null for
+    texts without a set) and text_hash (xxhash64). Texts of fewer words than a
+    shingle are one shingle. Null texts, empty ones and those without words have
+    no set: each is a class of its own, with no links and one copy. Rows that
+    repeat an id and text are copies. Ids are cast to long (an id that is no
+    integer fails). Null ids never name a class that has other ids; a class of
+    null ids only has a null class_id. Of equal smallest ids, class_id is that
+    id. Texts are read as bytes, so they need not be valid UTF-8; a text of any
+    length is one set, held in one task. Extra columns are ignored. An empty
+    table gives an empty result. Sets are told apart by 128 bits, and named by 64.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     n_bands, n_rows = banding(threshold, recall)
-    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    signed = materialize(base.withColumn("h", F.xxhash64("t")).mapInArrow(_signatures(size, n_bands, n_rows), "d long, h long, c1 long, c2 long, n int, bands array<long>"), "signatures")
-    sets = materialize(signed.where("n > 0").groupBy("c1", "c2").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "sets").withColumnRenamed("c1", "node")
+    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("t")).withColumn("h", F.xxhash64("t"))
+    signed = base.mapInArrow(_signatures(size, n_bands, n_rows), "d long, h long, c1 long, c2 long, n int, bands array<long>")
+    signed = materialize(signed, "signatures")
+    made = [F.min("d").alias("rep"), F.min(F.struct("h", "d")).alias("text"), F.count("*").alias("copies"), F.first("bands").alias("bands")]
+    sets = materialize(signed.where("n > 0").groupBy("c1", "c2").agg(*made), "sets").withColumnRenamed("c1", "node")
     dealt = materialize(sets.select("node", F.explode("bands").alias("key")), "dealt")
-    leaders = materialize(dealt.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    ties = dealt.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    leaders = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    ties = dealt.join(materialize(leaders, "leaders"), "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     comps = components(ties)
     sizes = comps.groupBy("label").agg(F.count("*").alias("size"))
-    placed = comps.join(sizes, "label").withColumnRenamed("id", "node")
-    chosen = materialize(placed.join(sets, "node").select("node", "c2", "rep", "bands", "label", "size"), "chosen")
+    chosen = materialize(comps.join(sizes, "label").withColumnRenamed("id", "node").join(sets, "node").select("node", "text", "label", "size"), "chosen")
     total = chosen.count()
 
-    # The texts of the chosen sets, one row of each, become sets again where they are needed.
-    want = chosen.select("rep", F.col("node").alias("c1"), "c2", "bands", "label", "size")
-    texts = base.join(want, base.d.eqNullSafe(want.rep)).select("t", "c1", "c2", F.col("c1").alias("node"), "bands", "label", "size")
-    full = texts.mapInArrow(_sets(size, ["node", "bands", "label", "size"]), "node long, bands array<long>, label long, size long, s binary")
-    small = full.where(F.col("size") <= most_in_unit).withColumn("unit", F.col("label")).withColumn("bands", F.lit(None).cast("array<long>"))
-    units = small.select("unit", "size", "node", "bands", "s")
-    if chosen.where(F.col("size") > most_in_unit).limit(1).count():
-        # Where bands tie too many sets together, the buckets themselves are the units.
-        kept = materialize(full.where(F.col("size") > most_in_unit).select("node", "bands", "s"), "large")
-        at = kept.select("node", F.explode("bands").alias("key")).join(leaders.select("key", F.col("n").alias("size")), "key")
-        units = units.union(at.join(kept, "node").select(F.col("key").alias("unit"), "size", "node", "bands", "s"))
+    # One text of each chosen set becomes a set again where it is needed; rows that repeat it are folded before they are sent.
+    texts = base.join(chosen, (base.h == chosen["text.h"]) & base.d.eqNullSafe(chosen["text.d"])).groupBy("node", "label", "size").agg(F.min("t").alias("t"))
+    units = texts.mapInArrow(_sets(size), "node long, label long, size long, s binary").withColumnRenamed("label", "unit")
     side = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(block), F.ceil(F.col("size") / 24)))
-    blocks = F.ceil(F.col("size") / side)
-    units = units.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    units = units.withColumn("blocks", F.ceil(F.col("size") / side)).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
     n_tasks = max(3 * parts, -(-total // NODES_A_TASK))
     whole = F.col("blocks") == 1
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    units = units.select("unit", "node", "bands", "s", "blk", whole.alias("whole"), other.alias("o"))
-    units = units.select("unit", "node", "bands", "s", "blk", F.when(F.col("whole"), F.pmod(F.xxhash64("unit"), F.lit(n_tasks))).otherwise(F.col("unit")).alias("g"), F.when(F.col("whole"), F.lit(-1)).otherwise(F.least("blk", "o")).alias("i"), F.when(F.col("whole"), F.lit(-1)).otherwise(F.greatest("blk", "o")).alias("j"))
+    units = units.select("unit", "node", "s", "blk", whole.alias("whole"), other.alias("o"))
+    group = F.when(F.col("whole"), F.pmod(F.xxhash64("unit"), F.lit(n_tasks))).otherwise(F.col("unit"))
+    pair = lambda of: F.when(F.col("whole"), F.lit(-1)).otherwise(of("blk", "o"))
+    units = units.select("unit", "node", "s", "blk", group.alias("g"), pair(F.least).alias("i"), pair(F.greatest).alias("j"))
     checked = materialize(units.groupBy("g", "i", "j").applyInArrow(_verify(threshold), "node long, links long, root long"), "checked")
 
     found = checked.groupBy("node").agg(F.sum("links").alias("links"))
     real = components(checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = sets.select("node", "rep", "copies").join(real.withColumnRenamed("id", "node"), "node", "left").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialize(named, "named")
+    named = sets.select("node", "rep", "copies").join(real.withColumnRenamed("id", "node"), "node", "left").join(found, "node", "left")
+    named = materialize(named.withColumn("label", F.coalesce("label", "node")), "named")
     classes = materialize(named.groupBy("label").agg(F.min("rep").alias("class_id")), "classes")
-    about = materialize(named.join(classes, "label").select("node", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "copies"), "about")
-    out = signed.join(about, (signed.c1 == about.node) & (signed.n > 0), "left")
-    return out.select(F.col("d").alias("doc_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("d")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.when(F.col("n") > 0, F.col("c1")).alias("set_id"), F.when(F.col("n") > 0, F.col("label")).alias("class_set"), F.col("h").alias("text_hash"))
+    about = named.join(classes, "label").select("node", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    out = signed.join(materialize(about, "about").alias("about"), (signed.c1 == F.col("about.node")) & (signed.n > 0), "left")
+    some = F.col("n") > 0
+    return out.select(
+        F.col("d").alias("doc_id"),
+        F.when(some, F.col("class_id")).otherwise(F.col("d")).alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.when(some, F.col("c1")).alias("set_id"),
+        F.when(some, F.col("label")).alias("class_set"),
+        F.col("h").alias("text_hash"),
+    )
 
 
 def op2_ngram_join(spark, sf_dir):

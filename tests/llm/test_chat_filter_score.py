@@ -9,7 +9,8 @@ import pytest
 from codequarry.llm import chat_format as C
 from codequarry.llm import toxicity as T
 from codequarry.llm import url_filter as W
-from codequarry.llm.decontaminate import Block, decontaminate, tiles, words_of
+from codequarry.llm.common import words_of
+from codequarry.llm.decontaminate import Block, decontaminate, tiles
 
 
 def brute_cost(roles):

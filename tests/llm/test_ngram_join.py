@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from codequarry.llm.decontaminate import words_of
+from codequarry.llm.common import words_of
 from codequarry.llm.ngram_join import banding, ngram_join
 
 
@@ -38,14 +38,37 @@ def family():
     return rows
 
 
-@pytest.mark.parametrize("most,block", [(8192, 128), (8192, 16), (10, 128), (10, 16)])
-def test_classes_and_links_match_brute_force(spark, docs, texts, family, crowd, most, block):
+@pytest.mark.parametrize("block", [128, 16, 3])
+def test_classes_and_links_match_brute_force(spark, docs, texts, family, crowd, block):
     rows = [(i, t) for i, t in texts] + [(1000 + i, t) for i, t in family]
     df = crowd(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = ngram_join(df, recall=0.999999, most_in_unit=most, block=block)
+    got = ngram_join(df, block=block)
     assert sorted([(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got.collect()], key=str) == brute(rows)
 
 
+def test_links_of_a_large_group_do_not_depend_on_blocks(spark):
+    """500 near copies at about the threshold: all links of the component count, however it is cut."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for k in rng.sample(range(2, 118), 2):
+            w[k] = f"x{i}.{k}"
+        rows.append((None if i % 3 == 0 else i, " ".join(w)))
+    rows += [rows[0]] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for block in (1024, 40):
+        assert sorted([(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join(df, block=block).collect()], key=str) == want
+
+
+def test_texts_of_bytes_that_are_no_text(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\xff\xfe a b c d e f")), (2, bytearray(b"\xff\xfe A b, c d e f")), (3, bytearray(b"\xc3( b"))], "doc_id long, raw binary")
+    got = {r.doc_id: (r.class_id, r.n_copies) for r in ngram_join(df.selectExpr("doc_id", "cast(raw as string) as text")).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+
+
 def test_nothing(none):
     assert ngram_join(none).count() == 0
 
