@@ -1,169 +1,230 @@
 """Benchmark decontamination by greedy string tiling.
 
-Every run of min_match words of every document is looked up among the runs of
-the benchmark items (running Karp-Rabin: rolling hashes of word hashes). Seeds
-on one diagonal join to longest matches; of a document and an item, the longest
-match is marked first, then the longest of what is left unmarked, until none of
-min_match words is left. The share of an item's words that are marked is its
-coverage, however its passages are ordered in the document.
-
-Texts are scanned where they lie, without a shuffle. The benchmark is dealt
-into blocks of at most block_bytes, each sent to the executors as a constant;
-documents pass the blocks one after another.
+Seeds are runs of min_match words that a document shares with a benchmark item
+(an item of fewer words is one seed as a whole). They are joined in Spark on
+the runs' hashes. Each pair of a document and an item is then tiled: of the
+words not yet marked, the longest match is found by running Karp-Rabin (hashes
+of runs of seeds, the length by bisection, as every part of a match is a match)
+and marked on both sides, and so on until no seed is left. The share of an
+item's words that are marked is its coverage, however its passages are ordered.
+
+Plan: one scan of the texts, without a shuffle, in which a bitmap of the items'
+seed hashes (at most FILTER_BITS bits, whatever the benchmark's size) drops what
+no item has. Only the seeds left are shuffled, each with its places in one text:
+by hash to meet the items, then by document and item. Rows are as long as a
+document's or an item's own seeds. Items of equal words are one item.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHash, isin_sorted, kept, kept_type, rolling, table, words_of
+from .common import U, WordHash, kept, materialize, mix, rolling, table, words_of
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-BLOCK_BYTES = 4 << 20
+FILTER_BITS = 1 << 26
 CHUNK_WORDS = 1 << 17
 
-def tiles(seeds: list, k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (document position, item position, words) from seeds (document position, item position) of k words."""
-    heap, open_ = [], {}
-    for d, i in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        lane = d - i
-        if lane in open_ and open_[lane][1] == d - 1:
-            open_[lane][1] = d
-        else:
-            if lane in open_:
-                heap.append(open_[lane])
-            open_[lane] = [d, d, i]
-    heap = [(-(last - first + k), first, i) for first, last, i in heap + list(open_.values())]
-    heapq.heapify(heap)
-    in_doc, in_item, out = set(), set(), []
-    while heap:
-        n, d, i = heapq.heappop(heap)
-        n = -n
-        free = [j for j in range(n) if d + j not in in_doc and i + j not in in_item]
-        if len(free) == n:
-            out.append((d, i, n))
-            in_doc.update(range(d, d + n))
-            in_item.update(range(i, i + n))
-            continue
-        start = prev = None
-        for j in [*free, None]:
-            if prev is not None and j == prev + 1:
-                prev = j
-                continue
-            if start is not None and prev - start + 1 >= k:
-                heapq.heappush(heap, (-(prev - start + 1), d + start, i + start))
-            start = prev = j
+
+def seeds_of(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of size words of h; runs of other sizes have other hashes."""
+    return mix(rolling(h, size) + U(size))
+
+
+def longest_run(at: np.ndarray) -> int:
+    """How many neighbours of the ascending at follow one another by 1, at most."""
+    if not len(at):
+        return 0
+    edges = np.flatnonzero(np.r_[True, np.diff(at) != 1, True])
+    return int(np.diff(edges).max())
+
+
+def tiles(doc_at, doc_seed, item_at, item_seed, k: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document word, item word, words) of one pair.
+
+    The places of seeds of k words, ascending, and the seeds, by number. Of
+    equally long matches the first in the document is taken, then in the item.
+    """
+    doc_at, item_at = np.asarray(doc_at, np.int64), np.asarray(item_at, np.int64)
+    doc_seed, item_seed = np.asarray(doc_seed, U), np.asarray(item_seed, U)
+    out = []
+
+    def common(r):
+        """Where runs of r seeds begin that both have, and their hashes."""
+        runs = []
+        for at, seed in ((doc_at, doc_seed), (item_at, item_seed)):
+            first = np.flatnonzero(at[r - 1 :] - at[: len(at) - r + 1] == r - 1)
+            runs.append((first, rolling(seed, r)[first]))
+        (d, hd), (i, hi) = runs
+        here = np.isin(hd, hi)
+        return (d[here], hd[here], i, hi) if here.any() else None
+
+    while top := min(longest_run(doc_at), longest_run(item_at)):
+        low, found, r = 0, None, top
+        while low < r:
+            got = common(r)
+            if got:
+                low, found = r, got
+            else:
+                top = r - 1
+            r = (low + top + 1) // 2
+        if not found:
+            break
+        d, hd, i, hi = found
+        p, q, n = int(doc_at[d[0]]), int(item_at[i[np.flatnonzero(hi == hd[0])[0]]]), low + k - 1
+        out.append((p, q, n))
+        free = (doc_at <= p - k) | (doc_at >= p + n)
+        doc_at, doc_seed = doc_at[free], doc_seed[free]
+        free = (item_at <= q - k) | (item_at >= q + n)
+        item_at, item_seed = item_at[free], item_seed[free]
     return out
 
 
-class Block:
-    """Runs of the items of one block."""
-
-    def __init__(self, items: list[tuple[int, str | None]], k: int):
-        known, self.k = WordHash(), k
-        self.ids, self.sizes, runs, whose, where = [], [], [], [], []
-        for n, (item, text) in enumerate(items):
-            h = known.array(words_of(text))
-            self.ids.append(item)
-            self.sizes.append(len(h))
-            r = rolling(h, k)
-            runs.append(r)
-            whose.append(np.full(len(r), n))
-            where.append(np.arange(len(r)))
-        runs = np.concatenate(runs) if runs else np.empty(0, U)
-        order = np.argsort(runs, kind="stable")
-        self.runs = runs[order]
-        self.whose = np.concatenate(whose)[order] if items else runs
-        self.where = np.concatenate(where)[order] if items else runs
-        bits = max(16, int(len(runs) * 16).bit_length())
-        self.mask = U((1 << bits) - 1)
-        self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[(runs & self.mask).astype(np.int64)] = True
-
-    def hits(self, texts: list, known: WordHash) -> list[list]:
-        """Of each text: [(item, coverage, [[document position, item position, words]...])...]."""
-        out: list[list] = [[] for _ in texts]
-        first, group, n = 0, [], 0
-        for i, text in enumerate([*texts, None]):
-            if n >= CHUNK_WORDS or i == len(texts):
-                self._chunk(first, group, known, out)
-                first, group, n = i, [], 0
-            group.append(words_of(text))
-            n += len(group[-1])
-        return out
-
-    def _chunk(self, first, group, known, out):
-        h = known.array([w for ws in group for w in ws])
-        runs = rolling(h, self.k)
-        at = np.flatnonzero(self.maybe[(runs & self.mask).astype(np.int64)])
-        at = at[isin_sorted(runs[at], self.runs)[0]]
-        if not len(at):
-            return
-        ends = np.cumsum([len(ws) for ws in group])
-        doc = np.searchsorted(ends, at, side="right")
-        inside = at + self.k <= ends[doc]
-        at, doc = at[inside], doc[inside]
-        lo, hi = np.searchsorted(self.runs, runs[at], "left"), np.searchsorted(self.runs, runs[at], "right")
-        pairs: dict = {}
-        for p, d, a, b in zip(at.tolist(), doc.tolist(), lo.tolist(), hi.tolist()):
-            begin = int(ends[d]) - len(group[d])
-            for j in range(a, b):
-                pairs.setdefault((d, int(self.whose[j])), []).append((p - begin, int(self.where[j])))
-        for (d, item), seeds in sorted(pairs.items()):
-            found = tiles(seeds, self.k)
-            out[first + d].append((self.ids[item], sum(t[2] for t in found) / self.sizes[item], [list(t) for t in found]))
+def _item_seeds(k: int):
+    def run(batches):
+        known = WordHash()
+        for batch in batches:
+            out = ([], [], [], [], [])
+            for item, text in zip(batch.column("i").to_pylist(), batch.column("x").to_pylist()):
+                h = known.array(words_of(text))
+                if not len(h):
+                    continue
+                size = min(k, len(h))
+                seeds = seeds_of(h, size)
+                name = int(rolling(h, len(h)).view(np.int64)[0] ^ np.int64(len(h)))
+                for column, values in zip(out, ([item] * len(seeds), [name] * len(seeds), [len(h)] * len(seeds), range(len(seeds)), seeds.view(np.int64).tolist())):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["i", "name", "n", "q", "g"])
 
+    return run
 
-HITS = "array<struct<item_id:bigint,coverage:double,tiles:array<array<bigint>>>>"
 
+def _doc_seeds(sizes: list[int], maybe: np.ndarray):
+    mask = U(len(maybe) - 1)
 
-def _scan(block: Block, at: int):
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.list_(pa.int64())))]))
+    def hits(group, ids, hashes, known):
+        h = known.array([w for ws in group for w in ws])
+        ends = np.cumsum([len(ws) for ws in group])
+        begins = np.r_[0, ends[:-1]]
+        for size in sizes:
+            seeds = seeds_of(h, size) if len(h) >= size else h[:0]
+            at = np.flatnonzero(maybe[(seeds & mask).astype(np.int64)])
+            doc = np.searchsorted(ends, at, side="right")
+            inside = at + size <= ends[doc]
+            at, doc = at[inside], doc[inside]
+            if len(at):
+                which = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([ids.take(which), hashes.take(which), pa.array(at - begins[doc]), pa.array(seeds[at].view(np.int64))], names=["d", "h", "p", "g"])
 
     def run(batches):
         known = WordHash()
         for batch in batches:
-            new = block.hits(batch.column("t").to_pylist(), known)
-            old = batch.column("hits").to_pylist()
-            rows = [[tuple(x.values()) for x in a] + b for a, b in zip(old, new)]
-            rows = [[{"item_id": i, "coverage": c, "tiles": t} for i, c, t in r] for r in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(rows, kind)], names=[*batch.schema.names[:at], "hits"])
+            texts = batch.column("t").to_pylist()
+            first, group, n = 0, [], 0
+            for i, text in enumerate([*texts, None]):
+                if n >= CHUNK_WORDS or i == len(texts):
+                    if n:
+                        yield from hits(group, batch.column("d")[first:i], batch.column("h")[first:i], known)
+                    first, group, n = i, [], 0
+                group.append(words_of(text))
+                n += len(group[-1])
+
+    return run
+
+
+def _tile(k: int, coverage: float):
+    def run(batches):
+        kind = pa.list_(pa.list_(pa.int64()))
+        for batch in batches:
+            out = []
+            for n, pairs in zip(batch.column("n").to_pylist(), batch.column("seeds").to_pylist()):
+                size = min(k, n)
+                sides = []
+                for side in ("ps", "qs"):
+                    at = np.fromiter((x for pair in pairs for x in pair[side]), np.int64)
+                    seed = np.repeat(np.arange(len(pairs)), [len(pair[side]) for pair in pairs])
+                    order = np.argsort(at, kind="stable")
+                    sides += [at[order], seed[order]]
+                # Words of the item in any seed: no tiling marks more.
+                at = sides[2]
+                most = int(np.minimum(np.diff(np.r_[at, at[-1:] + size]), size).sum())
+                out.append([list(t) for t in tiles(*sides, size)] if most >= coverage * n else [])
+            marked = pa.array([sum(t[2] for t in ts) for ts in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("d", "h", "name", "n")] + [marked, pa.array(out, kind)], names=["d", "h", "name", "n", "marked", "tiles"])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, keep: tuple = ()) -> DataFrame:
+def _filter(grams: DataFrame, total: int, most_bits: int) -> np.ndarray:
+    """One flag for each low part of a seed hash that occurs."""
+    bits = 1 << 16
+    while bits < min(16 * total, most_bits):
+        bits *= 2
+    low = F.col("g").bitwiseAND(F.lit(bits - 1))
+    words = grams.groupBy(F.shiftright(low, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(31)).cast("int"))).alias("set"))
+    out = np.zeros(bits // 32, np.uint32)
+    for r in words.toLocalIterator():
+        out[r["at"]] = r["set"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", min_match=MIN_MATCH, coverage=COVERAGE, filter_bits=FILTER_BITS
+) -> DataFrame:
+    """(d, h, best_coverage, hits) of the documents that give items away: by id and xxhash64 of the text."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("binary").alias("x"))
+    grams = items.mapInArrow(_item_seeds(min_match), "i long, name long, n long, q long, g long")
+    # Of items of equal words the smallest id speaks for all; the seeds of one stay.
+    grams = grams.groupBy("name", "n", "q", "g").agg(F.min("i").alias("item_id"), F.count("*").alias("n_items"))
+    grams = materialize(grams, "item-seeds")
+    sizes = sorted(r["size"] for r in grams.select(F.least("n", F.lit(min_match)).cast("int").alias("size")).distinct().collect())
+    maybe = _filter(grams, grams.count(), filter_bits)
+    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("t"))
+    seeds = texts.withColumn("h", F.xxhash64("t")).mapInArrow(_doc_seeds(sizes, maybe), "d long, h long, p long, g long")
+    seeds = materialize(seeds.groupBy("d", "h", "g").agg(F.collect_set("p").alias("ps")), "seeds")
+    sought = materialize(grams.groupBy("name", "n", "g").agg(F.collect_list("q").alias("qs")), "sought")
+    pairs = seeds.join(sought, "g").groupBy("d", "h", "name", "n").agg(F.collect_list(F.struct("ps", "qs")).alias("seeds"))
+    tiled = pairs.mapInArrow(_tile(min_match, coverage), "d long, h long, name long, n long, marked long, tiles array<array<long>>")
+    known = grams.where("q = 0").select("name", "n", "item_id", "n_items")
+    hit = tiled.withColumn("coverage", F.col("marked") / F.col("n")).where(F.col("coverage") >= coverage).join(known, ["name", "n"])
+    hits = F.array_sort(F.collect_list(F.struct("item_id", "n_items", "coverage", "tiles")))
+    return materialize(hit.groupBy("d", "h").agg(F.max("coverage").alias("best_coverage"), hits.alias("hits")), "leaks")
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    min_match: int = MIN_MATCH, coverage: float = COVERAGE, filter_bits: int = FILTER_BITS, keep: tuple = (),
+) -> DataFrame:
     """Which benchmark items each document gives away.
 
-    Returns a row per input row: doc_id, text, contaminated, best_coverage
-    (0 without a seed) and hits (item_id, coverage, tiles as [document word,
-    item word, words]) of every item with a seed. Contaminated: an item's
-    coverage is at least the threshold. Null or empty texts have no words and no
-    hits, on either side; items of fewer than min_match words are never found.
-    Repeated rows each get their result; repeated items each count. Null ids
-    are carried; items with null ids count too. Columns named in keep come back as
-    the struct kept; others are ignored. Empty tables give no rows, or no hits.
+    Returns a row per input row: doc_id, text, contaminated, best_coverage and
+    hits (item_id, n_items, coverage, tiles as [document word, item word,
+    words]) of the items whose coverage is at least the threshold; without one,
+    0 and null. Items of equal words are one hit, with the smallest id and their
+    number. An item of fewer than min_match words is found where it stands
+    whole. Null and empty texts, and texts without words, have no hits, on
+    either side. Repeated rows each get their result. Ids are cast to long (an
+    id that is no integer fails); null ids are carried, and an item with a null
+    id counts. Of equally long matches the first in the document is marked
+    first, then the first in the item. Texts are read as bytes, so they need not
+    be valid UTF-8; a text of any length is one row of the scan. Columns named
+    in keep come back as the struct kept; others are ignored, whatever their
+    names. Empty tables give no rows, or no hits.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("x")).where("x <> ''")
-    total = items.agg(F.sum(F.octet_length("x"))).first()[0] or 0
-    n = max(1, -(-total * 5 // 4 // block_bytes))
-    found = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), kept(docs, keep).alias("k"), F.array().cast(HITS).alias("hits"))
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "x"), F.lit(n)) == b)
-        block = Block([tuple(r) for r in part.orderBy("i", "x").collect()], min_match)
-        found = found.mapInArrow(_scan(block, 3), f"d long, t string, k {kept_type(docs, keep)}, hits {HITS}")
-    best = F.coalesce(F.array_max(F.transform("hits", lambda x: x["coverage"])), F.lit(0.0))
-    return found.select(F.col("d").alias("doc_id"), F.col("t").alias("text"), (best >= coverage).alias("contaminated"), best.alias("best_coverage"), "hits", *([F.col("k").alias("kept")] if keep else []))
+    found = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, min_match, coverage, filter_bits).alias("r")
+    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), kept(docs, keep).alias("kept")).withColumn("h", F.xxhash64(F.col("t").cast("binary")))
+    out = base.alias("l").join(found, F.col("l.d").eqNullSafe(F.col("r.d")) & (F.col("l.h") == F.col("r.h")), "left")
+    return out.select(
+        F.col("l.d").alias("doc_id"), F.col("l.t").alias("text"), F.col("r.hits").isNotNull().alias("contaminated"),
+        F.coalesce("best_coverage", F.lit(0.0)).alias("best_coverage"), "hits", *([F.col("l.kept")] if keep else []),
+    )
 
 
 def op7_decontaminate(spark, sf_dir):
     """The documents that give items away, with the items."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")
-    leaked = F.transform(F.filter("hits", lambda x: x["coverage"] >= COVERAGE), lambda x: x["item_id"])
-    return found.select("doc_id", "contaminated", F.round("best_coverage", 6).alias("best_coverage"), F.array_sort(F.array_distinct(leaked)).alias("items"))
+    return found.select("doc_id", "contaminated", F.round("best_coverage", 6).alias("best_coverage"), F.array_sort(F.transform("hits", lambda x: x["item_id"])).alias("items"))

@@ -10,7 +10,7 @@ from codequarry.llm import chat_format as C
 from codequarry.llm import toxicity as T
 from codequarry.llm import url_filter as W
 from codequarry.llm.common import words_of
-from codequarry.llm.decontaminate import Block, decontaminate, tiles
+from codequarry.llm.decontaminate import decontaminate, tiles
 
 
 def brute_cost(roles):
@@ -63,46 +63,93 @@ def test_chats(spark, crowd, run):
     assert C.repair_chats(df.where("false")).count() == 0
 
 
-def test_tiles_catch_reordered_passages():
-    item = [f"a{i}" for i in range(30)]
-    doc = ["z"] * 4 + item[15:] + ["y"] * 3 + item[:15] + ["q"]
-    block = Block([(7, " ".join(item)), (8, None), (9, "too short")], 5)
-    (hits,) = block.hits([" ".join(doc)], __import__("codequarry.llm.common", fromlist=["WordHash"]).WordHash())
-    assert [(h[0], h[1]) for h in hits] == [(7, 1.0)]
+def numbered(doc, item, k):
+    """Places and numbers of the runs of k words that both have."""
+    runs = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    both = sorted(set(runs(doc)) & set(runs(item)))
+    at = [[i for i, r in enumerate(runs(w)) if r in both] for w in (doc, item)]
+    return at[0], [both.index(runs(doc)[i]) for i in at[0]], at[1], [both.index(runs(item)[i]) for i in at[1]]
+
+
+def plain_tiles(doc, item, k):
+    used_d, used_i, out = set(), set(), []
+    while True:
+        best = None
+        for d, i in itertools.product(range(len(doc)), range(len(item))):
+            n = 0
+            while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and d + n not in used_d and i + n not in used_i:
+                n += 1
+            if n >= k and (best is None or (-n, d, i) < best):
+                best = (-n, d, i)
+        if best is None:
+            return out
+        n, d, i = -best[0], best[1], best[2]
+        out.append((d, i, n))
+        used_d.update(range(d, d + n))
+        used_i.update(range(i, i + n))
 
 
 def test_tiles_match_plain_greedy():
     rng = random.Random(9)
-    for _ in range(200):
-        k = 2
-        doc, item = [rng.choice("abc") for _ in range(14)], [rng.choice("abc") for _ in range(9)]
-        seeds = [(d, i) for d in range(len(doc) - k + 1) for i in range(len(item) - k + 1) if doc[d : d + k] == item[i : i + k]]
-        got = tiles(seeds, k)
-        used_d, used_i, want = set(), set(), []
-        while True:
-            best = None
-            for d, i in itertools.product(range(len(doc)), range(len(item))):
-                n = 0
-                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and d + n not in used_d and i + n not in used_i:
-                    n += 1
-                if n >= k and (best is None or (-n, d, i) < best):
-                    best = (-n, d, i)
-            if best is None:
-                break
-            n, d, i = -best[0], best[1], best[2]
-            want.append((d, i, n))
-            used_d.update(range(d, d + n))
-            used_i.update(range(i, i + n))
-        assert got == want
-
-
-def test_decontaminate(spark, docs, texts, crowd, none):
+    for _ in range(300):
+        k = rng.choice([1, 2, 3])
+        doc, item = [rng.choice("abc") for _ in range(rng.randrange(18))], [rng.choice("abc") for _ in range(rng.randrange(1, 10))]
+        assert tiles(*numbered(doc, item, k), k) == plain_tiles(doc, item, k)
+
+
+def brute_leaks(docs, items, k=5, coverage=0.5):
+    """(best coverage, items) of each text, over all items."""
+    out = []
+    for _, text in docs:
+        w, found = words_of(text), []
+        for item, x in items:
+            y = words_of(x)
+            if y and any(w[i : i + min(k, len(y))] == y[j : j + min(k, len(y))] for i in range(len(w)) for j in range(len(y) - min(k, len(y)) + 1) if w[i] == y[j]):
+                share = sum(n for _, _, n in plain_tiles(w, y, min(k, len(y)))) / len(y)
+                found += [(share, item)] if share >= coverage else []
+        out.append((max((s for s, _ in found), default=0.0), {i for _, i in found}))
+    return out
+
+
+def test_decontaminate_matches_brute_force(spark, crowd):
+    rng = random.Random(17)
+    make = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    items = [(i, " ".join(make(rng.choice([1, 2, 4, 5, 9, 20, 30])))) for i in range(25)] + [(25, None), (26, ""), (27, " .! ")]
+    stock = make(6)
+    items += [(30 + i, " ".join(stock + make(5))) for i in range(4)]
+    docs = []
+    for i in range(60):
+        w = make(rng.randrange(60))
+        for _ in range(rng.randrange(3)):
+            x = rng.choice(items)[1]
+            x = (x or "").split()
+            cut = rng.randrange(len(x) + 1)
+            w[5:5] = x[cut:] + make(2) + x[:cut]
+        docs.append((i if i % 7 else None, " ".join(w + stock * (i % 2))))
+    docs += [(100, None), (101, ""), docs[3], docs[0]]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(i, round(best, 9), tuple(sorted(found))) for (i, _), (best, found) in zip(docs, brute_leaks(docs, items))], key=str)
+    for bits in (1 << 26, 1 << 16):
+        got = decontaminate(crowd(df), crowd(bench), filter_bits=bits).collect()
+        assert sorted([(r.doc_id, round(r.best_coverage, 9), tuple(sorted(h.item_id for h in r.hits or []))) for r in got], key=str) == want
+        assert all(r.contaminated == bool(r.hits) for r in got)
+
+
+def test_decontaminate_reordered_repeated_and_odd(spark, docs, texts, crowd, none):
     passage = next(t for i, t in texts if i == 20).split("\n")
-    items = spark.createDataFrame([(1, " ".join(passage[1:4])), (2, None), (3, ""), (4, "never seen words at all here"), (1, " ".join(passage[1:4])), (None, "x y")], "item_id long, text string")
-    for block in (1 << 20, 64):
-        got = {r.doc_id: r for r in decontaminate(crowd(docs), crowd(items), block_bytes=block, keep=("source",)).collect() if r.doc_id not in (9, None)}
+    item = " ".join(passage[1:4])
+    rows = [(1, item), (2, None), (3, ""), (4, "never seen words at all here"), (None, "x y")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    many = items.union(spark.range(100_000).selectExpr("id + 10 as item_id").crossJoin(items.where("item_id = 1").select("text")))
+    for bench, n in ((items, 1), (many, 100_001)):
+        got = {r.doc_id: r for r in decontaminate(crowd(docs), crowd(bench), keep=("source",)).collect() if r.doc_id not in (9, None)}
         assert {i for i, r in got.items() if r.contaminated} >= {20} and not got[7].contaminated and not got[1].hits
-        assert got[20].best_coverage == 1.0 and got[20].kept.source in ("s1", "s2", "s3", "s4", None)
+        assert got[20].best_coverage == 1.0 and [(h.item_id, h.n_items) for h in got[20].hits] == [(1, n)] and got[20].kept.source in ("s1", "s2", "s3", "s4", None)
+    half = item.split()
+    turned = " ".join(["z"] * 4 + half[15:] + ["y"] * 3 + half[:15] + ["q"])
+    odd = spark.createDataFrame([(1, bytearray(turned.encode() + b" \xff\xfe")), (2, bytearray(b"\xff x y"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    got = {r.doc_id: [(h.item_id, h.coverage) for h in r.hits] for r in decontaminate(odd, items).select("doc_id", "hits").collect()}
+    assert got == {1: [(1, 1.0)], 2: [(None, 1.0)]}
     assert decontaminate(none, items).count() == 0
     assert not any(r.contaminated for r in decontaminate(docs, items.where("false")).collect())
     assert words_of("A-b,ÉC 9!") == [b"a", b"b", "Éc".encode(), b"9"]

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tests.llm.test_chat_filter_score import brute_leaks
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +30,11 @@ def test_leaks_are_documents_with_whole_items(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     whole = {d for d, t in texts.items() if any(x in t for x in items.values())}
     assert whole <= {r.doc_id for r in rows} and all(r.contaminated and r.best_coverage >= 0.5 and r["items"] for r in rows)
+
+
+def test_leaks_match_brute_force_over_all_documents_and_items(spark):
+    rows = {r.doc_id: (r.best_coverage, set(r["items"])) for r in entry.queries()["op7_decontaminate"](spark, SF).collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {i: (round(best, 6), found) for (i, _), (best, found) in zip(docs, brute_leaks(docs, items)) if found}
+    assert rows == want
