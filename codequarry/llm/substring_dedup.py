@@ -35,6 +35,7 @@ MIN_WORDS = 35
 GRAM = 12
 BUCKET_BYTES = 6 << 20
 CHUNK_WORDS = 1 << 18
+MOST_COPIES = 1024
 ROW_BYTES = 64  # what a row without text counts for
 PLACE = 32  # bits of a place for the word within its block
 
@@ -250,12 +251,12 @@ def _parse(size: int, gram: int):
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
-    """(d, t, h, b): rows dealt by text, those of a text that fills half a block or more also by row."""
+    """(d, t, h, b): rows dealt by text; those of a text that fills half a block, or stands in MOST_COPIES rows, also by row."""
     n = bucket_count(docs, text_col, bucket_bytes)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
     size = F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + ROW_BYTES)
-    splits = F.ceil(2 * size / bucket_bytes)
+    splits = F.greatest(F.ceil(2 * size / bucket_bytes), F.ceil(F.count("*") / MOST_COPIES))
     hot = materialize(rows.groupBy("h").agg(splits.alias("splits")).where("splits > 1"), "hot")
     salt = F.lit(0).cast("long")
     if not hot.isEmpty():
