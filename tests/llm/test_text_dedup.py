@@ -115,18 +115,20 @@ def test_substrings_of_nothing(none):
     assert substring_dedup(none).count() == 0
 
 
-def brute_lines(rows, size=3):
+def brute_lines(rows, size=3, min_words=50):
     seen, order = set(), sorted({(i, t) for i, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
     gone = {}
     for i, t in order:
         ls = t.split("\n")
-        at = [n for n, x in enumerate(ls) if x.strip()]
+        at = [n for n, x in enumerate(ls) if x.strip(" \t\n\r\x0b\f")]
         out = set()
-        for k in range(len(at) - size + 1):
-            run = tuple(ls[n] for n in at[k : k + size])
-            if run in seen:
-                out.update(at[k : k + size])
-            seen.add(run)
+        for k in range(len(at)):
+            for few in range(1, size + 1):
+                run = tuple(ls[n] for n in at[k : k + few])
+                if len(run) == few and (few == size or min_words and len(" ".join(run).split()) >= min_words):
+                    if run in seen:
+                        out.update(at[k : k + few])
+                    seen.add(run)
         gone[i, t] = out
     return sorted([(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t]) if t is not None else None, len(gone[i, t]) if t is not None else 0) for i, t in rows], key=str)
 
@@ -136,6 +138,25 @@ def test_lines_match_brute_force(docs, texts, crowd):
     assert got == brute_lines(texts)
 
 
+@pytest.mark.parametrize("min_lines,min_words", [(3, 50), (3, None), (4, 7), (2, 5), (1, None)])
+def test_runs_of_few_kinds_of_lines_match_brute_force(spark, min_lines, min_words):
+    """Lines that repeat all the time, in and across texts, with ties of hashes."""
+    rng = random.Random(21)
+    kinds = ["a", "b b b", "c c c c c c", "d e f", "", " \t "] + [f"only {i}" for i in range(12)]
+    rows = [(i, "\n".join(rng.choice(kinds) for _ in range(rng.randrange(12)))) for i in range(60)] + [(70, "a\n" * 300), (71, "a\n" * 40), (72, None), (73, "")]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=min_lines, min_words=min_words).collect()
+    assert sorted([(r.doc_id, r.text, r.n_removed) for r in got], key=str) == brute_lines(rows, min_lines, min_words)
+
+
+def test_lines_of_a_hot_row_and_of_bytes_that_are_no_text(spark):
+    hot = "one\ntwo\nthree\nfour"
+    rows = [(None, bytearray(hot.encode()))] * 60 + [(None, None)] * 40 + [(1, bytearray(b"x\n" + hot.encode())), (2, bytearray(b"\xff a\n\xfe b\nc")), (3, bytearray(b"\xff a\n\xfe b\nc\n\xff"))]
+    df = spark.createDataFrame(rows, "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    got = line_dedup(df).selectExpr("doc_id", "cast(text as binary) as text", "n_removed").collect()
+    assert len(got) == len(rows) and all(r.n_removed == 0 for r in got if r.doc_id is None)
+    assert {r.doc_id: (bytes(r.text), r.n_removed) for r in got if r.doc_id} == {1: (b"x", 4), 2: (b"\xff a\n\xfe b\nc", 0), 3: ("\ufffd".encode(), 3)}
+
+
 def test_one_or_two_long_lines_are_a_run(spark):
     rng = random.Random(8)
     make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
