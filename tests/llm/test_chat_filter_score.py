@@ -219,7 +219,7 @@ def test_url_rules(spark, crowd):
     assert W.url_filter(df.where("false")).count() == 0
 
 
-def brute_rank(seed, edges, nodes, damping=0.85):
+def brute_rank(seed, edges, nodes, damping=W.DAMPING):
     out = defaultdict(float)
     for (a, _), n in edges.items():
         out[a] += n
@@ -242,7 +242,7 @@ def test_propagation_matches_brute_force(spark):
     edges = {k: v for k, v in edges.items() if k[0] != k[1]}
     trust, distrust = {h: float(rng.randrange(3)) for h in hosts[:8]}, {h: float(rng.randrange(2)) for h in hosts[:8]}
     seeds = spark.createDataFrame([(h, trust[h], distrust[h]) for h in hosts[:8]], "host string, trust double, distrust double")
-    got = {r.host: r for r in W.propagate(seeds, spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long"), rounds=100).collect()}
+    got = {r.host: r for r in W.propagate(seeds, spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long"), open_=1e-8).collect()}
     nodes = set(hosts[:8]) | {x for e in edges for x in e}
     a, b = brute_rank(trust, edges, nodes), brute_rank(distrust, {(y, x): n for (x, y), n in edges.items()}, nodes)
     assert set(got) == nodes
@@ -252,5 +252,19 @@ def test_propagation_matches_brute_force(spark):
 def test_verdict_follows_links(spark):
     bad = [(i, f"http://bad.org/es/{i}", "") for i in range(5)] + [(10 + i, f"http://good.net/de/{i}", "") for i in range(5)]
     shady = [(20 + i, f"http://shady.info/{i}", '<a href="http://bad.org/es/1">') for i in range(3)] + [(30 + i, f"http://fine.info/{i}", "<a href='http://GOOD.net/de/1'>") for i in range(3)]
+    # Without a scheme, links to //host are links too; links of a path alone are not.
+    shady += [(40, "http://loose.info/", '<a HREF = "//bad.org/es/">'), (41, "http://calm.info/", '<a href="/bad.org/es/1">x</a><a href="bad.org">')]
+    # Names vouch for each other: a page without a rule, on a host without any ruled page.
+    shady += [(50, "http://new.bad.org/en/1", ""), (51, "http://deep.new.bad.org/", None), (52, "http://10.0.0.1/", "")]
     got = {r.page_id: r.verdict for r in W.url_filter(spark.createDataFrame(bad + shady, "page_id long, url string, html string")).collect()}
-    assert {got[i] for i in (20, 21, 22)} == {"block"} and {got[i] for i in (30, 31, 32)} == {"allow"}
+    assert {got[i] for i in (20, 21, 22, 40, 50)} == {"block"} and {got[i] for i in (30, 31, 32, 41, 52)} == {"allow"}
+
+
+def test_far_hosts_get_rank_and_rounds_follow_the_precision(spark):
+    n = 25
+    seeds = spark.createDataFrame([("h0", 0.0, 1.0)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1) for i in range(n)], "src string, dst string, n long")
+    got = {r.host: r.distrust for r in W.propagate(seeds, edges, open_=1e-9).collect()}
+    want = brute_rank({"h0": 1.0}, {(f"h{i}", f"h{i + 1}"): 1 for i in range(n)}, [f"h{i}" for i in range(n + 1)])
+    assert all(abs(got[h] - want[h]) < 1e-9 for h in want) and got["h20"] > 0
+    assert [W.rounds_for(x) for x in (0.5, 0.25, 1e-9)] == [1, 2, 30]

@@ -1,7 +1,10 @@
+from collections import Counter
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from codequarry.llm import url_filter as W
 from tests.llm.test_chat_filter_score import brute_leaks
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +41,16 @@ def test_leaks_match_brute_force_over_all_documents_and_items(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = {i: (round(best, 6), found) for (i, _), (best, found) in zip(docs, brute_leaks(docs, items)) if found}
     assert rows == want
+
+
+def test_links_and_names_change_verdicts_of_the_registered_query(spark):
+    """Verdicts of pages without a rule are not just the votes of their host's own ruled pages."""
+    sf = "/root/testdata/sf0.01"
+    pages = entry.queries()["op10_url_filter"](spark, sf).collect()
+    votes, own = Counter(), Counter(r.host for r in pages if r.host)
+    for r in pages:
+        if r.rule:
+            votes[r.host, r.verdict] += 1
+    total = {v: sum(n for (_, w), n in votes.items() if w == v) for v in ("allow", "block")}
+    alone = lambda h: votes[h, "block"] / total["block"] >= max(2 * votes[h, "allow"] / total["allow"], W.LEAST * own[h] / sum(own.values()))
+    assert any((r.verdict == "block") != alone(r.host) for r in pages if not r.rule and r.host)
