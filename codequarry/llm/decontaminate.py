@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHash, kept, materialize, mix, rolling, table, words_of
+from .common import U, WordHash, kept, low_bits, materialize, mix, rolling, table, words_of
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -159,19 +159,6 @@ def _tile(k: int, coverage: float):
     return run
 
 
-def _filter(grams: DataFrame, total: int, most_bits: int) -> np.ndarray:
-    """One flag for each low part of a seed hash that occurs."""
-    bits = 1 << 16
-    while bits < min(16 * total, most_bits):
-        bits *= 2
-    low = F.col("g").bitwiseAND(F.lit(bits - 1))
-    words = grams.groupBy(F.shiftright(low, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(31)).cast("int"))).alias("set"))
-    out = np.zeros(bits // 32, np.uint32)
-    for r in words.toLocalIterator():
-        out[r["at"]] = r["set"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", min_match=MIN_MATCH, coverage=COVERAGE, filter_bits=FILTER_BITS
 ) -> DataFrame:
@@ -182,7 +169,7 @@ def leaks(
     grams = grams.groupBy("name", "n", "q", "g").agg(F.min("i").alias("item_id"), F.count("*").alias("n_items"))
     grams = materialize(grams, "item-seeds")
     sizes = sorted(r["size"] for r in grams.select(F.least("n", F.lit(min_match)).cast("int").alias("size")).distinct().collect())
-    maybe = _filter(grams, grams.count(), filter_bits)
+    maybe = low_bits(grams, "g", grams.count(), filter_bits)
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("t"))
     seeds = texts.withColumn("h", F.xxhash64("t")).mapInArrow(_doc_seeds(sizes, maybe), "d long, h long, p long, g long")
     seeds = materialize(seeds.groupBy("d", "h", "g").agg(F.collect_set("p").alias("ps")), "seeds")
