@@ -1,17 +1,19 @@
 """Exact top-k search by inner product over a bit-sliced index.
 
-Rows are dealt into blocks. In a block every component is an attribute kept in
-bit slices: one bitmap over the block's rows for each bit of the component,
-less its DROPPED lowest bits (quantised, shifted to be non-negative). A query
-adds the slices weighted by its components: slice i of a component times digit
-j of the query's goes to weight i + j, complemented where the digit is
-negative, and carry-save adders reduce the bitmaps of a weight to one. From the
-sums' most significant slice downward the usual walk finds the k-th largest
-quantised score; every row within twice the quantisation's error of it is a
-boundary row, and these are resolved with exact integer products. So a block's
-k best are exact, ties by smaller id, and the k best of all blocks are too.
-
-Each query block meets each row block in one task; tasks give k rows a query,
+Rows are dealt into blocks, and each block is indexed once and written. In a
+block every component is an attribute kept in bit slices: one bitmap over the
+block's rows for each bit of the component, less its DROPPED lowest bits
+(quantised, shifted to be non-negative). A query adds the slices weighted by its
+components: slice i of a component times digit j of the query's goes to weight
+i + j, complemented where the digit is negative, and carry-save adders reduce
+the bitmaps of a weight to one. From the sums' most significant slice downward
+the usual walk finds the k-th largest quantised score; every row within twice
+the quantisation's error of it is a boundary row, and these are resolved with
+exact integer products. So a block's k best are exact, ties by smaller id, and
+the k best of all blocks are too.
+
+Queries are sent to the written blocks, QUERIES_A_TASK at most to a task; a
+block is read once for each such group of queries. Tasks give k rows a query,
 and a window takes the k best of them.
 """
 
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 K, SCALE = 10, 1024
-ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 8192, 1024, 12
+BLOCK_NUMBERS, QUERIES_A_TASK = 1 << 22, 1 << 14  # components of a row block; queries that one task asks it
 DROPPED = 4
 U8 = np.uint64
 
@@ -106,11 +108,31 @@ class SlicedBlock:
         n = len(ids)
         self.words = -(-n // 64)
         high = x >> dropped
-        self.low = high.min(0)
-        moved = high - self.low
-        self.width = np.array([int(m).bit_length() for m in moved.max(0)])
-        self.valid = self._pack(np.ones((1, n), np.uint8))[0]
-        self.slices = [self._pack(((moved[:, d][None, :] >> np.arange(b)[:, None]) & 1).astype(np.uint8)) for d, b in enumerate(self.width)]
+        moved = high - high.min(0)
+        width = [int(m).bit_length() for m in moved.max(0)]
+        self.slices = [self._pack(((moved[:, d][None, :] >> np.arange(b)[:, None]) & 1).astype(np.uint8)) for d, b in enumerate(width)]
+        self._rest()
+
+    def _rest(self):
+        self.valid = self._pack(np.ones((1, len(self.ids)), np.uint8))[0]
+        self.reach = [max(abs(int(a)), abs(int(b))) for a, b in zip(self.x.min(0), self.x.max(0))]
+
+    def row(self) -> dict:
+        """What is written: ids, components in as few bytes as they need, and slices."""
+        most = max(self.reach, default=0)
+        kind = next(t for t in ("<i2", "<i4", "<i8") if most <= np.iinfo(t).max)
+        return {"ids": self.ids.tobytes(), "kind": kind, "x": self.x.astype(kind).tobytes(), "width": [len(s) for s in self.slices], "slices": b"".join(s.tobytes() for s in self.slices)}
+
+    @classmethod
+    def read(cls, row: dict, dropped: int):
+        self = cls.__new__(cls)
+        self.ids, self.dropped = np.frombuffer(row["ids"], np.int64), dropped
+        self.x = np.frombuffer(row["x"], row["kind"]).reshape(len(self.ids), -1 if row["x"] else 0).astype(np.int64)
+        self.words = -(-len(self.ids) // 64)
+        every = np.frombuffer(row["slices"], U8).reshape(-1, self.words)
+        self.slices = np.split(every, np.cumsum(row["width"])[:-1]) if row["width"] else []
+        self._rest()
+        return self
 
     def _pack(self, bits: np.ndarray) -> np.ndarray:
         out = np.zeros((len(bits), self.words * 64), np.uint8)
@@ -137,7 +159,7 @@ class SlicedBlock:
             rows = rows[self.ids[rows] != own]
             k -= int((self.ids == own).sum())
         # By Python's integers where a sum, or a part of one, could leave 63 bits.
-        wide = sum(max(abs(int(a)), abs(int(b))) * abs(int(w)) for a, b, w in zip(self.x.min(0), self.x.max(0), q)) >> 63
+        wide = sum(r * abs(int(w)) for r, w in zip(self.reach, q)) >> 63
         scores = self.x[rows].astype(object) @ q.astype(object) if wide else self.x[rows] @ q
         if len(rows) > k:
             cut = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -148,18 +170,29 @@ class SlicedBlock:
         return self.ids[rows[order]], scores[order].astype(np.int64)
 
 
+def _vectors(t, n: int):
+    return t["id"].to_numpy(), t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), n).astype(np.int64)
+
+
+INDEX = pa.schema([("n", pa.int32()), ("r", pa.int32()), ("ids", pa.binary()), ("kind", pa.string()), ("x", pa.binary()), ("width", pa.list_(pa.int32())), ("slices", pa.binary())])
+
+
+def _build(dropped: int):
+    def run(key, rows):
+        n, r = (k.as_py() for k in key)
+        return pa.Table.from_pylist([{"n": n, "r": r} | SlicedBlock(*_vectors(rows, n), dropped).row()], INDEX)
+
+    return run
+
+
 def _search(k: int, dropped: int):
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def vectors(t):
-        flat = t["x"].combine_chunks()
-        return np.asarray(t["id"].to_numpy()), flat.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1).astype(np.int64) if len(t) else None
-
-    def run(key, queries, rows):
+    def run(key, queries, index):
         got = ([], [], [])
-        if len(queries) and len(rows):
-            block = SlicedBlock(*vectors(rows), dropped)
-            ids, vs = vectors(queries)
+        if len(queries) and len(index):
+            block = SlicedBlock.read(index.to_pylist()[0], dropped)
+            ids, vs = _vectors(queries, key[0].as_py())
             for own, q in zip(ids.tolist(), vs):
                 found, scores = block.search(q, k, own)
                 got[0].append(np.full(len(found), own))
@@ -170,32 +203,46 @@ def _search(k: int, dropped: int):
     return run
 
 
-def topk_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, dropped: int = DROPPED) -> DataFrame:
+def topk_search(
+    vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE,
+    block_numbers: int = BLOCK_NUMBERS, queries_a_task: int = QUERIES_A_TASK, dropped: int = DROPPED,
+) -> DataFrame:
     """The k rows of vectors with the largest integer inner product, for each query.
 
     Components become floor(scale * x). Returns query_id, rank (from 1), vec_id,
     score; ties go to the smaller vec_id; fewer than k rows where there are
     fewer. A query never finds rows of its own id. Vectors of each length are
-    searched among themselves. Rows with a null id, a null vector, an empty one,
-    or one with a null or non-finite component take no part. Rows that repeat an
-    id are candidates of their own; of repeated queries the smallest vector is
-    asked. A scaled component beyond 62 bits, and a score beyond 64 among a
-    block's best, raise an error. Empty tables give an empty result.
+    searched among themselves, empty ones too (all their scores are 0). Rows
+    with a null id, a null vector, or one with a null or non-finite component
+    take no part. Ids are cast to long (an id that is no integer fails). Rows
+    that repeat an id are candidates of their own, however many; of repeated
+    queries the smallest vector is asked. A scaled component beyond 62 bits, and
+    a score beyond 64 among a block's best, raise an error. Other columns are
+    ignored, whatever their names. Empty tables give an empty result. Rows are
+    dealt by their order in vectors, which should be read from files; the result
+    does not depend on how they are dealt.
     """
-    ok = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fits = lambda x: F.when(F.abs(x * scale) < float(1 << 62), F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("a scaled component does not fit 62 bits")).cast("long"))
 
     def whole(df):
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(ok)
         return df.select("id", F.size("v").alias("n"), F.transform("v", fits).alias("x"))
 
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     rows, asked = whole(vectors), whole(queries).groupBy("id").agg(F.min(F.struct("x", "n")).alias("q")).select("id", "q.n", "q.x")
-    blocks = lambda df, size, least, name: df.groupBy("n").agg(F.greatest(F.lit(least), F.ceil(F.count("*") / size)).cast("int").alias(name))
-    dealing = F.broadcast(blocks(rows, row_block, LEAST_BLOCKS, "n_rows").join(blocks(asked, query_block, 1, "n_asked"), "n"))
+    blocks = rows.groupBy("n").agg(F.ceil(F.count("*") * F.greatest("n", F.lit(1)) / block_numbers).cast("int").alias("n_rows"))
+    many = asked.groupBy("n").agg(F.count("*").alias("asked"))
+    # Enough groups of queries that all tasks have work where there are few blocks, and no more than queries.
+    groups = F.greatest(F.ceil(F.col("asked") / queries_a_task), F.least("asked", F.ceil(F.lit(2 * parts) / F.col("n_rows"))))
+    dealing = materialize(blocks.join(many, "n").select("n", "n_rows", groups.cast("int").alias("n_asked")), "dealing")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = rows.join(dealing, "n").select("n", "id", "x", F.pmod(F.xxhash64("id"), F.col("n_rows")).cast("int").alias("r"), every("n_asked").alias("a"))
+    dealt = rows.withColumn("o", F.monotonically_increasing_id()).join(dealing, "n").select("n", F.pmod("o", "n_rows").cast("int").alias("r"), "id", "x")
+    index = dealt.groupBy("n", "r").applyInArrow(_build(dropped), "n int, r int, ids binary, kind string, x binary, width array<int>, slices binary")
+    index = materialize(index, "index")
+    held = index.join(dealing, "n").select(*index.columns, every("n_asked").alias("a"))
     sent = asked.join(dealing, "n").select("n", "id", "x", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_asked")).cast("int").alias("a"), every("n_rows").alias("r"))
-    near = sent.groupBy("n", "a", "r").cogroup(dealt.groupBy("n", "a", "r")).applyInArrow(_search(k, dropped), "query_id long, vec_id long, score long")
+    near = sent.groupBy("n", "a", "r").cogroup(held.groupBy("n", "a", "r")).applyInArrow(_search(k, dropped), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

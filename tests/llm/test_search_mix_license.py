@@ -30,14 +30,14 @@ def test_sliced_block_is_exact(dropped):
 
 def test_search_edges(spark, crowd):
     rng = random.Random(1)
-    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(50)] + [(50, None), (51, [0.1, None, 0.2, 0.3]), (52, [float("nan"), 0.0, 0.0, 0.0]), (53, [float("inf"), 0.0, 0.0, 0.0]), (54, []), (None, [0.5] * 4), (55, [0.5, 0.5]), (7, [0.9] * 4)]
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(50)] + [(50, None), (51, [0.1, None, 0.2, 0.3]), (52, [float("nan"), 0.0, 0.0, 0.0]), (53, [float("inf"), 0.0, 0.0, 0.0]), (54, []), (60, []), (56, []), (None, [0.5] * 4), (55, [0.5, 0.5]), (7, [0.9] * 4)]
     df = crowd(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = topk_search(df, df.where("vec_id % 10 = 0"), row_block=7, query_block=2)
-    ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v)]
+    got = topk_search(df, df.where("vec_id % 10 = 0"), block_numbers=28, queries_a_task=2)
+    ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, v in ok:
         if q % 10 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:10]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(w) == len(v))[:10]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == sorted(want)
     assert topk_search(df.where("false"), df.where("false")).count() == 0
@@ -49,7 +49,7 @@ def test_search_takes_all_lengths_and_large_components(spark):
     rows = [(i, [rng.uniform(-1, 1) * 10 ** rng.choice([0, 3, 5]) for _ in range(2 + i % 3)]) for i in range(60)] + [(60 + i, [rng.uniform(-1, 1) * 1e5, -2.5e6 - i]) for i in range(5)]
     rows += [(70, [1e7, 2.0, 3.0, 4.0]), (0, [0.5, 0.25, 1.0]), (0, [-0.5, 9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk_search(df, df.where("vec_id % 5 = 0"), row_block=7, query_block=2)
+    got = topk_search(df, df.where("vec_id % 5 = 0"), block_numbers=28, queries_a_task=2)
     ints = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
     want = []
     for q in sorted({i for i, _ in rows if i % 5 == 0}):
@@ -63,6 +63,22 @@ def test_search_takes_all_lengths_and_large_components(spark):
             topk_search(late, late.where("vec_id = 1")).collect()
 
 
+def test_an_index_reads_back_and_a_hot_id_is_spread(spark):
+    rng = np.random.default_rng(4)
+    for most in (3, 40_000, 2**40):
+        x = rng.integers(-most, most, (130, 5))
+        block = SlicedBlock(np.arange(130), x)
+        again = SlicedBlock.read(block.row(), block.dropped)
+        for q in x[:5] % 1000:
+            assert [a.tolist() for a in again.search(q, 7, 3)] == [a.tolist() for a in block.search(q, 7, 3)]
+    rows = [(5, [1.0, 0.5])] * 200 + [(i, [0.1 * (i % 7), 1.0]) for i in range(6, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk_search(df, df.where("vec_id = 39"), block_numbers=30).orderBy("rank").collect()]
+    q = [int(np.floor(1024 * x)) for x in rows[-1][1]]
+    want = sorted((-sum(a * int(np.floor(1024 * b)) for a, b in zip(q, v)), i) for i, v in rows if i != 39)[:10]
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_mix_takes_exact_budgets(docs, texts, crowd, none):
     rows = mix_sources(crowd(docs)).collect()
     assert len(rows) == docs.count()
