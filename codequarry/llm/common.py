@@ -191,18 +191,26 @@ def components(edges: DataFrame) -> DataFrame:
 # --- a filter of bounded size ------------------------------------------------
 
 
+FLAGS_A_HASH = 128
+
+
 def low_bits(df: DataFrame, column: str, total: int, most_bits: int) -> np.ndarray:
-    """One flag for each low part of the hashes in column that occurs: 16 flags a hash, but at most most_bits.
+    """A bitmap of the low parts of the hashes in column: FLAGS_A_HASH flags a hash, but at most most_bits.
 
     It goes to the executors as a constant; what it lets pass is then joined. A
     table too large for most_bits only makes it let more pass.
     """
     bits = 1 << 16
-    while bits < min(16 * total, most_bits):
+    while bits < min(FLAGS_A_HASH * total, most_bits):
         bits *= 2
     low = F.col(column).bitwiseAND(F.lit(bits - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(31)).cast("int"))
     out = np.zeros(bits // 32, np.uint32)
     for r in df.groupBy(F.shiftright(low, 5).alias("at")).agg(F.bit_or(one).alias("set")).toLocalIterator():
         out[r["at"]] = r["set"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def flags(bitmap: np.ndarray) -> np.ndarray:
+    """The flags of a bitmap of low_bits, one byte each."""
+    return np.unpackbits(bitmap, bitorder="little").view(bool)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHash, kept, low_bits, materialize, mix, rolling, table, words_of
+from .common import U, WordHash, flags, kept, low_bits, materialize, mix, rolling, table, words_of
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -103,10 +103,9 @@ def _item_seeds(k: int):
     return run
 
 
-def _doc_seeds(sizes: list[int], maybe: np.ndarray):
-    mask = U(len(maybe) - 1)
-
-    def hits(group, ids, hashes, known):
+def _doc_seeds(sizes: list[int], bitmap: np.ndarray):
+    def hits(group, ids, hashes, known, maybe):
+        mask = U(len(maybe) - 1)
         h = known.array([w for ws in group for w in ws])
         ends = np.cumsum([len(ws) for ws in group])
         begins = np.r_[0, ends[:-1]]
@@ -121,14 +120,14 @@ def _doc_seeds(sizes: list[int], maybe: np.ndarray):
                 yield pa.RecordBatch.from_arrays([ids.take(which), hashes.take(which), pa.array(at - begins[doc]), pa.array(seeds[at].view(np.int64))], names=["d", "h", "p", "g"])
 
     def run(batches):
-        known = WordHash()
+        known, maybe = WordHash(), flags(bitmap)
         for batch in batches:
             texts = batch.column("t").to_pylist()
             first, group, n = 0, [], 0
             for i, text in enumerate([*texts, None]):
                 if n >= CHUNK_WORDS or i == len(texts):
                     if n:
-                        yield from hits(group, batch.column("d")[first:i], batch.column("h")[first:i], known)
+                        yield from hits(group, batch.column("d")[first:i], batch.column("h")[first:i], known, maybe)
                     first, group, n = i, [], 0
                 group.append(words_of(text))
                 n += len(group[-1])
@@ -169,9 +168,9 @@ def leaks(
     grams = grams.groupBy("name", "n", "q", "g").agg(F.min("i").alias("item_id"), F.count("*").alias("n_items"))
     grams = materialize(grams, "item-seeds")
     sizes = sorted(r["size"] for r in grams.select(F.least("n", F.lit(min_match)).cast("int").alias("size")).distinct().collect())
-    maybe = low_bits(grams, "g", grams.count(), filter_bits)
+    bitmap = low_bits(grams, "g", grams.count(), filter_bits)
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("t"))
-    seeds = texts.withColumn("h", F.xxhash64("t")).mapInArrow(_doc_seeds(sizes, maybe), "d long, h long, p long, g long")
+    seeds = texts.withColumn("h", F.xxhash64("t")).mapInArrow(_doc_seeds(sizes, bitmap), "d long, h long, p long, g long")
     seeds = materialize(seeds.groupBy("d", "h", "g").agg(F.collect_set("p").alias("ps")), "seeds")
     sought = materialize(grams.groupBy("name", "n", "g").agg(F.collect_list("q").alias("qs")), "sought")
     pairs = seeds.join(sought, "g").groupBy("d", "h", "name", "n").agg(F.collect_list(F.struct("ps", "qs")).alias("seeds"))

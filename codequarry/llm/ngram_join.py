@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHash, components, low_bits, materialize, mix, rolling, table, words_of
+from .common import U, WordHash, components, flags, low_bits, materialize, mix, rolling, table, words_of
 
 SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
 BLOCK, MOST_BLOCK = 128, 1024
@@ -101,10 +101,10 @@ def _sets(size):
     return run
 
 
-def _let_pass(maybe):
-    mask = np.int64(len(maybe) - 1)
-
+def _let_pass(bitmap):
     def run(batches):
+        maybe = flags(bitmap)
+        mask = np.int64(len(maybe) - 1)
         for batch in batches:
             yield batch.filter(pa.array(maybe[batch.column("h").to_numpy() & mask]))
 
@@ -210,8 +210,8 @@ def ngram_join(
 
     # One text of each chosen set becomes a set again where it is needed. A bitmap of the chosen texts' hashes drops
     # most others in the scan, so they are not shuffled; rows that repeat a text are folded before they are sent.
-    maybe = low_bits(chosen.select(F.col("text.h").alias("h")), "h", total, FILTER_BITS)
-    near = base.mapInArrow(_let_pass(maybe), "d long, t binary, h long").alias("base")
+    bitmap = low_bits(chosen.select(F.col("text.h").alias("h")), "h", total, FILTER_BITS)
+    near = base.mapInArrow(_let_pass(bitmap), "d long, t binary, h long").alias("base")
     texts = near.join(chosen, (F.col("base.h") == chosen["text.h"]) & F.col("base.d").eqNullSafe(chosen["text.d"])).groupBy("node", "label", "size").agg(F.min("t").alias("t"))
     units = texts.mapInArrow(_sets(size), "node long, label long, size long, s binary").withColumnRenamed("label", "unit")
     side = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(block), F.ceil(F.col("size") / 24)))
