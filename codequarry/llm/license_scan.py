@@ -1,12 +1,15 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Every run of k words of every document is joined to the runs of the templates
-(broadcast: the templates are an argument, at most MAX_TEMPLATE_RUNS runs). A
-match at word p of template word q votes for the diagonal p - q. Votes are kept
-as a bit set of template runs, so repeated rows change nothing. Neighbouring
-diagonals are merged, so a dropped or added word does not break a match, and a
-merged span counts when enough of the template's runs voted within a span not
-much longer than the template. Only matches are shuffled, never texts.
+Every document is cut into words once, and the hash of each run of k words is
+joined to the runs of the templates (broadcast: the templates are an argument,
+at most MAX_TEMPLATE_RUNS runs). A match at word p of template word q votes for
+the diagonal p - q. Votes are kept as a bit set of template runs, so repeated
+matches change nothing. A diagonal and its neighbours, at most slack words away
+on either side, are merged, so a dropped or added word does not break a match,
+and no chain of neighbours grows longer than that. A merged diagonal is verified
+by the share of the template's runs that voted; of held neighbours the best is
+reported. Only matches and a row a document are shuffled, never texts, and by a
+number of the row, so no group is larger than the matches of one text.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters that are in no word.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 MAX_TEMPLATE_RUNS = 20_000
 
 #: Phrases of the base and their labels.
@@ -43,16 +48,24 @@ TEMPLATES = [
 ]
 
 
+def words_of(text):
+    """The words of a text, lower-cased in A-Z; what WORD finds."""
+    return F.array_remove(F.split(F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN)), " "), "")
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, templates=TEMPLATES, k: int = 2, slack: int = 3, coverage: float = 0.7) -> DataFrame:
     """Find license phrases and near matches of license sentences.
 
     Returns a row per input row: doc_id, n_words, n_base, first_word, last_word,
-    base_labels, labels, score, and spans (label, first, end, coverage). Words
-    are lower-cased in A-Z only. Null text counts as empty: no words, empty
-    labels, score 0. Rows that repeat an id and its text each get the same
-    result; rows with one id and different texts are apart. Null ids are kept.
-    Extra columns are ignored. Templates have k to 62 + k words; a document of
-    any length is one row of the scan, exploded as it is read.
+    base_labels, labels, score (the best coverage of a span that holds, else 0),
+    and spans (label, first, end, coverage). Of neighbouring spans of equal
+    coverage the first is reported. Words are lower-cased in A-Z only. Null text
+    counts as empty: no words, empty labels, score 0. Repeated rows each get
+    their result. Ids of any type come back as they are, null ids too. Bytes that
+    are no valid UTF-8 are characters of words. Extra columns are ignored,
+    whatever their names. An empty table gives an empty result. Templates have k
+    to 62 + k words; a document of any length is one row of the scan, exploded as
+    it is read. Runs of words are told apart by 64-bit hashes.
     """
     runs, meta = [], []
     for t, (phrase, label) in enumerate([*base, *templates]):
@@ -60,45 +73,47 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not k <= len(words) <= 62 + k:
             raise ValueError(f"a template has from {k} to {62 + k} words: {phrase}")
         n = len(words) - k + 1
-        meta.append((t, label, t < len(base), n, len(words), (1 << n) - 1))
+        meta.append((t, label, t < len(base), n, (1 << n) - 1))
         runs += [(*words[q : q + k], t, q) for q in range(n)]
     if len(runs) > MAX_TEMPLATE_RUNS:
         raise ValueError("too many template words; scan in several calls")
     spark = docs.sparkSession
     grams = spark.createDataFrame(runs, ", ".join(f"g{i} string" for i in range(k)) + ", t int, q int")
-    about = spark.createDataFrame(meta, "t int, label string, is_base boolean, n int, size int, full long")
+    grams = grams.select(F.xxhash64(*[f"g{i}" for i in range(k)]).alias("g"), "t", "q")
+    about = spark.createDataFrame(meta, "t int, label string, is_base boolean, n int, full long")
 
-    key = ["d", "h"]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("h"), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("w"))
+    # One scan: a row for each document (at place 0) and for each match.
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("d"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     n = F.size("w")
-    run = F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.greatest(n - (k - 1), F.lit(0))).alias(f"g{i}") for i in range(k)])
-    hits = words.select(*key, F.posexplode(run).alias("p", "g")).select(*key, "p", *[F.col("g")[f"g{i}"].alias(f"g{i}") for i in range(k)])
-    hits = hits.join(F.broadcast(grams), [f"g{i}" for i in range(k)])
-    diagonals = hits.groupBy(*key, "t", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q"))).alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
-    along = Window.partitionBy(*key, "t").orderBy("diagonal")
-    far = (F.col("diagonal") - F.lag("diagonal").over(along) > slack).cast("int")
-    merged = diagonals.withColumn("island", F.sum(F.coalesce(far, F.lit(0))).over(along)).join(F.broadcast(about), "t")
-    exact = F.col("is_base") & (F.col("votes") == F.col("full"))
-    spans = merged.groupBy(*key, "t", "island", "label", "n", "size").agg(
-        F.bit_or("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + k).alias("end"),
-        F.sum(exact.cast("long")).alias("n_base"), F.min(F.when(exact, F.col("diagonal"))).alias("low"), F.max(F.when(exact, F.col("diagonal"))).alias("high"),
-    )
-    spans = spans.withColumn("coverage", F.bit_count("votes") / F.col("n"))
-    held = (F.col("coverage") >= coverage) & ((F.col("end") - F.col("first") <= 2 * F.col("size")) | (F.col("n_base") > 0))
-    found = spans.groupBy(*key).agg(
-        F.sum("n_base").alias("n_base"), F.min("low").cast("long").alias("first_word"), F.max("high").cast("long").alias("last_word"),
-        F.array_sort(F.collect_set(F.when(F.col("n_base") > 0, F.col("label")))).alias("base"),
-        F.array_sort(F.collect_set(F.when(held, F.col("label")))).alias("all"),
-        F.max("coverage").alias("score"),
-        F.array_sort(F.collect_set(F.when(held, F.struct("first", "end", "label", "coverage")))).alias("spans"),
-    )
-    left = words.select("d", "h", n.cast("long").alias("n_words")).alias("l")
-    joined = left.join(found.alias("r"), F.col("l.d").eqNullSafe(F.col("r.d")) & (F.col("l.h") == F.col("r.h")), "left")
-    return joined.select(
-        F.col("l.d").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
-        F.coalesce(F.array_join("base", ","), F.lit("")).alias("base_labels"), F.coalesce(F.array_join("all", ","), F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans",
-    )
+    if k == 1:
+        hashes = F.transform("w", lambda x: F.xxhash64(x))
+    else:
+        at = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
+        hashes = F.when(n < k, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)])))
+    places = words.select("row", "d", n.cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), hashes)).alias("p", "g"))
+    found = places.join(F.broadcast(grams), "g", "left").where("p = 0 or t is not null").select("row", "d", "n_words", (F.col("p") - 1).alias("p"), "t", "q").repartition("row")
+
+    vote = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q")))
+    first = [F.first("d").alias("d"), F.first("n_words").alias("n_words")]
+    diagonals = found.groupBy("row", "t", (F.col("p") - F.col("q")).alias("diagonal")).agg(vote.alias("votes"), F.min("p").alias("low"), F.max("p").alias("high"), *first)
+    near = Window.partitionBy("row", "t").orderBy("diagonal").rangeBetween(-slack, slack)
+    merged = diagonals.join(F.broadcast(about), "t", "left").withColumn("exact", F.col("is_base") & (F.col("votes") == F.col("full")))
+    merged = merged.withColumn("coverage", F.bit_count(F.bit_or("votes").over(near)) / F.col("n")).withColumn("first", F.min("low").over(near)).withColumn("end", F.max("high").over(near) + k)
+    best = F.max(F.struct("coverage", (-F.col("diagonal")).alias("back"))).over(near)
+    held = merged.withColumn("peak", (F.col("coverage") >= coverage) & (best["coverage"] == F.col("coverage")) & (best["back"] == -F.col("diagonal")))
+    held = held.withColumn("exact", F.coalesce("exact", F.lit(False))).withColumn("peak", F.coalesce("peak", F.lit(False)))
+    labels = lambda of: F.array_join(F.array_sort(F.collect_set(F.when(of, F.col("label")))), ",")
+    return held.groupBy("row").agg(
+        F.first("d").alias("doc_id"),
+        F.first("n_words").alias("n_words"),
+        F.count_if("exact").alias("n_base"),
+        F.min(F.when(F.col("exact"), F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(F.col("exact"), F.col("diagonal"))).cast("long").alias("last_word"),
+        labels(F.col("exact")).alias("base_labels"),
+        labels(F.col("exact") | F.col("peak")).alias("labels"),
+        F.coalesce(F.max(F.when(F.col("peak"), F.col("coverage"))), F.lit(0.0)).alias("score"),
+        F.array_sort(F.collect_set(F.when(F.col("peak"), F.struct("first", "end", "label", "coverage")))).alias("spans"),
+    ).drop("row")
 
 
 def op3_license_scan(spark, sf_dir):
@@ -108,21 +123,17 @@ def op3_license_scan(spark, sf_dir):
 def _oracle() -> str:
     rows = [(t, label, int(t < len(BASE)), phrase.split()) for t, (phrase, label) in enumerate([*BASE, *TEMPLATES])]
     grams = ", ".join(f"('{w[q]}', '{w[q + 1]}', {t}, {q})" for t, _, _, w in rows for q in range(len(w) - 1))
-    about = ", ".join(f"({t}, '{label}', {b}, {len(w) - 1}, {len(w)}, CAST({(1 << (len(w) - 1)) - 1} AS BIGINT))" for t, label, b, w in rows)
+    about = ", ".join(f"({t}, '{label}', {b}, {len(w) - 1}, CAST({(1 << (len(w) - 1)) - 1} AS BIGINT))" for t, label, b, w in rows)
     return rf"""
-WITH grams(a, b, t, q) AS (VALUES {grams}), about(t, label, is_base, n, size, whole) AS (VALUES {about}),
+WITH grams(a, b, t, q) AS (VALUES {grams}), about(t, label, is_base, n, whole) AS (VALUES {about}),
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
 g AS (SELECT doc_id, p, ws[p + 1] AS a, ws[p + 2] AS b FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 1)) AS p FROM w)),
-d AS (SELECT doc_id, t, p - q AS diagonal, bit_or(CAST(1 AS BIGINT) << q) AS votes, min(p) AS lo, max(p) AS hi FROM g JOIN grams USING (a, b) GROUP BY ALL),
-i AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS island FROM
-  (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) > 3 THEN 1 ELSE 0 END AS far FROM d)),
-s AS (SELECT doc_id, label, n, size, bit_count(bit_or(votes)) / n AS coverage, max(hi) + 2 - min(lo) AS width,
-  count(*) FILTER (is_base = 1 AND votes = whole) AS n_base, min(diagonal) FILTER (is_base = 1 AND votes = whole) AS low, max(diagonal) FILTER (is_base = 1 AND votes = whole) AS high
-  FROM i JOIN about USING (t) GROUP BY doc_id, t, island, label, n, size),
-f AS (SELECT doc_id, CAST(sum(n_base) AS BIGINT) AS n_base, min(low) AS first_word, max(high) AS last_word,
-  string_agg(DISTINCT CASE WHEN n_base > 0 THEN label END, ',' ORDER BY CASE WHEN n_base > 0 THEN label END) AS base_labels,
-  string_agg(DISTINCT CASE WHEN coverage >= 0.7 AND (width <= 2 * size OR n_base > 0) THEN label END, ',' ORDER BY CASE WHEN coverage >= 0.7 AND (width <= 2 * size OR n_base > 0) THEN label END) AS labels,
-  max(coverage) AS score FROM s GROUP BY doc_id)
+d AS (SELECT doc_id, t, p - q AS diagonal, bit_or(CAST(1 AS BIGINT) << q) AS votes FROM g JOIN grams USING (a, b) GROUP BY ALL),
+m AS (SELECT *, is_base = 1 AND votes = whole AS exact, bit_count(bit_or(votes) OVER (PARTITION BY doc_id, t ORDER BY diagonal RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)) / n AS coverage FROM d JOIN about USING (t)),
+f AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(diagonal) FILTER (exact) AS first_word, max(diagonal) FILTER (exact) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact OR coverage >= 0.7) AS labels,
+  max(coverage) FILTER (coverage >= 0.7) AS score FROM m GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM w LEFT JOIN f ON w.doc_id = f.doc_id

@@ -1,10 +1,11 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from codequarry.llm.license_scan import BASE, license_scan
+from codequarry.llm.license_scan import BASE, WORD, license_scan
 from codequarry.llm.source_mixing import mix_sources
 from codequarry.llm.topk_search import SlicedBlock, digits, topk_search
 
@@ -111,6 +112,30 @@ def test_licenses(spark, crowd, none):
     assert license_scan(none).count() == 0
 
 
+def test_a_license_stays_found_beside_more_words_of_it(spark):
+    """Neighbours don't chain: what follows a license doesn't take its label away, and the score is that of a held span."""
+    agpl = "gnu affero general public license"
+    rows = [(1, agpl), (2, agpl + " public license" * 6), (3, "public license " * 8), (4, ("x " * 3).join(agpl.split())), (5, (agpl + " z ") * 50), (6, "permission is granted free of charge to any person obtaining one copy of this software"), (7, "permission is given")]
+    by = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("agpl" in by[i].labels.split(",") and by[i].score == 1.0 for i in (1, 2, 5))
+    assert (by[3].labels, by[3].score, by[4].score, by[7].score, by[7].spans) == ("", 0.0, 0.0, 0.0, [])
+    assert by[6].labels == "mit" and 0.7 <= by[6].score < 1
+    assert [(s.first, s.end) for s in by[1].spans if s.label == "agpl"] == [(0, 5)] and sum(s.label == "agpl" for s in by[5].spans) == 50
+    assert all(s.end - s.first <= 40 for r in by.values() for s in r.spans)
+
+
+def test_license_words_are_what_the_pattern_finds(spark):
+    rng = random.Random(7)
+    alphabet = "aZ09 .,-_\t\n\x00\x7f\u00e9\u00df\u4e2d'\\\"$^[]"
+    rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))) for i in range(200)] + [(None, None), ("odd", "")]
+    df = spark.createDataFrame([(None if i is None else str(i), t) for i, t in rows], "doc_id string, text string")
+    got = {r.doc_id: r.n_words for r in license_scan(df).collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert got == {None if i is None else str(i): len(re.findall(WORD, (t or "").translate(lower))) for i, t in rows}
+    odd = spark.createDataFrame([(1, bytearray(b"\xff mit license \xfe")), (1, bytearray(b"\xff mit license \xfe"))], "doc_id long, raw binary")
+    assert [(r.base_labels, r.first_word) for r in license_scan(odd.selectExpr("doc_id", "cast(raw as string) as text")).collect()] == [("mit", 1)] * 2
+
+
 def test_license_base_matches_brute_force(spark):
     rng = random.Random(4)
     words = "gnu general public license apache cc by mit x".split()
