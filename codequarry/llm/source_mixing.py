@@ -1,12 +1,18 @@
 """Mixing sources to target weights by distributed prefix sums.
 
 Each row gets a hash-random key. The key's first two bytes are two levels of
-ranges with bounds known beforehand (uniform keys need no sampling), so a
-source is range-sorted without one task ever holding it: running sums are taken
-over at most 256 ranges of a source, over at most 256 ranges of such a range,
-and over the rows of the smallest ranges (1/65536 of a source). A row's three
-sums give the words before it in its source, and the row that crosses the
-source's budget is cut at the exact word. Whole epochs come first.
+ranges with bounds known beforehand (uniform keys need no sampling), so a source
+is in order of its ranges without being sorted, and prefix sums of words go over
+at most 256 ranges of a source, then over at most 256 ranges of the range where
+its budget runs out, then over the keys of that range (1/65536 of a source),
+which alone are sorted. That gives the key at which the source is cut: rows
+before it are taken whole, rows behind it not, rows that have it in part. Whole
+epochs come first.
+
+Plan: two scans count words (the first by range, the last for the rows), one
+between them reads keys and counts the words of the ranges at the cuts only.
+Texts are never shuffled. Rows with one key, which are equal rows, are one row
+of the sums, and get equal parts.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -45,35 +51,55 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCEN
     return free.select("s", "source_size", F.when(F.col("level").isNull() | (F.col("cap") <= F.col("level") * F.col("w")), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: str = SEED, keep: tuple = ()) -> DataFrame:
+def crossing(sums: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The rows of sums (sum; rest, what of the budget is left) in which rest runs out, going by order within by; rest is then what is left in them."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    left = sums.withColumn("rest", F.col("rest") - F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    return left.where((F.col("rest") >= 0) & (F.col("rest") < F.col("sum")))
+
+
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: str = SEED, keep: tuple = ()
+) -> DataFrame:
     """How many words of each row the mix takes.
 
     Returns a row per input row: doc_id, size, source, source_size, target,
     taken (whole epochs of the row and what the cut leaves of it), epochs (times
     the row is used, the last perhaps in part). A null text has size 0 and gives
-    nothing; null sources are one source, the last. Rows that repeat an id and
-    text are rows of their own; which of two equal rows the cut falls on does
-    not show in the result. Reruns agree: keys depend on seed, id and text only.
-    An empty table gives an empty result. Columns named in keep come back as the
-    struct kept; others are ignored.
+    nothing; null sources are one source, the last. A source's words taken are
+    its target, rounded down, but for rows that repeat an id and text where it is
+    cut: those get equal parts, in whole words. Reruns agree: keys depend on
+    seed, id and text only. Ids of any type come back as they are. Bytes that are
+    no valid UTF-8 count as U+FFFD; a text of any length is one row of a scan. An
+    empty table gives an empty result. Columns named in keep come back as the
+    struct kept; others are ignored, whatever their names. Targets are levelled
+    over one row a source, in one task.
     """
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.col(source_col).alias("s"), key.alias("key"), kept(docs, keep).alias("kept"))
-    rows = rows.withColumn("z", F.col("s").isNull()).withColumn("k", F.coalesce("s", F.lit(""))).withColumn("a", F.substring("key", 1, 2)).withColumn("b", F.substring("key", 3, 2))
-    fine = rows.groupBy("z", "k", "a", "b").agg(F.sum("size").alias("sum"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text))
+    size = lambda t: F.regexp_count(t, F.lit(WORD)).cast("long")
+    source = [F.col(source_col).isNull().alias("z"), F.coalesce(F.col(source_col), F.lit("")).alias("k")]
+    keyed = docs.select(*source, text.alias("t"), key.alias("key")).withColumn("a", F.substring("key", 1, 2)).withColumn("b", F.substring("key", 3, 2))
+    fine = materialize(keyed.groupBy("z", "k", "a", "b").agg(F.sum(size(F.col("t"))).alias("sum")), "fine")
     coarse = fine.groupBy("z", "k", "a").agg(F.sum("sum").alias("sum"))
-    earlier = lambda w: F.coalesce(F.sum("sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = coarse.groupBy("z", "k").agg(F.sum("sum").alias("source_size")).select(F.when(~F.col("z"), F.col("k")).alias("s"), "source_size")
+    sizes = fine.groupBy(F.when(~F.col("z"), F.col("k")).alias("s")).agg(F.sum("sum").alias("source_size"))
     goal = targets(sizes, weights, share_percent, most).select(F.col("s").isNull().alias("z"), F.coalesce("s", F.lit("")).alias("k"), "source_size", "target")
-    coarse = coarse.withColumn("from_a", earlier(Window.partitionBy("z", "k").orderBy("a"))).select("z", "k", "a", "from_a").join(goal, ["z", "k"])
-    fine = fine.withColumn("from_b", earlier(Window.partitionBy("z", "k", "a").orderBy("b"))).select("z", "k", "a", "b", "from_b").join(coarse, ["z", "k", "a"])
-    inside = Window.partitionBy("z", "k", "a", "b").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    full = rows.withColumn("from_c", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(fine, ["z", "k", "a", "b"])
     budget = F.floor("target")
     times = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    rest = budget - times * F.col("source_size") - F.col("from_a") - F.col("from_b") - F.col("from_c")
-    part = F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return full.select("doc_id", "size", F.col("s").alias("source"), "source_size", "target", (times * F.col("size") + part).cast("long").alias("taken"), F.when(F.col("size") > 0, times + (part > 0).cast("long")).otherwise(F.lit(0)).cast("long").alias("epochs"), *(["kept"] if keep else []))
+    goal = materialize(goal.withColumn("times", times).withColumn("rest", budget - F.col("times") * F.col("source_size")), "goal")
+    # Where the rest of the budget runs out: a range, a range of that, a key of that. A source of which nothing is left to cut has none.
+    ranges = crossing(coarse.join(goal.select("z", "k", "rest"), ["z", "k"]), ["z", "k"], "a").select("z", "k", "a", "rest")
+    ranges = crossing(fine.join(ranges, ["z", "k", "a"]), ["z", "k"], "b").select("z", "k", "a", "b", "rest")
+    inside = keyed.join(materialize(ranges, "ranges"), ["z", "k", "a", "b"])
+    keys = inside.groupBy("z", "k", "key", "rest").agg(F.sum(size(F.col("t"))).alias("sum"), F.count("*").alias("rows"))
+    cuts = crossing(keys, ["z", "k"], "key").select("z", "k", F.col("key").alias("cut"), F.floor(F.col("rest") / F.col("rows")).alias("part"))
+    goal = materialize(goal.join(cuts, ["z", "k"], "left"), "cuts").alias("g")
+    rows = docs.select(F.col(id_col).alias("doc_id"), size(text).alias("size"), F.col(source_col).alias("source"), *source, key.alias("key"), kept(docs, keep).alias("kept")).alias("r")
+    full = rows.join(goal, (F.col("r.z") == F.col("g.z")) & (F.col("r.k") == F.col("g.k")))
+    part = F.when(F.col("cut").isNull() | (F.col("key") > F.col("cut")), F.lit(0)).when(F.col("key") < F.col("cut"), F.col("size")).otherwise(F.col("part"))
+    taken = (F.col("times") * F.col("size") + part).cast("long")
+    epochs = F.when(F.col("size") > 0, F.col("times") + (part > 0).cast("long")).otherwise(F.lit(0)).cast("long")
+    return full.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), epochs.alias("epochs"), *(["kept"] if keep else []))
 
 
 def op6_source_mixing(spark, sf_dir):
@@ -87,7 +113,9 @@ c AS (SELECT *, 2 * source_size AS cap, (CAST(sum(source_size) OVER () * 150 AS
   / CAST(sum(w) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level, row_number() OVER (ORDER BY 2 * source_size / w, source NULLS LAST) AS rnk FROM s),
 l AS (SELECT arg_min(level, rnk) AS level FROM c WHERE cap > level * w),
 t AS (SELECT source, source_size, CASE WHEN l.level IS NULL OR cap <= l.level * w THEN CAST(cap AS DOUBLE) ELSE l.level * w END AS target FROM c LEFT JOIN l ON true),
-p AS (SELECT d.doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS budget, coalesce(CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size + greatest(0, least(size, budget - budget // source_size * source_size - start)) END AS BIGINT) AS taken FROM p
+q AS (SELECT source, key, CAST(sum(size) AS BIGINT) AS sum, count(*) AS n FROM d GROUP BY source, key),
+p AS (SELECT q.source, key, n, sum, source_size, target, CAST(floor(target) AS BIGINT) AS budget, coalesce(CAST(sum(sum) OVER (PARTITION BY q.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start
+  FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size + greatest(0, least(sum, budget - budget // source_size * source_size - start)) // n END AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.key = p.key
 """

@@ -99,6 +99,17 @@ def test_mix_takes_exact_budgets(docs, texts, crowd, none):
     assert mix_sources(none).count() == 0
 
 
+def test_a_hot_row_is_one_key_of_the_mix(spark):
+    """A third of all rows are one row: they get equal parts, and the source comes near its target."""
+    rows = [(None, "a b c d e f g", "s1")] * 400 + [(i, "x " * (i % 9), ["s1", "s2", None][i % 3]) for i in range(300)] + [(400, None, "empty"), (None, None, None)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    hot = {r.taken for r in got if r.doc_id is None and r.size}
+    assert len(got) == len(rows) and len(hot) == 1
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert 0 <= int(own[0].target) - sum(r.taken for r in own) < (400 if s == "s1" else 1) and all(r.taken <= 2 * r.size for r in own)
+
+
 def test_licenses(spark, crowd, none):
     rows = [(1, "Licensed under the Apache License, Version 2.0."), (2, "MIT LICENSE cc-by cc by"), (3, None), (4, ""), (5, "GNU General Public Licence"), (6, "x " * 3000 + "gnu general public license"), (2, "MIT LICENSE cc-by cc by"), (None, "mit license"), (7, "Ünder under cc by nc 4 0"), (8, "this work is licensed under gnu general public license version 3")]
     got = license_scan(crowd(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
