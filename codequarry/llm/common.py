@@ -157,6 +157,9 @@ def isin_sorted(x: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndar
 # --- connected components ----------------------------------------------------
 
 
+EDGES_A_TASK = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): label is the smallest id of id's component; edges: (a, b), longs.
 
@@ -170,14 +173,17 @@ def components(edges: DataFrame) -> DataFrame:
     any degree are reduced by partial aggregation, and joins start from plain
     scans.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = materialize(both, "edges")
     steps = []
-    while not both.isEmpty():
+    while n := both.count():
+        few = max(1, -(-n // EDGES_A_TASK))  # rounds shrink: small ones are written by few tasks
         drawn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
-        step = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min(drawn("b")).alias("near")).select("id", F.least("near", drawn("id")).getField("to").alias("to")), "step")
+        step = both.groupBy(F.col("a").alias("id")).agg(F.min(drawn("b")).alias("near")).select("id", F.least("near", drawn("id")).getField("to").alias("to"))
+        step = materialize(step.coalesce(few), "step")
         steps.append(step)
         moved = both.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
-        both = materialize(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        both = materialize(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(few), "edges")
     if not steps:
         return both.select(F.col("a").alias("id"), F.col("b").alias("label"))
     roots = steps.pop()
