@@ -35,13 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def drop_tables(spark: SparkSession) -> int:
-    """Delete what materialize() has written in this process; call it when results have been stored."""
-    jvm, n = spark.sparkContext._jvm, len(_WRITTEN)
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def drop_tables(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
+    """Delete what materialize() has written in this process, from the since-th table on; call it when results have been stored."""
+    going = _WRITTEN[since : -1 if keep_last else None]
+    jvm = spark.sparkContext._jvm
+    for found in going:
+        path = jvm.org.apache.hadoop.fs.Path(found)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+        _WRITTEN.remove(found)
+    return len(going)
+
+
+def stored(make, name: str) -> DataFrame:
+    """What make() returns, written and read back; the tables that were written on the way there are deleted."""
+    since = len(_WRITTEN)
+    out = materialize(make(), name)
+    drop_tables(out.sparkSession, since, keep_last=True)
+    return out
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

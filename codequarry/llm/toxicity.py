@@ -1,18 +1,25 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
-Three parts. A character model: trigram counts over the words of all documents,
-summed by partial aggregation into a table of fixed size. A channel: a written
-word is a lattice of what may have been meant (leetspeak characters stand for
-letters, separators inside a word and repeats of a character may be left out);
-Viterbi decoding takes the cheapest path under the model. Plain words have one
-path and are not decoded; letter-only words with a doubled letter count as
-written and as decoded. Runs of single characters are one lattice, in which a
-word may end at each gap: the words of all paths within SLACK of the cheapest
-count.
+A character model: counts of all runs of one to ORDER characters over the words
+of all documents, a Spark table that grows with the corpus and is never sent
+anywhere whole. A channel: a written word is a lattice of what may have been
+meant (leetspeak characters stand for letters, separators inside a word and
+repeats of a character may be left out); Viterbi decoding takes the cheapest
+path under the model. Plain words have one path and are not decoded; letter-only
+words with a doubled letter count as written and as decoded. Runs of single
+characters are one lattice, in which a word may end at each gap: the words of
+all paths within SLACK of the cheapest count.
 A classifier on restored words and their beginnings, fitted on a bounded sample
-of labelled rows (SAMPLE rows, taken by hash): logistic regression, and beside
-it each feature's precision, as a lower bound, so that one word that is only
-ever seen in toxic texts is enough in a short text. The larger of both counts.
+of labelled rows (SAMPLE ids, taken by hash, one text of each): logistic
+regression, and beside it each feature's precision, as a lower bound, so that
+one word that is only ever seen in toxic texts is enough in a short text. The
+larger of both counts.
+
+Plan: one scan of the texts counts characters, one collects the features of
+plain words and the written words that may hide a feature (leetspeak, separators
+and repeats undone in the coarsest way, they read like one). Each such word is
+decoded once, wherever it stands: the runs of characters that its lattice can
+ask for are joined with the model, so a word brings its own costs.
 """
 
 from __future__ import annotations
@@ -22,22 +29,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, kept_type, table
+from .common import U, materialize, mix, table
 
 SAMPLE = 20_000
-MOST_FEATURES = 4_000
 LEAST_DOCS = 5
 LEAST_ODDS = 3.0
 THRESHOLD = 0.3
 BOUND, SURE = 3.0, 0.9  # standard deviations of the lower bound, and the least one that counts
 KNOWN_WORDS = 400_000
-
-CLASSES = 29  # 0: outside a word, 1-26: a-z, 27: letters beyond ASCII, 28: digits and signs
-_SPACE = b" \t\n\r\x0b\x0c"
-_CLASS = bytes(c - 96 if 97 <= c <= 122 else 0 if c in _SPACE else 27 if c >= 128 else 28 for c in range(256))
+ORDER, BACKOFF = 4, 8.0
+CHUNK_CHARS = 1 << 20
 
 #: What a sign may stand for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "%": "x"}
@@ -53,74 +58,134 @@ _PIECE = re.compile(rf"({_SINGLE})({_GAP})?")
 SLACK, LONGEST = 4.0, 40  # a run's word of more than LONGEST characters is none
 
 
-def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Trigram counts of character classes over all texts, CLASSES ** 3 of them."""
+RUN = "\n"  # begins a token that is a run of single characters; no word holds it
+
+#: Letters that one sign may stand for are one class, and so are signs and what they stand for.
+_CLASS: dict = {}
+for _sign, _letters in LEET.items():
+    _all = {_CLASS.get(c, c) for c in _sign + _letters}
+    _letter = min(c for c in _all if c in "abcdefghijklmnopqrstuvwxyz")
+    _CLASS |= {c: _letter for c in [*_CLASS, *_sign, *_letters] if _CLASS.get(c, c) in _all}
+_COARSE = str.maketrans(_CLASS | {c: None for c in SEPARATORS})
+_AGAIN = re.compile(r"(.)\1+", re.S)
+
+
+def coarse(word: str) -> str:
+    """What all readings of a word have in common: equal for a word and any way to write it."""
+    return _AGAIN.sub(r"\1", word.translate(_COARSE))
+
+
+# --- the character model -----------------------------------------------------
+
+
+def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
+    """A hash of each run of order code points."""
+    n = len(codes) - order + 1
+    if n <= 0:
+        return np.empty(0, U)
+    h = np.full(n, U(order))
+    for i in range(order):
+        h = h * U(0x9E3779B97F4A7C15) + codes[i : i + n]
+    return mix(h)
+
+
+def spaced_words(text: str) -> str:
+    """The words of a text in lower case, each between ORDER - 1 spaces."""
+    gap = " " * (ORDER - 1)
+    return gap + gap.join(text.lower().split()) + gap
+
+
+def model_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(o, g, n): counts of all runs of o = 1 to ORDER characters of words, by hash."""
+
+    def counted(texts):
+        codes = np.frombuffer("".join(map(spaced_words, texts)).encode("utf-32-le"), np.uint32).astype(U)
+        for o in range(1, ORDER + 1):
+            h = gram_hashes(codes, o)
+            found = pc.value_counts(pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), o, np.int32)), found.field("values"), found.field("counts")], names=["o", "g", "n"])
 
     def run(batches):
-        total = np.zeros(CLASSES**3, np.int64)
+        texts, n = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    c = np.frombuffer(b"".join((b"  ", text.lower().encode(), b"  ")).translate(_CLASS), np.uint8).astype(np.int32)
-                    total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["code", "n"])
+            for t in batch.column("t").to_pylist():
+                if t:
+                    texts.append(t.decode(errors="replace"))
+                    n += len(t)
+                if n >= CHUNK_CHARS:
+                    yield from counted(texts)
+                    texts, n = [], 0
+        if texts:
+            yield from counted(texts)
+
+    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "o int, g long, n long")
+    return materialize(found.groupBy("o", "g").agg(F.sum("n").alias("n")), "model")
+
 
-    out = np.zeros(CLASSES**3)
-    for r in docs.select(F.col(text_col).alias("t")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
-        out[r["code"]] = r["n"]
-    return out
+class Costs:
+    """-log P(c | up to ORDER - 1 characters before), backed off to shorter contexts; counts by (context, c), context maybe empty."""
 
+    def __init__(self, counts: dict, total: int, kinds: int):
+        self.counts, self.total, self.kinds, self.known = counts, total, kinds, {}
 
-def char_costs(counts: np.ndarray) -> list:
-    """Nested list of -log P(c | a, b), backed off to P(c | b) and P(c)."""
-    n3 = counts.reshape((CLASSES,) * 3)
-    n2, n1 = n3.sum(0), n3.sum((0, 1))
-    p1 = (n1 + 1) / (n1.sum() + CLASSES)
-    p2 = (n2 + 8 * p1) / (n2.sum(1, keepdims=True) + 8)
-    p3 = (n3 + 8 * p2[None]) / (n3.sum(2, keepdims=True) + 8)
-    return (-np.log(p3)).tolist()
+    def __call__(self, context: str, c: str) -> float:
+        cost = self.known.get((context, c))
+        if cost is None:
+            p = (self.counts.get(c, 0) + 1) / (self.total + self.kinds + 1)
+            for k in range(1, ORDER):
+                before = context[-k:]
+                p = (self.counts.get(before + c, 0) + BACKOFF * p) / (self.counts.get(before, 0) + BACKOFF)
+            cost = self.known[context, c] = -math.log(p)
+        return cost
 
 
-def _code(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 28
+class Asked(set):
+    """Stands for the costs, and keeps what was asked for."""
+
+    def __call__(self, context: str, c: str) -> float:
+        for k in range(ORDER):
+            before = context[len(context) - k :]
+            self.add(before + c)
+            if k:
+                self.add(before)
+        return 0.0
 
 
 class Channel:
-    """Restores words by Viterbi decoding of their lattices."""
+    """Restores words by Viterbi decoding of their lattices; costs: (context, character) -> cost."""
 
-    def __init__(self, costs: list):
+    def __init__(self, costs):
         self.costs = costs
 
-    def suspicious(self, word: str) -> bool:
-        return not word.isalpha() and any(c.isalpha() or c in LEET for c in word) or bool(_TRIPLE.search(word))
-
     def steps(self, best: dict, c: str, repeat: bool) -> dict:
-        """The states after one more character: last two classes -> cost, reading as a linked list."""
+        """The states after one more character: last characters -> cost, reading as a linked list. Which states there are does not depend on costs."""
         options = []
         if c.isalpha():
-            options.append((c, _code(c), 0.0))
+            options.append((c, 0.0))
         else:
-            options += [(x, _code(x), SUBSTITUTE) for x in LEET.get(c, "")]
+            options += [(x, SUBSTITUTE) for x in LEET.get(c, "")]
             if c in SEPARATORS:
-                options.append(("", None, LEAVE_OUT))
-            options.append((c, 28, 1.0))
+                options.append(("", LEAVE_OUT))
+            options.append((c, 1.0))
         if repeat:
-            options.append(("", None, REPEAT))
+            options.append(("", REPEAT))
         new: dict = {}
-        for (a, b), (cost, path) in best.items():
-            row = self.costs[a][b]
-            for text, code, extra in options:
-                state = (a, b) if code is None else (b, code)
-                total = cost + extra + (0.0 if code is None else row[code])
+        for context, (cost, path) in best.items():
+            for text, extra in options:
+                state = (context + text)[1 - ORDER :]
+                total = cost + extra + (self.costs(context, text) if text else 0.0)
                 old = new.get(state)
                 if old is None or total < old[0]:
-                    new[state] = (total, path if code is None else (path, text))
+                    new[state] = (total, (path, text) if text else path)
         return new
 
+    @property
+    def start(self) -> dict:
+        return {" " * (ORDER - 1): (0.0, None)}
+
     def ended(self, best: dict) -> tuple[float, str]:
         """Cost and reading of the cheapest state when the word ends."""
-        cost, path = min(((cost + self.costs[a][b][0], path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])
+        cost, path = min(((cost + self.costs(context, " "), path) for context, (cost, path) in best.items()), key=lambda x: x[0])
         out = []
         while path:
             path, text = path
@@ -129,7 +194,7 @@ class Channel:
 
     def decode(self, word: str) -> str:
         """The cheapest reading of a lower-case word."""
-        best = {(0, 0): (0.0, None)}
+        best = self.start
         for k, c in enumerate(word):
             best = self.steps(best, c, k > 0 and word[k - 1] == c)
         return self.ended(best)[1]
@@ -140,7 +205,7 @@ class Channel:
         n = len(pieces)
         arcs, come = [], [0.0] + [math.inf] * n
         for i in range(n):
-            best, extra = {(0, 0): (0.0, None)}, 0.0
+            best, extra = self.start, 0.0
             for j in range(i, min(n, i + LONGEST)):
                 c = pieces[j][0]
                 if j > i and len(pieces[j - 1][1]) > 1:
@@ -158,9 +223,52 @@ class Channel:
                 found |= {text, "".join(c for c, _ in pieces[i:j])}
         return found
 
-    def restore(self, word: str) -> str:
-        core = word.lstrip(EDGE_LEFT).rstrip(EDGE_RIGHT)
-        return self.decode(core) if core and self.suspicious(core) else core
+    def readings(self, token: str) -> set:
+        """The words that a token may stand for."""
+        if not token.startswith(RUN):
+            return {self.decode(token)}
+        found = self.words(token[1:])
+        letters = re.sub(r"[\W_]", "", token)
+        joined = self.decode(letters)
+        joined = joined if _TRIPLE.search(letters) or not letters.isalpha() else letters
+        # However unlikely to the model, the whole run may be a word, with one-letter words before or after.
+        for start in range(min(3, len(joined) - 2)):
+            found |= {joined[start:end] for end in range(len(joined), max(len(joined) - 3, start + 2), -1)}
+        return found
+
+
+def restored(tokens: DataFrame, model: DataFrame) -> DataFrame:
+    """(s, words) of the distinct tokens s: each is joined with what its lattice can ask of the model."""
+
+    def ask(batches):
+        for batch in batches:
+            tokens, grams, orders, hashes = [], [], [], []
+            for token in batch.column("s").to_pylist():
+                asked = Asked()
+                Channel(asked).readings(token)
+                for gram in sorted(asked):
+                    tokens.append(token)
+                    grams.append(gram)
+                    orders.append(len(gram))
+                    hashes.append(gram_hashes(np.frombuffer(gram.encode("utf-32-le"), np.uint32).astype(U), len(gram)).view(np.int64)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(grams, pa.string()), pa.array(orders, pa.int32()), pa.array(hashes, pa.int64())], names=["s", "x", "o", "g"])
+
+    about = model.where("o = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+
+    def decode(batches):
+        for batch in batches:
+            out = []
+            for token, counts in zip(batch.column("s").to_pylist(), batch.column("counts").to_pylist()):
+                costs = Costs({c["x"]: c["n"] for c in counts or () if c["n"]}, *about)
+                out.append(sorted(Channel(costs).readings(token)))
+            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(out, pa.list_(pa.string()))], names=["s", "words"])
+
+    asked = tokens.mapInArrow(ask, "s string, x string, o int, g long").join(model, ["o", "g"], "left")
+    counts = asked.groupBy("s").agg(F.collect_list(F.struct("x", "n")).alias("counts"))
+    return materialize(counts.mapInArrow(decode, "s string, words array<string>"), "restored")
+
+
+# --- features ----------------------------------------------------------------
 
 
 def features(word: str) -> list[str]:
@@ -169,139 +277,176 @@ def features(word: str) -> list[str]:
 
 
 class Reader(dict):
-    """Written word -> ids of its features; remembers, and forgets when full."""
+    """Written word -> (its features if it is plain, itself without its edges if it is to be decoded); remembers, and forgets when full.
 
-    def __init__(self, channel: Channel, ids: dict | None):
-        super().__init__()
-        self.channel, self.ids = channel, ids
+    With wanted features, others are not returned, nor are words to be decoded
+    that can't be read as one of them.
+    """
 
-    def of(self, restored: str):
-        found = features(restored)
-        return tuple(found) if self.ids is None else tuple(self.ids[f] for f in found if f in self.ids)
+    def __init__(self, wanted: frozenset | None):
+        super().__init__()
+        self.wanted = wanted
+        if wanted is not None:
+            whole, begun = [f for f in wanted if not f.endswith("*")], [f[:-1] for f in wanted if f.endswith("*")]
+            self.whole, self.begun = {coarse(f) for f in whole}, {coarse(f) for f in begun}
+            self.any = self.whole | self.begun
+            self.sizes, self.begun_sizes = {len(f) for f in self.any}, {len(f) for f in self.begun}
+
+    def may_be(self, token: str) -> bool:
+        if self.wanted is None:
+            return True
+        x = coarse(re.sub(r"[\W_]", "", token.translate(_COARSE)) if token.startswith(RUN) else token)
+        if token.startswith(RUN):
+            return any(x[i : i + n] in self.any for n in self.sizes for i in range(len(x) - n + 1))
+        return x in self.whole or any(x[:n] in self.begun for n in self.begun_sizes)
+
+    def of(self, word: str) -> list[str]:
+        return features(word) if self.wanted is None else [f for f in features(word) if f in self.wanted]
 
     def __missing__(self, word: str):
         if len(self) > KNOWN_WORDS:
             self.clear()
-        restored = self.channel.restore(word)
-        value = self.of(restored)
-        if restored.isalpha() and _DOUBLE.search(restored):
-            value += self.of(self.channel.decode(restored))
-        self[word] = value
+        core = word.lstrip(EDGE_LEFT).rstrip(EDGE_RIGHT)
+        plain = core.isalpha()
+        odd = bool(_DOUBLE.search(core)) if plain else any(c.isalpha() or c in LEET for c in core)
+        found = self.of(core) if not odd or plain and not _TRIPLE.search(core) else []
+        value = self[word] = found, core if odd and self.may_be(core) else None
         return value
 
-    def read(self, text: str | None) -> set:
-        if not text:
-            return set()
+    def read(self, text: str) -> tuple[set, set]:
+        """(features, tokens) of a text."""
         text = text.lower()
-        found: set = set()
-        for ids in filter(None, map(self.__getitem__, set(text.split()))):
-            found.update(ids)
-        for m in _SPACED.finditer(text):
-            for word in self.channel.words(m[0]):
-                found.update(self.of(word))
-            letters = re.sub(r"[\W_]", "", m[0])
-            joined = self.channel.decode(letters) if _TRIPLE.search(letters) or not letters.isalpha() else letters
-            # However unlikely to the model, the whole run may be a word, with one-letter words before or after.
-            for start in range(min(3, len(joined) - 2)):
-                for end in range(len(joined), max(len(joined) - 3, start + 2), -1):
-                    found.update(self.of(joined[start:end]))
-        return found
+        found, tokens = set(), set()
+        for plain, token in map(self.__getitem__, set(text.split())):
+            found.update(plain)
+            if token:
+                tokens.add(token)
+        runs = {RUN + m[0].replace(RUN, " ") for m in _SPACED.finditer(text)}
+        return found, tokens | {r for r in runs if self.may_be(r)}
+
+
+def read(rows: DataFrame, model: DataFrame, wanted: frozenset | None, key: list[str]) -> DataFrame:
+    """(*key, found): the features of each row's text t; rows of equal key must have equal texts."""
+
+    def scan(batches):
+        reader = Reader(wanted)
+        for batch in batches:
+            got = [reader.read(t.decode(errors="replace")) if t else (set(), set()) for t in batch.column("t").to_pylist()]
+            both = [pa.array([sorted(g[i]) for g in got], pa.list_(pa.string())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key], *both], names=[*key, "found", "tokens"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
+    plain = materialize(rows.select(*key, "t").mapInArrow(scan, f"{kinds}, found array<string>, tokens array<string>"), "plain")
+    tokens = plain.select(*key, F.explode("tokens").alias("s")).distinct()
+    words = tokens.join(restored(tokens.select("s").distinct(), model), "s").select(*key, F.explode("words").alias("word")).distinct()
+    begun = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in (4, 5, 6)]
+    more = words.where(F.length("word") > 2).select(*key, F.explode(F.array_compact(F.array("word", *begun))).alias("f"))
+    if wanted is not None:
+        # The features are bounded by the sample they were fitted on.
+        more = more.where(F.col("f").isin(sorted(wanted))) if len(wanted) <= 500 else more.join(rows.sparkSession.createDataFrame([(f,) for f in sorted(wanted)], "f string"), "f", "left_semi")
+    more = materialize(more.groupBy(*key).agg(F.collect_set("f").alias("more")), "hidden").alias("m")
+    same = None
+    for c in key:
+        equal = F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}"))
+        same = equal if same is None else same & equal
+    every = F.array_sort(F.array_union("found", F.coalesce("more", F.array().cast("array<string>"))))
+    return plain.alias("p").join(more, same, "left").select(*[F.col(f"p.{c}").alias(c) for c in key], every.alias("found"))
+
+
+# --- the classifier ----------------------------------------------------------
 
 
 def held_out(id_col):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, channel: Channel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict, np.ndarray, float, np.ndarray]:
-    """(feature -> id, weights, bias, lower bounds of precision) from at most sample labelled rows outside the held-out quarter."""
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("l")).agg(F.max(label_col).cast("int").alias("y"))
-    chosen = marks.orderBy(F.xxhash64("l"), "l").limit(sample)
-    rows = docs.select(F.col(id_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "l").select("t", "y")
+def lower_bound(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Wilson's lower bound of pos / n, 0 where it does not reach SURE: words that chance made look toxic don't."""
+    z, n = BOUND**2, np.maximum(n, 1)
+    share = pos / n
+    low = (share + z / (2 * n) - BOUND * np.sqrt(share * (1 - share) / n + z / (4 * n**2))) / (1 + z / n)
+    return np.where(low < SURE, 0.0, low)
 
-    def counted(kind, ids):
-        def run(batches):
-            reader, counts = Reader(channel, ids), {}
-            for batch in batches:
-                for text in batch.column("t").to_pylist():
-                    for f in reader.read(text):
-                        counts[f] = counts.get(f, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), kind), pa.array(list(counts.values()), pa.int64())], names=["f", "n"])
 
-        return run
+def fit(docs: DataFrame, labels: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict, float]:
+    """(feature -> (weight, lower bound of precision), bias) from at most sample labelled texts outside the held-out quarter.
 
-    total = {r["y"]: r["n"] for r in chosen.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
+    Of an id with several texts that with the smallest hash is taken; ids
+    without a text are not counted.
+    """
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("l")).agg(F.max(label_col).cast("int").alias("y"))
+    chosen = marks.orderBy(F.xxhash64("l"), "l").limit(sample)
+    texts = docs.select(F.col(id_col).alias("l"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(chosen), "l")
+    rows = materialize(texts.groupBy("l", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")), "sample")
+    total = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = total.get(True, 0), total.get(False, 0)
     rate = (n_pos + 0.5) / (n_pos + n_neg + 1.0) if n_pos + n_neg else 0.0
-    alike = {}, np.zeros(0), math.log(max(rate, 1e-6) / max(1 - rate, 1e-6)), np.zeros(0)
+    alike = {}, math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
     if not n_pos or not n_neg:
         return alike
-    common = rows.where("y > 0").mapInArrow(counted(pa.string(), None), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    found = common.orderBy(F.desc("n"), "f").limit(5 * MOST_FEATURES).collect()
-    names, pos = [r["f"] for r in found], np.array([r["n"] for r in found], float)
-    neg = np.zeros(len(names))
-    for r in rows.where("y = 0").mapInArrow(counted(pa.int64(), {f: i for i, f in enumerate(names)}), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
-        neg[r["f"]] = r["n"]
-    # What says toxic: at least LEAST_ODDS times as usual in toxic texts; the most telling of them.
-    odds = np.log((pos + 0.1) / (n_pos + 0.2)) - np.log((neg + 0.1) / (n_neg + 0.2))
-    best = np.argsort(-pos * odds, kind="stable")[:MOST_FEATURES]
-    best = np.sort(best[odds[best] >= math.log(LEAST_ODDS)])
-    n, z = pos[best] + neg[best], BOUND**2
-    share = pos[best] / np.maximum(n, 1)
-    low = (share + z / (2 * np.maximum(n, 1)) - BOUND * np.sqrt(share * (1 - share) / np.maximum(n, 1) + z / (4 * np.maximum(n, 1) ** 2))) / (1 + z / np.maximum(n, 1))
-    low[low < SURE] = 0  # words that chance made look toxic don't reach it
-    names = [names[i] for i in best]
-    ids = {f: i for i, f in enumerate(names)}
-
-    def present(batches):
-        reader = Reader(channel, ids)
-        for batch in batches:
-            got = [np.array(sorted(reader.read(t)), np.int32).tobytes() for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(got, pa.binary())], names=["y", "ids"])
-
-    got = rows.mapInArrow(present, "y int, ids binary").collect()
-    got.sort(key=lambda r: (r["y"], bytes(r["ids"])))  # sums don't depend on the order of arrival
-    y = np.array([r["y"] > 0 for r in got], float)
-    if not y.any() or y.all():
+    counts = lambda read_: read_.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n"))
+    toxic, clean = rows.where("y > 0"), rows.where("y <= 0")
+    found = materialize(read(toxic, model, None, ["l"]), "toxic")
+    pos = {r["f"]: r["n"] for r in counts(found).where(F.col("n") >= LEAST_DOCS).collect()}
+    names = sorted(pos)
+    other = materialize(read(clean, model, frozenset(names), ["l"]), "clean")
+    neg = {r["f"]: r["n"] for r in counts(other).collect()}
+    # What says toxic: at least LEAST_ODDS times as usual in toxic texts.
+    odds = lambda f: math.log((pos[f] + 0.1) / (n_pos + 0.2)) - math.log((neg.get(f, 0) + 0.1) / (n_neg + 0.2))
+    names = [f for f in names if odds(f) >= math.log(LEAST_ODDS)]
+    if not names:
         return alike
-    row = np.repeat(np.arange(len(got)), [len(r["ids"]) // 4 for r in got])
-    col = np.frombuffer(b"".join(bytes(r["ids"]) for r in got), np.int32)
-    w, b = np.zeros(len(best)), math.log(y.mean() / (1 - y.mean()))
-    m1, m2 = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
+    ids = {f: i for i, f in enumerate(names)}
+    p = np.array([pos[f] for f in names], float)
+    low = lower_bound(p, p + np.array([neg.get(f, 0) for f in names], float))
+    # One row a labelled text: at most sample of them.
+    got = [(1.0, sorted(ids[f] for f in r["found"] if f in ids)) for r in found.select("found").collect()]
+    got += [(0.0, sorted(ids[f] for f in r["found"] if f in ids)) for r in other.select("found").collect()]
+    got.sort()  # sums don't depend on the order of arrival
+    y = np.array([r[0] for r in got])
+    row = np.repeat(np.arange(len(got)), [len(r[1]) for r in got])
+    col = np.array([i for r in got for i in r[1]], np.int64)
+    w, b = np.zeros(len(names)), math.log(y.mean() / (1 - y.mean()))
+    m1, m2 = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, 401):  # Adam on the whole sample
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], len(y)), -30, 30)))
-        g = np.append(np.bincount(col, (p - y)[row], len(best)) / len(y) + 1e-4 * w, (p - y).mean())
+        g = np.append(np.bincount(col, (p - y)[row], len(names)) / len(y) + 1e-4 * w, (p - y).mean())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return ids, w, float(b), low
+    return {f: (float(w[i]), float(low[i])) for f, i in ids.items()}, float(b)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD, keep: tuple = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Score every text.
 
-    Returns a row per input row: doc_id, text, held_out, score (0 to 1, from the
-    text alone), predicted (1 from the threshold on). Null and empty texts get
-    the score of a text without features. Labels may be null (ignored) or
-    repeated (toxic if one says so); with none, or of one kind only, every text
-    gets the same score. Repeated rows get equal scores. Null ids are carried,
-    are not held out, and have no label. Columns named in keep come back as the
-    struct kept; others are ignored. An empty table gives an empty result.
+    Returns a row per input row: doc_id, text_hash (xxhash64), held_out, score (0
+    to 1, from the text alone), predicted (1 from the threshold on) and found
+    (the features that count). Null and empty texts get the score of a text
+    without features. Labels may be null (ignored) or repeated (toxic if one says
+    so); with none, or of one kind only, every text gets the same score. Repeated
+    rows, and texts with the same features, get equal scores. Of readings of
+    equal cost the first found in the order of the lattice is taken. Ids are cast
+    to long (an id that is no integer fails); null ids are carried, are not held
+    out, and have no label. Bytes that are no valid UTF-8 count as U+FFFD. Texts
+    of any length are one row of the scans. Other columns are ignored, whatever
+    their names. An empty table gives an empty result.
     """
-    channel = Channel(char_costs(char_counts(docs, text_col)))
-    ids, w, b, low = fit(docs, labels, channel, id_col, text_col, label_col, sample)
+    model = model_of(docs, text_col)
+    known, b = fit(docs, labels, model, id_col, text_col, label_col, sample)
 
-    def run(batches):
-        reader = Reader(channel, ids)
+    def scored(batches):
         for batch in batches:
-            found = [sorted(reader.read(t)) for t in batch.column("t").to_pylist()]
-            x = np.array([b + sum(w[i] for i in f) for f in found], float)
-            score = np.maximum(1 / (1 + np.exp(-np.clip(x, -30, 30))), [max((low[i] for i in f), default=0.0) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), batch.column("k"), pa.array(score)], names=["d", "t", "k", "s"])
+            found = [[known[f] for f in fs] for fs in batch.column("found").to_pylist()]
+            x = np.array([b + sum(w for w, _ in f) for f in found], float)
+            score = np.maximum(1 / (1 + np.exp(-np.clip(x, -30, 30))), np.array([max((low for _, low in f), default=0.0) for f in found], float))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), kept(docs, keep).alias("k"))
-    found = base.mapInArrow(run, f"d long, t string, k {kept_type(docs, keep)}, s double")
-    return found.select(F.col("d").alias("doc_id"), F.col("t").alias("text"), held_out("d").alias("held_out"), F.col("s").alias("score"), (F.col("s") >= threshold).cast("int").alias("predicted"), *([F.col("k").alias("kept")] if keep else []))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).withColumn("text_hash", F.xxhash64("t"))
+    found = read(base, model, frozenset(known), ["doc_id", "text_hash"])
+    found = found.mapInArrow(scored, "doc_id long, text_hash long, found array<string>, score double")
+    return found.select("doc_id", "text_hash", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "found")
 
 
 def op9_toxicity(spark, sf_dir):
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash", "found")

@@ -1,7 +1,8 @@
 import itertools
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -228,6 +229,73 @@ def test_toxicity_held_out_accuracy_and_obfuscation(spark, labelled, crowd):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
     assert all(by[i].predicted for i in (10_000, 10_001, 10_002, 10_005)), [(i, by[i].score) for i in (10_000, 10_001, 10_002, 10_005)]
     assert by[10_003].score == by[10_004].score < 0.3 and all(0 <= r.score <= 1 for r in got)
+    odd = spark.createDataFrame([(20_000, bytearray(b"\xff zugdummy \xfe")), (20_001, bytearray(b"\xff nira"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    got = {r.doc_id: r.predicted for r in T.score_toxicity(docs.union(odd), labels).where("doc_id >= 20000").collect()}
+    assert got == {20_000: 1, 20_001: 0}
+
+
+def test_the_model_counts_characters_and_grows(spark):
+    text = "été  bébé\nab"
+    rows = T.model_of(spark.createDataFrame([(text,), (None,), ("",), (text.upper(),)], "text string")).collect()
+    got = {(r.o, r.g): r.n for r in rows}
+    want = Counter()
+    for _ in range(2):
+        s = T.spaced_words(text)
+        for o in range(1, T.ORDER + 1):
+            want.update((o, s[i : i + o]) for i in range(len(s) - o + 1))
+    code = lambda x: int(T.gram_hashes(np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64), len(x)).view(np.int64)[0])
+    joint = {(o, code(x)): n for (o, x), n in want.items()}
+    both = {k: n for k, n in got.items() if k in joint}
+    # Blanks before an empty text and between texts add to runs of spaces only.
+    assert all(both[k] >= n for k, n in joint.items()) and both[1, code("é")] == 8 and both[3, code("été")] == 2
+    assert len(T.model_of(spark.createDataFrame([(text + " xyz größer",)], "text string")).collect()) > len(rows)
+
+
+def every_reading(word):
+    """All (reading, channel's cost) of a lower-case word."""
+    out = [("", 0.0)]
+    for k, c in enumerate(word):
+        options = [(c, 0.0)] if c.isalpha() else [(x, T.SUBSTITUTE) for x in T.LEET.get(c, "")] + [(c, 1.0)] + ([("", T.LEAVE_OUT)] if c in T.SEPARATORS else [])
+        options += [("", T.REPEAT)] if k and word[k - 1] == c else []
+        out = [(a + x, cost + extra) for a, cost in out for x, extra in options]
+    return out
+
+
+def test_decoding_is_the_cheapest_of_all_readings(spark):
+    """Words by the joined model, against every reading under costs from all counts."""
+    rng = random.Random(19)
+    corpus = ["idiot moron small letters", "kara lona stool", "hello all toolset iii"]
+    rows = [(" ".join(corpus),)] * 3
+    model = T.model_of(spark.createDataFrame(rows, "text string"))
+    s, counts = "".join(T.spaced_words(r[0]) for r in rows), Counter()
+    for o in range(1, T.ORDER + 1):
+        counts.update(s[i : i + o] for i in range(len(s) - o + 1))
+    costs = T.Costs(counts, len(s), len({*s}))
+    words = ["1d10t", "iidiot", "m.o.r-o_n", "$m4ll", "st00l", "idiioott", "h3||o", "t00ls3t!", "+++", "%"] + ["".join(rng.choice("lo1i0.$s") for _ in range(rng.randrange(1, 7))) for _ in range(25)]
+    got = {r.s: r.words for r in T.restored(spark.createDataFrame([(w,) for w in sorted(set(words))], "s string"), model).collect()}
+    assert len(got) == len(set(words))
+
+    def cost(reading, extra):
+        context, total = " " * (T.ORDER - 1), extra
+        for c in reading + " ":
+            total += costs(context, c)
+            context = (context + c)[1 - T.ORDER :]
+        return total
+
+    for w, (reading,) in got.items():
+        best = {}
+        for text, extra in every_reading(w):
+            best[text] = min(best.get(text, math.inf), cost(text, extra))
+        assert best[reading] <= min(best.values()) + 1e-9, (w, reading)
+        assert T.coarse(reading) == T.coarse(w)
+    assert {w: got[w] for w in ("1d10t", "iidiot", "m.o.r-o_n")} == {"1d10t": ["idiot"], "iidiot": ["idiot"], "m.o.r-o_n": ["moron"]}
+
+
+def test_scores_need_no_cap_on_features_and_take_one_text_of_an_id(spark, labelled):
+    docs, labels, truth = labelled
+    some = {r.doc_id: r.score for r in T.score_toxicity(docs, labels).collect()}
+    again = {r.doc_id: r.score for r in T.score_toxicity(docs.union(docs.where("doc_id < 300")).repartition(7), labels).collect()}
+    assert some == again
 
 
 def test_toxicity_of_spaced_and_doubled_words(spark, labelled):
