@@ -263,8 +263,10 @@ def restored(tokens: DataFrame, model: DataFrame) -> DataFrame:
                 out.append(sorted(Channel(costs).readings(token)))
             yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(out, pa.list_(pa.string()))], names=["s", "words"])
 
-    asked = tokens.mapInArrow(ask, "s string, x string, o int, g long").join(model, ["o", "g"], "left")
-    counts = asked.groupBy("s").agg(F.collect_list(F.struct("x", "n")).alias("counts"))
+    # Few rows, but work for all cores: the number of partitions is set.
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    asked = tokens.repartition(parts, "s").mapInArrow(ask, "s string, x string, o int, g long").join(model, ["o", "g"], "left")
+    counts = asked.repartition(parts, "s").groupBy("s").agg(F.collect_list(F.struct("x", "n")).alias("counts"))
     return materialize(counts.mapInArrow(decode, "s string, words array<string>"), "restored")
 
 
@@ -325,8 +327,8 @@ class Reader(dict):
         return found, tokens | {r for r in runs if self.may_be(r)}
 
 
-def read(rows: DataFrame, model: DataFrame, wanted: frozenset | None, key: list[str]) -> DataFrame:
-    """(*key, found): the features of each row's text t; rows of equal key must have equal texts."""
+def scanned(rows: DataFrame, wanted: frozenset | None, key: list[str]) -> DataFrame:
+    """(*key, found, tokens): features of the plain words of each row's text t, and what is to be decoded."""
 
     def scan(batches):
         reader = Reader(wanted)
@@ -336,7 +338,12 @@ def read(rows: DataFrame, model: DataFrame, wanted: frozenset | None, key: list[
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key], *both], names=[*key, "found", "tokens"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
-    plain = materialize(rows.select(*key, "t").mapInArrow(scan, f"{kinds}, found array<string>, tokens array<string>"), "plain")
+    return rows.select(*key, "t").mapInArrow(scan, f"{kinds}, found array<string>, tokens array<string>")
+
+
+def read(rows: DataFrame, model: DataFrame, wanted: frozenset | None, key: list[str]) -> DataFrame:
+    """(*key, found): the features of each row's text t; rows of equal key must have equal texts."""
+    plain = materialize(scanned(rows, wanted, key), "plain")
     tokens = plain.select(*key, F.explode("tokens").alias("s")).distinct()
     words = tokens.join(restored(tokens.select("s").distinct(), model), "s").select(*key, F.explode("words").alias("word")).distinct()
     begun = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in (4, 5, 6)]
@@ -388,12 +395,14 @@ def fit(docs: DataFrame, labels: DataFrame, model: DataFrame, id_col: str = "doc
     toxic, clean = rows.where("y > 0"), rows.where("y <= 0")
     found = materialize(read(toxic, model, None, ["l"]), "toxic")
     pos = {r["f"]: r["n"] for r in counts(found).where(F.col("n") >= LEAST_DOCS).collect()}
-    names = sorted(pos)
+    # What says toxic: at least LEAST_ODDS times as usual in toxic texts. Counts in clean texts only grow with what is
+    # hidden in them, so what fails by plain words alone needs no decoding.
+    telling = lambda names, neg: [f for f in names if math.log((pos[f] + 0.1) / (n_pos + 0.2)) - math.log((neg.get(f, 0) + 0.1) / (n_neg + 0.2)) >= math.log(LEAST_ODDS)]
+    plain = scanned(clean, frozenset(pos), ["l"])
+    names = telling(sorted(pos), {r["f"]: r["n"] for r in counts(plain).collect()})
     other = materialize(read(clean, model, frozenset(names), ["l"]), "clean")
     neg = {r["f"]: r["n"] for r in counts(other).collect()}
-    # What says toxic: at least LEAST_ODDS times as usual in toxic texts.
-    odds = lambda f: math.log((pos[f] + 0.1) / (n_pos + 0.2)) - math.log((neg.get(f, 0) + 0.1) / (n_neg + 0.2))
-    names = [f for f in names if odds(f) >= math.log(LEAST_ODDS)]
+    names = telling(names, neg)
     if not names:
         return alike
     ids = {f: i for i, f in enumerate(names)}
