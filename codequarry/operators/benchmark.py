@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.operators.findings import line_clusters
+
 
 def ratio(part, whole):
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(part / whole, 4))
@@ -29,27 +31,34 @@ def assign(findings: DataFrame, labels: DataFrame, tolerance: int = 3) -> DataFr
     """Outcome rows (file, type, line, outcome): each finding, in order, takes the nearest open label of its file.
 
     A label fits when it accepts the type and lies within tolerance lines; it is
-    taken once. A hit counts under the label's type, a miss under the finding's.
-    Files meet one by one; a finding outside the labelled files is dropped.
+    taken once; of equally near ones the first by line, then type. A hit counts
+    under the label's type, a miss under the finding's. A finding outside the
+    labelled files is dropped. A task holds a cluster of lines of one file that
+    follow one another by tolerance or less: no finding reaches out of it.
     """
     out = "file string, type string, line int, outcome string"
+    f = findings.join(labels.select("file").distinct(), "file", "left_semi")
+    f = f.select("file", "type", F.col("line").cast("int").alias("line"), "ordinal", F.lit(None).cast("array<string>").alias("accepted"))
+    t = labels.where("type is not null").select("file", "type", F.col("line").cast("int").alias("line"), F.lit(None).cast("long").alias("ordinal"), F.col("accepted_types").alias("accepted"))
+    placed = line_clusters(f.withColumn("label", F.lit(False)).unionByName(t.withColumn("label", F.lit(True))), ("file",), tolerance)
 
-    def match(f: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        open_ = [(x.line, x.type, set(x.accepted_types)) for x in t.itertuples() if x.type is not None]
-        rows, file = [], (t if len(t) else f)["file"].iloc[0]
-        if not len(t):
-            return pd.DataFrame([], columns=["file", "type", "line", "outcome"])
-        for x in f.sort_values("ordinal", kind="stable").itertuples():
-            near = [(abs(line - x.line), i) for i, (line, _, ok) in enumerate(open_) if x.type in ok and abs(line - x.line) <= tolerance]
-            if near:
-                line, type_, _ = open_.pop(min(near)[1])
-                rows.append((file, type_, x.line, "tp"))
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        file = group["file"].iloc[0]
+        open_: dict = {}
+        for x in group[group["label"]].sort_values(["line", "type"], kind="stable").itertuples():
+            open_.setdefault(x.line, []).append((x.type, set(x.accepted)))
+        rows = []
+        for x in group[~group["label"]].sort_values("ordinal", kind="stable").itertuples():
+            fits = [(abs(n - x.line), n, i) for n in range(x.line - tolerance, x.line + tolerance + 1) for i, (_, ok) in enumerate(open_.get(n, ())) if x.type in ok]
+            if fits:
+                _, n, i = min(fits)
+                rows.append((file, open_[n].pop(i)[0], x.line, "tp"))
             else:
                 rows.append((file, x.type, x.line, "fp"))
-        rows += [(file, type_, line, "fn") for line, type_, _ in open_]
+        rows += [(file, type_, n, "fn") for n, left in open_.items() for type_, _ in left]
         return pd.DataFrame(rows, columns=["file", "type", "line", "outcome"])
 
-    return findings.groupBy("file").cogroup(labels.groupBy("file")).applyInPandas(match, out)
+    return placed.groupBy("file", "_cluster").applyInPandas(match, out)
 
 
 def truth_counts(labels: DataFrame) -> DataFrame:

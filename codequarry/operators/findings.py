@@ -77,35 +77,57 @@ def drop_exact(findings: DataFrame, scan=("scan_id",), order=("ordinal",)) -> Da
     return findings.withColumn("_n", F.row_number().over(along)).where("_n = 1").drop("_n")
 
 
+def line_clusters(rows: DataFrame, by, window: int) -> DataFrame:
+    """Rows with _cluster: within a key, lines that follow one another by window or less are one cluster.
+
+    A choice that looks window lines around never looks out of a cluster, so
+    whatever the order of the choices, clusters are worked on apart.
+    """
+    along = Window.partitionBy(*by).orderBy("line")
+    far = (F.col("line") - F.lag("line").over(along) > window).cast("long")
+    return rows.withColumn("_cluster", F.sum(F.coalesce(far, F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def drop_near(findings: DataFrame, scan=("scan_id",), window: int = 2) -> DataFrame:
-    """Also drops a finding within window lines of a kept one that says the same; greedy in report order, by file."""
+    """Also drops a finding within window lines of a kept one that says the same; greedy in report order, by file.
+
+    A task holds a cluster of near lines of one kind; each finding looks at the
+    kept ones of 2 * window + 1 lines.
+    """
     schema = findings.schema
     said = F.trim(F.regexp_replace(F.lower(F.coalesce(F.nullif(F.col("proof"), F.lit("")), F.col("description"), F.lit(""))), r"\s+", " "))
-    ready = findings.withColumn("_token", token()).withColumn("_said", said)
+    by = (*scan, "_token", "location")
+    ready = line_clusters(findings.withColumn("_token", token()).withColumn("_said", said), by, window)
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
+        kept: dict = {}
         keep = []
         group = group.sort_values("ordinal", kind="stable")
         for line, words in zip(group["line"], group["_said"]):
-            same = any(line == a or (abs(line - a) <= window and words == b) for a, b in kept)
+            same = line in kept or any(kept.get(n) == words for n in range(line - window, line + window + 1))
             keep.append(not same)
             if not same:
-                kept.append((line, words))
+                kept[line] = words
         return group[keep][[f.name for f in schema]]
 
-    return ready.groupBy(*scan, "_token", "location").applyInPandas(greedy, schema)
+    return ready.groupBy(*by, "_cluster").applyInPandas(greedy, schema)
 
 
 def not_near(new: DataFrame, old: DataFrame, by=("scan_id", "location"), window: int = 5) -> DataFrame:
-    """New findings with no old one of their kind within window lines of them in their file."""
-    n, o = new.withColumn("_token", token()).alias("n"), old.select(*by, token().alias("_token"), F.col("line").alias("_line")).alias("o")
-    on = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*by, "_token")]
-    near = F.abs(F.col("n.line") - F.col("o._line")) <= window
-    cond = near
-    for c in on:
-        cond = cond & c
-    return n.join(o, cond, "left_anti").drop("_token")
+    """New findings with no old one of their kind within window lines of them in their file.
+
+    Lines meet in stretches of window + 1: an old line is looked for in a new
+    one's stretch and the two beside it, by equality, so a file with many
+    findings makes no pairs of all its lines.
+    """
+    stretch = lambda line: F.floor(line / (window + 1)).cast("long")
+    reach = F.explode(F.array(*[stretch(F.col("line")) + d for d in (-1, 0, 1)]))
+    o = old.select(*by, token().alias("_token"), F.col("line").alias("_line"), reach.alias("_at")).distinct().alias("o")
+    n = new.withColumn("_token", token()).withColumn("_at", stretch(F.col("line"))).alias("n")
+    cond = F.abs(F.col("n.line") - F.col("o._line")) <= window
+    for c in (*by, "_token", "_at"):
+        cond = cond & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return n.join(o, cond, "left_anti").drop("_token", "_at")
 
 
 def merge(new: DataFrame, old: DataFrame, by=("scan_id", "location"), window: int = 5) -> DataFrame:
@@ -114,17 +136,18 @@ def merge(new: DataFrame, old: DataFrame, by=("scan_id", "location"), window: in
     schema = left.schema
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
+        kept: set = set()
         keep = []
         group = group.sort_values("ordinal", kind="stable")
         for line in group["line"]:
-            near = any(abs(line - a) <= window for a in kept)
+            near = any(n in kept for n in range(line - window, line + window + 1))
             keep.append(not near)
             if not near:
-                kept.append(line)
+                kept.add(line)
         return group[keep][[f.name for f in schema]]
 
-    taken = left.withColumn("_token", token()).groupBy(*by, "_token").applyInPandas(greedy, schema)
+    key = (*by, "_token")
+    taken = line_clusters(left.withColumn("_token", token()), key, window).groupBy(*key, "_cluster").applyInPandas(greedy, schema)
     return old.unionByName(taken)
 
 
