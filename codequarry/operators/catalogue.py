@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.operators.lineage import checkpointed
 from codequarry.registry import RESOURCE_ROUTES
 
 
@@ -22,22 +23,22 @@ def latest_before(uses: DataFrame, facts: DataFrame, by: tuple, at: str, value:
     return carried.where("_use = 1").select(*by, at, F.col("_v").alias(value))
 
 
-def ancestors(parents: DataFrame, most: int = 32) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """(child, ancestor, depth) over (child, parent); a cycle is cut where it comes back.
 
-    Each round doubles nothing and joins the frontier to the parents, which are
-    one row a class; it ends when the frontier is empty.
+    Each round joins the frontier to the parents, which are one row a class,
+    and is checkpointed, so a round is computed once; rounds go on until the
+    frontier is empty, however deep the classes are.
     """
-    step = parents.select("child", F.col("parent").alias("ancestor")).where("parent is not null and child <> parent").distinct()
-    out = step.withColumn("depth", F.lit(1)).withColumn("seen", F.array("child", "ancestor"))
-    all_ = out
+    step = checkpointed(parents.select("child", F.col("parent").alias("ancestor")).where("parent is not null and child <> parent").distinct())
     edges = step.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"))
-    for depth in range(2, most + 1):
-        out = out.join(edges, "ancestor").where(~F.array_contains("seen", F.col("next"))).select("child", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("seen", F.array("next")).alias("seen"))
-        out = out.checkpoint() if depth % 8 == 0 and parents.sparkSession.sparkContext.getCheckpointDir() else out
-        if out.isEmpty():
-            break
-        all_ = all_.unionByName(out)
+    out = step.withColumn("depth", F.lit(1)).withColumn("seen", F.array("child", "ancestor"))
+    all_, depth = out.drop("seen"), 1
+    while not out.isEmpty():
+        depth += 1
+        new = out.join(edges, "ancestor").where(~F.array_contains("seen", F.col("next")))
+        out = checkpointed(new.select("child", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("seen", F.array("next")).alias("seen")))
+        all_ = all_.unionByName(out.drop("seen"))
     return all_.groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
 
 
@@ -160,18 +161,23 @@ def combine_taint(judgements: DataFrame, by: tuple) -> DataFrame:
 def resolve_location(findings: DataFrame, files: DataFrame) -> DataFrame:
     """findings (id, location) with the file they mean: the path itself, else the one path that ends with it, else the one file of that name or stem.
 
-    Each step is an equi join on path, file name or stem; a step counts only
-    where it finds exactly one file.
+    A step counts only where it finds exactly one file. Files are counted by
+    path ending and by stem first, so a name that many folders have is one row
+    and makes no pairs.
     """
-    name = lambda c: F.substring_index(c, "/", -1)
-    stem = lambda c: F.regexp_replace(name(c), r"\.[^.]*$", "")
+    stem = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"\.[^.]*$", "")
     c = files.select("path").distinct()
-    loc = F.col("location")
-    exact = findings.join(c, loc == F.col("path")).select("id", F.lit(1).alias("step"), "path")
-    pairs = same_file(findings, files).join(findings.select("id", "location"), "id")
-    suffix = pairs.where("path <> location").select("id", F.lit(2).alias("step"), "path")
-    base = findings.join(c, stem(loc) == stem(F.col("path"))).select("id", F.lit(3).alias("step"), "path")
-    only = exact.union(suffix).union(base).groupBy("id", "step").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1")
+    found = findings.select("id", "location").distinct()
+    exact = found.join(c, F.col("location") == F.col("path")).select("id", F.lit(1).alias("step"), F.lit(1).cast("long").alias("n"), "path")
+    # Paths that the location ends with are at most as many as it has segments; those that end with it are counted by ending.
+    longer = found.select("id", "location", F.explode(path_suffixes(F.col("location"))).alias("path")).where("path <> location").join(c, "path")
+    longer = longer.select("id", F.lit(2).alias("step"), F.lit(1).cast("long").alias("n"), "path")
+    ends = c.select("path", F.explode(path_suffixes(F.col("path"))).alias("location")).where("path <> location")
+    ends = ends.groupBy("location").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    shorter = found.join(ends, "location").select("id", F.lit(2).alias("step"), "n", "path")
+    stems = c.groupBy(stem(F.col("path")).alias("stem")).agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    base = found.withColumn("stem", stem(F.col("location"))).join(stems, "stem").select("id", F.lit(3).alias("step"), "n", "path")
+    only = exact.union(longer).union(shorter).union(base).groupBy("id", "step").agg(F.sum("n").alias("n"), F.min("path").alias("path")).where("n = 1")
     best = only.groupBy("id").agg(F.min_by("path", "step").alias("path"))
     return findings.join(best, "id", "left")
 

@@ -63,20 +63,30 @@ def limit_state(used, limit):
     return F.when(limit > 0, F.greatest(F.lit(0), limit - used)).alias("remaining"), F.when(limit > 0, F.round(used / limit * 100, 1)).otherwise(0.0).alias("percent_used")
 
 
+def beginnings(col):
+    """All beginnings of a string, itself included, but for the empty one."""
+    return F.transform(F.sequence(F.lit(1), F.length(col)), lambda n: F.substring(col, F.lit(1), n))
+
+
 def price_lookup(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage rows (provider, model) with input and output rates.
 
     In turn: the model of the provider, one of the provider's that begins the
     name or begins with it, the model anywhere, such a one anywhere. The first
-    in the registry's order wins. Distinct models are looked up once.
+    in the registry's order wins. Distinct models are looked up once, by
+    equality with the beginnings of the names, on either side; an empty name is
+    no model.
     """
-    asked = usage.select("provider", "model").distinct()
-    known = prices.select(F.lower("provider").alias("p"), F.col("model").alias("m"), "input", "output", F.col("ordinal").alias("o"))
-    same, near = F.col("m") == F.col("model"), F.col("m").startswith(F.col("model")) | F.col("model").startswith(F.col("m"))
+    asked = usage.select("provider", "model").where("model <> ''").distinct()
+    known = prices.select(F.lower("provider").alias("p"), F.col("model").alias("m"), "input", "output", F.col("ordinal").alias("o")).where("m <> ''")
+    longer = asked.select("provider", "model", F.explode(beginnings(F.col("model"))).alias("m")).join(known, "m")
+    shorter = asked.join(known.withColumn("model", F.explode(beginnings(F.col("m")))).where("model <> m"), "model")
+    columns = ["provider", "model", "p", "m", "input", "output", "o"]
     own = F.col("p") == F.lower("provider")
-    step = F.when(own & same, 1).when(own & near, 2).when(same | near, 3)
-    pairs = asked.join(F.broadcast(known), near).withColumn("step", step)
-    best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("provider", "model").orderBy("step", "o"))).where("n = 1").select("provider", "model", "input", "output", F.col("m").alias("priced_as"))
+    step = F.when(own & (F.col("m") == F.col("model")), 1).when(own, 2).otherwise(3)
+    pairs = longer.select(*columns).union(shorter.select(*columns)).withColumn("step", step)
+    best = pairs.groupBy("provider", "model").agg(F.min_by(F.struct("input", "output", "m"), F.struct("step", "o")).alias("b"))
+    best = best.select("provider", "model", "b.input", "b.output", F.col("b.m").alias("priced_as"))
     return usage.join(best, ["provider", "model"], "left")
 
 
@@ -89,36 +99,54 @@ def recent(history: DataFrame, n: int, order="id") -> DataFrame:
     return history.orderBy(F.desc(order)).limit(n)
 
 
+def _in_order(rows: DataFrame, by: tuple, order: str, size: str, step, out: str) -> DataFrame:
+    """Rows (by..., order, size) with what step(state, size) gives along each scan; step(None, size) begins one.
+
+    A scan's rows pass through one task in order, batch by batch: nothing but
+    the state of the scan at hand is kept, and only keys and numbers are moved.
+    """
+    narrow = rows.select(*by, order, F.col(size).cast("long").alias(size))
+    name, kind = out.split()
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema) + f", {out}"
+
+    def run(batches):
+        at, state = None, None
+        for pdf in batches:
+            got = []
+            for key, n in zip(pdf[list(by)].itertuples(index=False, name=None), pdf[size]):
+                state, value = step(None if key != at else state, int(n))
+                at = key
+                got.append(value)
+            yield pdf.assign(**{name: got})
+
+    return narrow.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, ddl)
+
+
 def fold_chunks(files: DataFrame, by: tuple, order: str, max_size: int, chunk_size: int, size: str = "size") -> DataFrame:
     """Greedy chunks of a scan's files in order: (by..., order, chunk).
 
     A chunk closes when the next file would take it past max_size (unless it is
-    empty) or it holds chunk_size files. The fold runs over a scan's ordered
-    (order, size) pairs, so only those two numbers of a file meet in one row.
+    empty) or it holds chunk_size files.
     """
-    pairs = files.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("f"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out"))
 
-    def step(acc, x):
-        close = (acc["n"] > 0) & ((acc["used"] + x["s"] > max_size) | (acc["n"] >= chunk_size))
-        chunk = acc["chunk"] + close.cast("int")
-        return F.struct(chunk.alias("chunk"), (F.when(close, F.lit(0).cast("long")).otherwise(acc["used"]) + x["s"]).alias("used"), (F.when(close, 0).otherwise(acc["n"]) + 1).alias("n"), F.concat(acc["out"], F.array(chunk)).alias("out"))
+    def step(state, n):
+        chunk, used, count = state or (0, 0, 0)
+        if count and (used + n > max_size or count >= chunk_size):
+            chunk, used, count = chunk + 1, 0, 0
+        return (chunk, used + n, count + 1), chunk
 
-    folded = pairs.withColumn("c", F.aggregate("f", start, step, lambda acc: acc["out"]))
-    return folded.select(*by, F.explode(F.arrays_zip("f", "c")).alias("x")).select(*by, F.col("x.f.o").alias(order), F.col("x.c").alias("chunk"))
+    return _in_order(files, by, order, size, step, "chunk int").select(*by, order, "chunk")
 
 
 def admit(chunks: DataFrame, by: tuple, order: str, budget: int, reserve: int = 4000, size: str = "tokens") -> DataFrame:
     """Which chunks run under a token budget: one that does not fit is skipped, later ones may still fit."""
-    pairs = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("f"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<boolean>)").alias("out"))
 
-    def step(acc, x):
-        fits = (F.lit(budget) == 0) | (acc["used"] + x["s"] + reserve <= budget)
-        return F.struct((acc["used"] + F.when(fits, x["s"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(acc["out"], F.array(fits)).alias("out"))
+    def step(state, n):
+        used = state or 0
+        fits = budget == 0 or used + n + reserve <= budget
+        return used + n * fits, fits
 
-    folded = pairs.withColumn("c", F.aggregate("f", start, step, lambda acc: acc["out"]))
-    return folded.select(*by, F.explode(F.arrays_zip("f", "c")).alias("x")).select(*by, F.col("x.f.o").alias(order), F.col("x.f.s").alias(size), F.col("x.c").alias("admitted"))
+    return _in_order(chunks, by, order, size, step, "admitted boolean").select(*by, order, size, "admitted")
 
 
 def merge_reports(reports: DataFrame, by=("scan_id",)) -> DataFrame:

@@ -87,12 +87,12 @@ def resource_routes(spark, sf):
     return C.expand_resources(res)
 
 
-@query("""WITH g AS (SELECT p_partkey % 40 AS file, p_size * 10 AS s, p_size * 10 + 200 AS e, min(p_brand) AS mw FROM part WHERE p_partkey % 4 = 0 GROUP BY ALL), r AS (SELECT DISTINCT p_partkey % 40 AS file, p_size * 10 + 5 AS position FROM part WHERE p_partkey % 4 = 1),
+@query("""WITH g AS (SELECT p_partkey % 40 AS file, p_size * 10 AS s, p_size * 10 + 200 AS e, min(p_brand) AS mw FROM part GROUP BY ALL), r AS (SELECT DISTINCT p_partkey % 40 AS file, p_size * 10 + 5 AS position FROM part),
 j AS (SELECT r.file, r.position, mw, min(s) AS s FROM r LEFT JOIN g ON g.file = r.file AND position > s AND position < e GROUP BY ALL) SELECT file, position, coalesce(string_agg(mw, ',' ORDER BY s, mw), '') AS middleware FROM j GROUP BY ALL""")
 def group_middleware(spark, sf):
     p = table(spark, sf, "part").select((F.col("p_partkey") % 40).alias("file"), "p_partkey", "p_size", "p_brand")
-    groups = p.where("p_partkey % 4 = 0").groupBy("file", (F.col("p_size") * 10).alias("start")).agg(F.array(F.min("p_brand")).alias("middleware")).withColumn("end", F.col("start") + 200)
-    at = p.where("p_partkey % 4 = 1").select("file", (F.col("p_size") * 10 + 5).alias("position")).distinct()
+    groups = p.groupBy("file", (F.col("p_size") * 10).alias("start")).agg(F.array(F.min("p_brand")).alias("middleware")).withColumn("end", F.col("start") + 200)
+    at = p.select("file", (F.col("p_size") * 10 + 5).alias("position")).distinct()
     return C.inherited_middleware(at, groups).select("file", "position", F.array_join("middleware", ",").alias("middleware"))
 
 
