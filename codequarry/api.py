@@ -46,4 +46,5 @@ class Engine:
         return {"files_discovered": row.discovered, "files_analyzed": row.analyzed, "files_skipped": row.skipped, "percent_analyzed": row.percent_analyzed, "complete": row.complete}
 
     def report(self, findings: DataFrame, coverage: dict | None = None) -> dict:
-        return reports.to_dict(reports.collected(findings), coverage)
+        """Counts and score of findings; reports.lines() makes a document of it and them."""
+        return reports.summary(findings, coverage)

@@ -24,6 +24,7 @@ def main(argv=None) -> int:
     a = p.parse_args(argv)
 
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from codequarry.api import Engine
     from codequarry.detect.access import explain
@@ -41,14 +42,17 @@ def main(argv=None) -> int:
     how = {"routes": documents.routes(spark, a.routes) if a.routes else None, "baseline": documents.baseline(spark, a.baseline) if a.baseline else None}
     try:
         found = engine.scan_diff(a.root, a.diff or None, **how) if a.diff is not None else engine.scan_path(a.root, a.path, **how) if a.path else engine.scan(a.root, **how)
-        rows = [r for r in reports.collected(found) if WEIGHT[r["severity"]] >= WEIGHT[a.minimum]]
+        least = [k for k, w in WEIGHT.items() if w >= WEIGHT[a.minimum]]
+        found = found.where(F.col("severity").isin(least)).persist()
     except TargetError as x:
         print(x, file=sys.stderr)
         return 2
-    report = reports.to_dict(rows)
-    print({"json": lambda: reports.to_json(report), "sarif": lambda: json.dumps(reports.sarif(rows), indent=2), "markdown": lambda: reports.markdown(report), "html": lambda: reports.html_page(report)}[a.format]())
+    report = reports.summary(found)
+    for line in reports.text(reports.lines(found, a.format, report)):
+        print(line)
     least = WEIGHT.get(a.fail_on)
-    return int(least is not None and any(r["class"] == "vulnerability" and WEIGHT[r["severity"]] >= least for r in rows))
+    found.unpersist()
+    return int(least is not None and any(report["counts"][k] for k, w in WEIGHT.items() if w >= least))
 
 
 if __name__ == "__main__":

@@ -1,7 +1,9 @@
 """Reports: JSON, SARIF, Markdown, HTML; and the tables scans leave behind.
 
-A report is for people and for one scan, so its findings are collected; tables
-(history, usage, baseline) are written by Spark.
+A report is a table of lines: a head and a foot made from one row of counts, and
+between them a piece for each finding, rendered by Spark expressions. In order of
+`at` the lines are the document; save() writes them so, text() streams them. No
+task and no driver holds a document.
 """
 
 from __future__ import annotations
@@ -9,113 +11,206 @@ from __future__ import annotations
 import datetime
 import html
 import json
-import re
 import secrets
 import time
-from urllib.parse import quote
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry import registry as R
 
-_TYPES = {t[0]: t for t in R.TYPES}
-_WEIGHT = R.WEIGHT
 _RANK = {s: r for s, _, r, *_ in R.SEVERITIES}
-_LEVEL = {s: (level, score) for s, _, _, level, score in R.SEVERITIES}
-_PRECISION = {c: p for c, _, p in R.CONFIDENCES}
 _REASON = R.SKIP_REASONS
+FINDING = "type string, location string, line int, severity string, description string, proof string, fix string, class string, confidence string, fingerprint string"
+FIELDS = [f.split()[0] for f in FINDING.split(", ")]
 
 
-def collected(findings: DataFrame) -> list[dict]:
-    rows = [r.asDict(True) for r in findings.collect()]
-    return sorted(rows, key=lambda r: (-_RANK.get(r["severity"], 0), r.get("location") or "", r.get("line") or 0, r["type"]))
+def chosen(col, values: dict, otherwise=None):
+    """The value of a small fixed table at col."""
+    out = None
+    for k, v in values.items():
+        out = F.when(col == k, v) if out is None else out.when(col == k, v)
+    return out.otherwise(F.lit(otherwise))
 
 
-def score_of(rows: list[dict]) -> int:
-    return max(0, 100 - sum(_WEIGHT.get(r["severity"], 0) for r in rows if r["class"] == "vulnerability"))
-
-
-def to_dict(rows: list[dict], coverage: dict | None = None, summary: str = "", target_error: str | None = None) -> dict:
-    sure = [r for r in rows if r["class"] == "vulnerability"]
+def summary(findings: DataFrame, coverage: dict | None = None, text: str = "", target_error: str | None = None) -> dict:
+    """Counts, score and what withholds it: all of a report but its findings, from one row of sums."""
+    sure = F.col("class") == "vulnerability"
+    row = findings.agg(*[F.count_if(sure & (F.col("severity") == s)).alias(s) for s in _RANK], F.count_if(sure).alias("total"), F.count_if(~sure).alias("review")).first()
+    counts = row.asDict()
+    severities = [{"severity": s, "count": counts[s], "weight": w, "penalty": counts[s] * w} for s, w, *_ in R.SEVERITIES]
+    penalty = sum(s["penalty"] for s in severities)
     why = target_error or ("coverage is incomplete" if coverage and not coverage.get("complete", True) else None)
-    counts = {s: sum(r["severity"] == s for r in sure) for s in _RANK}
     return {
-        "overall_score": None if why else score_of(rows), "score_suppressed": bool(why), "score_suppression_reason": why, "target_error": target_error, "summary": summary,
-        "counts": counts | {"total": len(sure), "review": len(rows) - len(sure)},
-        "score_breakdown": {"formula": "max(0, 100 - sum(count * weight))", "base": 100, "severities": [{"severity": s, "count": counts[s], "weight": w, "penalty": counts[s] * w} for s, w, *_ in R.SEVERITIES], "total_penalty": sum(counts[s] * w for s, w, *_ in R.SEVERITIES), "score": score_of(rows)},
+        "overall_score": None if why else max(0, 100 - penalty),
+        "score_suppressed": bool(why),
+        "score_suppression_reason": why,
+        "target_error": target_error,
+        "summary": text,
+        "counts": counts,
+        "score_breakdown": {"formula": "max(0, 100 - sum(count * weight))", "base": 100, "severities": severities, "total_penalty": penalty, "score": max(0, 100 - penalty)},
         "coverage": coverage,
-        "vulnerabilities": [r | {"type_label": _TYPES[r["type"]][1], "owasp": _TYPES[r["type"]][2], "cwe": _TYPES[r["type"]][3]} if r["type"] in _TYPES else r for r in rows],
-    }
+    }
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings with all columns a report needs and their place: worst first, then file, line, type."""
+    missing = [F.lit(None).cast("string").alias(c) for c in FIELDS if c not in findings.columns]
+    rows = findings.select(*[c for c in FIELDS if c in findings.columns], *missing)
+    place = [-chosen(F.col("severity"), _RANK, 0), F.coalesce("location", F.lit("")), F.coalesce("line", F.lit(0)), F.coalesce("type", F.lit("")), F.xxhash64("description", "proof", "fix")]
+    place = [c.alias(f"k{n}") for n, c in enumerate(place)]
+    keyed = rows.select("*", F.struct(F.lit(1).alias("part"), *place).alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))  # equal findings only
+    return keyed.withColumn("at", F.struct("key.*", nth.alias("nth"))).drop("key")
+
+
+def _lines(rows: DataFrame, piece, head: str, foot: str, joined: bool) -> DataFrame:
+    """(at, text): head, a piece a finding (with commas between them if joined), foot."""
+    if joined:
+        first = rows.agg(F.min("at").alias("first"))
+        rows = rows.join(F.broadcast(first))  # one row
+        piece = F.concat(F.when(F.col("at") == F.col("first"), "").otherwise(","), piece)
+    body = rows.select("at", piece.alias("text"))
+    ends = rows.sparkSession.createDataFrame([(0, head), (2, foot)], "part int, text string")
+    blank = F.struct("part", *[F.lit(None).cast(f.dataType).alias(f.name) for f in body.schema["at"].dataType.fields[1:]])
+    return body.union(ends.select(blank.alias("at"), "text"))
 
 
-def to_json(report: dict) -> str:
-    return json.dumps(report, indent=2, ensure_ascii=False, default=str).encode("utf-8", "replace").decode()
+def json_lines(findings: DataFrame, report: dict) -> DataFrame:
+    labels = {t[0]: t for t in R.TYPES}
+    about = [chosen(F.col("type"), {k: t[n] for k, t in labels.items()}).alias(name) for n, name in ((1, "type_label"), (2, "owasp"), (3, "cwe"))]
+    head = json.dumps(report, ensure_ascii=False, default=str)[:-1] + ', "vulnerabilities": ['
+    return _lines(ordered(findings), F.to_json(F.struct(*FIELDS, *about)), head, "]}", True)
 
 
-def from_json(spark: SparkSession, text: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Findings of a saved report; missing keys take defaults, a missing class means vulnerability."""
-    doc = json.loads(text)
-    rows = []
-    for n, v in enumerate(doc.get("vulnerabilities") or []):
-        type_ = v.get("type") if v.get("type") in _TYPES else R.DEFAULT_TYPE
-        sure = v.get("confidence", "probable")
-        class_ = "review" if sure == "possible" else v.get("class", "vulnerability")
-        rows.append((n, type_, v.get("location", ""), int(v.get("line") or 1), v.get("severity", "low"), v.get("description", ""), v.get("proof", ""), "" if class_ == "review" else v.get("fix", ""), class_, sure, v.get("fingerprint")))
-    return spark.createDataFrame(rows, "ordinal long, type string, location string, line int, severity string, description string, proof string, fix string, class string, confidence string, fingerprint string")
-
-
-def sarif(rows: list[dict], skipped: list[dict] = (), tool: str = "codequarry", version: str = "1.0") -> dict:
-    kinds = list(dict.fromkeys(r["type"] for r in rows))
-    rules_ = []
+    piece = F.from_json(F.regexp_replace("value", "^,", ""), FINDING)
+    v = spark.read.text(path).where("value rlike '^,?[{]\"(type|location|line|severity|description)\"'").select(piece.alias("v")).select("v.*")
+    sure = F.coalesce("confidence", F.lit("probable"))
+    review = (sure == "possible") | (F.coalesce("class", F.lit("vulnerability")) == "review")
+    known = F.coalesce(F.col("type").isin([t[0] for t in R.TYPES]), F.lit(False))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return v.select(
+        F.when(known, F.col("type")).otherwise(R.DEFAULT_TYPE).alias("type"), text("location"), F.coalesce("line", F.lit(1)).alias("line"), F.coalesce("severity", F.lit("low")).alias("severity"),
+        text("description"), text("proof"), F.when(review, "").otherwise(F.coalesce("fix", F.lit(""))).alias("fix"),
+        F.when(review, "review").otherwise("vulnerability").alias("class"), sure.alias("confidence"), "fingerprint",
+    )
+
+
+def uri(path):
+    """A path with its segments percent-encoded."""
+    one = lambda x: F.replace(F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    return F.array_join(F.transform(F.split(path, "/", -1), one), "/")
+
+
+def sarif_lines(findings: DataFrame, skipped: DataFrame | None = None, tool: str = "codequarry", version: str = "1.0") -> DataFrame:
+    """SARIF 2.1.0: rules by type (in order of their worst finding), results, and a notification for each skipped file (path, reason)."""
+    rows = ordered(findings)
+    labels = {t[0]: t for t in R.TYPES}
+    level = {s: level for s, _, _, level, _ in R.SEVERITIES}
+    score = {s: score for s, _, _, _, score in R.SEVERITIES}
+    sure = F.col("class") == "vulnerability"
+    # One row a type: bounded by the types there are.
+    kinds = rows.groupBy("type").agg(F.min("at").alias("at"), F.max_by(F.when(sure, F.col("severity")), F.when(sure, chosen(F.col("severity"), _RANK, 0)).otherwise(-1)).alias("worst")).orderBy("at").collect()
+    rules = []
     for k in kinds:
-        sure = [r["severity"] for r in rows if r["type"] == k and r["class"] == "vulnerability"]
-        worst = max(sure, key=_RANK.__getitem__, default=None)
-        t = _TYPES.get(k, (k, k, "", ""))
+        t = labels.get(k["type"], (k["type"], k["type"], "", ""))
         props = {"tags": ["security", *([f"external/cwe/{t[3].lower()}"] if t[3] else [])]}
-        if worst:
-            props["security-severity"] = _LEVEL[worst][1]
-        rules_.append({"id": k, "name": t[1], "shortDescription": {"text": t[1]}, "properties": props})
-    results = [
-        {
-            "ruleId": r["type"], "ruleIndex": kinds.index(r["type"]), "level": _LEVEL[r["severity"]][0] if r["class"] == "vulnerability" else "note", "message": {"text": r["description"] or _TYPES[r["type"]][1]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": "/".join(quote(s, safe="~") for s in r["location"].split("/")), "uriBaseId": "SRCROOT"}, "region": {"startLine": max(1, r["line"])}}}],
-            "properties": {"class": r["class"], "precision": _PRECISION.get(r["confidence"], "medium")}, **({"partialFingerprints": {"finding/v1": r["fingerprint"]}} if r.get("fingerprint") else {}),
-        }
-        for r in rows
-    ]
-    notes = [{"level": "warning", "message": {"text": f"{s['path']}: {_REASON.get(s['reason'], s['reason'])}"}} for s in skipped]
-    run = {"tool": {"driver": {"name": tool, "version": version, "rules": rules_}}, "results": results, "invocations": [{"executionSuccessful": True, "toolExecutionNotifications": notes}]}
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}
-
-
-def md_escape(text: str) -> str:
-    return re.sub(r"([\\`*_{}\[\]<>#|])", r"\\\1", text).replace("\n", " ")
-
-
-def md_fence(code: str) -> str:
+        if k["worst"]:
+            props["security-severity"] = score[k["worst"]]
+        rules.append({"id": t[0], "name": t[1], "shortDescription": {"text": t[1]}, "properties": props})
+    index = chosen(F.col("type"), {r["id"]: n for n, r in enumerate(rules)} or {"": 0})
+    shown = F.when(F.coalesce("description", F.lit("")) == "", chosen(F.col("type"), {k: t[1] for k, t in labels.items()}, "")).otherwise(F.col("description"))
+    place = F.struct(F.struct(uri(F.col("location")).alias("uri"), F.lit("SRCROOT").alias("uriBaseId")).alias("artifactLocation"), F.struct(F.greatest(F.lit(1), F.col("line")).alias("startLine")).alias("region"))
+    result = F.struct(
+        F.col("type").alias("ruleId"),
+        index.alias("ruleIndex"),
+        F.when(sure, chosen(F.col("severity"), level, "note")).otherwise("note").alias("level"),
+        F.struct(shown.alias("text")).alias("message"),
+        F.array(F.struct(place.alias("physicalLocation"))).alias("locations"),
+        F.struct("class", chosen(F.col("confidence"), {c: p for c, _, p in R.CONFIDENCES}, "medium").alias("precision")).alias("properties"),
+        F.when(F.col("fingerprint").isNotNull(), F.struct(F.col("fingerprint").alias("finding/v1"))).alias("partialFingerprints"),
+    )
+    driver = json.dumps({"name": tool, "version": version, "rules": rules})
+    head = '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": ' + driver + '}, "results": ['
+    foot = '], "invocations": [{"executionSuccessful": true, "toolExecutionNotifications": ['
+    out = _lines(rows, F.to_json(result), head, foot, True)
+    # Notifications follow the foot, in order of path; the last line closes.
+    notes = skipped.select("path", "reason").distinct() if skipped is not None else findings.sparkSession.createDataFrame([], "path string, reason string")
+    note = F.struct(F.lit("warning").alias("level"), F.struct(F.concat("path", F.lit(": "), F.coalesce(chosen(F.col("reason"), _REASON), F.col("reason"))).alias("text")).alias("message"))
+    notes = notes.join(F.broadcast(notes.agg(F.min(F.struct("path", "reason")).alias("first"))))  # one row
+    comma = F.when(F.struct("path", "reason") == F.col("first"), "").otherwise(",")
+    fields = out.schema["at"].dataType.fields
+    at = lambda part, path: F.struct(*[part.alias(f.name) if f.name == "part" else path.alias(f.name) if f.name == "k1" else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    close = findings.sparkSession.createDataFrame([("]}]}]}",)], "text string")
+    out = out.union(notes.select(at(F.lit(3), F.col("path")).alias("at"), F.concat(comma, F.to_json(note)).alias("text")))
+    return out.union(close.select(at(F.lit(4), F.lit(None).cast("string")).alias("at"), "text"))
+
+
+def md_escape(text):
+    return F.replace(F.regexp_replace(text, r"([\\`*_{}\[\]<>#|])", r"\\$1"), F.lit("\n"), F.lit(" "))
+
+
+def md_fence(code):
     """A block whose fence is longer than any run of backticks inside."""
-    mark = "`" * max(3, 1 + max((len(x) for x in re.findall("`+", code)), default=0))
-    return f"{mark}\n{code}\n{mark}"
+    longest = F.array_max(F.transform(F.regexp_extract_all(code, F.lit("`+"), F.lit(0)), lambda x: F.length(x)))
+    mark = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(longest, F.lit(0)) + 1))
+    return F.concat(mark, F.lit("\n"), code, F.lit("\n"), mark)
+
+
+def type_label():
+    return F.coalesce(chosen(F.col("type"), {t[0]: t[1] for t in R.TYPES}), F.col("type"))
+
+
+def markdown_lines(findings: DataFrame, report: dict) -> DataFrame:
+    score = f"withheld ({report['score_suppression_reason']})" if report["score_suppressed"] else report["overall_score"]
+    head = ["# Security report", "", f"Score: {score}", "", "| Severity | Count |", "| --- | --- |", *[f"| {s} | {report['counts'][s]} |" for s in _RANK]]
+    block = lambda name: F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit(f"\n\n{name.capitalize()}:\n\n"), md_fence(F.col(name)))).otherwise("")
+    title = F.concat(F.lit("\n## "), md_escape(type_label()), F.lit(" ("), "severity", F.lit(", "), "class", F.lit(")\n\n"))
+    place = F.concat(md_escape(F.coalesce("location", F.lit(""))), F.lit(":"), F.col("line").cast("string"), F.lit("\n\n"))
+    return _lines(ordered(findings), F.concat(title, place, md_escape(F.coalesce("description", F.lit(""))), block("proof"), block("fix")), "\n".join(head), "", False)
+
 
+def html_escape(text):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
-def markdown(report: dict) -> str:
-    out = ["# Security report", "", f"Score: {report['overall_score'] if not report['score_suppressed'] else 'withheld (' + report['score_suppression_reason'] + ')'}", "", "| Severity | Count |", "| --- | --- |"]
-    out += [f"| {s} | {report['counts'][s]} |" for s in _RANK]
-    for r in report["vulnerabilities"]:
-        out += ["", f"## {md_escape(r.get('type_label', r['type']))} ({r['severity']}, {r['class']})", "", f"{md_escape(r['location'])}:{r['line']}", "", md_escape(r["description"])]
-        for k in ("proof", "fix"):
-            if r.get(k):
-                out += ["", k.capitalize() + ":", "", md_fence(r[k])]
-    return "\n".join(out) + "\n"
 
+def colour(score: int | None, critical: int) -> str:
+    if score is None:
+        return "#6b7280"
+    if critical >= 3 or (critical and score < 50) or score < 40:
+        return "#ef4444"
+    return "#f97316" if (critical and score < 70) or score < 60 else "#eab308" if score < 80 else "#22c55e"
 
-def html_page(report: dict) -> str:
-    e = html.escape
-    rows = "".join(f"<tr><td>{e(r['severity'])}</td><td>{e(r.get('type_label', r['type']))}</td><td>{e(r['location'])}:{r['line']}</td><td>{e(r['description'])}</td></tr>" for r in report["vulnerabilities"])
-    score, critical = report["overall_score"], report["counts"]["critical"]
-    colour = "#6b7280" if score is None else "#ef4444" if critical >= 3 or (critical and score < 50) or score < 40 else "#f97316" if (critical and score < 70) or score < 60 else "#eab308" if score < 80 else "#22c55e"
-    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Security report</title></head><body><h1 style="color:{colour}">{"withheld" if score is None else score}</h1><table><tr><th>Severity</th><th>Type</th><th>Place</th><th>Description</th></tr>{rows}</table></body></html>'
+
+def html_lines(findings: DataFrame, report: dict) -> DataFrame:
+    score = report["overall_score"]
+    shown = html.escape("withheld" if score is None else str(score))
+    head = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Security report</title></head><body>'
+    head += f'<h1 style="color:{colour(score, report["counts"]["critical"])}">{shown}</h1><table><tr><th>Severity</th><th>Type</th><th>Place</th><th>Description</th></tr>'
+    place = F.concat(F.coalesce("location", F.lit("")), F.lit(":"), F.col("line").cast("string"))
+    cells = [F.concat(F.lit("<td>"), html_escape(c), F.lit("</td>")) for c in (F.col("severity"), type_label(), place, F.coalesce("description", F.lit("")))]
+    return _lines(ordered(findings), F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")), head, "</table></body></html>", False)
+
+
+def lines(findings: DataFrame, kind: str, report: dict) -> DataFrame:
+    if kind == "sarif":
+        return sarif_lines(findings)
+    return {"json": json_lines, "markdown": markdown_lines, "html": html_lines}[kind](findings, report)
+
+
+def text(found: DataFrame) -> Iterator[str]:
+    """The lines of a document in order, a partition at a time."""
+    return (r["text"] for r in found.orderBy("at").toLocalIterator())
+
+
+def save(found: DataFrame, path: str) -> None:
+    """The document as text files; in order of their names they are its lines."""
+    found.orderBy("at").select("text").write.mode("overwrite").text(path)
 
 
 def badge(score: int) -> str:
@@ -133,16 +228,22 @@ def scan_id() -> str:
     return "".join("0123456789ABCDEFGHJKMNPQRSTVWXYZ"[n >> 5 * i & 31] for i in range(25, -1, -1))
 
 
-def save_history(spark: SparkSession, path: str, report: dict, **about) -> str:
-    """Append one scan's document; its id."""
-    from codequarry import schemas
-
+def save_history(findings: DataFrame, path: str, report: dict, **about) -> str:
+    """Append one scan: its head as a row of path/scans, its findings as rows of path/findings; its id."""
     id_ = scan_id()
-    doc = report | about | {"id": id_, "created_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}
-    spark.read.schema(schemas.HISTORY).json(spark.sparkContext.parallelize([json.dumps(doc, default=str)], 1)).write.mode("append").json(path)
+    made = {"id": id_, "created_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}
+    spark = findings.sparkSession
+    head = spark.createDataFrame([(json.dumps(report | about | made, default=str),)], "value string")
+    head.write.mode("append").text(f"{path}/scans")
+    ordered(findings).select(F.lit(id_).alias("id"), *FIELDS).write.mode("append").json(f"{path}/findings")
     return id_
 
 
+def headline(findings: DataFrame) -> DataFrame:
+    """The first finding of a report: the worst one."""
+    return ordered(findings).orderBy("at").limit(1).select(*FIELDS)
+
+
 def append_usage(rows: DataFrame, path: str) -> None:
     """Append usage rows; every append is a file of its own, so a broken one harms no other."""
     rows.write.mode("append").json(path)

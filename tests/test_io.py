@@ -54,14 +54,24 @@ def test_engine_end_to_end(spark, project, tmp_path):
     path = str(tmp_path / "baseline")
     reports.write_baseline(found, path)
     assert engine.scan(str(project), baseline=documents.baseline(spark, path)).count() == 0
-    again = reports.from_json(spark, reports.to_json(report))
-    assert again.count() == found.count()
-    doc = reports.sarif(reports.collected(found))
-    assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == found.count() and all(r["ruleId"] in {x["id"] for x in doc["runs"][0]["tool"]["driver"]["rules"]} for r in doc["runs"][0]["results"])
-    assert "# Security report" in reports.markdown(report) and "<table>" in reports.html_page(report)
-    one = reports.save_history(spark, str(tmp_path / "history"), report, scan_duration_ms=5)
-    two = reports.save_history(spark, str(tmp_path / "history"), report, scan_duration_ms=6)
-    ids = [r.id for r in documents.history(spark, str(tmp_path / "history")).orderBy("id").collect()]
+    reports.save(reports.lines(found, "json", report), str(tmp_path / "report"))
+    again = reports.read_json(spark, str(tmp_path / "report"))
+    kept = ["type", "location", "line", "severity", "description", "proof", "class", "confidence", "fingerprint"]
+    assert sorted(map(str, again.select(*kept).collect())) == sorted(map(str, found.select(*kept).collect()))
+    whole = json.loads("".join(reports.text(reports.lines(found, "json", report))))
+    assert whole["counts"] == report["counts"] and len(whole["vulnerabilities"]) == found.count()
+    ranks = [reports._RANK[v["severity"]] for v in whole["vulnerabilities"]]
+    assert ranks == sorted(ranks, reverse=True) and reports.headline(found).first().severity == whole["vulnerabilities"][0]["severity"]
+    doc = json.loads("".join(reports.text(reports.sarif_lines(found, spark.createDataFrame([("b.php", "unreadable"), ("a.php", "other")], "path string, reason string")))))
+    run = doc["runs"][0]
+    rules = run["tool"]["driver"]["rules"]
+    assert doc["version"] == "2.1.0" and len(run["results"]) == found.count() and all(rules[r["ruleIndex"]]["id"] == r["ruleId"] for r in run["results"])
+    assert [n["message"]["text"].split(":")[0] for n in run["invocations"][0]["toolExecutionNotifications"]] == ["a.php", "b.php"]
+    page, marked = "".join(reports.text(reports.lines(found, "html", report))), "\n".join(reports.text(reports.lines(found, "markdown", report)))
+    assert page.count("<tr>") == found.count() + 1 and marked.startswith("# Security report") and marked.count("\n## ") == found.count()
+    one = reports.save_history(found, str(tmp_path / "history"), report, scan_duration_ms=5)
+    two = reports.save_history(found, str(tmp_path / "history"), report, scan_duration_ms=6)
+    ids = [r.id for r in documents.history(spark, str(tmp_path / "history/scans")).orderBy("id").collect()]
     assert sorted(ids) == sorted([one, two]) and all(len(i) == 26 for i in ids)
     found.unpersist()
 
@@ -95,28 +105,22 @@ def test_documents(spark, tmp_path):
     assert sorted((r.prompt_tokens, r.completion_tokens) for r in documents.usage_tokens(raw).collect()) == [(0, 0), (5, 2), (7, 0)]
 
 
-def test_render():
-    assert reports.md_fence("a```b").startswith("````\n") and reports.md_escape("a*b|c") == "a\\*b\\|c"
+def test_render(spark):
+    row = spark.createDataFrame([("a```b", "a*b|c\nd", "<a & 'b'>", "a b/é~*.php")], "code string, md string, page string, path string")
+    got = row.select(reports.md_fence(F.col("code")), reports.md_escape(F.col("md")), reports.html_escape(F.col("page")), reports.uri(F.col("path"))).first()
+    assert tuple(got) == ("````\na```b\n````", "a\\*b\\|c d", "&lt;a &amp; &#x27;b&#x27;&gt;", "a%20b/%C3%A9~%2A.php")
     assert [reports.badge(s) for s in (80, 60, 40, 39)] == ["brightgreen", "yellow", "orange", "red"]
     first = reports.scan_id()
     __import__("time").sleep(0.002)
     assert first < reports.scan_id()
 
 
-def test_suppressed():
-    report = reports.to_dict([], {"complete": False})
-    assert report["overall_score"] is None and report["score_suppression_reason"] and "withheld" in reports.markdown(report)
-
-
-def test_stream(spark, tmp_path):
-    f = O.fingerprint(finding(spark, [{}, {"line": 2}]), ("scan_id",)).withColumn("found_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    f.write.parquet(str(tmp_path / "in"))
-    f.where("line = 2").write.mode("append").parquet(str(tmp_path / "in"))
-    stream = incremental.read_parquet_stream(spark, str(tmp_path / "in"), f.schema)
-    q = incremental.to_parquet(incremental.new_findings(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-
-
-def test_config_defaults():
-    assert EngineConfig().chunk_size == 10 and EngineConfig().max_file_size_kb == 500
+def test_suppressed(spark):
+    none = spark.createDataFrame([], "type string, location string, line int, severity string, description string, proof string, fix string, class string, confidence string")
+    report = reports.summary(none, {"complete": False})
+    assert report["overall_score"] is None and report["score_suppression_reason"]
+    assert "withheld" in "\n".join(reports.text(reports.lines(none, "markdown", report)))
+    assert json.loads("".join(reports.text(reports.lines(none, "json", report))))["vulnerabilities"] == []
+    assert json.loads("".join(reports.text(reports.lines(none, "sarif", report))))["runs"][0]["results"] == []
+    equal = spark.createDataFrame([("xss", "a.php", 1, "high", "d", "p", "f", "vulnerability", "proven")] * 3, none.schema)
+    assert len(json.loads("".join(reports.text(reports.lines(equal, "json", reports.summary(equal)))))["vulnerabilities"]) == 3
