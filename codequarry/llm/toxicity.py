@@ -29,7 +29,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,17 +77,28 @@ def coarse(word: str) -> str:
 # --- the character model -----------------------------------------------------
 
 
-def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
-    """A hash of each run of order code points."""
-    n = len(codes) - order + 1
-    if n <= 0:
-        return np.empty(0, U)
-    h = np.full(n, U(order))
-    for i in range(order):
-        h = h * U(0x9E3779B97F4A7C15) + codes[i : i + n]
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U)
+
+
+def gram_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of each run of characters: columns are their first, second ... code points."""
+    h = np.full(len(columns[0]), U(len(columns)))
+    for c in columns:
+        h = h * U(0x9E3779B97F4A7C15) + c
     return mix(h)
 
 
+def hashes_of(grams: list[str]) -> np.ndarray:
+    """The hash of each gram of 1 to ORDER characters."""
+    out, sizes = np.zeros(len(grams), U), np.array([len(g) for g in grams])
+    for o in range(1, ORDER + 1):
+        at = np.flatnonzero(sizes == o)
+        if len(at):
+            out[at] = gram_hashes(list(code_points("".join(grams[i] for i in at)).reshape(-1, o).T))
+    return out
+
+
 def spaced_words(text: str) -> str:
     """The words of a text in lower case, each between ORDER - 1 spaces."""
     gap = " " * (ORDER - 1)
@@ -99,11 +109,17 @@ def model_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(o, g, n): counts of all runs of o = 1 to ORDER characters of words, by hash."""
 
     def counted(texts):
-        codes = np.frombuffer("".join(map(spaced_words, texts)).encode("utf-32-le"), np.uint32).astype(U)
+        # The runs of ORDER characters are counted one by one, shorter ones from the ends of those that differ.
+        codes = code_points(" " * (ORDER - 1) + "".join(map(spaced_words, texts)))
+        runs = gram_hashes([codes[i : len(codes) - ORDER + 1 + i] for i in range(ORDER)])
+        kinds = pa.array(runs.view(np.int64)).dictionary_encode()
+        which = kinds.indices.to_numpy()
+        counts, place = np.bincount(which, minlength=len(kinds.dictionary)), np.empty(len(kinds.dictionary), np.int64)
+        place[which] = np.arange(len(which))
         for o in range(1, ORDER + 1):
-            h = gram_hashes(codes, o)
-            found = pc.value_counts(pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), o, np.int32)), found.field("values"), found.field("counts")], names=["o", "g", "n"])
+            found, at = np.unique(gram_hashes([codes[place + ORDER - o + i] for i in range(o)]), return_inverse=True)
+            n = np.bincount(at, weights=counts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), o, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], names=["o", "g", "n"])
 
     def run(batches):
         texts, n = [], 0
@@ -242,16 +258,14 @@ def restored(tokens: DataFrame, model: DataFrame) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            tokens, grams, orders, hashes = [], [], [], []
+            tokens, grams = [], []
             for token in batch.column("s").to_pylist():
                 asked = Asked()
                 Channel(asked).readings(token)
-                for gram in sorted(asked):
-                    tokens.append(token)
-                    grams.append(gram)
-                    orders.append(len(gram))
-                    hashes.append(gram_hashes(np.frombuffer(gram.encode("utf-32-le"), np.uint32).astype(U), len(gram)).view(np.int64)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(grams, pa.string()), pa.array(orders, pa.int32()), pa.array(hashes, pa.int64())], names=["s", "x", "o", "g"])
+                grams += sorted(asked)
+                tokens += [token] * len(asked)
+            orders, hashes = pa.array([len(g) for g in grams], pa.int32()), pa.array(hashes_of(grams).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(grams, pa.string()), orders, hashes], names=["s", "x", "o", "g"])
 
     about = model.where("o = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 

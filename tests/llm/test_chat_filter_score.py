@@ -243,7 +243,7 @@ def test_the_model_counts_characters_and_grows(spark):
         s = T.spaced_words(text)
         for o in range(1, T.ORDER + 1):
             want.update((o, s[i : i + o]) for i in range(len(s) - o + 1))
-    code = lambda x: int(T.gram_hashes(np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64), len(x)).view(np.int64)[0])
+    code = lambda x: int(T.hashes_of([x]).view(np.int64)[0])
     joint = {(o, code(x)): n for (o, x), n in want.items()}
     both = {k: n for k, n in got.items() if k in joint}
     # Blanks before an empty text and between texts add to runs of spaces only.
