@@ -262,3 +262,36 @@ def sections(parts: DataFrame, budget: int, by=("scan",)) -> DataFrame:
     kept = parts.join(took.where("admitted").select(*by, "priority"), [*by, "priority"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("priority", "name", "text"))), lambda x: F.concat(F.lit("## "), x["name"], F.lit("\n"), x["text"]))
     return kept.groupBy(*by).agg(F.array_join(ordered, "\n\n").alias("context"), F.sum("tokens").alias("tokens"))
+
+
+def middleware_of(routes: DataFrame, known: DataFrame) -> DataFrame:
+    """routes (route) with the middleware of the first known key, by ordinal, that holds the route's last word; none without one.
+
+    known: (key, ordinal, middleware). Only the pieces of keys that are as long
+    as some last word are laid out, so the words meet them by equality.
+    """
+    word = F.trim(F.substring_index(F.concat(F.lit(" "), F.col("route")), " ", -1))
+    asked = routes.select("route", word.alias("word")).distinct()
+    sizes = asked.agg(F.collect_set(F.length("word")).alias("sizes"))  # one row, an entry for each length
+    keys = known.join(F.broadcast(sizes)).select("key", "ordinal", "middleware", F.explode("sizes").alias("n")).where(F.col("n") <= F.length("key"))
+    starts = F.when(F.col("n") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("key") - F.col("n") + 1))
+    pieces = keys.select("ordinal", "middleware", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("key"), i, F.col("n"))))).alias("word"))
+    first = asked.join(pieces, "word").groupBy("route").agg(F.min_by("middleware", "ordinal").alias("middleware"))
+    return routes.join(first, "route", "left").withColumn("middleware", F.coalesce("middleware", F.array().cast("array<string>")))
+
+
+def class_path(name):
+    """The file of a class below the application's namespace; null for other classes."""
+    return F.when(F.col(name).startswith("App\\"), F.concat(F.lit("app/"), F.replace(F.substring(F.col(name), F.lit(5), F.length(name)), F.lit("\\"), F.lit("/")), F.lit(".php")))
+
+
+def used_files(controllers: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, class, used): the files of the classes that each controller imports, or names by their full name in a parameter.
+
+    controllers: (path, content); files: (path). Classes meet files by the path
+    that their namespace gives.
+    """
+    imports = F.regexp_extract_all("content", F.lit(r"(?m)^\s*use\s+\\?(App\\[A-Za-z0-9_\\]+)(?:\s+as\s+\w+)?\s*;"), F.lit(1))
+    hints = F.regexp_extract_all("content", F.lit(r"[(,]\s*\\(App\\[A-Za-z0-9_\\]+)\s+\$\w+"), F.lit(1))
+    named = controllers.select("path", F.explode(F.array_distinct(F.concat(imports, hints))).alias("class")).withColumn("used", class_path("class"))
+    return named.join(files.select(F.col("path").alias("used")).distinct(), "used").select("path", "class", "used")

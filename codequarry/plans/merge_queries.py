@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codequarry.operators import benchmark
+from codequarry.operators import benchmark, catalogue
 from codequarry.operators import findings as O
 from codequarry.plans.surrogates import table
 
@@ -92,3 +92,37 @@ def label_assign(spark, sf):
     accepted = F.when(F.col("type") == "idor", F.array(F.lit("idor"), F.lit("auth_bypass"))).otherwise(F.array("type"))
     labels = all_.where("l_discount < 0.02").select("file", "type", "line").distinct().withColumn("accepted_types", accepted)
     return benchmark.assign(all_.where("l_discount >= 0.06"), labels)
+
+
+@query("""WITH k AS (SELECT key, row_number() OVER (ORDER BY key) AS ordinal FROM (SELECT DISTINCT 'GET /' || lower(p_type) || '/' || lower(p_brand) AS key FROM part)),
+r AS (SELECT DISTINCT 'POST ' || substring(lower(p_type), 1 + CAST(p_size % 4 AS INT), 4) || '/' || substring(lower(p_brand), 1, 3 + CAST(p_size % 5 AS INT)) AS route FROM part UNION SELECT 'GET ' UNION SELECT 'nowhere'),
+w AS (SELECT route, trim(regexp_extract(' ' || route, '[^ ]*$')) AS word FROM r)
+SELECT w.route, coalesce(arg_min(k.key, k.ordinal), '') AS middleware FROM w LEFT JOIN k ON contains(k.key, w.word) GROUP BY w.route""")
+def middleware_by_substring(spark, sf):
+    p = table(spark, sf, "part")
+    size = F.col("p_size")
+    keys = p.select(F.concat(F.lit("GET /"), F.lower("p_type"), F.lit("/"), F.lower("p_brand")).alias("key")).distinct()
+    known = keys.select("key", F.row_number().over(Window.orderBy("key")).alias("ordinal"), F.array("key").alias("middleware"))
+    begun = F.concat(F.substring(F.lower("p_type"), 1 + size % 4, F.lit(4)), F.lit("/"), F.substring(F.lower("p_brand"), F.lit(1), 3 + size % 5))
+    routes = p.select(F.concat(F.lit("POST "), begun).alias("route")).distinct().union(spark.createDataFrame([("GET ",), ("nowhere",)], "route string"))
+    return catalogue.middleware_of(routes, known).select("route", F.array_join("middleware", ",").alias("middleware"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, 'App\\Models\\' || p_type AS a, 'App\\Http\\Requests\\' || p_brand AS b FROM part),
+f AS (SELECT DISTINCT 'app/Models/' || p_type || '.php' AS used FROM part WHERE p_size > 10 UNION SELECT DISTINCT 'app/Http/Requests/' || p_brand || '.php' FROM part WHERE p_size < 40),
+n AS (SELECT id, a AS class, 'app/' || replace(substring(a, 5), '\\', '/') || '.php' AS used FROM c UNION SELECT id, b, 'app/' || replace(substring(b, 5), '\\', '/') || '.php' FROM c)
+SELECT 'app/C' || id || '.php' AS path, class, used FROM n JOIN f USING (used) WHERE regexp_full_match(class, '[A-Za-z0-9_\\\\]+')""")
+def controller_files(spark, sf):
+    p = table(spark, sf, "part")
+    content = F.concat(F.lit("<?php\nuse App\\Models\\"), "p_type", F.lit(" as M;\nuse Other\\Thing;\nclass C { function store(\\App\\Http\\Requests\\"), "p_brand", F.lit(" $r, int $n) {} }"))
+    controllers = p.select(F.concat(F.lit("app/C"), F.col("p_partkey").cast("string"), F.lit(".php")).alias("path"), content.alias("content"))
+    models = p.where("p_size > 10").select(F.concat(F.lit("app/Models/"), "p_type", F.lit(".php")).alias("path"))
+    requests = p.where("p_size < 40").select(F.concat(F.lit("app/Http/Requests/"), "p_brand", F.lit(".php")).alias("path"))
+    return catalogue.used_files(controllers, models.union(requests))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY path) AS INT) AS place FROM (SELECT doc_id, source, lang || '/' || md5(CAST(doc_id AS VARCHAR)) AS path FROM documents)")
+def file_order(spark, sf):
+    """Files of a scan by path, in the order of code points."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.concat("lang", F.lit("/"), F.md5(F.col("doc_id").cast("string").cast("binary"))).alias("path"))
+    return d.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("path")).alias("place"))
