@@ -75,6 +75,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line = lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(2), x).alias("b"), n_words(x).alias("n"))
     full = F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(WORD))
     lines = base.select("d", "h", F.transform(full, lambda s: line(s["x"], s["i"])).alias("s")).where(F.size("s") >= (min_lines if min_words is None else 1))
+    lines = materialize(lines, "lines")
 
     # The fingerprints' places, each with the lines around it.
     starts = F.sequence(F.lit(0), F.size("s") - 1)
@@ -84,7 +85,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.greatest(F.col("p") - reach, F.lit(0))
     around = F.slice("s", first + 1, F.col("p") - first + 1 + reach)
     prints = prints.select("d", "h", F.get("s", F.col("p"))["a"].alias("f"), (F.col("p") - first).alias("c"), "p", around.alias("s"))
-    prints = materialize(prints, "prints")
     place = F.struct("d", "h", "p")
     often = prints.groupBy("f").agg(F.min(place).alias("one"), F.max(place).alias("other")).where(~F.col("one").eqNullSafe(F.col("other"))).select("f")
     joined = prints.join(materialize(often, "often"), "f")
