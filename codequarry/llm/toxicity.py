@@ -422,9 +422,15 @@ def fit(docs: DataFrame, labels: DataFrame, model: DataFrame, id_col: str = "doc
     ids = {f: i for i, f in enumerate(names)}
     p = np.array([pos[f] for f in names], float)
     low = lower_bound(p, p + np.array([neg.get(f, 0) for f in names], float))
-    # One row a labelled text: at most sample of them.
-    got = [(1.0, sorted(ids[f] for f in r["found"] if f in ids)) for r in found.select("found").collect()]
-    got += [(0.0, sorted(ids[f] for f in r["found"] if f in ids)) for r in other.select("found").collect()]
+    # The ids of the features of each labelled text: at most sample rows; texts without one are counted.
+    named = F.broadcast(rows.sparkSession.createDataFrame(list(ids.items()), "f string, i int"))
+
+    def ids_of(read_: DataFrame, n: int) -> list[list[int]]:
+        hits = read_.select("l", F.explode("found").alias("f")).join(named, "f").groupBy("l").agg(F.array_sort(F.collect_list("i")).alias("x"))
+        some = [r["x"] for r in hits.select("x").collect()]
+        return some + [[]] * (n - len(some))
+
+    got = [(1.0, x) for x in ids_of(found, n_pos)] + [(0.0, x) for x in ids_of(other, n_neg)]
     got.sort()  # sums don't depend on the order of arrival
     y = np.array([r[0] for r in got])
     row = np.repeat(np.arange(len(got)), [len(r[1]) for r in got])
