@@ -258,12 +258,12 @@ def deal(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> Data
     size = F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + ROW_BYTES)
     splits = F.greatest(F.ceil(2 * size / bucket_bytes), F.ceil(F.count("*") / MOST_COPIES))
     hot = materialize(rows.groupBy("h").agg(splits.alias("splits")).where("splits > 1"), "hot")
-    salt = F.lit(0).cast("long")
-    if not hot.isEmpty():
-        # A scan gives its rows in one order however often it is read, so a row keeps its block.
-        rows = rows.withColumn("o", F.monotonically_increasing_id()).join(hot, "h", "left")
-        salt = F.pmod("o", F.coalesce("splits", F.lit(1)))
-    return rows.select("d", "t", "h", F.pmod(F.xxhash64("h", salt), F.lit(n)).alias("b"))
+    place = lambda salt: F.pmod(F.xxhash64("h", salt), F.lit(n)).alias("b")
+    if hot.isEmpty():
+        return rows.select("d", "t", "h", place(F.lit(0).cast("long")))
+    # Written, so that a row keeps its block however often the rows are read.
+    spread = rows.withColumn("o", F.monotonically_increasing_id()).join(hot, "h", "left")
+    return materialize(spread.select("d", "t", "h", place(F.pmod("o", F.coalesce("splits", F.lit(1))))), "dealt")
 
 
 def substring_dedup(
@@ -281,8 +281,7 @@ def substring_dedup(
     long passages go from both. Ids are cast to long (an id that is no integer
     fails); a null id is carried along. A text of any length is parsed in one
     task. Other columns are ignored, whatever their names. An empty table gives
-    an empty result. gram must not exceed min_words. Rows that repeat one text
-    are spread by their order in docs, so docs should be read from files.
+    an empty result. gram must not exceed min_words.
     """
     if not 1 <= gram <= min_words:
         raise ValueError("gram must be from 1 to min_words")
