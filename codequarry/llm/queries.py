@@ -1,6 +1,7 @@
 """The queries of this package by name, and their SQL."""
 
-from . import chat_format, decontaminate, license_scan, line_dedup, ngram_join, source_mixing, substring_dedup, topk_search, toxicity, url_filter
+from . import chat_format, decontaminate, license_scan, line_dedup, ngram_join, sequence_packing
+from . import source_mixing, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_best_fit_packing": sequence_packing.op11_best_fit_packing,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.ORACLE,
