@@ -66,10 +66,10 @@ class RotatedRows:
     def __init__(self, x: np.ndarray, turn: np.ndarray):
         d = x.shape[1]
         self.x, self.y = x, x.astype(np.float64) @ turn.T
-        self.levels = sorted({max(1, d // 8), max(1, d // 4), max(1, d // 2), d})
+        self.levels = sorted({-(-d // 8), -(-d // 4), -(-d // 2), d})
         squares = np.cumsum((self.y**2)[:, ::-1], axis=1)[:, ::-1]
         self.rest = [np.sqrt(squares[:, k]) if k < d else np.zeros(len(x)) for k in self.levels]
-        self.norm = np.sqrt(squares[:, 0])
+        self.norm = np.sqrt(squares[:, :1].sum(axis=1))
         self.reach = max((abs(int(v)) for v in (x.min(initial=0), x.max(initial=0))))
         # |x.y - (Rx).(Ry)| is at most |x||y| times how far R is from orthogonal, and rounding is at most a few d^1.5 units of |x||y|.
         self.slack = float(np.linalg.norm(turn.T @ turn - np.eye(d))) + 16 * d**1.5 * np.finfo(float).eps
