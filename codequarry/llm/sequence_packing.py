@@ -19,7 +19,9 @@ by a look-up in sorted arrays. No length is ever gathered in a task.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from itertools import groupby
 
@@ -32,20 +34,35 @@ from pyspark.sql import functions as F
 from .common import kept, kept_type, materialize, table
 
 LENGTH, END_ID = 2048, 0
-WORDS_KEPT, LONGEST_KEPT = 300_000, 64  # words whose ids a worker remembers; longer words are not remembered
+UNITS_KEPT, LONGEST_KEPT = 500_000, 64  # units of text whose ids a worker remembers; longer ones are not remembered
 
-# White space that both str.split and the tokenizer's \s split at; str.split alone also takes \x1c to \x1f.
+# str.split also takes \x1c to \x1f, which are no white space to the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[\\S\x1c-\x1f]+")
+_PLAIN_END = 0x250  # up to here no character changes under NFC, and lower-casing looks at one character only
+_NOT_PLAIN = re.compile(f"[^\t-\r -~\x85\xa0-{chr(_PLAIN_END - 1)}]")
 _ENCODERS: dict = {}  # path -> what this worker uses
 
 
-class WordEncoder:
-    """Token ids of whole texts, word by word, as little-endian unsigned 32-bit integers.
+class _Spelling(dict):
+    """Code point -> how the tokenizer spells the character's bytes, asked once."""
 
-    For tokenizers that drop white space and never join what stands on its two
-    sides, the ids of a text are those of its words in turn, and most words of a
-    corpus are repeated.
+    def __init__(self, tokenizer):
+        self.spell = tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, code: int) -> str:
+        found = self[code] = "".join(x for x, _ in self.spell(chr(code)))
+        return found
+
+
+class TextEncoder:
+    """Token ids of whole texts, unit by unit, as little-endian unsigned 32-bit integers.
+
+    Most units of a corpus are repeated, so their ids are remembered. Units are
+    words between white space, for tokenizers that drop white space and never join
+    what stands on its two sides. Where a tokenizer lower-cases, then splits by one
+    pattern, and a text is of plain characters, units are the pattern's matches,
+    and new ones go to the tokenizer's model alone.
     """
 
     def __init__(self, path: str):
@@ -53,8 +70,27 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        spec = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.match = self._matches(spec)
+        self.spelling = _Spelling(self.tokenizer)
+
+    @staticmethod
+    def _matches(spec: dict):
+        """What finds the matches in a plain, lower-cased text, for a tokenizer of the kind above."""
+        steps = lambda x, many: [y["type"] for y in (spec[x] or {}).get(many, [])]
+        if steps("normalizer", "normalizers") != ["NFC", "Replace", "Lowercase"] or steps("pre_tokenizer", "pretokenizers") != ["Split", "ByteLevel"]:
+            return None
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        pattern = split["pattern"].get("Regex", "")
+        if not (split["behavior"] == "Removed" and split["invert"]):
+            return None
+        for kind in "LN":  # letters and numbers, as classes of re
+            members = [c for c in map(chr, [*range(_PLAIN_END), 0x307]) if unicodedata.category(c)[0] == kind]
+            pattern = pattern.replace(f"\\p{{{kind}}}", "".join(map(re.escape, members)))
+        return None if "\\p" in pattern else re.compile(pattern).findall
+
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
         out, at = dict.fromkeys(words, b""), 0
@@ -64,17 +100,24 @@ class WordEncoder:
             at += n
         return out
 
+    def _of_matches(self, matches: list[str]) -> dict[str, bytes]:
+        split = self.tokenizer.model.tokenize
+        return {x: b"".join([t.id.to_bytes(4, "little") for t in split(x.translate(self.spelling))]) for x in matches}
+
     def __call__(self, text: str) -> bytes:
-        words = _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
-        new = [w for w in set(words) if w not in self.known]
-        if not new:
-            return b"".join(map(self.known.__getitem__, words))
-        if len(self.known) + len(new) > WORDS_KEPT:
+        if self.match and not _NOT_PLAIN.search(text) and not any(t in text for t in self.special):
+            units, make = self.match(text.lower()), self._of_matches
+        else:
+            units, make = _WORD.findall(text) if _ODD_SPACE.search(text) else text.split(), self._of_words
+        try:
+            return b"".join(map(self.known.__getitem__, units))
+        except KeyError:
+            new = [x for x in set(units) if x not in self.known]
+        found = make(new)
+        ids = b"".join([found[x] if x in found else self.known[x] for x in units])
+        if len(self.known) + len(new) > UNITS_KEPT:
             self.known.clear()
-            new = list(set(words))
-        found = self._encode(new)
-        ids = b"".join([found.get(w) or self.known.get(w, b"") for w in words])
-        self.known.update((w, x) for w, x in found.items() if len(w) <= LONGEST_KEPT)
+        self.known.update((x, b) for x, b in found.items() if len(x) <= LONGEST_KEPT)
         return ids
 
 
@@ -83,7 +126,7 @@ def _pieces(path: str, length: int, end_id: int, with_ids: bool):
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
+        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, TextEncoder(path))
         block, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch in batches:
             source, piece, start, size, crc, place, ids = [], [], [], [], [], [], []
