@@ -1,6 +1,6 @@
 """The queries of this package by name, and their SQL."""
 
-from . import chat_format, decontaminate, hard_negatives, license_scan, line_dedup, ngram_join, sequence_packing
+from . import chat_format, conversation_trie, decontaminate, hard_negatives, license_scan, line_dedup, ngram_join, sequence_packing
 from . import source_mixing, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_best_fit_packing": sequence_packing.op11_best_fit_packing,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLE_SQL = {
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op6_source_mixing": source_mixing.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op12_conversation_trie": conversation_trie.ORACLE,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }
