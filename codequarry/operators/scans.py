@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as T
+from codequarry.operators.folds import admit, fold_chunks  # noqa: F401  (part of this module's interface)
 from codequarry.registry import SKIP_REASONS
 
 
@@ -99,56 +100,6 @@ def recent(history: DataFrame, n: int, order="id") -> DataFrame:
     return history.orderBy(F.desc(order)).limit(n)
 
 
-def _in_order(rows: DataFrame, by: tuple, order: str, size: str, step, out: str) -> DataFrame:
-    """Rows (by..., order, size) with what step(state, size) gives along each scan; step(None, size) begins one.
-
-    A scan's rows pass through one task in order, batch by batch: nothing but
-    the state of the scan at hand is kept, and only keys and numbers are moved.
-    """
-    narrow = rows.select(*by, order, F.col(size).cast("long").alias(size))
-    name, kind = out.split()
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema) + f", {out}"
-
-    def run(batches):
-        at, state = None, None
-        for pdf in batches:
-            got = []
-            for key, n in zip(pdf[list(by)].itertuples(index=False, name=None), pdf[size]):
-                state, value = step(None if key != at else state, int(n))
-                at = key
-                got.append(value)
-            yield pdf.assign(**{name: got})
-
-    return narrow.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, ddl)
-
-
-def fold_chunks(files: DataFrame, by: tuple, order: str, max_size: int, chunk_size: int, size: str = "size") -> DataFrame:
-    """Greedy chunks of a scan's files in order: (by..., order, chunk).
-
-    A chunk closes when the next file would take it past max_size (unless it is
-    empty) or it holds chunk_size files.
-    """
-
-    def step(state, n):
-        chunk, used, count = state or (0, 0, 0)
-        if count and (used + n > max_size or count >= chunk_size):
-            chunk, used, count = chunk + 1, 0, 0
-        return (chunk, used + n, count + 1), chunk
-
-    return _in_order(files, by, order, size, step, "chunk int").select(*by, order, "chunk")
-
-
-def admit(chunks: DataFrame, by: tuple, order: str, budget: int, reserve: int = 4000, size: str = "tokens") -> DataFrame:
-    """Which chunks run under a token budget: one that does not fit is skipped, later ones may still fit."""
-
-    def step(state, n):
-        used = state or 0
-        fits = budget == 0 or used + n + reserve <= budget
-        return used + n * fits, fits
-
-    return _in_order(chunks, by, order, size, step, "admitted boolean").select(*by, order, size, "admitted")
-
-
 def merge_reports(reports: DataFrame, by=("scan_id",)) -> DataFrame:
     """Chunk reports of a scan as one: mean score, summaries in order, the idea of the lowest score."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "summary"))), lambda x: x["summary"])
