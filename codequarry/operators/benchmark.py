@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,32 +33,38 @@ def assign(findings: DataFrame, labels: DataFrame, tolerance: int = 3) -> DataFr
     A label fits when it accepts the type and lies within tolerance lines; it is
     taken once; of equally near ones the first by line, then type. A hit counts
     under the label's type, a miss under the finding's. A finding outside the
-    labelled files is dropped. A task holds a cluster of lines of one file that
-    follow one another by tolerance or less: no finding reaches out of it.
+    labelled files is dropped; one without a line fits nothing, nor does a label
+    without one. A task holds a cluster of lines of one file that follow one
+    another by tolerance or less: no finding reaches out of it.
     """
-    out = "file string, type string, line int, outcome string"
     f = findings.join(labels.select("file").distinct(), "file", "left_semi")
-    f = f.select("file", "type", F.col("line").cast("int").alias("line"), "ordinal", F.lit(None).cast("array<string>").alias("accepted"))
-    t = labels.where("type is not null").select("file", "type", F.col("line").cast("int").alias("line"), F.lit(None).cast("long").alias("ordinal"), F.col("accepted_types").alias("accepted"))
-    placed = line_clusters(f.withColumn("label", F.lit(False)).unionByName(t.withColumn("label", F.lit(True))), ("file",), tolerance)
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        file = group["file"].iloc[0]
+    f = f.select("file", "type", F.col("line").cast("int").alias("line"), "ordinal", F.lit(None).cast("array<string>").alias("accepted"), F.lit(False).alias("label"))
+    t = labels.where("type is not null").select("file", "type", F.col("line").cast("int").alias("line"), F.lit(None).cast("long").alias("ordinal"), F.col("accepted_types").alias("accepted"), F.lit(True).alias("label"))
+    rows = f.unionByName(t)
+    placed = line_clusters(rows.where("line is not null"), ("file",), tolerance)
+    alone = rows.where("line is null").select("file", "type", "line", F.when(F.col("label"), "fn").otherwise("fp").alias("outcome"))
+
+    def match(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
         open_: dict = {}
-        for x in group[group["label"]].sort_values(["line", "type"], kind="stable").itertuples():
-            open_.setdefault(x.line, []).append((x.type, set(x.accepted)))
-        rows = []
-        for x in group[~group["label"]].sort_values("ordinal", kind="stable").itertuples():
-            fits = [(abs(n - x.line), n, i) for n in range(x.line - tolerance, x.line + tolerance + 1) for i, (_, ok) in enumerate(open_.get(n, ())) if x.type in ok]
+        for x in sorted((x for x in rows if x["label"]), key=lambda x: (x["line"], x["type"])):
+            open_.setdefault(x["line"], []).append((x["type"], set(x["accepted"] or ())))
+        out = []
+        for x in sorted((x for x in rows if not x["label"]), key=lambda x: (x["ordinal"] is None, x["ordinal"] or 0)):
+            near = range(x["line"] - tolerance, x["line"] + tolerance + 1)
+            fits = [(abs(n - x["line"]), n, i) for n in near for i, (_, ok) in enumerate(open_.get(n, ())) if x["type"] in ok]
             if fits:
                 _, n, i = min(fits)
-                rows.append((file, open_[n].pop(i)[0], x.line, "tp"))
+                out.append((open_[n].pop(i)[0], x["line"], "tp"))
             else:
-                rows.append((file, x.type, x.line, "fp"))
-        rows += [(file, type_, n, "fn") for n, left in open_.items() for type_, _ in left]
-        return pd.DataFrame(rows, columns=["file", "type", "line", "outcome"])
-
-    return placed.groupBy("file", "_cluster").applyInPandas(match, out)
+                out.append((x["type"], x["line"], "fp"))
+        out += [(type_, n, "fn") for n, left in open_.items() for type_, _ in left]
+        file = group["file"].take(pa.array([0] * len(out), pa.int64()))
+        kinds = (("type", pa.string()), ("line", pa.int32()), ("outcome", pa.string()))
+        return pa.table({"file": file} | {name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate(kinds)})
+
+    kind = findings.schema["file"].dataType.simpleString()
+    return placed.groupBy("file", "_cluster").applyInArrow(match, f"file {kind}, type string, line int, outcome string").unionByName(alone)
 
 
 def truth_counts(labels: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.operators.lineage import checkpointed
+from codequarry.operators.spans import names_around, path_suffixes, same_file
 from codequarry.registry import RESOURCE_ROUTES
 
 
@@ -86,10 +87,7 @@ def expand_resources(resources: DataFrame) -> DataFrame:
 
 def inherited_middleware(routes: DataFrame, groups: DataFrame) -> DataFrame:
     """Routes (file, position) with the middleware of the groups around them, outermost first, each once."""
-    g = groups.select("file", "start", "end", F.col("middleware").alias("_gm"))
-    inside = (routes["file"] == g["file"]) & (routes["position"] > g["start"]) & (routes["position"] < g["end"])
-    found = routes.join(g, inside, "left").groupBy(routes["file"], "position").agg(F.array_sort(F.collect_list(F.struct("start", "_gm"))).alias("g"))
-    return found.select("file", "position", F.array_distinct(F.flatten(F.transform(F.filter("g", lambda x: x["_gm"].isNotNull()), lambda x: x["_gm"]))).alias("middleware"))
+    return names_around(routes, groups)
 
 
 def vote(votes: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -98,24 +96,6 @@ def vote(votes: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return counts.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), "_first"))).where("_n = 1").select(key, value, "votes")
 
 
-def path_suffixes(col):
-    """The path and all that is left of it when leading segments go."""
-    parts = F.split(col, "/", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-
-
-def same_file(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, path) of every file that is a finding's location, ends with it, or is its end.
-
-    Two equi joins on exploded suffixes: a file name that thousands of folders
-    have makes no pairs but the right ones.
-    """
-    c = files.select("path").distinct()
-    longer = findings.select("id", F.explode(path_suffixes(F.col("location"))).alias("path")).join(c, "path").select("id", "path")
-    shorter = findings.select("id", "location").join(c.select("path", F.explode(path_suffixes(F.col("path"))).alias("location")), "location").select("id", "path")
-    return longer.union(shorter).distinct()
-
-
 def locate(findings: DataFrame, files: DataFrame) -> DataFrame:
     """findings (id, location) with the corpus path they mean: equal or a suffix of each other, longest first."""
     best = same_file(findings, files).groupBy("id").agg(F.min_by("path", F.struct(-F.length("path"), "path")).alias("path"))

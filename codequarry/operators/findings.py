@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as T
+from codequarry.operators.spans import file_key, lines_in_spans, path_suffixes, same_file, same_path, with_root
 from codequarry.registry import CHEAT_SHEET_URL, CHEAT_SHEETS, CONFIDENCES, CWE_URL, SEVERITIES, TYPES, EngineConfig
 
 
@@ -88,76 +89,117 @@ def line_clusters(rows: DataFrame, by, window: int) -> DataFrame:
     return rows.withColumn("_cluster", F.sum(F.coalesce(far, F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def drop_near(findings: DataFrame, scan=("scan_id",), window: int = 2) -> DataFrame:
-    """Also drops a finding within window lines of a kept one that says the same; greedy in report order, by file.
+def _first_of_near(window: int, by: tuple, columns: list[str], alike):
+    """Of rows sorted by cluster and report order, those with no kept row of their cluster within window lines that alike(row, kept, same line) holds for."""
+
+    def run(batches):
+        at, kept = None, {}
+        for b in batches:
+            keep = []
+            said = zip(*[b[c].to_pylist() for c in ("_path", "_proof", "_description")])
+            for key, line, words in zip(zip(*[b[c].to_pylist() for c in by]), b["line"].to_pylist(), said):
+                if key != at:
+                    at, kept = key, {}
+                near = (alike(words, x, n == line) for n in range(line - window, line + window + 1) for x in kept.get(n, ()))
+                keep.append(not any(near))
+                if keep[-1]:
+                    kept.setdefault(line, []).append(words)
+            yield b.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _near_choice(findings: DataFrame, keys: tuple, location: str, window: int, alike) -> DataFrame:
+    """Greedy choice in report order, by kind and file, in clusters of near lines; findings without a line all stay."""
+    squeezed = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    ready = findings.where("line is not null").withColumns(
+        {"_token": token(), "_path": file_key(F.col(location)), "_proof": squeezed("proof"), "_description": squeezed("description")}
+    )
+    ready = with_root(ready, (*keys, "_token"), "_path")
+    by = (*keys, "_token", "_root")
+    clusters = line_clusters(ready, by, window)
+    by = (*by, "_cluster")
+    ordered = clusters.repartition(*by).sortWithinPartitions(*by, F.col("ordinal").asc_nulls_last(), "line", "_path", "_proof", "_description")
+    chosen = ordered.mapInArrow(_first_of_near(window, by, findings.columns, alike), findings.schema)
+    return chosen.unionByName(findings.where("line is null"))
 
-    A task holds a cluster of near lines of one kind; each finding looks at the
-    kept ones of 2 * window + 1 lines.
-    """
-    schema = findings.schema
-    said = F.trim(F.regexp_replace(F.lower(F.coalesce(F.nullif(F.col("proof"), F.lit("")), F.col("description"), F.lit(""))), r"\s+", " "))
-    by = (*scan, "_token", "location")
-    ready = line_clusters(findings.withColumn("_token", token()).withColumn("_said", said), by, window)
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        kept: dict = {}
-        keep = []
-        group = group.sort_values("ordinal", kind="stable")
-        for line, words in zip(group["line"], group["_said"]):
-            same = line in kept or any(kept.get(n) == words for n in range(line - window, line + window + 1))
-            keep.append(not same)
-            if not same:
-                kept[line] = words
-        return group[keep][[f.name for f in schema]]
+def drop_near(findings: DataFrame, scan=("scan_id",), window: int = 2) -> DataFrame:
+    """Of findings of one kind in one file, the first of a line stays, and of those within window lines that say the same.
 
-    return ready.groupBy(*by, "_cluster").applyInPandas(greedy, schema)
+    Two say the same if their proofs or their descriptions are equal, but for
+    case and white space, and not empty. Locations are one file if they are equal
+    or one ends with the other (a bare name is any file of that name). Greedy in
+    report order; a finding without a line stays. Clusters of near lines of one
+    kind stream through tasks; of one, the lines kept so far are held.
+    """
+    same = lambda a, b, line: same_path(a[0], b[0]) and (line or (a[1] and a[1] == b[1]) or (a[2] and a[2] == b[2]))
+    return _near_choice(findings, tuple(scan), "location", window, same)
 
 
 def not_near(new: DataFrame, old: DataFrame, by=("scan_id", "location"), window: int = 5) -> DataFrame:
-    """New findings with no old one of their kind within window lines of them in their file.
+    """New findings with no old one of their kind within window lines of them in their file; the last of by is the location.
 
     Lines meet in stretches of window + 1: an old line is looked for in a new
-    one's stretch and the two beside it, by equality, so a file with many
-    findings makes no pairs of all its lines.
+    one's stretch and the two beside it, by equality, and paths meet the ends of
+    longer ones by equality too, so neither a file with many findings nor a name
+    that many folders have makes pairs of all. Findings without a line are near
+    nothing.
     """
+    *keys, location = by
     stretch = lambda line: F.floor(line / (window + 1)).cast("long")
     reach = F.explode(F.array(*[stretch(F.col("line")) + d for d in (-1, 0, 1)]))
-    o = old.select(*by, token().alias("_token"), F.col("line").alias("_line"), reach.alias("_at")).distinct().alias("o")
-    n = new.withColumn("_token", token()).withColumn("_at", stretch(F.col("line"))).alias("n")
-    cond = F.abs(F.col("n.line") - F.col("o._line")) <= window
-    for c in (*by, "_token", "_at"):
-        cond = cond & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
-    return n.join(o, cond, "left_anti").drop("_token", "_at")
+
+    def points(df):
+        return df.where("line is not null").select(*keys, token().alias("_token"), file_key(F.col(location)).alias("_path"), F.col("line").cast("long").alias("line")).distinct()
+
+    o = points(old).withColumn("_at", reach).withColumnRenamed("line", "_line")
+    n = points(new).withColumn("_at", stretch(F.col("line")))
+    ends = F.explode(path_suffixes(F.col("_path")))
+
+    def met(a, b):
+        cond = F.abs(F.col("a.line") - F.col("b._line")) <= window
+        for c in (*keys, "_token", "_at", "_met"):
+            cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        return a.alias("a").join(b.alias("b"), cond, "left_semi").select(*keys, "_token", "_path", "line")
+
+    path = F.col("_path")
+    hits = met(n.withColumn("_met", path), o.withColumn("_met", ends)).union(met(n.withColumn("_met", ends), o.withColumn("_met", path))).distinct()
+    f = new.withColumns({"_token": token(), "_path": file_key(F.col(location))}).alias("f")
+    cond = F.col("f.line") == F.col("h.line")
+    for c in (*keys, "_token", "_path"):
+        cond = cond & F.col(f"f.{c}").eqNullSafe(F.col(f"h.{c}"))
+    return f.join(hits.alias("h"), cond, "left_anti").drop("_token", "_path")
 
 
 def merge(new: DataFrame, old: DataFrame, by=("scan_id", "location"), window: int = 5) -> DataFrame:
-    """Old findings, and the new ones away from old and from new ones taken before; in order, by file and kind."""
-    left = not_near(new, old, by, window)
-    schema = left.schema
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        kept: set = set()
-        keep = []
-        group = group.sort_values("ordinal", kind="stable")
-        for line in group["line"]:
-            near = any(n in kept for n in range(line - window, line + window + 1))
-            keep.append(not near)
-            if not near:
-                kept.add(line)
-        return group[keep][[f.name for f in schema]]
-
-    key = (*by, "_token")
-    taken = line_clusters(left.withColumn("_token", token()), key, window).groupBy(*key, "_cluster").applyInPandas(greedy, schema)
-    return old.unionByName(taken)
+    """Old findings, and the new ones away from old and from new ones taken before; in order, by file and kind.
+
+    What counts as one file is as in drop_near; a new finding without a line is taken.
+    """
+    *keys, location = by
+    same = lambda a, b, line: same_path(a[0], b[0])
+    return old.unionByName(_near_choice(not_near(new, old, by, window), tuple(keys), location, window, same))
 
 
 def outside_spans(findings: DataFrame, spans: DataFrame, by=("location",)) -> DataFrame:
-    """Findings whose line is in no span (start, end) of their file."""
-    f, s = findings.alias("f"), spans.alias("s")
-    cond = F.col("f.line").between(F.col("s.start"), F.col("s.end"))
-    for c in by:
-        cond = cond & (F.col(f"f.{c}") == F.col(f"s.{c}"))
-    return f.join(s, cond, "left_anti")
+    """Findings whose line is in no span (start, end) of their file; the last of by is the location.
+
+    Locations are one file if they are equal or one ends with the other. A
+    finding without a line is in no span.
+    """
+    *keys, location = by
+    path = file_key(F.col(location)).alias("_path")
+    lines = findings.where("line is not null").select(*keys, path, "line").distinct()
+    around = spans.select(*keys, path, "start", "end").distinct()
+    one_file = same_file(lines.select(F.col("_path").alias("id"), F.col("_path").alias("location")).distinct(), around.select(F.col("_path").alias("path")))
+    asked = lines.join(one_file.withColumnRenamed("id", "_path"), "_path").withColumnRenamed("_path", "_asked")
+    inside = lines_in_spans(asked, around.withColumnRenamed("_path", "path"), (*keys, "path")).select(*keys, "_asked", "line").distinct()
+    f = findings.withColumn("_path", file_key(F.col(location))).alias("f")
+    cond = (F.col("f._path") == F.col("i._asked")) & (F.col("f.line") == F.col("i.line"))
+    for c in keys:
+        cond = cond & F.col(f"f.{c}").eqNullSafe(F.col(f"i.{c}"))
+    return f.join(inside.alias("i"), cond, "left_anti").drop("_path")
 
 
 def without_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:

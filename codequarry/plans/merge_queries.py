@@ -61,7 +61,7 @@ def near_dedupe(spark, sf):
 
 @query(f"""WITH RECURSIVE {REPORTED},
 old AS (SELECT * FROM o WHERE l_discount < 0.02),
-new AS (SELECT * FROM o WHERE l_discount >= 0.06 AND NOT EXISTS (SELECT 1 FROM old WHERE old.scan_id = o.scan_id AND old.kind = o.kind AND old.location = o.location AND abs(old.line - o.line) <= 5)),
+new AS (SELECT * FROM o WHERE l_discount >= 0.02 AND NOT EXISTS (SELECT 1 FROM old WHERE old.scan_id = o.scan_id AND old.kind = o.kind AND old.location = o.location AND abs(old.line - o.line) <= 5)),
 g AS (SELECT *, row_number() OVER (PARTITION BY scan_id, kind, location ORDER BY ordinal) AS n FROM new),
 w(scan_id, kind, location, n, kept) AS (
   SELECT DISTINCT scan_id, kind, location, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM g
@@ -72,13 +72,13 @@ SELECT scan_id, type, location, line, ordinal FROM old UNION ALL SELECT o.scan_i
 def merge_sources(spark, sf):
     """Two sources of one scan: the second's findings join where nothing of their kind is near."""
     all_ = reported(spark, sf)
-    merged = O.merge(all_.where("l_discount >= 0.06"), all_.where("l_discount < 0.02"))
+    merged = O.merge(all_.where("l_discount >= 0.02"), all_.where("l_discount < 0.02"))
     return merged.select("scan_id", "type", "location", "line", "ordinal")
 
 
 @query(f"""WITH RECURSIVE {REPORTED},
 t AS (SELECT scan_id AS file, type, line, row_number() OVER (PARTITION BY scan_id ORDER BY line, type) AS id FROM (SELECT DISTINCT scan_id, type, line FROM o WHERE l_discount < 0.02)),
-f AS (SELECT scan_id AS file, type, line, row_number() OVER (PARTITION BY scan_id ORDER BY ordinal) AS n FROM o WHERE l_discount >= 0.06 AND scan_id IN (SELECT file FROM t)),
+f AS (SELECT scan_id AS file, type, line, row_number() OVER (PARTITION BY scan_id ORDER BY ordinal) AS n FROM o WHERE l_discount >= 0.02 AND scan_id IN (SELECT file FROM t)),
 w(file, n, open, type, line, outcome) AS (
   SELECT file, CAST(0 AS BIGINT), list({{'line': line, 'type': type, 'id': id}}), '', 0, '' FROM t GROUP BY file
   UNION ALL SELECT file, n, CASE WHEN hit IS NULL THEN open ELSE list_filter(open, lambda x: x.id <> hit.id) END, CASE WHEN hit IS NULL THEN type ELSE hit.type END, line, CASE WHEN hit IS NULL THEN 'fp' ELSE 'tp' END FROM (
@@ -91,7 +91,40 @@ def label_assign(spark, sf):
     all_ = reported(spark, sf).withColumn("file", F.col("scan_id").cast("string"))
     accepted = F.when(F.col("type") == "idor", F.array(F.lit("idor"), F.lit("auth_bypass"))).otherwise(F.array("type"))
     labels = all_.where("l_discount < 0.02").select("file", "type", "line").distinct().withColumn("accepted_types", accepted)
-    return benchmark.assign(all_.where("l_discount >= 0.06"), labels)
+    return benchmark.assign(all_.where("l_discount >= 0.02"), labels)
+
+
+PLACED = """f AS (SELECT l_suppkey AS scan_id, l_orderkey, l_linenumber, l_partkey, l_returnflag AS flag, CAST(l_orderkey % 900 AS INT) AS line,
+  ['', 'app/', 'repo/app/', 'Repo/App/', 'other/'][CAST(l_partkey % 5 AS INT) + 1] || 'F' || (l_partkey // 5 % 8) || '.php' AS location FROM lineitem)"""
+SAME_FILE = "(lower(a.location) = lower(b.location) OR suffix(lower(a.location), '/' || lower(b.location)) OR suffix(lower(b.location), '/' || lower(a.location)))"
+
+
+def placed(spark, sf):
+    """Findings whose files are given from different folders: a bare name, below app, below repo/app, in another case."""
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("", "app/", "repo/app/", "Repo/App/", "other/")]), (F.col("l_partkey") % 5 + 1).cast("int"))
+    name = F.concat(folder, F.lit("F"), (F.floor(F.col("l_partkey") / 5) % 8).cast("string"), F.lit(".php"))
+    line = (F.col("l_orderkey") % 900).cast("int").alias("line")
+    found = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("scan_id"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("flag"), line, name.alias("location"))
+    return found.withColumn("type", F.lit("xss"))
+
+
+@query(f"""WITH {PLACED} SELECT scan_id, l_orderkey, l_linenumber, l_partkey, location, line FROM f a WHERE flag <> 'A'
+  AND NOT EXISTS (SELECT 1 FROM f b WHERE b.flag = 'A' AND b.scan_id = a.scan_id AND abs(a.line - b.line) <= 5 AND {SAME_FILE})""")
+def merge_by_suffix(spark, sf):
+    """Findings of one source with none of the other near them, in files that the two name from different folders."""
+    found = placed(spark, sf)
+    left = O.not_near(found.where("flag <> 'A'"), found.where("flag = 'A'"))
+    return left.select("scan_id", "l_orderkey", "l_linenumber", "l_partkey", "location", "line")
+
+
+@query(f"""WITH {PLACED} SELECT scan_id, l_orderkey, l_linenumber, l_partkey, location, line FROM f a WHERE flag <> 'A'
+  AND NOT EXISTS (SELECT 1 FROM f b WHERE b.flag = 'A' AND b.scan_id = a.scan_id AND a.line BETWEEN b.line AND b.line + 9 AND {SAME_FILE})""")
+def spans_by_suffix(spark, sf):
+    """Findings outside the spans of methods in files that are named from different folders."""
+    found = placed(spark, sf)
+    spans = found.where("flag = 'A'").select("scan_id", "location", F.col("line").alias("start"), (F.col("line") + 9).alias("end"))
+    left = O.outside_spans(found.where("flag <> 'A'"), spans, ("scan_id", "location"))
+    return left.select("scan_id", "l_orderkey", "l_linenumber", "l_partkey", "location", "line")
 
 
 @query("""WITH k AS (SELECT key, row_number() OVER (ORDER BY key) AS ordinal FROM (SELECT DISTINCT 'GET /' || lower(p_type) || '/' || lower(p_brand) AS key FROM part)),
