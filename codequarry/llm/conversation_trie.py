@@ -252,7 +252,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     many = nodes.where("n > 1").join(sums, ["id", "depth"], "left").select(*nodes.columns, "before")
     found = many.union(nodes.where("n = 1").withColumn("before", F.lit(None).cast("long")))
     at_first, at_last = F.col("depth") == F.col("first"), F.col("depth") == F.col("last")
-    before = F.when(at_first, F.col("sum0")).otherwise(F.col("before"))
+    before = F.when(at_first, F.col("sum0")).otherwise(F.coalesce("before", F.lit(0)))  # nothing before depth 1
     saved = F.when(F.col("n") > 1, (F.col("n") - 1) * (F.col("sum1") - before) + F.col("below")).otherwise(F.lit(0))
     return found.select(
         F.col("id").alias("conv_id"), "depth", F.when(at_first, F.col("parent")).otherwise(F.col("id")).alias("parent_conv_id"), F.col("n").alias("n_convs"),
