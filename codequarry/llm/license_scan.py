@@ -3,8 +3,8 @@
 Every document is cut into words once, and the hash of each run of k words is
 joined to the runs of the templates (broadcast: the templates are an argument,
 at most MAX_TEMPLATE_RUNS runs). A match at word p of template word q votes for
-the diagonal p - q. Votes are kept as a bit set of template runs, so repeated
-matches change nothing. A diagonal and its neighbours, at most slack words away
+the diagonal p - q. Votes are kept as a set of template runs, so a run that
+neighbouring diagonals share counts once. A diagonal and its neighbours, at most slack words away
 on either side, are merged, so a dropped or added word does not break a match,
 and no chain of neighbours grows longer than that. A merged diagonal is verified
 by the share of the template's runs that voted; of held neighbours the best is
@@ -64,23 +64,26 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their result. Ids of any type come back as they are, null ids too. Bytes that
     are no valid UTF-8 are characters of words. Extra columns are ignored,
     whatever their names. An empty table gives an empty result. Templates have k
-    to 62 + k words; a document of any length is one row of the scan, exploded as
-    it is read. Runs of words are told apart by 64-bit hashes.
+    words or more, MAX_TEMPLATE_RUNS runs together; a document of any length is one
+    row of the scan, exploded as it is read, in time that is linear in its words.
+    Runs of words are told apart by 64-bit hashes. Rows are told apart by their
+    place in docs, which should be read from files (or written first, where its
+    order is not fixed).
     """
     runs, meta = [], []
     for t, (phrase, label) in enumerate([*base, *templates]):
         words = phrase.split()
-        if not k <= len(words) <= 62 + k:
-            raise ValueError(f"a template has from {k} to {62 + k} words: {phrase}")
+        if len(words) < k:
+            raise ValueError(f"a template has at least {k} words: {phrase}")
         n = len(words) - k + 1
-        meta.append((t, label, t < len(base), n, (1 << n) - 1))
+        meta.append((t, label, t < len(base), n))
         runs += [(*words[q : q + k], t, q) for q in range(n)]
     if len(runs) > MAX_TEMPLATE_RUNS:
         raise ValueError("too many template words; scan in several calls")
     spark = docs.sparkSession
     grams = spark.createDataFrame(runs, ", ".join(f"g{i} string" for i in range(k)) + ", t int, q int")
     grams = grams.select(F.xxhash64(*[f"g{i}" for i in range(k)]).alias("g"), "t", "q")
-    about = spark.createDataFrame(meta, "t int, label string, is_base boolean, n int, full long")
+    about = spark.createDataFrame(meta, "t int, label string, is_base boolean, n int")
 
     # One scan: a row for each document (at place 0) and for each match.
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("d"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
@@ -90,15 +93,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         at = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
         hashes = F.when(n < k, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)])))
-    places = words.select("row", "d", n.cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), hashes)).alias("p", "g"))
+    # Both are computed before rows are laid out: else the words themselves would go along with every row.
+    about_text = words.select("row", "d", F.struct(n.cast("long").alias("n_words"), F.concat(F.array(F.lit(None).cast("long")), hashes).alias("hashes")).alias("x"))
+    places = about_text.select("row", "d", F.explode(F.array("x")).alias("x")).select("row", "d", F.col("x.n_words").alias("n_words"), F.posexplode("x.hashes").alias("p", "g"))
     found = places.join(F.broadcast(grams), "g", "left").where("p = 0 or t is not null").select("row", "d", "n_words", (F.col("p") - 1).alias("p"), "t", "q").repartition("row")
 
-    vote = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q")))
+    vote = F.collect_set("q")
     first = [F.first("d").alias("d"), F.first("n_words").alias("n_words")]
     diagonals = found.groupBy("row", "t", (F.col("p") - F.col("q")).alias("diagonal")).agg(vote.alias("votes"), F.min("p").alias("low"), F.max("p").alias("high"), *first)
     near = Window.partitionBy("row", "t").orderBy("diagonal").rangeBetween(-slack, slack)
-    merged = diagonals.join(F.broadcast(about), "t", "left").withColumn("exact", F.col("is_base") & (F.col("votes") == F.col("full")))
-    merged = merged.withColumn("coverage", F.bit_count(F.bit_or("votes").over(near)) / F.col("n")).withColumn("first", F.min("low").over(near)).withColumn("end", F.max("high").over(near) + k)
+    merged = diagonals.join(F.broadcast(about), "t", "left").withColumn("exact", F.col("is_base") & (F.size("votes") == F.col("n")))
+    merged = merged.withColumn("coverage", F.size(F.array_distinct(F.flatten(F.collect_list("votes").over(near)))) / F.col("n")).withColumn("first", F.min("low").over(near)).withColumn("end", F.max("high").over(near) + k)
     best = F.max(F.struct("coverage", (-F.col("diagonal")).alias("back"))).over(near)
     held = merged.withColumn("peak", (F.col("coverage") >= coverage) & (best["coverage"] == F.col("coverage")) & (best["back"] == -F.col("diagonal")))
     held = held.withColumn("exact", F.coalesce("exact", F.lit(False))).withColumn("peak", F.coalesce("peak", F.lit(False)))

@@ -157,3 +157,30 @@ def test_license_base_matches_brute_force(spark):
         at = [(n, label) for phrase, label in BASE for n in range(len(w)) if w[n : n + len(phrase.split())] == phrase.split()]
         assert got[i].n_base == len(at) and got[i].base_labels == ",".join(sorted({x for _, x in at}))
         assert got[i].first_word == min((n for n, _ in at), default=None) and got[i].last_word == max((n for n, _ in at), default=None)
+
+
+def test_license_time_is_linear_in_the_words_of_a_text(spark):
+    import time
+
+    rng = random.Random(3)
+    took = {}
+    for n in (50_000, 50_000, 1_000_000):  # the first one compiles
+        words = [rng.choice(["mit", "license", "word", "other", "thing", "gnu"]) for _ in range(n)]
+        df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+        began = time.time()
+        row = license_scan(df).first()
+        took[n] = time.time() - began
+        starts = [i for i in range(n - 1) if words[i : i + 2] == ["mit", "license"]]
+        assert (row.n_words, row.n_base, row.first_word, row.last_word) == (n, len(starts), starts[0], starts[-1])
+    assert took[1_000_000] < 20 * took[50_000]
+
+
+def test_license_templates_of_any_length(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(500)}" for _ in range(2000)]
+    changed = [w if rng.random() > 0.02 else "other" for w in long]
+    docs = [(1, " ".join(["x"] * 5 + long)), (2, " ".join(changed)), (3, " ".join(long[:900])), (4, " ".join(long[:1000] + ["added"] + long[1000:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan(df, templates=[(" ".join(long), "long")], base=[("mit license", "mit")]).collect()}
+    assert [rows[i].labels for i in (1, 2, 3, 4)] == ["long", "long", "", "long"]
+    assert rows[1].score == 1.0 and 0.9 < rows[2].score < 1 and rows[4].score > 0.99
