@@ -43,6 +43,31 @@ def ancestors(parents: DataFrame) -> DataFrame:
     return all_.groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
 
 
+#: Where a model can declare a column redacted, as the source writes it, in order: heading, form, site.
+REDACTION_SITES = [("hidden", "property", "$hidden"), ("hidden", "attribute", "#[Hidden]"), ("guarded", "property", "$guarded"), ("guarded", "attribute", "#[Guarded]")]
+
+
+def redactions(asked: DataFrame, declarations: DataFrame, parents: DataFrame) -> DataFrame:
+    """asked (model, attribute) with sites: where the model or an ancestor of it declares the attribute redacted, nearest first, each once.
+
+    declarations: (class, heading, form, names), the string literals of a class's
+    own arrays; parents: (child, parent). Declarations of all ancestors count, not
+    only of the nearest, and names are compared without case. Only ancestors of
+    classes that are asked for are met with declarations, by (class, name).
+    """
+    site = F.coalesce(*[F.when((F.col("heading") == h) & (F.col("form") == f), F.struct(F.lit(n).alias("n"), F.lit(s).alias("site"))) for n, (h, f, s) in enumerate(REDACTION_SITES)])
+    named = declarations.select(F.col("class").alias("ancestor"), site.alias("at"), F.explode("names").alias("name")).where("at is not null")
+    named = named.select("ancestor", "at", F.lower("name").alias("_name")).distinct()
+    asks = asked.select("model", "attribute", F.lower("attribute").alias("_name")).distinct()
+    models = asks.select("model").distinct()
+    family = ancestors(parents).join(models, F.col("child") == F.col("model"), "left_semi").select(F.col("child").alias("model"), "ancestor", "depth")
+    family = family.union(models.select("model", F.col("model").alias("ancestor"), F.lit(0).alias("depth")))
+    met = asks.join(family, "model").join(named, ["ancestor", "_name"]).groupBy("model", "attribute", "at").agg(F.min("depth").alias("depth"))
+    sites = F.transform(F.array_sort(F.collect_list(F.struct("depth", "at"))), lambda x: x["at"]["site"])
+    found = met.groupBy("model", "attribute").agg(sites.alias("sites"))
+    return asked.join(found, ["model", "attribute"], "left").withColumn("sites", F.coalesce("sites", F.array().cast("array<string>")))
+
+
 def closure_sql(name: str = "parents", most: int = 32) -> str:
     """The same closure as one recursive query."""
     return f"""

@@ -140,3 +140,17 @@ def category_rollup(spark, sf):
     return f.groupBy(F.col("n_name").alias("category"), F.col("r_name").alias("area")).agg(F.count("*").alias("n"), F.sum(T.weight_of(F.col("severity"))).alias("weight"))
 
 
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent, ['$hidden', '#[Hidden]', '$guarded', '#[Guarded]'][CAST(p_partkey % 4 AS INT) + 1] AS site, CAST(p_partkey % 4 AS INT) AS n,
+  lower(p_brand) AS a, lower(p_type) AS b FROM part),
+up(model, id, depth) AS (SELECT id, id, 0 FROM c UNION ALL SELECT up.model, c.parent, up.depth + 1 FROM up JOIN c ON c.id = up.id WHERE c.parent IS NOT NULL),
+m AS (SELECT up.model, c.site, c.n, min(depth) AS depth FROM up JOIN c x ON x.id = up.model JOIN c ON c.id = up.id AND x.a IN (c.a, c.b) GROUP BY ALL)
+SELECT c.id AS model, coalesce(string_agg(m.site, ',' ORDER BY m.depth, m.n), '') AS sites FROM c LEFT JOIN m ON m.model = c.id GROUP BY c.id""")
+def redaction_sites(spark, sf):
+    """Each class asks for its own brand, in another case, along a tree of classes."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("class"), "p_partkey", "p_brand", "p_type")
+    n = F.col("p_partkey") % 4
+    heading, form = F.when(n < 2, "hidden").otherwise("guarded"), F.when(n % 2 == 0, "property").otherwise("attribute")
+    declared = p.select("class", heading.alias("heading"), form.alias("form"), F.array("p_brand", "p_type").alias("names"))
+    parents = p.where("p_partkey > 1").select(F.col("class").alias("child"), F.floor(F.col("p_partkey") / 2).cast("string").alias("parent"))
+    found = C.redactions(p.select(F.col("class").alias("model"), F.upper("p_brand").alias("attribute")), declared, parents)
+    return found.select(F.col("model").cast("long").alias("model"), F.array_join("sites", ",").alias("sites"))

@@ -85,9 +85,20 @@ def json_lines(findings: DataFrame, report: dict) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of a saved report; missing keys take defaults, a missing class means vulnerability."""
-    piece = F.from_json(F.regexp_replace("value", "^,", ""), FINDING)
-    v = spark.read.text(path).where("value rlike '^,?[{]\"(type|location|line|severity|description)\"'").select(piece.alias("v")).select("v.*")
+    """Findings of a saved report; missing keys take defaults, a missing class means vulnerability.
+
+    A report that json_lines laid out is read piece by piece; any other is parsed
+    as one JSON document a file, and one that does not parse is an error.
+    """
+    lines = spark.read.text(path)
+    if not lines.where("value rlike '^[{].*\"vulnerabilities\": \\\\[$'").isEmpty():
+        piece = F.from_json(F.regexp_replace("value", "^,", ""), FINDING)
+        v = lines.where("value rlike '^,?[{]\"(type|location|line|severity|description)\"'").select(piece.alias("v")).select("v.*")
+    else:
+        whole = F.from_json("value", f"struct<vulnerabilities:array<struct<{FINDING}>>>")["vulnerabilities"]
+        no_report = F.raise_error(F.lit("not a saved report: no JSON document with vulnerabilities")).cast(f"array<struct<{FINDING}>>")
+        documents = spark.read.text(path, wholetext=True).where("trim(value) <> ''")
+        v = documents.select(F.explode(F.coalesce(whole, no_report)).alias("v")).select("v.*")
     sure = F.coalesce("confidence", F.lit("probable"))
     review = (sure == "possible") | (F.coalesce("class", F.lit("vulnerability")) == "review")
     known = F.coalesce(F.col("type").isin([t[0] for t in R.TYPES]), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codequarry.api import Engine
 from codequarry.operators import findings as O
-from codequarry.registry import EngineConfig
+from codequarry.registry import DEFAULT_TYPE, EngineConfig
 from codequarry.sinks import reports
 from codequarry.sources import documents, files
 from codequarry.streaming import incremental
@@ -124,3 +124,18 @@ def test_suppressed(spark):
     assert json.loads("".join(reports.text(reports.lines(none, "sarif", report))))["runs"][0]["results"] == []
     equal = spark.createDataFrame([("xss", "a.php", 1, "high", "d", "p", "f", "vulnerability", "proven")] * 3, none.schema)
     assert len(json.loads("".join(reports.text(reports.lines(equal, "json", reports.summary(equal)))))["vulnerabilities"]) == 3
+
+
+def test_any_json_layout_of_a_report_is_read(spark, tmp_path):
+    import json
+
+    report = {"overall_score": 3, "vulnerabilities": [{"type": "xss", "location": "a.php", "line": 4, "severity": "high", "description": "{\n", "confidence": "possible", "fix": "f"}, {"severity": "low"}]}
+    for name, text in {"one": json.dumps(report), "indented": json.dumps(report, indent=2)}.items():
+        (tmp_path / name).write_text(text)
+        found = {(r.type, r.location, r.line, r["class"], r.fix) for r in reports.read_json(spark, str(tmp_path / name)).collect()}
+        assert found == {("xss", "a.php", 4, "review", ""), (DEFAULT_TYPE, "", 1, "vulnerability", "")}
+    (tmp_path / "none").write_text(json.dumps({"vulnerabilities": []}))
+    assert reports.read_json(spark, str(tmp_path / "none")).collect() == []
+    (tmp_path / "odd").write_text("<html>")
+    with pytest.raises(Exception, match="not a saved report"):
+        reports.read_json(spark, str(tmp_path / "odd")).collect()

@@ -213,3 +213,12 @@ def test_reach(spark):
 
 def test_json_dump_is_stable():
     assert json.loads(responses.decode(RESPONSES["fenced"])[0])["vulnerabilities"][0]["line"] == "12"
+
+
+def test_redaction_of_a_class_and_all_its_ancestors(spark):
+    declared = [("User", "hidden", "property", ["Password"]), ("Base", "hidden", "attribute", ["password", "token"]), ("Base", "guarded", "property", ["password"]), ("Other", "hidden", "property", ["email"]), ("Base", "odd", "property", ["email"])]
+    declared = spark.createDataFrame(declared, "class string, heading string, form string, names array<string>")
+    parents = spark.createDataFrame([("User", "Base"), ("Base", "Root"), ("Root", "User")], "child string, parent string")
+    asked = spark.createDataFrame([("User", "PASSWORD"), ("User", "email"), ("Base", "token"), ("User", "token"), ("Gone", "token")], "model string, attribute string")
+    got = {(r.model, r.attribute): r.sites for r in catalogue.redactions(asked, declared, parents).collect()}
+    assert got == {("User", "PASSWORD"): ["$hidden", "#[Hidden]", "$guarded"], ("User", "email"): [], ("Base", "token"): ["#[Hidden]"], ("User", "token"): ["#[Hidden]"], ("Gone", "token"): []}
