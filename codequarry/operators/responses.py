@@ -19,7 +19,9 @@ KEY = "vulnerabilities"
 _BLANK = "[ \\n\\r\\t\\x0B\\x00]+"
 _FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
 _OBJECT_START = r"\{(?=[ \n\r\t]*[\"}])"
-_TOKEN = r'"[^"]*"?|[{}\[\]:]|[^"{}\[\]:]+'  # strings (the last may be cut off), what structures, and all between
+# Strings (the last may be cut off), what structures, and all between; possessive, so that a long string takes no stack.
+_TOKEN = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?|[{}\[\]:]|[^"{}\[\]:]+'
+_END = '"end of the value"'
 
 
 def _stripped(text: Column) -> Column:
@@ -40,9 +42,15 @@ def _reports(value: Column) -> Column:
     return F.coalesce((kind_of(value) == "ARRAY") | _get(value, f"$.{KEY}").isNotNull(), F.lit(False))
 
 
+def whole_json(text: Column) -> Column:
+    """The value of a text that is one JSON value and nothing else; null otherwise."""
+    both = _get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f", {_END}]"))), "$", "array<variant>")
+    return F.when(F.size(both) == 2, F.get(both, F.lit(0)))
+
+
 def _tokens(text: Column) -> Column:
-    """A text that begins with a brace, in tokens without gaps; escapes inside strings are blanked, so that quotes end strings."""
-    return F.regexp_extract_all(F.regexp_replace(text, r"\\[\s\S]", ".."), F.lit(_TOKEN), F.lit(0))
+    """A text that begins with a brace, in tokens without gaps."""
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
 def _object_starts(text: Column) -> Column:
@@ -72,7 +80,7 @@ def embedded(text: Column) -> Column:
     none = F.lit(None).cast("string")
 
     def step(s: Column, x: Column) -> Column:
-        value = F.try_parse_json(x["json"])
+        value = whole_json(x["json"])
         open_ = s["found"].isNull() & (x["left"] <= s["left"]) & value.isNotNull()
         found = F.when(open_ & _get(value, f"$.{KEY}").isNotNull(), x["json"]).otherwise(s["found"])
         return F.struct(F.when(open_, x["left"] - F.length(x["json"])).otherwise(s["left"]).alias("left"), found.alias("found"))
@@ -110,7 +118,7 @@ def _elements_so_far(text: Column) -> Column:
 
     state = F.aggregate(_tokens(text), F.struct(*[x.alias(n) for n, x in zip(names, begin)]), step)
     items = F.transform(state["items"], lambda x: F.substring(text, x["at"] + 1, x["n"]))
-    return F.struct(state["found"].alias("found"), state["closed"].alias("closed"), F.filter(items, lambda x: F.try_parse_json(x).isNotNull()).alias("items"))
+    return F.struct(state["found"].alias("found"), state["closed"].alias("closed"), F.filter(items, lambda x: whole_json(x).isNotNull()).alias("items"))
 
 
 def salvaged(text: Column) -> Column:
@@ -134,13 +142,13 @@ def parse(responses: DataFrame, text: str = "response") -> DataFrame:
     t = _stripped(F.col(text))
     fence = F.when(t.rlike(_FENCE), _stripped(F.regexp_extract(t, _FENCE, 1)))
     out = responses.withColumns({"_t": t, "_f": fence})
-    own, fenced = F.try_parse_json("_t"), F.try_parse_json("_f")
+    own, fenced = whole_json(F.col("_t")), whole_json(F.col("_f"))
     direct = F.when(_reports(own), F.col("_t")).when(_reports(fenced), F.col("_f"))
     keyless = F.coalesce(kind_of(own) == "OBJECT", F.lit(False)) | F.coalesce(kind_of(fenced) == "OBJECT", F.lit(False))
     out = out.withColumn("_direct", direct).withColumn("_keyless", keyless)
     out = out.withColumn("_json", F.coalesce("_direct", F.when(F.col("_direct").isNull(), embedded(F.col("_t")))))
     out = out.withColumn("_kept", F.when(F.col("_json").isNull() & ~F.col("_keyless"), salvaged(F.col("_t"))))
-    value = F.try_parse_json("_json")
+    value = whole_json(F.col("_json"))
     held = F.when(kind_of(value) == "ARRAY", value).otherwise(_get(value, f"$.{KEY}"))
     listed = F.when(kind_of(held) == "ARRAY", _get(held, "$", "array<variant>")).when(kind_of(held) == "OBJECT", F.map_values(_get(held, "$", "map<string,variant>")))
     texts = F.transform(listed, lambda x: F.to_json(x))

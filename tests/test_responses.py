@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 
@@ -74,3 +76,101 @@ def test_heads(spark):
     p = responses.parse(spark.createDataFrame(list(enumerate(texts)), "chunk int, response string"))
     heads = {r.chunk: (r.state, r.score, r.summary.split(";")[0], r.ctf_idea) for r in responses.report_heads(p, responses.to_findings(p)[0]).collect()}
     assert heads == {0: ("truncated", 80, "The response was cut off", ""), 1: ("ok", 100, "fine", "")}
+
+
+# --- a plain reader of one text, character by character ---------------------------
+
+
+def loads(text):
+    """The value of a JSON text, or None; repeated keys are none."""
+
+    def once(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError
+        return dict(pairs)
+
+    try:
+        return json.loads(text, object_pairs_hook=once, parse_constant=lambda _: 1 / 0)
+    except (ValueError, ZeroDivisionError):
+        return None
+
+
+def object_starts(text):
+    return [m.start() for m in re.finditer(r'\{(?=[ \n\r\t]*["}])', text)]
+
+
+def walk(text, start):
+    """(closing place of the first brace or None, whether a list under the key was found, whether all brackets closed, its whole elements)."""
+    braces = depth = 0
+    end = last = begun = None
+    quoted = awaits = open_ = found = closed = False
+    items, i = [], start
+    while i < len(text):
+        c = text[i]
+        if quoted:
+            if c == "\\":
+                i += 1
+            elif c == '"':
+                quoted = False
+                if depth == 1:
+                    last = text[opened + 1 : i]
+        elif c == '"':
+            quoted, opened, awaits = True, i, False
+        else:
+            braces += (c == "{") - (c == "}")
+            if c == "}" and braces == 0 and end is None:
+                end = i
+            if not closed and c not in " \n\r\t":
+                opens, awaits = awaits and c == "[", c == ":" and depth == 1 and last == "vulnerabilities"
+                depth += (c in "{[") - (c in "}]")
+                if opens and depth == 2:
+                    open_ = found = True
+                elif c == "{" and open_ and depth == 3:
+                    begun = i
+                elif c == "}" and open_ and depth == 2 and begun is not None:
+                    items.append(text[begun : i + 1])
+                    begun = None
+                elif c == "]" and open_ and depth == 1:
+                    open_ = False
+                closed = c in "}]" and depth == 0
+        i += 1
+    return end, found, closed, [x for x in items if loads(x) is not None]
+
+
+def read(text):
+    """(state, elements) of one response."""
+    text = text.strip(" \n\r\t\v\0")
+    fence = re.search(r"```(?:json)?[ \t\n\r\f\v]*\n?(.*?)\n?[ \t\n\r\f\v]*```", text, re.S)
+    tries = [loads(text), loads(fence[1].strip(" \n\r\t\v\0")) if fence else None]
+    value = next((x for x in tries if isinstance(x, list) or (isinstance(x, dict) and "vulnerabilities" in x)), None)
+    if value is None:
+        reach = 0
+        for start in object_starts(text):
+            end = walk(text, start)[0] if start >= reach else None
+            got = loads(text[start : end + 1]) if end is not None else None
+            if got is not None:
+                reach = end + 1
+                if "vulnerabilities" in got:
+                    value = got
+                    break
+    if value is None:
+        if not any(isinstance(x, dict) for x in tries):
+            for start in object_starts(text):
+                _, found, closed, items = walk(text, start)
+                if found:
+                    return ("ok" if closed else "truncated", items) if closed or items else ("failed", None)
+        return "failed", None
+    held = value if isinstance(value, list) and value else value["vulnerabilities"] if isinstance(value, dict) else None
+    held = list(held.values()) if isinstance(held, dict) else held
+    return ("ok", [json.dumps(x) for x in held]) if isinstance(held, list) else ("failed", None)
+
+
+def test_random_texts_against_the_plain_reader(spark):
+    rng = random.Random(9)
+    pieces = ["{", "}", "[", "]", '"', "\\", ":", ",", " ", "\n", "x", "1", "é", '"a"', '"vulnerabilities"', '"vulnerabilities": [', '{"vulnerabilities": [', '{"type": "xss"}', '{"b": {}}', "]}", "```json\n", "\n```", ONE, ONE[:40]]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    rows = responses.parse(spark.createDataFrame(list(enumerate(texts)), "chunk int, response string")).collect()
+    values = lambda found: found if found is None else [json.loads(x) for x in found]
+    wrong = [(texts[r.chunk], r.state, r.elements, read(texts[r.chunk])) for r in rows if (r.state, values(r.elements)) != ((w := read(texts[r.chunk]))[0], values(w[1]))]
+    assert not wrong, wrong[:3]
+    assert {r.state for r in rows} == {"ok", "truncated", "failed"}
