@@ -184,3 +184,14 @@ def test_license_templates_of_any_length(spark):
     rows = {r.doc_id: r for r in license_scan(df, templates=[(" ".join(long), "long")], base=[("mit license", "mit")]).collect()}
     assert [rows[i].labels for i in (1, 2, 3, 4)] == ["long", "long", "", "long"]
     assert rows[1].score == 1.0 and 0.9 < rows[2].score < 1 and rows[4].score > 0.99
+
+
+def test_topk_by_rows_that_repeat_ids(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.9, 0.0]), (1, [0.5, 0.0]), (2, [0.1, 0.0]), (None, [9.0, 9.0]), (200, [1.0]), (3, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk_search(df, "vec_id % 100 = 0", k=3).collect()))
+    scaled = {1.0: 1024, 0.9: 921, 0.5: 512, 0.1: 102}
+    one = [(100, r, i, scaled[1.0] * scaled[x]) for r, (i, x) in enumerate([(100, 0.9), (1, 0.5), (2, 0.1)], 1)]
+    two = [(100, r, i, scaled[0.9] * scaled[x]) for r, (i, x) in enumerate([(100, 1.0), (1, 0.5), (2, 0.1)], 1)]
+    assert got == sorted([*one, *two, (200, 1, 3, 1024 * 2048)])
+    assert sorted(map(tuple, topk_search(df, "vec_id % 100 = 0", k=3, block_numbers=2, queries_a_task=1).collect())) == got
