@@ -1,10 +1,10 @@
-"""Queries of model responses: turns of conversations as what a model might answer, in eight shapes."""
+"""Queries of model responses: turns of conversations as what a model might answer, in eight shapes; events as attempts to get one."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.operators import responses
+from codequarry.operators import attempts, responses
 from codequarry.plans.surrogates import pick, sql_pick, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -80,3 +80,17 @@ def response_heads(spark, sf):
     parsed = responses.parse(shaped(spark, sf))
     found, _ = responses.to_findings(parsed, ("conv_id", "turn"))
     return responses.report_heads(parsed, found, ("conv_id", "turn")).select("conv_id", "turn", "score", "summary")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS ok, CASE event_type WHEN 'error' THEN 404 WHEN 'click' THEN 429 WHEN 'view' THEN 503 END AS status,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
+l AS (SELECT *, place - coalesce(max(CASE WHEN ok OR status = 404 THEN place END) OVER (PARTITION BY user_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM e),
+a AS (SELECT *, CAST((p - 1) % 5 + 1 AS INT) AS attempt FROM l),
+s AS (SELECT *, CASE WHEN ok THEN 'ok' WHEN status = 404 THEN 'refused' WHEN attempt = 5 THEN 'gave_up' ELSE 'retried' END AS state FROM a)
+SELECT user_id, event_id, place - attempt + 1 AS first, attempt, state,
+  CASE WHEN state = 'retried' THEN (CASE WHEN status = 429 THEN [15, 30, 60, 120] ELSE [2, 4, 8, 16] END)[attempt] END AS wait FROM s""")
+def retried_requests(spark, sf):
+    kind = F.col("event_type")
+    status = F.when(kind == "error", 404).when(kind == "click", 429).when(kind == "view", 503)
+    log = table(spark, sf, "events").select("user_id", "ts", "event_id", (kind == "purchase").alias("ok"), status.alias("status"), F.lit(None).cast("string").alias("error"))
+    return attempts.requests(log, ("user_id",), ("ts", "event_id")).select("user_id", "event_id", "first", "attempt", "state", "wait")
