@@ -2,8 +2,6 @@ import json
 import random
 import re
 
-import pytest
-
 from codequarry.operators import responses
 
 ITEM = {"type": "xss", "location": "a.php", "line": 3, "severity": "high", "description": 'says "{" and \\ ] }', "proof": "p"}
@@ -38,13 +36,11 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_states(spark, name):
-    text, state, n = CASES[name]
-    row = parsed(spark, text).first()
-    assert (row.state, row.elements if row.elements is None else len(row.elements)) == (state, n)
-    if n:
-        assert json.loads(row.elements[0]) == ITEM
+def test_states(spark):
+    rows = responses.parse(spark.createDataFrame([(name, text) for name, (text, *_) in CASES.items()], "chunk string, response string")).collect()
+    got = {r.chunk: (r.state, r.elements if r.elements is None else len(r.elements)) for r in rows}
+    assert got == {name: (state, n) for name, (_, state, n) in CASES.items()}
+    assert all(json.loads(r.elements[0]) == ITEM for r in rows if r.elements)
 
 
 def test_many_escapes_and_braces_in_one_string(spark):
