@@ -10,3 +10,4 @@ PRICE = "provider string, model string, input double, output double, context lon
 HISTORY = "id string, created_at string, scan_duration_ms long, ai_provider string, ai_model string, overall_score int, summary string, vulnerabilities array<struct<type:string,location:string,line:int,severity:string,description:string,proof:string,fix:string,class:string,confidence:string,fingerprint:string>>"
 AI_FINDING = "struct<type:string,location:string,line:string,severity:string,description:string,proof:string,fix:string,taint_trace:string>"
 AI_RESPONSE = f"struct<vulnerabilities:array<{AI_FINDING}>,overall_score:string,summary:string,ctf_idea:string>"
+SAVED_FINDING = "type string, location string, line int, severity string, description string, proof string, fix string, class string, confidence string, fingerprint string"

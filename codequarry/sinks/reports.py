@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry import registry as R
+from codequarry.operators.lineage import checkpointed
+from codequarry.schemas import SAVED_FINDING, USAGE
+from codequarry.sources import documents
 
 _RANK = {s: r for s, _, r, *_ in R.SEVERITIES}
 _REASON = R.SKIP_REASONS
-FINDING = "type string, location string, line int, severity string, description string, proof string, fix string, class string, confidence string, fingerprint string"
+FINDING = SAVED_FINDING
 FIELDS = [f.split()[0] for f in FINDING.split(", ")]
 
 
@@ -250,6 +253,21 @@ def save_history(findings: DataFrame, path: str, report: dict, **about) -> str:
     return id_
 
 
+def delete_history(spark: SparkSession, path: str, ids: list[str] | None = None) -> int:
+    """Delete scans of a saved history, all of them without ids; how many there were.
+
+    Deletions are rows of path/deleted, so a reader at work sees one state or the
+    other, and deleting again changes nothing. Readers leave deleted scans out.
+    """
+    there = documents.kept_scans(spark, path).select("id").distinct()
+    going = there if ids is None else there.where(F.col("id").isin(list(ids)))
+    going = checkpointed(going)
+    n = going.count()
+    if n:
+        going.write.mode("append").json(f"{path}/deleted")
+    return n
+
+
 def headline(findings: DataFrame) -> DataFrame:
     """The first finding of a report: the worst one."""
     return ordered(findings).orderBy("at").limit(1).select(*FIELDS)
@@ -260,6 +278,17 @@ def append_usage(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def set_aside(spark: SparkSession, path: str, aside: str) -> int:
+    """Keep what of a usage log cannot be read as rows (file, value) of another table, each once; how many are new."""
+    bad = documents.rejects(spark, path, USAGE).distinct()
+    known = documents.set_aside_rows(spark, aside)
+    new = checkpointed(bad.join(known, ["file", "value"], "left_anti"))
+    n = new.count()
+    if n:
+        new.write.mode("append").json(aside)
+    return n
+
+
 def write_baseline(findings: DataFrame, path: str) -> None:
     """All findings of both classes, fingerprinted beforehand."""
     findings.select("fingerprint", F.col("location").alias("file"), "line", "type", F.md5(F.col("description").cast("binary")).alias("hash")).write.mode("overwrite").json(path)

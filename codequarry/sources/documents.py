@@ -9,22 +9,34 @@ from codequarry import schemas
 from codequarry.functions import text as T
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of JSON files, whether one object, a list of them or one a line.
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, value, r): objects of JSON files, whether one object, a list of them or one a line; r has _corrupt_record.
 
-    A missing path gives no rows, and what cannot be parsed is left out.
+    A missing path gives no rows.
     """
+    whole = schema + ", _corrupt_record string"
     try:
-        files = spark.read.text(path, wholetext=True)
+        files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
+        files = spark.createDataFrame([], "value string, file string")
     lines = F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")
     by_line = F.forall(lines, lambda x: x.startswith("{") & x.endswith("}"))
-    parts = F.when(by_line, lines).when(F.trim("value").startswith("["), F.transform(F.from_json("value", "array<string>"), lambda x: x)).otherwise(F.array("value"))
-    rows = files.select(F.explode(parts).alias("x")).select(F.from_json("x", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    return rows.where("r is not null and r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+    listed = F.from_json("value", "array<string>")
+    parts = F.when(by_line, lines).when(F.trim("value").startswith("[") & listed.isNotNull(), listed).otherwise(F.array("value"))
+    rows = files.select("file", F.explode(parts).alias("value"))
+    return rows.select("file", "value", F.from_json("value", whole, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+
+
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What _parsed gives, without what cannot be parsed."""
+    return _parsed(spark, path, schema).where("r is not null and r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+
+
+def rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, value) of what cannot be parsed: a bad row by itself, or a file whose layout is none of the three as a whole."""
+    return _parsed(spark, path, schema).where("(r is null or r._corrupt_record is not null) and value rlike '\\\\S'").select("file", "value")
 
 
 def routes(spark: SparkSession, path: str) -> DataFrame:
@@ -50,10 +62,27 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, schemas.HISTORY)
 
 
+def kept_scans(spark: SparkSession, path: str) -> DataFrame:
+    """Heads of a saved history that have not been deleted."""
+    gone = _json(spark, f"{path}/deleted", "id string").distinct()
+    return history(spark, f"{path}/scans").join(gone, "id", "left_anti")
+
+
+def kept_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of the scans of a saved history that have not been deleted."""
+    gone = _json(spark, f"{path}/deleted", "id string").distinct()
+    return _json(spark, f"{path}/findings", f"id string, {schemas.SAVED_FINDING}").join(gone, "id", "left_anti")
+
+
 def usage_log(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, schemas.USAGE).withColumn("at", F.to_timestamp("timestamp"))
 
 
+def set_aside_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): what has been set aside of a log."""
+    return _json(spark, path, "file string, value string")
+
+
 def baseline(spark: SparkSession, path: str) -> DataFrame:
     """Entries that can match something; malformed ones are dropped."""
     return _json(spark, path, schemas.BASELINE).where("fingerprint is not null or (file is not null and type is not null and hash is not null)")

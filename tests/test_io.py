@@ -139,3 +139,30 @@ def test_any_json_layout_of_a_report_is_read(spark, tmp_path):
     (tmp_path / "odd").write_text("<html>")
     with pytest.raises(Exception, match="not a saved report"):
         reports.read_json(spark, str(tmp_path / "odd")).collect()
+
+
+def test_deleted_scans_are_gone(spark, tmp_path):
+    path = str(tmp_path / "history")
+    assert reports.delete_history(spark, path) == 0
+    ids = [reports.save_history(finding(spark, [{"line": n}]), path, {"overall_score": n}) for n in range(3)]
+    assert {r.id for r in documents.kept_scans(spark, path).collect()} == set(ids) == {r.id for r in documents.kept_findings(spark, path).collect()}
+    assert reports.delete_history(spark, path, [ids[1], "unknown"]) == 1 and reports.delete_history(spark, path, [ids[1]]) == 0
+    assert {r.id: r.overall_score for r in documents.kept_scans(spark, path).collect()} == {ids[0]: 0, ids[2]: 2}
+    assert {(r.id, r.line) for r in documents.kept_findings(spark, path).collect()} == {(ids[0], 0), (ids[2], 2)}
+    assert reports.delete_history(spark, path) == 2 and documents.kept_scans(spark, path).isEmpty()
+    again = reports.save_history(finding(spark, [{}]), path, {"overall_score": 9})
+    assert [r.id for r in documents.kept_scans(spark, path).collect()] == [again]
+
+
+def test_rows_of_a_usage_log_that_cannot_be_read_are_kept_aside(spark, tmp_path):
+    log, aside = tmp_path / "usage", tmp_path / "aside"
+    log.mkdir()
+    good = '{"timestamp": "2024-01-01T00:00:00Z", "prompt_tokens": 5, "provider": "p", "model": "m"}'
+    (log / "a.json").write_text(good + "\n" + '{"prompt_tokens": "many", "x": }' + "\n" + good)
+    (log / "b.json").write_text("[" + good + ", " + good + "]")
+    (log / "c.json").write_text("[" + good + ", ")
+    (log / "d.json").write_text(" \n")
+    assert documents.usage_log(spark, str(log)).count() == 4
+    assert reports.set_aside(spark, str(log), str(aside)) == 2 and reports.set_aside(spark, str(log), str(aside)) == 0
+    kept = {r.file.rsplit("/", 1)[1]: r.value for r in documents.set_aside_rows(spark, str(aside)).collect()}
+    assert kept == {"a.json": '{"prompt_tokens": "many", "x": }', "c.json": "[" + good + ", "}
