@@ -269,20 +269,24 @@ def sections(parts: DataFrame, budget: int, by=("scan",)) -> DataFrame:
     return kept.groupBy(*by).agg(F.array_join(ordered, "\n\n").alias("context"), F.sum("tokens").alias("tokens"))
 
 
-def middleware_of(routes: DataFrame, known: DataFrame) -> DataFrame:
+def middleware_of(routes: DataFrame, known: DataFrame, by: tuple = ()) -> DataFrame:
     """routes (route) with the middleware of the first known key, by ordinal, that holds the route's last word; none without one.
 
     known: (key, ordinal, middleware). Only the pieces of keys that are as long
-    as some last word are laid out, so the words meet them by equality.
+    as some last word are laid out, so the words meet them by equality. With by
+    (columns of both sides) routes meet the keys of their own group only.
     """
     word = F.trim(F.substring_index(F.concat(F.lit(" "), F.col("route")), " ", -1))
-    asked = routes.select("route", word.alias("word")).distinct()
-    sizes = asked.agg(F.collect_set(F.length("word")).alias("sizes"))  # one row, an entry for each length
-    keys = known.join(F.broadcast(sizes)).select("key", "ordinal", "middleware", F.explode("sizes").alias("n")).where(F.col("n") <= F.length("key"))
+    asked = routes.select(*by, "route", word.alias("word")).distinct()
+    sizes = asked.groupBy(*by).agg(F.collect_set(F.length("word")).alias("sizes"))  # an entry for each length
+    met = known.join(sizes, list(by)) if by else known.join(F.broadcast(sizes))  # without by sizes is one row
+    keys = met.select(*by, "key", "ordinal", "middleware", F.explode("sizes").alias("n")).where(F.col("n") <= F.length("key"))
     starts = F.when(F.col("n") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("key") - F.col("n") + 1))
-    pieces = keys.select("ordinal", "middleware", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("key"), i, F.col("n"))))).alias("word"))
-    first = asked.join(pieces, "word").groupBy("route").agg(F.min_by("middleware", "ordinal").alias("middleware"))
-    return routes.join(first, "route", "left").withColumn("middleware", F.coalesce("middleware", F.array().cast("array<string>")))
+    laid_out = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("key"), i, F.col("n"))))
+    pieces = keys.select(*by, "ordinal", "middleware", F.explode(laid_out).alias("word"))
+    first = asked.join(pieces, [*by, "word"]).groupBy(*by, "route").agg(F.min_by("middleware", "ordinal").alias("middleware"))
+    none = F.array().cast("array<string>")
+    return routes.join(first, [*by, "route"], "left").withColumn("middleware", F.coalesce("middleware", none))
 
 
 def class_path(name):
