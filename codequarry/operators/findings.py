@@ -53,6 +53,11 @@ def identity_key(path="location", line="line", content=None):
     return F.concat_ws("|", F.col("type"), T.normal_path(F.col(path)), place)
 
 
+def fingerprint_of(key, occurrence, prefix: str = EngineConfig.fingerprint_prefix):
+    """Half of the hash of a key and how many equal keys came before."""
+    return F.left(F.sha2(F.concat(F.lit(prefix), key, F.lit("|"), occurrence.cast("string")), 256), F.lit(32))
+
+
 def fingerprint(findings: DataFrame, scan=(), order=("ordinal",), key=None, prefix: str = EngineConfig.fingerprint_prefix) -> DataFrame:
     """With occurrence (0, 1, ... of equal keys of a scan in report order) and fingerprint.
 
@@ -62,8 +67,7 @@ def fingerprint(findings: DataFrame, scan=(), order=("ordinal",), key=None, pref
     out = findings.withColumn("_key", key)
     along = Window.partitionBy(*scan, "_key").orderBy(*order)
     out = out.withColumn("occurrence", F.row_number().over(along) - 1)
-    code = F.sha2(F.concat(F.lit(prefix), F.col("_key"), F.lit("|"), F.col("occurrence").cast("string")), 256)
-    return out.withColumn("fingerprint", F.left(code, F.lit(32))).drop("_key")
+    return out.withColumn("fingerprint", fingerprint_of(F.col("_key"), F.col("occurrence"), prefix)).drop("_key")
 
 
 def token(type_=None):

@@ -2,10 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import LongType, StructType
 
 from codequarry.functions import text as T
+from codequarry.operators.findings import fingerprint_of, identity_key
+from codequarry.registry import EngineConfig
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Occurrences(StatefulProcessor):
+    """Numbers the rows of a key in order, on from the number that earlier batches have reached."""
+
+    def __init__(self, order: tuple):
+        self.order = order
+
+    def init(self, handle):
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n = self.seen.get()[0] if self.seen.exists() else 0
+        for row in sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order]):
+            yield Row(**row.asDict(), occurrence=n)
+            n += 1
+        self.seen.update((n,))
+
+    def close(self):
+        pass
+
+
+def fingerprints(findings: DataFrame, scan: tuple = (), order: tuple = ("ordinal",), key=None, prefix: str = EngineConfig.fingerprint_prefix) -> DataFrame:
+    """A stream of findings with the occurrence and fingerprint that operators.findings.fingerprint gives the whole report.
+
+    Batches come in report order; inside one rows may come in any. The state is a
+    number for each scan and key, kept in the checkpoint, so a query that is
+    started again goes on from there. The rows of one key in one batch are held
+    to be sorted, so what a trigger reads bounds them. Null keys are one key, as
+    nulls of order go first. The session needs the state store of
+    state_store().
+    """
+    keyed = findings.withColumn("_key", identity_key() if key is None else key)
+    schema = StructType([*keyed.schema.fields]).add("occurrence", LongType())
+    counted = keyed.groupBy(*scan, "_key").transformWithState(Occurrences(tuple(order)), schema, "Append", "None")
+    return counted.withColumn("fingerprint", fingerprint_of(F.col("_key"), F.col("occurrence"), prefix)).drop("_key")
+
+
+def state_store(spark: SparkSession) -> None:
+    """Chooses the state store that keyed state needs, on disk with snapshots in the checkpoint."""
+    spark.conf.set(STATE_STORE, ROCKS)
 
 
 def new_findings(findings: DataFrame, time: str = "found_at", late: str = "1 day") -> DataFrame:
