@@ -36,7 +36,8 @@ FACTOR, LEAST = 2.0, 0.01
 PRECISION = 1e-3  # of the least distrust that can block
 NODES_A_TASK = 500_000
 LINK = r"(?i)\bhref\s*=\s*[\x22']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\x22'\s<>]+)"
-MOST_RULES = 500
+MOST_RULES = 500  # of one expression; longer lists are joined as a table
+VERDICT = "struct<verdict:string,rule:string>"
 
 
 def host_of(url):
@@ -49,14 +50,43 @@ def path_of(url):
 
 def matched(host, path, rules):
     """Struct (verdict, rule) of the longest rule that fits, else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError("too many rules for one expression")
     out = None
     for verdict, at, start in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r)):
         fits = ((host == at) | host.endswith("." + at)) & path.startswith(start)
         value = F.struct(F.lit(verdict).alias("verdict"), F.lit(at + start).alias("rule"))
         out = F.when(fits, value) if out is None else out.when(fits, value)
-    return F.lit(None).cast("struct<verdict:string,rule:string>") if out is None else out
+    return F.lit(None).cast(VERDICT) if out is None else out
+
+
+def matched_by_table(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, hit) of the distinct (host, path) of places that a rule of the table (verdict, host, path) fits; hit as of matched().
+
+    Both conditions are met by equality: hosts bring their suffixes of whole
+    labels, which meet rule hosts, and paths their prefixes of the lengths that
+    such a host's rules have. So a host costs its labels, a path the distinct
+    lengths of its hosts' rules, and no page meets the rules of a host one by one.
+    """
+    rules = rules.where("host is not null and path is not null and verdict is not null")
+    order = F.struct(-F.length(F.concat("host", "path")), F.col("verdict"), F.col("host"), F.col("path"))
+    value = F.struct(order.alias("order"), F.col("verdict"), F.concat("host", "path").alias("rule"))
+    best = materialize(rules.groupBy(F.col("host").alias("at"), F.col("path").alias("start")).agg(F.min(value).alias("value")), "rules")
+    lengths = best.groupBy("at").agg(F.collect_set(F.length("start")).alias("lengths"))
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    distinct = materialize(places.select("host", "path").distinct(), "places")
+    ruled = distinct.select("host").distinct().select("host", F.explode(suffixes).alias("at")).join(lengths, "at")
+    prefixes = distinct.join(ruled, "host").select("host", "path", "at", F.explode("lengths").alias("n")).where("n <= length(path)")
+    met = prefixes.withColumn("start", F.substring(F.col("path"), F.lit(1), F.col("n"))).join(best, ["at", "start"])
+    return met.groupBy("host", "path").agg(F.min("value").alias("_best")).select("host", "path", F.struct("_best.verdict", "_best.rule").alias("hit"))
+
+
+def with_hits(pages: DataFrame, rules) -> DataFrame:
+    """pages (host, path, ...) with hit, by one expression or, for tables and long lists, by joins."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MOST_RULES:
+            return pages.withColumn("hit", matched(F.col("host"), F.col("path"), rules))
+        rules = pages.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+    return pages.join(matched_by_table(pages, rules), ["host", "path"], "left")
 
 
 def name_edges(hosts: DataFrame) -> DataFrame:
@@ -107,8 +137,10 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Judge every page by the longest rule that fits, else by its host's ranks.
 
     Returns a row per input row: page_id, host, path, rule (null without one),
-    verdict, trust, distrust. Of rules of equal length that fit, allow goes
-    first, then the first by host and path. A null url, or one without ://, has
+    verdict, trust, distrust. rules is a list of (verdict, host, path), or a table
+    of them of any size, in which rows with nulls fit nothing and repeated rows
+    are one. Of rules of equal length that fit, allow goes first, then the first
+    by host and path. A null url, or one without ://, has
     empty host and path; such pages have no host node and are allowed. Null html
     has no links; links to //host count as links to that host, links without //
     stay on their host and are no edges. A page links to a host once, however
@@ -120,8 +152,8 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     be split.
     """
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
-    base = base.withColumn("hit", matched(F.col("host"), F.col("path"), rules))
-    judged = materialize(base.select("page_id", "host", "path", "hit"), "judged")
+    judged = materialize(with_hits(base.select("page_id", "host", "path"), rules), "judged")
+    judged = judged.select("page_id", "host", "path", "hit")
     targets = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: F.translate(x, UPPER, LOWER)))
     links = base.where("host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst")).where("dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
     links = materialize(links, "links")
