@@ -11,8 +11,11 @@ item's words that are marked is its coverage, however its passages are ordered.
 Plan: one scan of the texts, without a shuffle, in which a bitmap of the items'
 seed hashes (at most FILTER_BITS bits, whatever the benchmark's size) drops what
 no item has. Only the seeds left are shuffled, each with its places in one text:
-by hash to meet the items, then by document and item. Rows are as long as a
-document's or an item's own seeds. Items of equal words are one item.
+by hash to meet the items, then by document and item. An item's most frequent seeds
+make no pair as long as they cover less of it than the threshold: whatever gives
+the item away shares one of its other seeds too. So pairs come from those alone,
+and the rest of a pair's seeds is fetched for the pairs there are. Rows are as
+long as a document's or an item's own seeds. Items of equal words are one item.
 """
 
 from __future__ import annotations
@@ -135,6 +138,43 @@ def _doc_seeds(sizes: list[int], bitmap: np.ndarray):
     return run
 
 
+def deciding(n: int, size: int, seeds: list[tuple[int, int, list[int]]], coverage: float) -> list[int]:
+    """Seeds of an item of n words without which no document covers the share: all but the most frequent ones that together cover less.
+
+    seeds: (documents, seed, places) of those that any document has.
+    """
+    covered, words, out = np.zeros(n, bool), 0, []
+    for _, seed, places in sorted(seeds, key=lambda x: (-x[0], x[1])):
+        more = {w for q in places for w in range(q, q + size) if not covered[w]}
+        if (words + len(more)) / n < coverage:
+            covered[list(more)] = True
+            words += len(more)
+        else:
+            out.append(seed)
+    return out
+
+
+def _deciding(k: int, coverage: float):
+    def run(batches):
+        for batch in batches:
+            out = ([], [], [])
+            for name, n, seeds in zip(*[batch.column(c).to_pylist() for c in ("name", "n", "seeds")]):
+                for g in deciding(n, min(k, n), [(x["docs"], x["g"], x["qs"]) for x in seeds], coverage):
+                    for column, value in zip(out, (name, n, g)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["name", "n", "g"])
+
+    return run
+
+
+def candidates(seeds: DataFrame, sought: DataFrame, k: int, coverage: float) -> DataFrame:
+    """(d, h, name, n) of the documents and items that share a seed which decides: from seeds (d, h, g) and sought (name, n, g, qs)."""
+    docs = seeds.groupBy("g").agg(F.count("*").alias("docs"))
+    items = sought.join(docs, "g").groupBy("name", "n").agg(F.collect_list(F.struct("docs", "g", "qs")).alias("seeds"))
+    rare = materialize(items.mapInArrow(_deciding(k, coverage), "name long, n long, g long"), "deciding")
+    return seeds.select("d", "h", "g").join(rare, "g").select("d", "h", "name", "n").distinct()
+
+
 def _tile(k: int, coverage: float):
     def run(batches):
         kind = pa.list_(pa.list_(pa.int64()))
@@ -173,7 +213,10 @@ def leaks(
     seeds = texts.withColumn("h", F.xxhash64("t")).mapInArrow(_doc_seeds(sizes, bitmap), "d long, h long, p long, g long")
     seeds = materialize(seeds.groupBy("d", "h", "g").agg(F.collect_set("p").alias("ps")), "seeds")
     sought = materialize(grams.groupBy("name", "n", "g").agg(F.collect_list("q").alias("qs")), "sought")
-    pairs = seeds.join(sought, "g").groupBy("d", "h", "name", "n").agg(F.collect_list(F.struct("ps", "qs")).alias("seeds"))
+    wanted = candidates(seeds, sought, min_match, coverage).join(sought, ["name", "n"]).alias("w")
+    same = F.col("w.d").eqNullSafe(F.col("s.d")) & (F.col("w.h") == F.col("s.h")) & (F.col("w.g") == F.col("s.g"))
+    both = wanted.join(seeds.alias("s"), same).select("w.d", "w.h", "name", "n", "ps", "qs")
+    pairs = both.groupBy("d", "h", "name", "n").agg(F.collect_list(F.struct("ps", "qs")).alias("seeds"))
     tiled = pairs.mapInArrow(_tile(min_match, coverage), "d long, h long, name long, n long, marked long, tiles array<array<long>>")
     known = grams.where("q = 0").select("name", "n", "item_id", "n_items")
     hit = tiled.withColumn("coverage", F.col("marked") / F.col("n")).where(F.col("coverage") >= coverage).join(known, ["name", "n"])
