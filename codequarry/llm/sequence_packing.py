@@ -85,8 +85,9 @@ class TextEncoder:
         pattern = split["pattern"].get("Regex", "")
         if not (split["behavior"] == "Removed" and split["invert"]):
             return None
+        there = sorted({c for x in range(_PLAIN_END) for c in chr(x).lower()})  # some plain characters have a lower case beyond the plain ones
         for kind in "LN":  # letters and numbers, as classes of re
-            members = [c for c in map(chr, [*range(_PLAIN_END), 0x307]) if unicodedata.category(c)[0] == kind]
+            members = [c for c in there if unicodedata.category(c)[0] == kind]
             pattern = pattern.replace(f"\\p{{{kind}}}", "".join(map(re.escape, members)))
         return None if "\\p" in pattern else re.compile(pattern).findall
 

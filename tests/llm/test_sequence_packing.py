@@ -107,6 +107,12 @@ def test_every_white_space_and_special_tokens_inside_texts():
         assert ENCODE(text) == struct.pack(f"<{len(ids_of(text)) - 1}I", *ids_of(text)[:-1]), repr(text)
 
 
+def test_every_plain_character_next_to_a_sign_a_letter_and_a_digit():
+    for c in map(chr, range(0x300)):
+        for text in (f":{c}", f"{c}:", f"a{c}", f"{c}a", f"1{c}", f"{c}1", f"{c}{c}", f"'{c}s", f"x {c}'s{c.upper()}{c.lower()} y"):
+            assert ENCODE(text) == struct.pack(f"<{len(ids_of(text)) - 1}I", *ids_of(text)[:-1]), repr(text)
+
+
 def test_a_worker_forgets_words_without_losing_ids(monkeypatch):
     monkeypatch.setattr("codequarry.llm.sequence_packing.UNITS_KEPT", 5)
     encode = TextEncoder(PATH)
