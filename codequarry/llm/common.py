@@ -54,19 +54,42 @@ def stored(make, name: str) -> DataFrame:
     return out
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+TEXTS_A_BATCH = 1_000  # rows of texts that a Python worker holds at once: an executor holds them as often as it has cores, in the JVM and in Python
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     It cuts lineage, and the plan above it starts from a plain scan, so both
-    sides of a join get an exchange that AQE can split when it is skewed.
+    sides of a join get an exchange that AQE can split when it is skewed. With
+    batch, Python workers on the way are sent at most so many rows at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(_BATCH)
+    try:
+        if batch:
+            spark.conf.set(_BATCH, batch)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+DOCS_A_TASK, TEXTS_A_TASK = 10_000, 2_000  # for tables of numbers, and for texts or much work a document
+
+
+def few(df: DataFrame, documents: int, each: int = DOCS_A_TASK) -> DataFrame:
+    """df in few partitions where it comes of few documents: one for each so many of them, and for each core; never in more than it has.
+
+    Every file that is written costs a file's overhead, and on a local disk two
+    short processes of the executor, however few rows it holds.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-documents // each)))
+
+
 def kept(docs: DataFrame, keep):
     """The columns of keep as one struct, out of the way of an operator's own names."""
     return F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
@@ -170,8 +193,8 @@ def isin_sorted(x: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndar
 EDGES_A_TASK = 500_000
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): label is the smallest id of id's component; edges: (a, b), longs.
+def components(edges: DataFrame, documents: int | None = None) -> DataFrame:
+    """(id, label): label is the smallest id of id's component; edges: (a, b), longs, of so many documents if that is known.
 
     Randomised contraction: each round every node that has edges goes to the
     smallest of its neighbours and itself by a hash that is new each round, and
@@ -184,23 +207,24 @@ def components(edges: DataFrame) -> DataFrame:
     scans.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, "edges")
+    both = materialize(both if documents is None else few(both, documents), "edges")
     steps = []
     while n := both.count():
-        few = max(1, -(-n // EDGES_A_TASK))  # rounds shrink: small ones are written by few tasks
+        tasks = max(1, -(-n // EDGES_A_TASK))  # rounds shrink: small ones are written by few tasks
         drawn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         step = both.groupBy(F.col("a").alias("id")).agg(F.min(drawn("b")).alias("near")).select("id", F.least("near", drawn("id")).getField("to").alias("to"))
-        step = materialize(step.coalesce(few), "step")
+        step = materialize(step.coalesce(tasks), "step")
         steps.append(step)
         moved = both.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
-        both = materialize(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(few), "edges")
+        both = materialize(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(tasks), "edges")
     if not steps:
         return both.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    tasks = max(1, -(-steps[0].count() // EDGES_A_TASK))
     roots = steps.pop()
     while steps:
         higher = roots.select(F.col("id").alias("to"), F.col("to").alias("root"))
         roots = materialize(steps.pop().join(higher, "to", "left").select("id", F.coalesce("root", "to").alias("to")), "roots")
-    least = materialize(roots.groupBy("to").agg(F.min("id").alias("label")), "least")
+    least = materialize(roots.groupBy("to").agg(F.min("id").alias("label")).coalesce(tasks), "least")
     return materialize(roots.join(least, "to").select("id", "label"), "labels")
 
 

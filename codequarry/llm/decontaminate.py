@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHash, flags, kept, low_bits, materialize, mix, rolling, table, words_of
+from .common import TEXTS_A_BATCH, U, WordHash, few, flags, kept, low_bits, materialize, mix, rolling, table, words_of
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -206,13 +206,14 @@ def leaks(
     grams = items.mapInArrow(_item_seeds(min_match), "i long, name long, n long, q long, g long")
     # Of items of equal words the smallest id speaks for all; the seeds of one stay.
     grams = grams.groupBy("name", "n", "q", "g").agg(F.min("i").alias("item_id"), F.count("*").alias("n_items"))
-    grams = materialize(grams, "item-seeds")
+    n_items, n_docs = items.count(), docs.count()
+    grams = materialize(few(grams, n_items), "item-seeds")
     sizes = sorted(r["size"] for r in grams.select(F.least("n", F.lit(min_match)).cast("int").alias("size")).distinct().collect())
     bitmap = low_bits(grams, "g", grams.count(), filter_bits)
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("t"))
     seeds = texts.withColumn("h", F.xxhash64("t")).mapInArrow(_doc_seeds(sizes, bitmap), "d long, h long, p long, g long")
-    seeds = materialize(seeds.groupBy("d", "h", "g").agg(F.collect_set("p").alias("ps")), "seeds")
-    sought = materialize(grams.groupBy("name", "n", "g").agg(F.collect_list("q").alias("qs")), "sought")
+    seeds = materialize(few(seeds.groupBy("d", "h", "g").agg(F.collect_set("p").alias("ps")), n_docs), "seeds", TEXTS_A_BATCH)
+    sought = materialize(few(grams.groupBy("name", "n", "g").agg(F.collect_list("q").alias("qs")), n_items), "sought")
     wanted = candidates(seeds, sought, min_match, coverage).join(sought, ["name", "n"]).alias("w")
     same = F.col("w.d").eqNullSafe(F.col("s.d")) & (F.col("w.h") == F.col("s.h")) & (F.col("w.g") == F.col("s.g"))
     both = wanted.join(seeds.alias("s"), same).select("w.d", "w.h", "name", "n", "ps", "qs")
@@ -221,7 +222,7 @@ def leaks(
     known = grams.where("q = 0").select("name", "n", "item_id", "n_items")
     hit = tiled.withColumn("coverage", F.col("marked") / F.col("n")).where(F.col("coverage") >= coverage).join(known, ["name", "n"])
     hits = F.array_sort(F.collect_list(F.struct("item_id", "n_items", "coverage", "tiles")))
-    return materialize(hit.groupBy("d", "h").agg(F.max("coverage").alias("best_coverage"), hits.alias("hits")), "leaks")
+    return materialize(few(hit.groupBy("d", "h").agg(F.max("coverage").alias("best_coverage"), hits.alias("hits")), n_docs), "leaks")
 
 
 def decontaminate(

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, table
+from .common import few, kept, materialize, table
 
 MIN_LINES, MIN_WORDS = 3, 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,6 +76,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(WORD))
     lines = base.select("d", "h", F.transform(full, lambda s: line(s["x"], s["i"])).alias("s")).where(F.size("s") >= (min_lines if min_words is None else 1))
     lines = materialize(lines, "lines")
+    n_docs = lines.count()
 
     # The fingerprints' places, each with the lines around it.
     starts = F.sequence(F.lit(0), F.size("s") - 1)
@@ -87,7 +88,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = prints.select("d", "h", F.get("s", F.col("p"))["a"].alias("f"), (F.col("p") - first).alias("c"), "p", around.alias("s"))
     place = F.struct("d", "h", "p")
     often = prints.groupBy("f").agg(F.min(place).alias("one"), F.max(place).alias("other")).where(~F.col("one").eqNullSafe(F.col("other"))).select("f")
-    joined = prints.join(materialize(often, "often"), "f")
+    joined = prints.join(materialize(few(often, n_docs), "often"), "f")
 
     # Both ways from a fingerprint: the runs that chose it.
     def run(k, start):
@@ -97,10 +98,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     runs = [run(k, F.col("c") - back) for k in sizes for back in range(k)]
     extended = joined.select("d", "h", F.explode(F.array_compact(F.array(*runs))).alias("r")).select("d", "h", "r.*")
-    extended = materialize(extended, "extended")
+    extended = materialize(few(extended, n_docs), "extended")
     place = F.struct("d", "h", F.get("at", F.lit(0)).alias("i"))
     first = extended.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = extended.join(materialize(first, "first"), ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
+    later = extended.join(materialize(few(first, n_docs), "first"), ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
     whole = base.alias("l").join(gone.alias("r"), F.col("l.d").eqNullSafe(F.col("r.d")) & (F.col("l.h") == F.col("r.h")), "left")
     parts = F.split(F.col("l.t"), "\n", -1)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, WordHash, components, flags, low_bits, materialize, mix, rolling, table, words_of
+from .common import TEXTS_A_BATCH, TEXTS_A_TASK, U, WordHash, components, few, flags, low_bits, materialize, mix, rolling, table, words_of
 
 SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
 BLOCK, MOST_BLOCK = 128, 1024
@@ -197,15 +197,17 @@ def ngram_join(
     n_bands, n_rows = banding(threshold, recall)
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("t")).withColumn("h", F.xxhash64("t"))
     signed = base.mapInArrow(_signatures(size, n_bands, n_rows), "d long, h long, c1 long, c2 long, n int, bands array<long>")
-    signed = materialize(signed, "signatures")
+    signed = materialize(signed, "signatures", TEXTS_A_BATCH)
     made = [F.min("d").alias("rep"), F.min(F.struct("h", "d")).alias("text"), F.count("*").alias("copies"), F.first("bands").alias("bands")]
-    sets = materialize(signed.where("n > 0").groupBy("c1", "c2").agg(*made), "sets").withColumnRenamed("c1", "node")
+    n_docs = signed.count()
+    sets = materialize(few(signed.where("n > 0").groupBy("c1", "c2").agg(*made), n_docs), "sets").withColumnRenamed("c1", "node")
     dealt = materialize(sets.select("node", F.explode("bands").alias("key")), "dealt")
     leaders = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    ties = dealt.join(materialize(leaders, "leaders"), "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    comps = components(ties)
+    ties = dealt.join(materialize(few(leaders, n_docs), "leaders"), "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    comps = components(ties, n_docs)
     sizes = comps.groupBy("label").agg(F.count("*").alias("size"))
-    chosen = materialize(comps.join(sizes, "label").withColumnRenamed("id", "node").join(sets, "node").select("node", "text", "label", "size"), "chosen")
+    chosen = comps.join(sizes, "label").withColumnRenamed("id", "node").join(sets, "node").select("node", "text", "label", "size")
+    chosen = materialize(few(chosen, n_docs), "chosen")
     total = chosen.count()
 
     # One text of each chosen set becomes a set again where it is needed. A bitmap of the chosen texts' hashes drops
@@ -223,15 +225,16 @@ def ngram_join(
     group = F.when(F.col("whole"), F.pmod(F.xxhash64("unit"), F.lit(n_tasks))).otherwise(F.col("unit"))
     pair = lambda of: F.when(F.col("whole"), F.lit(-1)).otherwise(of("blk", "o"))
     units = units.select("unit", "node", "s", "blk", group.alias("g"), pair(F.least).alias("i"), pair(F.greatest).alias("j"))
-    checked = materialize(units.groupBy("g", "i", "j").applyInArrow(_verify(threshold), "node long, links long, root long"), "checked")
+    checked = units.groupBy("g", "i", "j").applyInArrow(_verify(threshold), "node long, links long, root long")
+    checked = materialize(few(checked, n_docs, TEXTS_A_TASK), "checked", TEXTS_A_BATCH)
 
     found = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    real = components(checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    real = components(checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), n_docs)
     named = sets.select("node", "rep", "copies").join(real.withColumnRenamed("id", "node"), "node", "left").join(found, "node", "left")
-    named = materialize(named.withColumn("label", F.coalesce("label", "node")), "named")
-    classes = materialize(named.groupBy("label").agg(F.min("rep").alias("class_id")), "classes")
+    named = materialize(few(named.withColumn("label", F.coalesce("label", "node")), n_docs), "named")
+    classes = materialize(few(named.groupBy("label").agg(F.min("rep").alias("class_id")), n_docs), "classes")
     about = named.join(classes, "label").select("node", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    out = signed.join(materialize(about, "about").alias("about"), (signed.c1 == F.col("about.node")) & (signed.n > 0), "left")
+    out = signed.join(materialize(few(about, n_docs), "about").alias("about"), (signed.c1 == F.col("about.node")) & (signed.n > 0), "left")
     some = F.col("n") > 0
     return out.select(
         F.col("d").alias("doc_id"),

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, table
+from .common import few, kept, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -80,7 +80,7 @@ def mix_sources(
     size = lambda t: F.regexp_count(t, F.lit(WORD)).cast("long")
     source = [F.col(source_col).isNull().alias("z"), F.coalesce(F.col(source_col), F.lit("")).alias("k")]
     keyed = docs.select(*source, text.alias("t"), key.alias("key")).withColumn("a", F.substring("key", 1, 2)).withColumn("b", F.substring("key", 3, 2))
-    fine = materialize(keyed.groupBy("z", "k", "a", "b").agg(F.sum(size(F.col("t"))).alias("sum")), "fine")
+    fine = materialize(few(keyed.groupBy("z", "k", "a", "b").agg(F.sum(size(F.col("t"))).alias("sum")), docs.count()), "fine")
     coarse = fine.groupBy("z", "k", "a").agg(F.sum("sum").alias("sum"))
     sizes = fine.groupBy(F.when(~F.col("z"), F.col("k")).alias("s")).agg(F.sum("sum").alias("source_size"))
     goal = targets(sizes, weights, share_percent, most).select(F.col("s").isNull().alias("z"), F.coalesce("s", F.lit("")).alias("k"), "source_size", "target")

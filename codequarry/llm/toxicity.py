@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, materialize, mix, table
+from .common import TEXTS_A_BATCH, TEXTS_A_TASK, U, few, materialize, mix, table
 
 SAMPLE = 20_000
 LEAST_DOCS = 5
@@ -135,7 +135,7 @@ def model_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield from counted(texts)
 
     found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "o int, g long, n long")
-    return materialize(found.groupBy("o", "g").agg(F.sum("n").alias("n")), "model")
+    return materialize(found.groupBy("o", "g").agg(F.sum("n").alias("n")), "model", TEXTS_A_BATCH)
 
 
 class Costs:
@@ -253,8 +253,8 @@ class Channel:
         return found
 
 
-def restored(tokens: DataFrame, model: DataFrame) -> DataFrame:
-    """(s, words) of the distinct tokens s: each is joined with what its lattice can ask of the model."""
+def restored(tokens: DataFrame, model: DataFrame, documents: int | None = None) -> DataFrame:
+    """(s, words) of the distinct tokens s, of so many documents if that is known: each is joined with what its lattice can ask of the model."""
 
     def ask(batches):
         for batch in batches:
@@ -281,7 +281,8 @@ def restored(tokens: DataFrame, model: DataFrame) -> DataFrame:
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     asked = tokens.repartition(parts, "s").mapInArrow(ask, "s string, x string, o int, g long").join(model, ["o", "g"], "left")
     counts = asked.repartition(parts, "s").groupBy("s").agg(F.collect_list(F.struct("x", "n")).alias("counts"))
-    return materialize(counts.mapInArrow(decode, "s string, words array<string>"), "restored")
+    words = counts.mapInArrow(decode, "s string, words array<string>")
+    return materialize(words if documents is None else few(words, documents, TEXTS_A_TASK), "restored")
 
 
 # --- features ----------------------------------------------------------------
@@ -357,15 +358,16 @@ def scanned(rows: DataFrame, wanted: frozenset | None, key: list[str]) -> DataFr
 
 def read(rows: DataFrame, model: DataFrame, wanted: frozenset | None, key: list[str]) -> DataFrame:
     """(*key, found): the features of each row's text t; rows of equal key must have equal texts."""
-    plain = materialize(scanned(rows, wanted, key), "plain")
+    plain = materialize(scanned(rows, wanted, key), "plain", TEXTS_A_BATCH)
+    n_docs = plain.count()
     tokens = plain.select(*key, F.explode("tokens").alias("s")).distinct()
-    words = tokens.join(restored(tokens.select("s").distinct(), model), "s").select(*key, F.explode("words").alias("word")).distinct()
+    words = tokens.join(restored(tokens.select("s").distinct(), model, n_docs), "s").select(*key, F.explode("words").alias("word")).distinct()
     begun = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in (4, 5, 6)]
     more = words.where(F.length("word") > 2).select(*key, F.explode(F.array_compact(F.array("word", *begun))).alias("f"))
     if wanted is not None:
         # The features are bounded by the sample they were fitted on.
         more = more.where(F.col("f").isin(sorted(wanted))) if len(wanted) <= 500 else more.join(rows.sparkSession.createDataFrame([(f,) for f in sorted(wanted)], "f string"), "f", "left_semi")
-    more = materialize(more.groupBy(*key).agg(F.collect_set("f").alias("more")), "hidden").alias("m")
+    more = materialize(few(more.groupBy(*key).agg(F.collect_set("f").alias("more")), n_docs), "hidden").alias("m")
     same = None
     for c in key:
         equal = F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}"))
@@ -398,7 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: DataFrame, id_col: str = "doc
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("l")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = marks.orderBy(F.xxhash64("l"), "l").limit(sample)
     texts = docs.select(F.col(id_col).alias("l"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(chosen), "l")
-    rows = materialize(texts.groupBy("l", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")), "sample")
+    rows = materialize(few(texts.groupBy("l", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")), sample, TEXTS_A_TASK), "sample")
     total = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = total.get(True, 0), total.get(False, 0)
     rate = (n_pos + 0.5) / (n_pos + n_neg + 1.0) if n_pos + n_neg else 0.0
@@ -407,14 +409,14 @@ def fit(docs: DataFrame, labels: DataFrame, model: DataFrame, id_col: str = "doc
         return alike
     counts = lambda read_: read_.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n"))
     toxic, clean = rows.where("y > 0"), rows.where("y <= 0")
-    found = materialize(read(toxic, model, None, ["l"]), "toxic")
+    found = materialize(few(read(toxic, model, None, ["l"]), sample), "toxic")
     pos = {r["f"]: r["n"] for r in counts(found).where(F.col("n") >= LEAST_DOCS).collect()}
     # What says toxic: at least LEAST_ODDS times as usual in toxic texts. Counts in clean texts only grow with what is
     # hidden in them, so what fails by plain words alone needs no decoding.
     telling = lambda names, neg: [f for f in names if math.log((pos[f] + 0.1) / (n_pos + 0.2)) - math.log((neg.get(f, 0) + 0.1) / (n_neg + 0.2)) >= math.log(LEAST_ODDS)]
     plain = scanned(clean, frozenset(pos), ["l"])
     names = telling(sorted(pos), {r["f"]: r["n"] for r in counts(plain).collect()})
-    other = materialize(read(clean, model, frozenset(names), ["l"]), "clean")
+    other = materialize(few(read(clean, model, frozenset(names), ["l"]), sample), "clean")
     neg = {r["f"]: r["n"] for r in counts(other).collect()}
     names = telling(names, neg)
     if not names:

@@ -15,7 +15,7 @@ stage.
 
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import materialize, stored, table
+from codequarry.llm.common import TEXTS_A_TASK, few, materialize, stored, table
 from codequarry.llm.decontaminate import decontaminate
 from codequarry.llm.line_dedup import line_dedup
 from codequarry.llm.ngram_join import ngram_join
@@ -33,7 +33,8 @@ def text_hash(docs):
 def toxicity(spark, docs, sf_dir):
     """Documents that are predicted toxic go, every row of an id and text alike; scores at the threshold count as toxic."""
     found = score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1")
-    toxic = materialize(found.select(F.col("doc_id").alias("bad"), F.col("text_hash").alias("hash")).distinct(), "toxic")
+    toxic = found.select(F.col("doc_id").alias("bad"), F.col("text_hash").alias("hash")).distinct()
+    toxic = materialize(few(toxic, docs.count()), "toxic")
     return docs.select(*COLUMNS).join(toxic, docs.doc_id.eqNullSafe(toxic.bad) & (text_hash(docs) == toxic["hash"]), "left_anti")
 
 
@@ -44,7 +45,7 @@ def lines(spark, docs, sf_dir):
     """
     found = line_dedup(docs, keep=REST).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("kept.n_chars"))
-    return found.select("doc_id", "text", "kept.lang", "kept.source", n_chars.alias("n_chars"))
+    return few(found.select("doc_id", "text", "kept.lang", "kept.source", n_chars.alias("n_chars")), docs.count(), TEXTS_A_TASK)
 
 
 def near_copies(spark, docs, sf_dir):
@@ -55,12 +56,15 @@ def near_copies(spark, docs, sf_dir):
     """
     found = ngram_join(docs).groupBy("class_set", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     row = F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "text_hash", "n").alias("row")
-    found = materialize(found.select("class_set", row), "rows")
+    n_docs = docs.count()
+    found = materialize(few(found.select("class_set", row), n_docs), "rows")
     ones = found.where("class_set is not null").groupBy("class_set").agg(F.min("row").alias("row")).select("row")
     first = ones.union(found.where("class_set is null").select("row"))
-    first = materialize(first.select(F.col("row.doc_id").alias("first"), F.col("row.text_hash").alias("hash"), F.col("row.n").alias("n")), "first")
+    first = first.select(F.col("row.doc_id").alias("first"), F.col("row.text_hash").alias("hash"), F.col("row.n").alias("n"))
+    first = materialize(few(first, n_docs), "first")
     docs = docs.select(*COLUMNS)
     kept = docs.join(first, docs.doc_id.eqNullSafe(first["first"]) & (text_hash(docs) == first["hash"]), "left_semi")
+    kept = few(kept, n_docs, TEXTS_A_TASK)
     if first.where("n > 1").isEmpty():
         return kept
     return kept.groupBy("doc_id", "text").agg(F.min(F.struct(*REST)).alias("rest")).select("doc_id", "text", "rest.*")

@@ -1,4 +1,11 @@
+from collections import Counter
+from pathlib import Path
+
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline as P
+from codequarry.llm import common
 from codequarry.llm.decontaminate import decontaminate
 from codequarry.llm.line_dedup import line_dedup
 from codequarry.llm.ngram_join import ngram_join
@@ -52,3 +59,40 @@ def test_stages_take_nulls_extra_columns_and_nothing(spark, docs, crowd):
         assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(got.columns) and got.count() <= docs.count(), name
         assert stage(spark, odd.where("false"), SF).count() == 0, name
     assert P.lines(spark, odd, SF).where("doc_id = 7").count() == 1 and P.toxicity(spark, odd, SF).where("text is null").count() == 1
+
+
+@pytest.fixture
+def many_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_tables_are_written_by_few_tasks(spark, many_partitions):
+    docs, since = spark.read.parquet(f"{SF}/documents.parquet"), len(common._WRITTEN)
+    for _, stage in P.STAGES:
+        docs = common.materialize(stage(spark, docs, SF), "stage")
+    files = Counter()
+    for path in common._WRITTEN[since:]:
+        files[Path(path).name.rsplit("-", 1)[0]] += len([*Path(path.removeprefix("file:")).glob("part-*")])
+    assert files.pop("model") and len(files) > 20 and sum(files.values()) < 400, files
+
+
+def test_few_partitions_for_few_documents(spark):
+    parts = lambda df: df.rdd.getNumPartitions()
+    rows, cores = spark.range(0, 100, 1, 40), spark.sparkContext.defaultParallelism
+    assert [parts(common.few(rows, n, 10)) for n in (0, 10 * cores, 10 * cores + 1, 250, 1_000_000)] == [cores, cores, cores + 1, 25, 40]
+
+
+def test_workers_are_sent_few_texts_at_once(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"])
+
+    usual = spark.conf.get(common._BATCH)
+    found = common.materialize(spark.range(0, 5_000, 1, 1).mapInArrow(sizes, "n long"), "sizes", common.TEXTS_A_BATCH)
+    assert {r.n for r in found.collect()} == {common.TEXTS_A_BATCH} and spark.conf.get(common._BATCH) == usual
