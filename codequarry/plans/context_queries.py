@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +42,8 @@ def files(spark, sf):
         "class X {\n  function store(\n    ?", request, " $r, int $n) {}\n  function show(Clock $c, string $id) {}\n  function again(", request, " $r) {}\n}\n",
     )
     at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER))
-    rows = table(spark, sf, "lineitem")
-    return rows.select(F.col("l_orderkey").alias("chunk"), at.alias("ordinal"), kind.alias("type"), name.alias("class"), content.alias("content"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", *ORDER).withColumn("at", at)  # before texts are made, so that none are sorted
+    return rows.select(F.col("l_orderkey").alias("chunk"), F.col("at").alias("ordinal"), kind.alias("type"), name.alias("class"), content.alias("content"))
 
 
 def routes(spark, sf):
@@ -100,10 +98,8 @@ f(budget, chunk, place, used, took) AS (
 @query(f"WITH RECURSIVE {ASKED}, {FOLDED} SELECT budget, chunk, CAST(place AS INT) AS place, ['routes', 'methods', 'requests', 'models'][sec] AS section, key, tokens FROM f JOIN k USING (chunk, place) WHERE took")
 def chunk_context(spark, sf):
     """What chunks take under three budgets."""
-    k = known(spark, sf)
-    entries = C.ranked(files(spark, sf), k, ("chunk",))
-    taken = [C.within(entries, k, b, ("chunk",)).select(F.lit(b).alias("budget"), "chunk", "place", "section", "key", "tokens") for b in BUDGETS]
-    return reduce(DataFrame.union, taken)
+    entries = C.ranked(files(spark, sf), known(spark, sf), ("chunk",))
+    return C.within(entries, BUDGETS, ("chunk",)).select("budget", "chunk", "place", "section", "key", "tokens")
 
 
 SQL_SECTIONS = ", ".join(
