@@ -223,3 +223,10 @@ def test_redaction_of_a_class_and_all_its_ancestors(spark):
     asked = spark.createDataFrame([("User", "PASSWORD"), ("User", "email"), ("Base", "token"), ("User", "token"), ("Gone", "token")], "model string, attribute string")
     got = {(r.model, r.attribute): r.sites for r in catalogue.redactions(asked, declared, parents).collect()}
     assert got == {("User", "PASSWORD"): ["$hidden", "#[Hidden]", "$guarded"], ("User", "email"): [], ("Base", "token"): ["#[Hidden]"], ("User", "token"): ["#[Hidden]"], ("Gone", "token"): []}
+
+
+def test_percent_of_a_limit_rounds_halves_up(spark):
+    cases = {1800: 0.5, 7400: 1.9, 28600: 7.2, 1750200: 437.6, 3707400: 926.9, 1799: 0.4, 200: 0.1, 0: 0.0}
+    used = spark.createDataFrame([(n,) for n in cases], "used long")
+    rows = used.select("used", *scans.limit_state(F.col("used"), F.lit(400000).cast("long"))).collect()
+    assert {r.used: r.percent_used for r in rows} == cases
